@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from threadlake.llm.chat_format import chat_examples, read_back
 from threadlake.llm.exact_dedup import exact_dedup
+from threadlake.llm.jaccard_join import jaccard_components
 from threadlake.llm.mixing import mix
+from threadlake.llm.quality import quality_scores
 from threadlake.llm.sharding import shard_by_bytes
 from threadlake.llm.token_store import read_documents, write_shards
 from threadlake.llm.url_filter import url_filter
@@ -34,6 +36,16 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_by_bytes(table(spark, sf_dir, "documents"), 16)
     return out.select(F.col("id").alias("doc_id"), "size", F.col("crc32").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -80,7 +92,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").cast("long").alias("tokens"), F.round("mix_probability", 6).alias("probability"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op7_sharding, op8_chat_format, op9_token_store, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op3_quality, op6_jaccard_join, op7_sharding, op8_chat_format, op9_token_store, op10_mixing)}
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
