@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlake.llm.chat_format import chat_examples, read_back
+from threadlake.llm.decontaminate import contamination
 from threadlake.llm.exact_dedup import exact_dedup
 from threadlake.llm.jaccard_join import jaccard_components
 from threadlake.llm.mixing import mix
@@ -41,6 +42,13 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "hits")
+    best = F.get(F.array_sort(F.transform("hits", lambda h: F.struct(h.distance.alias("distance"), h.item_id.alias("item_id"), h.start.alias("start")))), 0)
+    return found.select("doc_id", (F.size("hits") == 0).alias("kept"), F.size("hits").cast("long").alias("n_items"), best.item_id.alias("item_id"), best.distance.alias("distance"), best.start.alias("start_word"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.withColumnRenamed("id", "doc_id")
@@ -92,7 +100,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").cast("long").alias("tokens"), F.round("mix_probability", 6).alias("probability"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op3_quality, op6_jaccard_join, op7_sharding, op8_chat_format, op9_token_store, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op3_quality, op4_decontaminate, op6_jaccard_join, op7_sharding, op8_chat_format, op9_token_store, op10_mixing)}
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
