@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 PUNCTUATION = re.compile(rb"[!-/:-@\[-`{-~]+")
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -210,5 +211,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             found = [[dict(zip(("item_id", "start", "distance"), m)) for m in ms] for ms in index.value.matches(batch.column(place).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, hit)], names=[*batch.schema.names, "hits"])
 
-    schema = kept.schema.add("hits", "array<struct<item_id:bigint,start:bigint,distance:bigint>>")
-    return kept.mapInArrow(find, schema)
+    found = StructType([StructField(n, LongType()) for n in ("item_id", "start", "distance")])
+    return kept.mapInArrow(find, StructType([*kept.schema.fields, StructField("hits", ArrayType(found))]))

@@ -12,6 +12,7 @@ from threadlake.llm.jaccard_join import jaccard_components
 from threadlake.llm.mixing import mix
 from threadlake.llm.quality import quality_scores
 from threadlake.llm.sharding import shard_by_bytes
+from threadlake.llm.suffix_dedup import suffix_dedup
 from threadlake.llm.token_store import read_documents, write_shards
 from threadlake.llm.url_filter import url_filter
 
@@ -49,6 +50,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.size("hits") == 0).alias("kept"), F.size("hits").cast("long").alias("n_items"), best.item_id.alias("item_id"), best.distance.alias("distance"), best.start.alias("start_word"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.withColumnRenamed("id", "doc_id")
@@ -100,7 +105,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").cast("long").alias("tokens"), F.round("mix_probability", 6).alias("probability"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op3_quality, op4_decontaminate, op6_jaccard_join, op7_sharding, op8_chat_format, op9_token_store, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op3_quality, op4_decontaminate, op5_suffix_dedup, op6_jaccard_join, op7_sharding, op8_chat_format, op9_token_store, op10_mixing)}
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
