@@ -1 +1 @@
-"""Subpackage of threadlake."""
+"""Operators over DataFrames."""

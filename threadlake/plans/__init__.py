@@ -1 +1,6 @@
-"""Subpackage of threadlake."""
+"""Registered queries with the SQL that says the same."""
+
+from threadlake.plans import store  # noqa: F401
+from threadlake.plans.base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
