@@ -34,7 +34,7 @@ def truncated_utf8(text: Column, most: int = MAX_HTML_BYTES) -> Column:
     """The longest prefix of at most ``most`` UTF-8 bytes that ends between characters."""
     cut = F.substring(F.encode(text, "UTF-8"), 1, most)
     # a character that was cut leaves U+FFFD at the end
-    clean = F.regexp_replace(F.decode(cut, F.lit("UTF-8")), "�+$", "")
+    clean = F.regexp_replace(F.decode(cut, "UTF-8"), "�+$", "")
     return F.when(F.octet_length(text) <= most, text).otherwise(clean)
 
 
@@ -52,17 +52,16 @@ def decode_entities(text: Column) -> Column:
         hexadecimal = F.regexp_extract(piece, "^&#[xX]([0-9a-fA-F]{1,6});", 1)
         table = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
         named = F.element_at(table, name)
-        code = F.when(decimal != "", F.try_to_number(F.lpad(decimal, 8, "0"), F.lit("99999999")).cast("int")).when(hexadecimal != "", F.conv(hexadecimal, 16, 10).cast("int"))
+        code = F.when(decimal != "", F.try_to_number(decimal, F.lit("9999999")).cast("int")).when(hexadecimal != "", F.conv(hexadecimal, 16, 10).cast("int"))
         valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
         low = F.chr(code % 256)
-        utf16 = lambda c: F.decode(F.unhex(F.lpad(F.hex(c), 4, "0")), F.lit("UTF-16BE"))
-        high = F.decode(F.unhex(F.concat(F.lpad(F.hex(F.lit(0xD800) + F.shiftright(code - 0x10000, 10)), 4, "0"), F.lpad(F.hex(F.lit(0xDC00) + (code - 0x10000) % 1024), 4, "0"))), F.lit("UTF-16BE"))
+        utf16 = lambda c: F.decode(F.unhex(F.lpad(F.hex(c), 4, "0")), "UTF-16BE")
+        high = F.decode(F.unhex(F.concat(F.lpad(F.hex(F.lit(0xD800) + F.shiftright(code - 0x10000, 10)), 4, "0"), F.lpad(F.hex(F.lit(0xDC00) + (code - 0x10000) % 1024), 4, "0"))), "UTF-16BE")
         number = F.when(code < 128, low).when(code < 0x10000, utf16(code)).otherwise(high)
         rest = F.substr(piece, F.instr(piece, ";") + 1)
         return F.when(named.isNotNull(), F.concat(named, rest)).when(valid, F.concat(number, rest)).otherwise(piece)
 
-    plain = F.array_join(F.transform(pieces, decode), "")
-    return F.when(F.instr(text, "&") > 0, plain).otherwise(text)
+    return F.array_join(F.transform(pieces, decode), "")
 
 
 def html_to_text(html: Column) -> Column:
