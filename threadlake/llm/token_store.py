@@ -10,7 +10,10 @@ blob, of a Parquet dataset that Spark writes; nothing is kept on local disks.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +42,7 @@ class WaveletMatrix:
     def of(cls, tokens: np.ndarray) -> WaveletMatrix:
         """Of unsigned integers; an empty array gives an empty matrix."""
         width = int(tokens.max()).bit_length() if len(tokens) else 0
-        planes = []
+        planes, tokens = [], tokens.astype("uint16" if width <= 16 else "uint32")
         for j in range(width - 1, -1, -1):
             bit = (tokens >> j) & 1 != 0
             planes.append(np.packbits(bit))
@@ -106,12 +109,13 @@ class WaveletMatrix:
 
     def tokens(self) -> np.ndarray:
         """All tokens in order, plane by plane from the last."""
-        out = np.zeros(self.n, "uint32")
+        kind = np.dtype("uint16" if self.width <= 16 else "uint32").type
+        out = np.zeros(self.n, kind)
         for j in range(self.width - 1, -1, -1):
             bit = np.unpackbits(self.planes[j], count=self.n).astype(bool)
             up = np.empty_like(out)
             up[~bit] = out[: self.zeros[j]]
-            up[bit] = out[self.zeros[j] :] | np.uint32(1 << (self.width - 1 - j))
+            up[bit] = out[self.zeros[j] :] | kind(1 << (self.width - 1 - j))
             out = up
         return out
 
@@ -127,52 +131,96 @@ class WaveletMatrix:
         return cls(n, [np.frombuffer(raw, "uint8", size, 16 + j * size) for j in range(width)])
 
 
+#: A run of Latin letters, then of ASCII signs other than the apostrophe.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def byte_letters() -> dict[int, str]:
+    """Byte-level BPE's letter for each byte: itself where it is a visible Latin-1 sign, else the next from U+0100."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
     """Ids of a text under a ``tokenizers`` file, remembered for each run of non-blank bytes.
 
-    The file's pre-tokenizer never joins text across a blank, so the ids of a
-    text are those of its runs one after the other; the library encodes each run
-    the first time it is seen. The memory is bounded: it starts anew at ``most`` runs.
+    The file's pre-tokenizer never joins text across a blank, nor letters with
+    signs, so the ids of a text are those of its runs one after the other, and
+    those of a plain word with signs behind it are the word's, then the signs'.
+    The library encodes each the first time it is seen. With ``plain`` a word of
+    Latin letters goes to the library's BPE model directly (for files that
+    lower-case, split letters from signs and use byte letters); whatever else
+    there is takes the whole pipeline. The memory is bounded: it starts anew at
+    ``most`` runs.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, plain: bool = True, most: int = 600_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
         from tokenizers import Tokenizer
 
-        self.model, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.plain, self.most = Tokenizer.from_file(path), plain, most
+        self.model, self.letters = self.tokenizer.model, byte_letters()
         self.forget()
 
     def forget(self) -> None:
         self.places: dict[bytes, int] = {}
-        self.starts, self.ids = [0], []
+        self.starts, self.ids = array("q", [0]), array("I")
+
+    def learn(self, run: bytes) -> int:
+        """Add a run; a plain word with signs is put together from the two, which are runs themselves."""
+        text = run.decode("utf-8", "replace")
+        plain = self.plain and PLAIN.fullmatch(text)
+        if not plain:
+            got = self.tokenizer.encode(text, add_special_tokens=False).ids
+        elif plain[2]:
+            got = array("I")
+            for part in (plain[1].encode(), plain[2].encode()):
+                place = self.places.get(part)
+                place = self.learn(part) if place is None else place
+                got += self.ids[self.starts[place] : self.starts[place + 1]]
+        else:
+            word = text.lower()
+            spelt = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+            got = [t.id for t in self.model.tokenize(spelt)]
+        self.ids.extend(got)
+        self.starts.append(len(self.ids))
+        place = self.places[run] = len(self.places)
+        return place
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and how many each has."""
         if len(self.places) > self.most:
             self.forget()
-        runs = [t.split() for t in texts]
-        new = list({w for r in runs for w in r} - self.places.keys())
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for word, got in zip(part, self.model.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                self.places[word] = len(self.places)
-                self.ids.extend(got.ids)
-                self.starts.append(len(self.ids))
-        get = self.places.__getitem__
-        at = np.fromiter((p for r in runs for p in map(get, r)), "int64", sum(map(len, runs)))
+        # ASCII capitals fold to fewer runs; not where a special token's own spelling may occur
+        runs = [(t if b"<|" in t or not self.plain else t.lower()).split() for t in texts]
+        get, learn = self.places.get, self.learn
+        at = np.array([learn(w) if p is None else p for r in runs for w, p in zip(r, map(get, r))] or [0], "int64")
+        if not any(runs):
+            return np.zeros(0, "uint32"), np.zeros(len(texts), "int64")
         starts, ids = np.array(self.starts), np.array(self.ids, "uint32")
         first, sizes = starts[at], starts[at + 1] - starts[at]
         ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = ids[np.repeat(first - (ends - sizes), sizes) + np.arange(total)]
+        flat = ids[np.repeat(first - (ends - sizes), sizes) + np.arange(int(ends[-1]))]
         upto = np.concatenate(([0], ends))
         edges = upto[np.concatenate(([0], np.cumsum([len(r) for r in runs])))]
         return flat, np.diff(edges)
 
 
+ENCODERS: dict[tuple[str, bool], Encoder] = {}
+
+
+def encoder(path: str, plain: bool) -> Encoder:
+    """One for each Python worker, so that its memory outlives a task."""
+    if (path, plain) not in ENCODERS:
+        ENCODERS[path, plain] = Encoder(path, plain)
+    return ENCODERS[path, plain]
+
+
 STORED = "shard int, n_docs long, n_tokens long, doc_ids binary, doc_ends binary, matrix binary"
 
 
-def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, shards: int = 0, id_col: str = "doc_id", text_col: str = "text", piece: int = 4 << 20) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, shards: int = 0, id_col: str = "doc_id", text_col: str = "text", piece: int = 4 << 20, plain: bool = True) -> DataFrame:
     """Encode every text, append ``end_id`` and write the shards; returns the written table (columns ``STORED`` plus ``piece``).
 
     Documents are range-partitioned by id (rows with the same id by a hash of
@@ -187,13 +235,22 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, shards: int =
     count = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(count, F.col("id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("id").asc_nulls_first(), "tie")
     dealt = dealt.select("id", "text", F.spark_partition_id().alias("shard"))
-    return written(dealt.mapInArrow(lambda batches: pieces(batches, tokenizer, end_id, piece), STORED + ", piece int"))
+    return written(dealt.mapInArrow(lambda batches: pieces(batches, tokenizer, end_id, piece, plain), STORED + ", piece int"))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, limit: int) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, limit: int, plain: bool) -> Iterator[pa.RecordBatch]:
     model, held, number = None, [], 0
     ids: list[int | None] = []
-    size = shard = 0
+    texts: list[bytes] = []
+    size = waiting = shard = 0
+
+    def encode() -> None:
+        nonlocal waiting
+        if texts:
+            flat, counts = model.encode(texts)
+            held.append((np.insert(flat, np.cumsum(counts), end_id).astype("uint32"), counts + 1))
+            texts.clear()
+            waiting = 0
 
     def close() -> pa.RecordBatch:
         flat, counts = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
@@ -202,27 +259,22 @@ def pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, limit
         types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32()]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), types)], names=list(row))
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        model = model or Encoder(tokenizer)
-        shard = batch.column("shard")[0].as_py()
-        keys, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
-        at = 0
-        while at < len(texts):
-            upto, sub = at, 0
-            while upto < len(texts) and (upto == at or sub < 1 << 20):
-                sub += len(texts[upto])
-                upto += 1
-            flat, counts = model.encode(texts[at:upto])
-            ends = np.cumsum(counts)
-            held.append((np.insert(flat, ends, end_id).astype("uint32"), counts + 1))
-            ids.extend(keys[at:upto])
-            size += sub
-            at = upto
-            if size >= limit:
-                yield close()
-                held, ids, size, number = [], [], 0, number + 1
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            batch = whole.slice(at, 256)
+            model = model or encoder(tokenizer, plain)
+            shard = batch.column("shard")[0].as_py()
+            for key, text in zip(batch.column("id"), batch.column("text")):
+                texts.append(text.as_py())
+                ids.append(key.as_py())
+                size += len(texts[-1])
+                waiting += len(texts[-1])
+                if waiting >= 1 << 20 or size >= limit:
+                    encode()
+                if size >= limit:
+                    yield close()
+                    held, ids, size, number = [], [], 0, number + 1
+    encode()
     if held:
         yield close()
 
