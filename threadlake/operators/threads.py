@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadlake.sources.shared import shared_dir
+
 
 def edges(messages: DataFrame) -> DataFrame:
     """``pk, referenced``: every id a message names, once."""
@@ -33,10 +35,7 @@ def components(links: DataFrame, nodes: DataFrame, max_rounds: int = 50) -> Data
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     label = nodes.select("pk", F.col("pk").alias("component"))
     spark = nodes.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="threadlake-"))
+    shared_dir(spark)  # sets the checkpoint folder where a session has none
     both = both.checkpoint()
     for _ in range(max_rounds):
         near = both.join(label, F.col("a") == F.col("pk")).groupBy("b").agg(F.min("component").alias("m"))
