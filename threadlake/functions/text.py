@@ -34,7 +34,7 @@ def truncated_utf8(text: Column, most: int = MAX_HTML_BYTES) -> Column:
     """The longest prefix of at most ``most`` UTF-8 bytes that ends between characters."""
     cut = F.substring(F.encode(text, "UTF-8"), 1, most)
     # a character that was cut leaves U+FFFD at the end
-    clean = F.regexp_replace(F.decode(cut, "UTF-8"), "�+$", "")
+    clean = F.regexp_replace(F.make_valid_utf8(cut.cast("string")), "�+$", "")
     return F.when(F.octet_length(text) <= most, text).otherwise(clean)
 
 

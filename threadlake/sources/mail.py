@@ -196,13 +196,13 @@ def parse_files(files: DataFrame) -> DataFrame:
             rows = []
             for path, content in zip(batch["path"], batch["content"]):
                 found = re.search(r"([0-9]+)(\.partial)?\.emlx$", path)
-                row = {"path": path, "source_id": int(found[1]) if found else None}
+                row = dict.fromkeys(columns) | {"path": path, "source_id": int(found[1]) if found else None}
                 try:
                     row |= parsed(bytes(content))
                 except ValueError as e:
                     row["error"] = str(e)
                 rows.append(row)
-            out = pd.DataFrame(rows, columns=columns)
+            out = pd.DataFrame(rows, columns=columns, dtype=object)
             out["source_id"] = out["source_id"].astype("Int64")
             out["date_unix"] = out["date_unix"].astype("Int64")
             yield out
