@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -51,6 +52,17 @@ def drop_written(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files and broadcasts of plans that are done.
+
+    Its cleaner acts when the driver's garbage is collected, which a long job
+    with a roomy heap may not do for half an hour; an operator of many rounds
+    calls this between them.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def stripped(text: Column) -> Column:
     """``text`` without blanks; null counts as empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), BLANK + "+", "")

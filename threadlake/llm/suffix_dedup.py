@@ -33,9 +33,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlake.llm.common import drop_written, written
+from threadlake.llm.common import drop_written, release, written
 
 GRAM = 8
+STEP = 16  # windows are first judged by strings a step apart
 
 
 def anchors(raw: np.ndarray, window: int) -> np.ndarray:
@@ -47,9 +48,10 @@ def anchors(raw: np.ndarray, window: int) -> np.ndarray:
     n = len(raw) - GRAM + 1
     if n < window:
         return np.array([0, len(raw)] if len(raw) else [0], "int64")
-    h = np.zeros(n, "uint64")
+    h = np.empty(n, "uint64")
     for j in range(GRAM):
-        h |= raw[j : j + n].astype("uint64") << np.uint64(8 * j)
+        part = h[j::GRAM]
+        part[:] = np.frombuffer(raw, "<u8", len(part), j)
     h *= np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
@@ -158,6 +160,33 @@ def paired(columns: list[np.ndarray]) -> np.ndarray:
     return ~group | np.append(~group[1:], False) | (columns[3] - columns[2] > 1)
 
 
+def contested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (high, low, settled, text, place), sorted: those of strings that have two places or more, one of them not settled."""
+    prior, open_, held = None, False, None
+
+    def emit(after: pa.RecordBatch | None) -> pa.RecordBatch:
+        nonlocal prior, open_
+        parts = [x for x in (prior, held, after) if x is not None]
+        whole = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        high, low, settled = (whole.column(i).to_numpy() for i in range(3))
+        at = slice(int(prior is not None), int(prior is not None) + held.num_rows)
+        group = changes(high, low)
+        several = (~group | np.append(~group[1:], False))[at]
+        group, settled = group[at], settled[at]
+        start = np.maximum.accumulate(np.where(group, np.arange(len(group)), -1))
+        unsettled = np.where(start >= 0, settled[start] == 0, open_)  # the first row of a string is not settled if any is
+        prior, open_ = held.slice(held.num_rows - 1), bool(unsettled[-1])
+        return held.filter(pa.array(several & unsettled)).select(["text", "place"])
+
+    for batch in batches:
+        if batch.num_rows:
+            if held is not None:
+                yield emit(batch.slice(0, 1))
+            held = batch
+    if held is not None:
+        yield emit(None)
+
+
 def suffix_order(tokens: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes sorted by up to ``depth`` tokens; ``left[i]`` tokens remain in the sequence from i on."""
     rank = np.unique(tokens, return_inverse=True)[1].astype("int64") + 1
@@ -273,25 +302,34 @@ class Windows:
         known = np.frombuffer(lengths, "uint8")[: len(at)]
         most[: len(known)] = known
         n = max(0, len(raw) - length + 1)
-        q = np.arange(n)
-        begin = np.searchsorted(at, q, "right") - 1
-        end = np.searchsorted(at, q + length, "left")
+        upto = np.zeros(len(raw) + 1, "int64")  # anchors at or before each place
+        upto[at] = 1
+        upto = np.cumsum(upto)
+        begin, end = upto[:n] - 1, upto[length - 1 :][:n]
         self.sure = most[begin] >= end - begin
         # anchors whose whole context is in the window are anchors in every copy of it
-        core, last = np.searchsorted(at, q + window - 1, "left"), np.searchsorted(at, q + length - window - GRAM, "right") - 1
-        size = last - core
-        self.maybe = (size < 1) | (most[np.minimum(core, len(at) - 1)] >= np.minimum(size, depth))
+        core, last = upto[window - 2 :][:n], upto[length - window - GRAM :][:n] - 1
+        self.maybe = most[core] >= np.minimum(last - core, depth)
         self.core, self.last, self.at = core, last, at
         self.open = self.maybe & ~self.sure
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """For each window that may be repeated its core's key, and those windows."""
         q = np.flatnonzero(self.maybe)
-        pair = self.core[q] * (len(self.at) + 1) + self.last[q]
-        new = changes(pair) if len(pair) else np.zeros(0, bool)
-        a, b = self.at[np.minimum(self.core[q][new], len(self.at) - 1)], self.at[np.maximum(self.last[q][new], 0)]
-        hashed = [xxhash.xxh3_64_intdigest(self.raw[x:y]) if x < y else 0 for x, y in zip(a.tolist(), b.tolist())]
-        return (signed(hashed)[np.cumsum(new) - 1] if len(pair) else np.zeros(0, "int64")), q
+        if not len(q):
+            return np.zeros(0, "int64"), q
+        new = changes(self.core[q], self.last[q])
+        a, b = self.at[self.core[q][new]].tolist(), self.at[self.last[q][new]].tolist()
+        return signed([xxhash.xxh3_64_intdigest(self.raw[x:y]) for x, y in zip(a, b)])[np.cumsum(new) - 1], q
+
+    def aligned(self, q: np.ndarray) -> np.ndarray:
+        """The first place in each window that is a multiple of ``STEP`` from the core's first anchor."""
+        return q + (self.at[self.core[q]] - q) % STEP
+
+    def digests(self, places: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        found = b"".join([xxhash.xxh3_128_digest(self.raw[a : a + size]) for a in places.tolist()])
+        both = np.frombuffer(found, "<i8").reshape(-1, 2)
+        return both[:, 0], both[:, 1]
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, window: int | None = None, depth: int = 16, shard_rows: int = 200_000) -> DataFrame:
@@ -306,6 +344,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     recognised by 64, 64 and 128 bits of hash.
     """
     window = window or max(2, (length - GRAM) // 4 - 2)
+    if length < 4 * window + GRAM or length <= STEP:
+        raise ValueError("length is too small for the anchors' window")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.cast("binary").alias("raw")).withColumn("text", F.xxhash64("raw"))
     base = written(rows.select("id", "text", F.octet_length("raw").cast("long").alias("n"), F.sha2("raw", 256).alias("sha")))
@@ -325,6 +365,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tokens = long_enough.mapInArrow(parse, "token long, text long, place int")
     repeated = tokens.repartition("token").sortWithinPartitions("token", "text", "place").mapInArrow(lambda b: repeats(b, 1), "token long, text long, place int")
     repeated = written(repeated)
+    release(docs.sparkSession)
     shards = max(1, -(-repeated.count() // shard_rows))
     dealt = repeated.select(F.pmod("text", F.lit(shards)).cast("int").alias("shard"), "text", "place", "token")
     index = written(dealt.repartition("shard").sortWithinPartitions("shard", "text", "place").mapInArrow(
@@ -340,6 +381,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         tails = levels[-1].select("shard", F.lit(1).alias("kind"), none.cast("binary").alias("lf"), none.cast("binary").alias("prior"), "key", "lo", "hi")
         both = heads.unionByName(tails).repartition("shard").sortWithinPartitions("shard", "kind")
         levels.append(written(judged(both.mapInArrow(extend, block))))
+        release(docs.sparkSession)
     heads = index.select("shard", F.lit(0).alias("kind"), "text", "place", none.cast("int").alias("depth"), none.cast("int").alias("lo"), none.cast("int").alias("hi"))
     for k, level in enumerate(levels, 1):
         heads = heads.unionByName(level.select("shard", F.lit(1).alias("kind"), none.cast("binary").alias("text"), none.cast("binary").alias("place"), F.lit(k).alias("depth"), "lo", "hi"))
@@ -351,35 +393,64 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     wanted = lengths.join(groups.select("text", "rep"), "text")
     side = F.broadcast(wanted) if lengths.count() <= 200_000 else wanted
     held = rows.join(side, "text").where(F.col("id").eqNullSafe(F.col("rep"))).select("text", "raw", "lengths")
-    held = written(held)
     view = lambda raw, known: Windows(raw, known, length, window, depth)
 
     def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts with a window that may be repeated, their cores' keys, and whether all windows of a core are settled."""
         for batch in batches:
-            for key, raw, known in zip(*(batch.column(c).to_pylist() for c in ("text", "raw", "lengths"))):
+            keep, keys, settled = [], [], []
+            for i, (raw, known) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("raw", "lengths")))):
                 w = view(raw, known)
                 found, q = w.keys()
                 if len(found):
-                    both = np.unique(np.stack((found, (~w.open[q]).astype("int64")), 1), axis=0)
-                    yield batch_of(core=both[:, 0].copy(), settled=both[:, 1].copy(), text=np.full(len(both), key, "int64"))
+                    core, at = np.unique(found, return_inverse=True)
+                    keep.append(i)
+                    keys.append(core)
+                    settled.append(np.bincount(at, w.open[q], len(core)) == 0)
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(keep, pa.int64())).columns, pa.array(keys, pa.list_(pa.int64())), pa.array(settled, pa.list_(pa.bool_()))], names=[*batch.schema.names, "cores", "settled"])
+
+    held = written(held.mapInArrow(cores, "text long, raw binary, lengths binary, cores array<long>, settled array<boolean>"))
+    release(docs.sparkSession)
+    kinds = held.select("text", F.explode(F.arrays_zip("cores", "settled")).alias("x")).select("text", F.col("x.cores").alias("core"), F.col("x.settled").alias("settled"))
+    doubtful = kinds.where("not settled").select("core").distinct()
+    asked = kinds.join(doubtful, "core", "left_semi").groupBy("text").agg(F.collect_list("core").alias("wanted"))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Strings STEP - 1 shorter at aligned places: a window cannot be repeated if the one in it is not."""
+        for batch in batches:
+            for key, raw, known, some in zip(*(batch.column(c).to_pylist() for c in ("text", "raw", "lengths", "wanted"))):
+                w = view(raw, known)
+                found, q = w.keys()
+                q = q[np.isin(found, np.array(some, "int64"))]
+                place, at = np.unique(w.aligned(q), return_inverse=True)
+                high, low = w.digests(place, length - STEP + 1)
+                yield batch_of(high=high, low=low, settled=(np.bincount(at, w.open[q], len(place)) == 0).astype("int64"), text=np.full(len(place), key, "int64"), place=place.astype("int64"))
 
-    kinds = held.mapInArrow(cores, "core long, settled long, text long").groupBy("core", "text").agg(F.min("settled").alias("settled"))
-    doubtful = kinds.where("settled = 0").select("core").distinct()
-    asked = kinds.join(doubtful, "core", "left_semi").groupBy("text").agg(F.collect_list("core").alias("cores"))
+    short = held.select("text", "raw", "lengths").join(asked, "text").mapInArrow(near, "high long, low long, settled long, text long, place long")
+    alive = short.repartition("high").sortWithinPartitions("high", "low", "settled", "text", "place").mapInArrow(contested, "text long, place long")
+    alive = written(alive.groupBy("text").agg(F.collect_list("place").alias("wanted")))
+    release(docs.sparkSession)
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole windows at places that are left; settled ones only stand in as partners, once for each batch."""
         for batch in batches:
-            for key, raw, known, some in zip(*(batch.column(c).to_pylist() for c in ("text", "raw", "lengths", "cores"))):
-                found, q = view(raw, known).keys()
-                q = q[np.isin(found, np.array(some, "int64"))]
-                if len(q):
-                    digests = b"".join([xxhash.xxh3_128_digest(raw[a : a + length]) for a in q.tolist()])
-                    both = np.frombuffer(digests, "<i8").reshape(-1, 2)
-                    yield batch_of(high=both[:, 0].copy(), low=both[:, 1].copy(), text=np.full(len(q), key, "int64"), place=q.astype("int32"))
-
-    compared = held.join(asked, "text").mapInArrow(strings, "high long, low long, text long, place int")
-    same = compared.repartition("high").sortWithinPartitions("high", "low", "text", "place").mapInArrow(lambda b: repeats(b, 2), "high long, low long, text long, place int")
-    places = same.groupBy("text").agg(F.collect_list("place").alias("places"))
+            partners = []
+            for key, raw, known, some in zip(*(batch.column(c).to_pylist() for c in ("text", "raw", "lengths", "wanted"))):
+                w = view(raw, known)
+                q = np.flatnonzero(w.maybe)
+                q = q[np.isin(w.aligned(q), np.array(some, "int64"))]
+                high, low = w.digests(q, length)
+                unsure = w.open[q]
+                yield batch_of(high=high[unsure], low=low[unsure], text=np.full(int(unsure.sum()), key, "int64"), place=q[unsure])
+                partners.append(np.stack((high[~unsure], low[~unsure]), 1))
+            if partners:
+                both = np.unique(np.concatenate(partners), axis=0)
+                none = np.full(len(both), -1, "int64")
+                yield batch_of(high=both[:, 0].copy(), low=both[:, 1].copy(), text=none, place=none)
+
+    compared = held.select("text", "raw", "lengths").join(alive, "text").mapInArrow(strings, "high long, low long, text long, place long")
+    same = compared.repartition("high").sortWithinPartitions("high", "low", "text", "place").mapInArrow(lambda b: repeats(b, 2), "high long, low long, text long, place long")
+    places = same.where("place >= 0").groupBy("text").agg(F.collect_list("place").alias("places"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -398,7 +469,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["text", "removed", "spans", "rest"])
 
-    cuts = held.join(places, "text", "left").mapInArrow(cut, "text long, removed long, spans long, rest string").dropDuplicates(["text"])
+    cuts = held.select("text", "raw", "lengths").join(places, "text", "left").mapInArrow(cut, "text long, removed long, spans long, rest string").dropDuplicates(["text"])
     out = base.join(groups.select("text", "copies"), "text").join(cuts, "text", "left")
     whole = (F.col("copies") > 1) & (F.col("n") >= length)
     return out.select(
