@@ -21,7 +21,7 @@ def rake(cells: DataFrame, dims: list[str], targets: Mapping[str, DataFrame], ro
     ``targets[d]`` has the columns ``d, share``; shares are rescaled to the
     values that occur. Each step is one window sum over a table with a row for
     each cell. It stops when no marginal is off by more than ``tolerance`` of
-    the total, or after ``rounds``. Cells of weight 0 stay 0.
+    the total (looked at after every third round), or after ``rounds``. Cells of weight 0 stay 0.
     """
     state = cells.withColumn("fitted", F.col("weight").cast("double"))
     for d in dims:
@@ -32,9 +32,9 @@ def rake(cells: DataFrame, dims: list[str], targets: Mapping[str, DataFrame], ro
         state = state.withColumn(f"want_{d}", F.sum("share").over(Window.partitionBy(d)) / F.sum("share").over(Window.partitionBy())).drop("share")
     total = F.sum("fitted").over(Window.partitionBy())
     state = written(state)
-    for _ in range(rounds):
+    for done in range(0, rounds, 3):
         step = state
-        for d in dims:
+        for d in dims * min(3, rounds - done):  # a few rounds for each table that is written
             own = F.sum("fitted").over(Window.partitionBy(d))
             step = step.withColumn("fitted", F.when(own > 0, F.col("fitted") * F.col(f"want_{d}") / own).otherwise(0.0))
         nxt = written(step)
@@ -51,7 +51,7 @@ def flat_targets(cells: DataFrame, dim: str, power: float = 0.5) -> DataFrame:
     return cells.groupBy(dim).agg(F.pow(F.sum("weight"), F.lit(power)).alias("share"))
 
 
-def mix(docs: DataFrame, dims: Mapping[str, Column], tokens: Column, targets: Mapping[str, DataFrame] | None = None, keep: float = 0.5, id_col: str = "doc_id", seed: int = 1) -> DataFrame:
+def mix(docs: DataFrame, dims: Mapping[str, Column], tokens: Column, targets: Mapping[str, DataFrame] | None = None, keep: float = 0.5, tolerance: float = 1e-4, id_col: str = "doc_id", seed: int = 1) -> DataFrame:
     """The sampled rows of ``docs`` with ``mix_<dim>``, ``mix_tokens`` and ``mix_probability``.
 
     A cell's probability is proportional to fitted/actual weight and at most 1;
@@ -66,7 +66,7 @@ def mix(docs: DataFrame, dims: Mapping[str, Column], tokens: Column, targets: Ma
     cells = written(tagged.groupBy(*names).agg(F.sum("mix_tokens").alias("weight")))
     wanted = {n: (targets or {}).get(n[4:], None) for n in names}
     wanted = {n: t.withColumnRenamed(n[4:], n) if t is not None else flat_targets(cells, n) for n, t in wanted.items()}
-    fitted = rake(cells, names, wanted)
+    fitted = rake(cells, names, wanted, tolerance=tolerance)
     # water-filling on the cells: scale = (budget - weight of full cells) / fitted of the others, by falling need
     need = F.when(F.col("weight") > 0, F.col("fitted") / F.col("weight")).otherwise(0.0)
     falling = Window.partitionBy().orderBy(F.col("need").desc(), *names)

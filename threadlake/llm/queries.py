@@ -97,7 +97,7 @@ def topic() -> F.Column:
 def mixed(docs: DataFrame) -> DataFrame:
     """Half the tokens, raked to the square roots of each source's, language's and topic's share."""
     tokens = F.floor((F.octet_length(F.coalesce(F.col("text"), F.lit(""))) + 3) / 4) + 1
-    return mix(docs, {"source": F.col("source"), "lang": F.col("lang"), "topic": topic()}, tokens, keep=0.5)
+    return mix(docs, {"source": F.col("source"), "lang": F.col("lang"), "topic": topic()}, tokens, keep=0.5, tolerance=0.0)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,4 +155,28 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM l GROUP BY conv_id
 """
 
-SQL = {"op1_url_filter": url_sql(), "op2_exact_dedup": DEDUP_SQL, "op8_chat_format": CHAT_SQL}
+
+
+def mixing_sql(rounds: int = 12) -> str:
+    dims = ("source", "lang", "topic")
+    want = ", ".join(f"(SELECT sqrt(sum(i.weight)) FROM cells i WHERE i.{d} IS NOT DISTINCT FROM c.{d}) / (SELECT sum(x) FROM (SELECT sqrt(sum(weight)) AS x FROM cells GROUP BY {d})) AS want_{d}" for d in dims)
+    steps, last = [], "s0"
+    for n in range(rounds * len(dims)):
+        d = dims[n % len(dims)]
+        steps.append(f"s{n + 1} AS MATERIALIZED (SELECT * REPLACE (fitted * want_{d} / sum(fitted) OVER (PARTITION BY {d}) AS fitted) FROM {last})")
+        last = f"s{n + 1}"
+    return f"""
+WITH d AS (SELECT doc_id, source, lang, CASE WHEN regexp_matches(t, '[0-9]{{4}}') THEN 'figures' WHEN length(t) < 160 * (length(t) - length(replace(t, chr(10), '')) + 1) THEN 'lines' ELSE 'prose' END AS topic,
+  (strlen(t) + 3) // 4 + 1 AS tokens FROM (SELECT *, coalesce(text, '') AS t FROM documents)),
+cells AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::DOUBLE AS weight FROM d GROUP BY ALL),
+s0 AS MATERIALIZED (SELECT c.*, weight AS fitted, {want} FROM cells c), {", ".join(steps)},
+r AS (SELECT *, fitted / weight AS need, coalesce(sum(weight) OVER (ORDER BY fitted / weight DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below,
+  sum(fitted) OVER (ORDER BY fitted / weight DESC, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, sum(weight) OVER () AS total FROM {last}),
+k AS (SELECT max(scale) AS scale FROM (SELECT (total * 0.5::DOUBLE - below) / rest AS scale, need FROM r) WHERE scale * need <= 1),
+p AS (SELECT source, lang, topic, least(1.0::DOUBLE, coalesce(scale, 1.0::DOUBLE) * need) AS probability FROM r, k)
+SELECT doc_id, d.source, d.lang, d.topic, tokens, round(probability, 6) AS probability FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source AND d.lang IS NOT DISTINCT FROM p.lang AND d.topic = p.topic
+WHERE ('0x' || substr(md5('1|' || coalesce(doc_id::VARCHAR, '')), 1, 8))::UBIGINT / 4294967296.0::DOUBLE < probability
+"""
+
+
+SQL = {"op1_url_filter": url_sql(), "op10_mixing": mixing_sql(), "op2_exact_dedup": DEDUP_SQL, "op8_chat_format": CHAT_SQL}
