@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlake.functions.text import terms
+from threadlake.sources.shared import shared_dir
 
 K1, B = 1.2, 0.75  # of BM25
 TOP_N, TOP_K, RRF_K = 30, 8, 60.0
@@ -121,6 +122,8 @@ def date_scoped(fused: DataFrame, chunks: DataFrame, ranges: DataFrame, top_k: i
     Where nothing is left the hits stay unscoped. Returns ``qid, chunk_id,
     score, provenance, position`` of the first ``top_k``.
     """
+    shared_dir(fused.sparkSession)
+    fused = fused.checkpoint()  # a few rows for each question, read three times below
     dated = chunks.select("chunk_id", "date_unix")
     hits = fused.join(ranges, "qid", "left").join(dated, "chunk_id")
     inside = F.col("lo").isNull() | F.col("date_unix").between(F.col("lo"), F.col("hi"))
