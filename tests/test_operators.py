@@ -24,7 +24,7 @@ def day(y, m, d):
 @pytest.mark.parametrize(("question", "first", "last"), [
     ("mail of 2026-03-05", (2026, 3, 5), (2026, 3, 5)), ("am 05.03.2026", (2026, 3, 5), (2026, 3, 5)), ("25/12/2025 party", (2025, 12, 25), (2025, 12, 25)),
     ("today", (2026, 5, 28), (2026, 5, 28)), ("was war gestern", (2026, 5, 27), (2026, 5, 27)), ("on monday", (2026, 5, 25), (2026, 5, 25)), ("thursday", (2026, 5, 21), (2026, 5, 21)),
-    ("past 2 weeks", (2026, 5, 14), (2026, 5, 28)), ("letzte 3 Monate", (2026, 2, 28), (2026, 5, 28)), ("march", (2026, 3, 1), (2026, 3, 31)), ("december", (2025, 12, 1), (2025, 12, 31)),
+    ("past two weeks", (2026, 5, 14), (2026, 5, 28)), ("past 2 weeks", (2026, 5, 14), (2026, 5, 28)), ("letzte 3 Monate", (2026, 2, 28), (2026, 5, 28)), ("march", (2026, 3, 1), (2026, 3, 31)), ("december", (2025, 12, 1), (2025, 12, 31)),
     ("first week of april", (2026, 4, 1), (2026, 4, 7)), ("last week of april", (2026, 4, 24), (2026, 4, 30)), ("in 2024", (2024, 1, 1), (2024, 12, 31)),
     ("since march", (2026, 3, 1), (2026, 5, 28)), ("june 3rd 2025", (2025, 6, 3), (2025, 6, 3)), ("between january and march 2025", (2025, 1, 1), (2025, 3, 31)), ("2026-02-31", (2026, 3, 3), (2026, 3, 3)),
 ])

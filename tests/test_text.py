@@ -24,8 +24,8 @@ def test_html_hard_shapes_are_fast(spark):
 
 
 def test_entities_are_decoded_once(spark):
-    got = one(spark, X.decode_entities, "&amp;lt; &lt;b&gt; &copy; &#65;&#x1F600; &#0; &#xD800; & &;&euro")
-    assert got == "&lt; <b> &copy; A😀 &#0; &#xD800; & &;&euro"
+    got = one(spark, X.decode_entities, "&amp;lt; &lt;b&gt; &copy; &#65;&#x1F600; &#x110000; &#xD800; & &;&euro")
+    assert got == "&lt; <b> &copy; A😀 &#x110000; &#xD800; & &;&euro"
 
 
 def test_truncation_ends_between_characters(spark):
@@ -53,7 +53,7 @@ def test_forwarded_sender(spark):
 
 
 def test_links_and_stamps(spark):
-    assert [one(spark, X.link_action, u) for u in ("HTTPS://a", "mailto:x", "javascript:1", "plain")] == ["open", "confirm", "block", "block"]
+    assert [one(spark, X.link_action, u) for u in ("Message://a", "HTTPS://x", "mailto:1", "plain")] == ["open", "confirm", "block", "block"]
     assert tuple(one(spark, X.stamp, "a@b@384")) == ("a@b", 384)
     assert one(spark, X.stamp, "nothing") is None
 
@@ -64,3 +64,8 @@ def test_quoted_printable(spark):
 
 def test_message_url(spark):
     assert one(spark, X.message_url, "a b@c/d") == "message://%3Ca%20b@c%2Fd%3E"
+
+
+def test_html_long_bodies(spark):
+    body = "<script>" + "x = '<b>' + 1;\n" * 100_000 + "</script><!--" + "c-\n" * 50_000 + "--><p>end</p>"
+    assert one(spark, X.html_to_text, body) == "end"

@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 # The paragraph patterns that count as boilerplate (English and German).
 BOILERPLATE = [
-    r"\bunsubscribe\b", r"\bopt[ -]?out\b", r"\bview (this email )?in (your )?browser\b", r"\bmanage (your )?preferences\b",
-    r"\babmelden\b", r"\babbestellen\b", r"\bim browser (ansehen|anzeigen|öffnen)\b", r"\bdatenschutz(erklärung)?\b", r"\ball rights reserved\b",
+    "unsubscribe", "abmelden", "abbestellen", "sie erhalten diese e-?mail", "you (are receiving|received) this",
+    "view (this email )?in (your )?browser", "im browser (ansehen|anzeigen|öffnen)", "manage (your )?(email )?preferences", "update your preferences",
 ]
 # Named entities and what they stand for.
 ENTITIES = {
-    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "ndash": "–", "mdash": "—", "hellip": "…",
-    "auml": "ä", "ouml": "ö", "uuml": "ü", "szlig": "ß", "euro": "€", "amp": "&",
+    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "auml": "ä", "ouml": "ö", "uuml": "ü",
+    "Auml": "Ä", "Ouml": "Ö", "Uuml": "Ü", "szlig": "ß", "euro": "€",
 }
+# Schemes that open at once, and those that ask first.
+OPENED, CONFIRMED = ["message"], ["https", "http"]
 MAX_HTML_BYTES = 2_000_000
 
 
@@ -48,15 +50,15 @@ def decode_entities(text: Column) -> Column:
 
     def decode(piece: Column) -> Column:
         name = F.regexp_extract(piece, "^&([a-zA-Z]{1,11});", 1)
-        decimal = F.regexp_extract(piece, "^&#([0-9]{1,7});", 1)
-        hexadecimal = F.regexp_extract(piece, "^&#[xX]([0-9a-fA-F]{1,6});", 1)
+        decimal = F.regexp_extract(piece, "^&#([0-9]{1,10});", 1)
+        hexadecimal = F.regexp_extract(piece, "^&#[xX]([0-9a-fA-F]{1,9});", 1)
         table = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
         named = F.element_at(table, name)
-        code = F.when(decimal != "", F.try_to_number(decimal, F.lit("9999999")).cast("int")).when(hexadecimal != "", F.conv(hexadecimal, 16, 10).cast("int"))
-        valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        code = F.when(decimal != "", decimal.cast("long")).when(hexadecimal != "", F.conv(hexadecimal, 16, 10).cast("long"))
+        valid = (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
         low = F.chr(code % 256)
         utf16 = lambda c: F.decode(F.unhex(F.lpad(F.hex(c), 4, "0")), "UTF-16BE")
-        high = F.decode(F.unhex(F.concat(F.lpad(F.hex(F.lit(0xD800) + F.shiftright(code - 0x10000, 10)), 4, "0"), F.lpad(F.hex(F.lit(0xDC00) + (code - 0x10000) % 1024), 4, "0"))), "UTF-16BE")
+        high = F.decode(F.unhex(F.concat(F.lpad(F.hex(F.lit(0xD800) + F.shiftright((code - 0x10000).cast("int"), 10)), 4, "0"), F.lpad(F.hex(F.lit(0xDC00) + (code - 0x10000) % 1024), 4, "0"))), "UTF-16BE")
         number = F.when(code < 128, low).when(code < 0x10000, utf16(code)).otherwise(high)
         rest = F.substr(piece, F.instr(piece, ";") + 1)
         return F.when(named.isNotNull(), F.concat(named, rest)).when(valid, F.concat(number, rest)).otherwise(piece)
@@ -69,9 +71,9 @@ def html_to_text(html: Column) -> Column:
     x = truncated_utf8(html)
     for tag in ("script", "style", "head", "title"):
         # the guard at each step keeps an unclosed opener from being scanned again and again
-        x = F.regexp_replace(x, rf"(?is)<{tag}\b[^<>]*>(?:(?!<{tag}\b).)*?</{tag}\s*>", " ")
-    x = F.regexp_replace(x, r"(?s)<!--(?:(?!<!--).)*?-->", " ")
-    x = F.regexp_replace(x, r"(?i)</(?:p|div|tr|table|ul|ol|li|h[1-6]|blockquote|section|article)\s*>|<(?:br|hr)\b[^<>]*>", "\n\n")
+        x = F.regexp_replace(x, rf"(?is)<{tag}\b[^<>]*>(?:(?!</?{tag}\b).)*+</{tag}>", " ")
+    x = F.regexp_replace(x, r"(?s)<!--(?:(?!<!--|-->).)*+-->", " ")
+    x = F.regexp_replace(x, r"(?i)</(?:p|div|tr|table|ul|ol|li|h[1-6]|blockquote)>|<(?:br|hr)\s*/?>", "\n\n")
     x = decode_entities(F.regexp_replace(x, r"<[^<>]+>", ""))
     x = F.regexp_replace(x, r"[ \t]+", " ")
     x = F.regexp_replace(F.regexp_replace(x, r" ?\n ?", "\n"), r"\n{3,}", "\n\n")
@@ -127,9 +129,9 @@ def references(raw: Column) -> Column:
 
 
 def link_action(url: Column) -> Column:
-    """open for web links, confirm for mail and telephone, else block."""
+    """open, confirm or block, by the scheme."""
     scheme = F.lower(F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*):", 1))
-    return F.when(scheme.isin("http", "https"), "open").when(scheme.isin("mailto", "tel", "message"), "confirm").otherwise("block")
+    return F.when(scheme.isin(OPENED), "open").when(scheme.isin(CONFIRMED), "confirm").otherwise("block")
 
 
 def capped(text: Column, most: int = 200) -> Column:
@@ -189,7 +191,13 @@ def epoch(ts: Column) -> Column:
     return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts.cast("timestamp_ntz")).cast("long")
 
 
+# Signs that a message link keeps as they are.
+LINK_SIGNS = "-._~@+!$&'()*,;="
+
+
 def message_url(message_id: Column) -> Column:
     """``message:`` link with the id in percent-encoded brackets."""
-    kept = F.replace(F.replace(F.url_encode(message_id), F.lit("+"), F.lit("%20")), F.lit("%40"), F.lit("@"))
-    return F.concat(F.lit("message://%3C"), kept, F.lit("%3E"))
+    out = F.replace(F.url_encode(message_id), F.lit("+"), F.lit("%20"))
+    for sign in LINK_SIGNS:
+        out = F.replace(out, F.lit(f"%{ord(sign):02X}"), F.lit(sign))
+    return F.concat(F.lit("message://%3C"), out, F.lit("%3E"))

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from threadlake.functions.text import excluded, sender_address, strip_boilerplate
 
 # Local parts of senders that take no replies, and weak signs of a bulk sender.
-NO_REPLY = ["no-reply", "noreply", "do-not-reply", "donotreply", "no_reply"]
-WEAK_SENDERS = ["news", "info", "marketing", "mailing", "updates", "notifications", "hello", "team"]
+NO_REPLY = ["noreply", "no-reply"]
+WEAK_SENDERS = ["newsletter", "notifications", "digest", "updates", "bounce"]
 BULK = ["bulk", "list", "junk"]
 
 
@@ -26,16 +26,19 @@ def verdict(sender: Column, body: Column, has_prior: Column, auto_submitted: Col
     """``(verdict, reason)``; ambiguous where only one weak sign is there (a generator may decide)."""
     local = F.split(sender_address(sender), "@")[0]
     auto = auto_submitted.isNotNull() & (F.lower(F.trim(auto_submitted)) != "no")
-    strong = list_unsubscribe.isNotNull() | list_id.isNotNull() | F.coalesce(F.lower(F.trim(precedence)).isin(BULK), F.lit(False))
+    filled = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
+    level = F.lower(F.trim(precedence))
+    bulk = F.coalesce(level.isin(BULK), F.lit(False))
     weak = starts_with_any(local, WEAK_SENDERS)
     shrinks = F.coalesce(F.length(strip_boilerplate(body)) < F.length(body), F.lit(False))
     chain = [
         (auto, "auto_generated", "auto_submitted"), (starts_with_any(local, NO_REPLY), "newsletter", "no_reply_sender"),
         (F.coalesce(F.contains(sender_address(sender), F.lit("newsletter")), F.lit(False)), "newsletter", "newsletter_address"),
-        (excluded(sender, exclusions), "newsletter", "excluded"), (has_prior, "personal", "prior_reply"), (strong, "newsletter", "list_header"),
-        (weak & shrinks, "newsletter", "weak_signs"), (weak | shrinks, "ambiguous", "one_weak_sign"),
+        (excluded(sender, exclusions), "newsletter", "excluded"), (has_prior, "personal", "prior Sent correspondence with this address"),
+        (filled(list_unsubscribe), "newsletter", "List-Unsubscribe present"), (filled(list_id), "newsletter", "List-Id present"), (bulk, "newsletter", F.concat(F.lit("Precedence: "), level)),
+        (weak & shrinks, "newsletter", "sender local-part pattern + unsubscribe-language boilerplate"), (weak | shrinks, "ambiguous", "one weak sign"),
     ]
-    what, why = F.lit("personal"), F.lit("none")
+    what, why = F.lit("personal"), F.lit("no newsletter signals detected")
     for test, v, r in reversed(chain):
-        what, why = F.when(test, F.lit(v)).otherwise(what), F.when(test, F.lit(r)).otherwise(why)
+        what, why = F.when(test, F.lit(v)).otherwise(what), F.when(test, r if isinstance(r, Column) else F.lit(r)).otherwise(why)
     return what, why

@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlake.functions.text import date_text, message_url, token_estimate
+from threadlake.operators.threads import last_messages
 
-NO_MATCH = "No matching messages were found."
-BEGIN, END = "--- BEGIN MESSAGE ---", "--- END MESSAGE ---"
+# The texts around chunks, turns and questions.
+NO_MATCH = "No matching emails found. Try different terms or a wider date range."
+SESSION, CONTEXT, QUESTION, THREAD = "Earlier in this conversation:", "CONTEXT:", "QUESTION:", "THREAD (oldest first):"
 SUPERSCRIPTS = str.maketrans("0123456789", "⁰¹²³⁴⁵⁶⁷⁸⁹")
 
 
@@ -22,9 +24,10 @@ def attributed(sender: Column, original: Column) -> Column:
 def unit_text(number: Column) -> Column:
     """A chunk with its heading line, for the context block."""
     forwarded = F.when(F.col("original_sender").isNotNull(), F.concat(F.lit(" (forwarded by "), F.col("sender"), F.lit(")"))).otherwise("")
+    n = number.cast("string")
     return F.concat(
-        F.lit("["), number.cast("string"), F.lit("] From: "), attributed(F.col("sender"), F.col("original_sender")), forwarded, F.lit(" | Date: "), date_text(F.col("date_unix")),
-        F.lit(" | Subject: "), F.col("subject"), F.lit("\n" + BEGIN + "\n"), F.col("text"), F.lit("\n" + END))
+        F.lit("--- ["), n, F.lit("] from: "), attributed(F.col("sender"), F.col("original_sender")), forwarded, F.lit(" | date: "), date_text(F.col("date_unix")), F.lit(" | source: "), F.col("source"),
+        F.lit(" ---\nBEGIN EMAIL ["), n, F.lit("]\n"), F.col("text"), F.lit("\nEND EMAIL ["), n, F.lit("]"))
 
 
 def budget_trim(ranked: DataFrame, limit: int) -> DataFrame:
@@ -59,7 +62,8 @@ def session_block(turns: DataFrame, last: int = 3) -> DataFrame:
     order = Window.partitionBy("sid").orderBy(F.col("turn").desc())
     kept = turns.withColumn("back", F.row_number().over(order)).where(F.col("back") <= last)
     shown = F.concat(F.lit("Q: "), F.col("question"), F.lit("\nA: "), F.col("answer"))
-    return kept.groupBy("sid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", shown.alias("shown")))), lambda r: r.shown), "\n\n").alias("session"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", shown.alias("shown")))), lambda r: r.shown), "\n")
+    return kept.groupBy("sid").agg(F.concat(F.lit(SESSION + "\n"), lines).alias("session"))
 
 
 def assemble(questions: DataFrame, contexts: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
@@ -68,11 +72,28 @@ def assemble(questions: DataFrame, contexts: DataFrame, sessions: DataFrame | No
     head = F.lit("")
     if sessions is not None:
         rows = rows.join(sessions.withColumnRenamed("sid", "qid"), "qid", "left")
-        head = F.coalesce(F.concat(F.lit("EARLIER TURNS\n\n"), F.col("session"), F.lit("\n\n")), F.lit(""))
-    full = F.concat(head, F.lit("CONTEXT\n\n"), F.col("context"), F.lit("\n\nQUESTION\n\n"), F.col("question"))
+        head = F.coalesce(F.concat(F.col("session"), F.lit("\n\n")), F.lit(""))
+    full = F.concat(head, F.lit(CONTEXT + "\n"), F.col("context"), F.lit("\n\n" + QUESTION + "\n"), F.col("question"))
     return rows.select("qid", F.coalesce(full, F.lit(NO_MATCH)).alias("prompt"), F.col("context").isNotNull().alias("matched"))
 
 
+def draft(messages: DataFrame, account: str = "", most: int = 20) -> DataFrame:
+    """``thread_id, prompt``: the last messages of each thread, then what to reply to."""
+    shown = F.concat(F.lit("--- "), F.col("sender"), F.lit(" | "), date_text(F.col("date_unix")), F.lit(" ---\n"), F.col("text"))
+    rows = last_messages(messages, most).groupBy("thread_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", shown.alias("shown")))), lambda r: r.shown), "\n\n").alias("block"),
+        F.max_by(F.struct("sender", date_text(F.col("date_unix")).alias("day")), "position").alias("last"))
+    sender, day = F.col("last.sender"), F.col("last.day")
+    # The instruction with and without the account's own address.
+    if account:
+        ask = F.concat(
+            F.lit(f"You are drafting this reply as {account} \u2014 the person who RECEIVED the message below, not its sender, regardless of any name or greeting used inside the message body. Draft a reply to the most recent message above, sent by "),
+            sender, F.lit(" on "), day, F.lit(". Address the reply to "), sender, F.lit(f"; never address it to {account}."))
+    else:
+        ask = F.concat(F.lit("Draft a reply to the most recent message above, from "), sender, F.lit(", dated "), day, F.lit("."))
+    return rows.select("thread_id", F.concat(F.lit(THREAD + "\n"), F.col("block"), F.lit("\n\n"), ask).alias("prompt"))
+
+
 def relevance_percent(scored: DataFrame) -> DataFrame:
     top = F.max("score").over(Window.partitionBy("qid"))
     return scored.withColumn("percent", F.when(F.col("score").isNotNull() & (top > 0), F.floor(F.col("score") / top * 100 + 0.5).cast("long")))
@@ -111,4 +132,4 @@ def cited(answers: DataFrame) -> DataFrame:
     return rows.select("qid", "n", F.row_number().over(Window.partitionBy("qid").orderBy("first")).alias("new_n"))
 
 
-__all__ = ["assemble", "attributed", "best_chunks", "budget_trim", "citation_numbers", "cited", "context_block", "message_url", "relevance_percent", "rendered", "session_block", "source_line", "unit_text"]
+__all__ = ["assemble", "attributed", "best_chunks", "budget_trim", "citation_numbers", "cited", "context_block", "draft", "message_url", "relevance_percent", "rendered", "session_block", "source_line", "unit_text"]

@@ -46,7 +46,7 @@ def fused(t: Tables) -> DataFrame:
 def top_chunks(t: Tables, k: int = 8) -> DataFrame:
     """Hits with their message; two chunks make a message, so that messages repeat."""
     hits = S.above_floor(fused(t)).where(F.col("rank") <= k)
-    m = t.messages.select(F.col("pk").alias("chunk_id"), F.concat(F.lit("msg-"), F.floor(F.col("pk") / 2)).alias("message_id"), "subject", "sender", "original_sender", "date_unix", F.substring("body_text", 1, 400).alias("text"))
+    m = t.messages.select(F.col("pk").alias("chunk_id"), F.concat(F.lit("msg-"), F.floor(F.col("pk") / 2)).alias("message_id"), "subject", "sender", "original_sender", "date_unix", F.substring("body_text", 1, 400).alias("text"), F.lit("body").alias("source"))
     return F.broadcast(hits).join(m, "chunk_id")
 
 
@@ -55,8 +55,8 @@ DAY = "strftime(make_timestamp(date_unix * 1000000), '%Y-%m-%d')"
 
 
 def shown(number: str) -> str:
-    return f"""'[' || {number} || '] From: ' || coalesce(original_sender, sender) || CASE WHEN original_sender IS NULL THEN '' ELSE ' (forwarded by ' || sender || ')' END || ' | Date: ' || {DAY} || ' | Subject: ' || subject
- || chr(10) || '{P.BEGIN}' || chr(10) || text || chr(10) || '{P.END}'"""
+    return f"""'--- [' || {number} || '] from: ' || coalesce(original_sender, sender) || CASE WHEN original_sender IS NULL THEN '' ELSE ' (forwarded by ' || sender || ')' END || ' | date: ' || {DAY} || ' | source: body ---'
+ || chr(10) || 'BEGIN EMAIL [' || {number} || ']' || chr(10) || text || chr(10) || 'END EMAIL [' || {number} || ']'"""
 
 
 NUMBERED = f"(SELECT *, dense_rank() OVER (PARTITION BY qid ORDER BY first) AS number FROM (SELECT *, min(rank) OVER (PARTITION BY qid, message_id) AS first FROM kept))"
@@ -171,7 +171,7 @@ def context_block(t: Tables) -> DataFrame:
     return contexts(t)
 
 
-SESSION = f"""(SELECT conv_id AS sid, string_agg('Q: ' || q || chr(10) || 'A: ' || a, chr(10) || chr(10) ORDER BY turn) AS session FROM (SELECT u.conv_id, u.turn, u.text AS q, a.text AS a, row_number() OVER (PARTITION BY u.conv_id ORDER BY u.turn DESC) AS back
+SESSION = f"""(SELECT conv_id AS sid, 'Earlier in this conversation:' || chr(10) || string_agg('Q: ' || q || chr(10) || 'A: ' || a, chr(10) ORDER BY turn) AS session FROM (SELECT u.conv_id, u.turn, u.text AS q, a.text AS a, row_number() OVER (PARTITION BY u.conv_id ORDER BY u.turn DESC) AS back
  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user') WHERE back <= 3 GROUP BY conv_id)"""
 
 
@@ -187,20 +187,16 @@ def session_block(t: Tables) -> DataFrame:
     return sessions(t)
 
 
-@query(CONTEXT + f", s AS {SESSION} SELECT q.qid, coalesce(coalesce('EARLIER TURNS' || chr(10) || chr(10) || session || chr(10) || chr(10), '') || 'CONTEXT' || chr(10) || chr(10) || context || chr(10) || chr(10) || 'QUESTION' || chr(10) || chr(10) || question, '{P.NO_MATCH}') AS prompt, context IS NOT NULL AS matched FROM {QUESTIONS} q LEFT JOIN blocks USING (qid) LEFT JOIN s ON sid = q.qid")
+@query(CONTEXT + f", s AS {SESSION} SELECT q.qid, coalesce(coalesce(session || chr(10) || chr(10), '') || 'CONTEXT:' || chr(10) || context || chr(10) || chr(10) || 'QUESTION:' || chr(10) || question, '{P.NO_MATCH}') AS prompt, context IS NOT NULL AS matched FROM {QUESTIONS} q LEFT JOIN blocks USING (qid) LEFT JOIN s ON sid = q.qid")
 def assemble_prompt(t: Tables) -> DataFrame:
     return P.assemble(t.questions.select("qid", "question"), contexts(t), sessions(t))
 
 
-@query(f"""SELECT thread_id, string_agg(sender || ' (' || {DAY} || '):' || chr(10) || text, chr(10) || chr(10) ORDER BY date_unix, pk) || chr(10) || chr(10) || 'Write a reply as ' || thread_id || '@own.example.' AS prompt
+@query(f"""SELECT thread_id, 'THREAD (oldest first):' || chr(10) || string_agg('--- ' || sender || ' | ' || {DAY} || ' ---' || chr(10) || text, chr(10) || chr(10) ORDER BY date_unix, pk) || chr(10) || chr(10)
+ || 'Draft a reply to the most recent message above, from ' || arg_max(sender, (date_unix, pk)) || ', dated ' || arg_max({DAY}, (date_unix, pk)) || '.' AS prompt
  FROM (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY date_unix DESC, pk DESC) AS r FROM {THREADS}) WHERE r <= 20 GROUP BY thread_id""")
 def assemble_draft(t: Tables) -> DataFrame:
-    from threadlake.functions.text import date_text
-    from threadlake.operators.threads import last_messages
-
-    shown = F.concat(F.col("sender"), F.lit(" ("), date_text(F.col("date_unix")), F.lit("):\n"), F.col("text"))
-    rows = last_messages(t.threads, 20).groupBy("thread_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", shown.alias("shown")))), lambda r: r.shown), "\n\n").alias("block"))
-    return rows.select("thread_id", F.concat(F.col("block"), F.lit("\n\nWrite a reply as "), F.col("thread_id"), F.lit("@own.example.")).alias("prompt"))
+    return P.draft(t.threads)
 
 
 @query(WITH + "SELECT qid, chunk_id, floor(score / max(score) OVER (PARTITION BY qid) * 100 + 0.5)::BIGINT AS percent FROM fused WHERE rank <= 8")

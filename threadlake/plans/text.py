@@ -38,19 +38,16 @@ def chunk_documents(t: Tables) -> DataFrame:
 
 
 @query(r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') AS text FROM (
- SELECT page_id, replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^<>]*>.*?</script\s*>', ' ', 'g'),
-  '(?is)<style\b[^<>]*>.*?</style\s*>', ' ', 'g'), '(?is)<head\b[^<>]*>.*?</head\s*>', ' ', 'g'), '(?is)<title\b[^<>]*>.*?</title\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'),
-  '(?i)</(?:p|div|tr|table|ul|ol|li|h[1-6]|blockquote|section|article)\s*>|<(?:br|hr)\b[^<>]*>', chr(10) || chr(10), 'g'), '<[^<>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS x FROM pages)""")
+ SELECT page_id, replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^<>]*>.*?</script>', ' ', 'g'),
+  '(?is)<style\b[^<>]*>.*?</style>', ' ', 'g'), '(?is)<head\b[^<>]*>.*?</head>', ' ', 'g'), '(?is)<title\b[^<>]*>.*?</title>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'),
+  '(?i)</(?:p|div|tr|table|ul|ol|li|h[1-6]|blockquote)>|<(?:br|hr)\s*/?>', chr(10) || chr(10), 'g'), '<[^<>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS x FROM pages)""")
 def html_to_text(t: Tables) -> DataFrame:
     return t.pages.select("page_id", X.html_to_text(F.col("html")).alias("text"))
 
 
-ENTITY_TEXT = "'a&amp;lt;' || l_linenumber || '&lt;b&gt; &quot;q&quot; &copy; &#65;&#x42; &auml;&euro; &bad &#0; ' || l_orderkey"
-
-
-@query("SELECT l_orderkey AS k, l_linenumber AS n, 'a&lt;' || l_linenumber || '<b> \"q\" &copy; AB ä€ &bad &#0; ' || l_orderkey AS text FROM lineitem")
+@query("SELECT l_orderkey AS k, l_linenumber AS n, 'a&lt;' || l_linenumber || '<b> \"q\" &copy; AB ä€ &bad &#99999999; ' || l_orderkey AS text FROM lineitem")
 def decode_entities(t: Tables) -> DataFrame:
-    text = F.concat(F.lit("a&amp;lt;"), F.col("l_linenumber"), F.lit("&lt;b&gt; &quot;q&quot; &copy; &#65;&#x42; &auml;&euro; &bad &#0; "), F.col("l_orderkey"))
+    text = F.concat(F.lit("a&amp;lt;"), F.col("l_linenumber"), F.lit("&lt;b&gt; &quot;q&quot; &copy; &#65;&#x42; &auml;&euro; &bad &#99999999; "), F.col("l_orderkey"))
     return t.lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), X.decode_entities(text).alias("text"))
 
 
@@ -84,10 +81,10 @@ def normalize_msgid(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", X.normalize_msgid(raw).alias("message_id"), F.array_join(X.references(refs), " ").alias("refs"))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 4 = 1 THEN 'confirm' WHEN page_id % 4 = 2 THEN 'block' WHEN page_id % 4 = 3 THEN 'block' ELSE 'open' END AS action FROM pages")
+@query("SELECT page_id, CASE WHEN page_id % 4 = 1 THEN 'open' WHEN page_id % 4 = 2 THEN 'block' WHEN page_id % 4 = 3 THEN 'block' ELSE 'confirm' END AS action FROM pages")
 def link_policy(t: Tables) -> DataFrame:
     n = F.col("page_id") % 4
-    url = F.when(n == 1, F.lit("MailTo:a@b.c")).when(n == 2, F.lit("file:///etc")).when(n == 3, F.lit("no scheme")).otherwise(F.col("url"))
+    url = F.when(n == 1, F.lit("Message://x")).when(n == 2, F.lit("file:///etc")).when(n == 3, F.lit("no scheme")).otherwise(F.col("url"))
     return t.pages.select("page_id", X.link_action(url).alias("action"))
 
 
@@ -167,15 +164,16 @@ def decode_qp(t: Tables) -> DataFrame:
 
 def rule_rows(t: Tables) -> DataFrame:
     n = F.col("doc_id")
-    sender = F.when(n % 11 == 0, "News <newsletter@x.org>").when(n % 11 == 1, "no-reply@x.org").when(n % 11 == 2, "Info <info@shop.de>").when(n % 11 == 3, "a@ads.bad.com").otherwise("Ann <ann@x.org>")
+    sender = F.when(n % 11 == 0, "News <newsletter@x.org>").when(n % 11 == 1, "no-reply@x.org").when(n % 11 == 2, "Updates <updates-1@shop.de>").when(n % 11 == 3, "a@ads.bad.com").otherwise("Ann <ann@x.org>")
     body = F.when(n % 4 == 0, F.concat(F.substring("text", 1, 20), F.lit("\n\nUnsubscribe now"))).otherwise(F.lit("plain words"))
     what, why = verdict(sender, body, n % 13 == 0, F.when(n % 17 == 0, "auto-replied").when(n % 17 == 1, "no"), F.when(n % 19 == 0, "<mailto:u@x>"), F.lit(None).cast("string"), F.when(n % 23 == 0, " Bulk "), ["bad.com"])
     return t.documents.select("doc_id", what.alias("verdict"), why.alias("reason"))
 
 
-RULES = """SELECT doc_id, CASE r WHEN 'auto_submitted' THEN 'auto_generated' WHEN 'prior_reply' THEN 'personal' WHEN 'one_weak_sign' THEN 'ambiguous' WHEN 'none' THEN 'personal' ELSE 'newsletter' END AS verdict, r AS reason FROM (SELECT doc_id, CASE
- WHEN doc_id % 17 = 0 THEN 'auto_submitted' WHEN doc_id % 11 = 1 THEN 'no_reply_sender' WHEN doc_id % 11 = 0 THEN 'newsletter_address' WHEN doc_id % 11 = 3 THEN 'excluded' WHEN doc_id % 13 = 0 THEN 'prior_reply'
- WHEN doc_id % 19 = 0 OR doc_id % 23 = 0 THEN 'list_header' WHEN doc_id % 11 = 2 AND doc_id % 4 = 0 THEN 'weak_signs' WHEN doc_id % 11 = 2 OR doc_id % 4 = 0 THEN 'one_weak_sign' ELSE 'none' END AS r FROM documents)"""
+RULES = """SELECT doc_id, CASE WHEN r = 'auto_submitted' THEN 'auto_generated' WHEN r LIKE 'prior Sent%' OR r LIKE 'no newsletter%' THEN 'personal' WHEN r = 'one weak sign' THEN 'ambiguous' ELSE 'newsletter' END AS verdict, r AS reason FROM (SELECT doc_id, CASE
+ WHEN doc_id % 17 = 0 THEN 'auto_submitted' WHEN doc_id % 11 = 1 THEN 'no_reply_sender' WHEN doc_id % 11 = 0 THEN 'newsletter_address' WHEN doc_id % 11 = 3 THEN 'excluded' WHEN doc_id % 13 = 0 THEN 'prior Sent correspondence with this address'
+ WHEN doc_id % 19 = 0 THEN 'List-Unsubscribe present' WHEN doc_id % 23 = 0 THEN 'Precedence: bulk' WHEN doc_id % 11 = 2 AND doc_id % 4 = 0 THEN 'sender local-part pattern + unsubscribe-language boilerplate'
+ WHEN doc_id % 11 = 2 OR doc_id % 4 = 0 THEN 'one weak sign' ELSE 'no newsletter signals detected' END AS r FROM documents)"""
 
 
 @query(RULES)
