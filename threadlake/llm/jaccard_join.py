@@ -35,10 +35,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlake.llm.common import components, drop_written, written
+from threadlake.llm.common import components, drop_written, release, written
 
 SKETCH_BITS = 20  # the sketch has 2**SKETCH_BITS counters
 CHUNK_BITS = 14
+SMALL = 2_000_000  # ids in a broadcast side
 
 
 class Shingler:
@@ -165,38 +166,39 @@ def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def compared(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """``a, b, shared, united`` for each pair of ids, from whole sets (repeated ids: the best of their rows)."""
+    """``a, b, shared, united`` for each pair of ids, from whole texts (repeated ids: the best of their rows).
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(k)
-        for batch in batches:
-            sets = pa.array([shingles(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), sets], names=["id", "s"])
+    Texts travel, not sets: they compress, and hashes do not.
+    """
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = batch.column("s").to_pylist(), batch.column("t").to_pylist()
-            both, united = [], []
-            for x, y in zip(left, right):
-                x, y = np.frombuffer(x, "uint64"), np.frombuffer(y, "uint64")
-                at = np.searchsorted(x, y)
-                m = int((x[np.minimum(at, len(x) - 1)] == y).sum()) if len(x) else 0
-                both.append(m)
-                united.append(len(x) + len(y) - m)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both, pa.int64()), pa.array(united, pa.int64())], names=["a", "b", "shared", "united"])
-
-    needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(needed, "id", "left_semi").dropDuplicates()
-    sets = written(rows.mapInArrow(whole, "id long, s binary"))
-    joined = pairs.join(sets.withColumnRenamed("id", "b").withColumnRenamed("s", "t"), "b").join(sets.withColumnRenamed("id", "a"), "a")
+        shingles = Shingler(k)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                sets: dict[str, np.ndarray] = {}  # a pivot's text comes again and again
+                both, united = [], []
+                for pair in zip(batch.column("s").to_pylist(), batch.column("t").to_pylist()):
+                    x, y = (sets[t] if t in sets else sets.setdefault(t, shingles(t)) for t in pair)
+                    place = np.searchsorted(x, y)
+                    m = int((x[np.minimum(place, len(x) - 1)] == y).sum()) if len(x) else 0
+                    both.append(m)
+                    united.append(len(x) + len(y) - m)
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both, pa.int64()), pa.array(united, pa.int64())], names=["a", "b", "shared", "united"])
+
+    needed = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+    side = F.broadcast(needed) if needed.count() <= SMALL else needed  # ids only, so that the corpus needs no shuffle
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(side, "id", "left_semi")
+    joined = pairs.join(rows.select(F.col("id").alias("b"), F.col("text").alias("t")), "b").join(rows.select(F.col("id").alias("a"), F.col("text").alias("s")), "a")
     out = joined.select("a", "b", "s", "t").mapInArrow(shared, "a long, b long, shared long, united long")
     best = F.max_by(F.struct("shared", "united"), F.col("shared") / F.greatest("united", F.lit(1)))
     out = written(out.groupBy("a", "b").agg(best.alias("m")).select("a", "b", "m.*"))
-    drop_written(sets)
+    drop_written(needed)
+    release(docs.sparkSession)
     return out
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, rounds: int = 3, small: int = 12) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, rounds: int = 3, small: int = 1) -> DataFrame:
     """``id, n_shingles, component_id`` for every row of ``docs``.
 
     Two documents link when ``100 * shared >= percent * united``; the component
@@ -215,13 +217,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     meet = reps.select("token", "id", "n").repartition("token").sortWithinPartitions("token").mapInArrow(repeated, "token long, id long, n long")
     fits = lambda x, y: F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)  # noqa: E731  sizes alone allow a link
     open_ = written(meet.withColumn("away", F.array().cast("array<double>")).withColumn("part", F.col("id")))
+    release(docs.sparkSession)
     found, done = [], []
     for turn in range(rounds + 1):
         regions = open_.groupBy("token").agg(F.count("*").alias("members"), F.min_by(F.struct("id", "n"), F.struct(F.col("part") != F.col("id"), "id")).alias("p"))
         rows = open_.join(regions, "token")
         crowd = (F.col("members") > small) & F.lit(turn < rounds)
         star = rows.where(crowd & (F.col("id") != F.col("p.id")) & fits(F.col("n"), F.col("p.n"))).select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
-        # regions of a few members, and in the last turn whatever is left: the pairs in each other's windows
+        # regions of at most ``small`` members, and in the last turn whatever is left: the pairs in each other's windows
         rest = rows.where(~crowd).select("token", "id", "n", "part", "away")
         other = rest.select("token", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("part").alias("part2"), F.col("away").alias("away2"))
         near = F.forall(F.zip_with("away", "away2", lambda x, y: F.coalesce(F.abs(x - y) <= F.lit(r + 1e-9), F.lit(True))), lambda x: x)
@@ -230,17 +233,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for old in done:
             pairs = pairs.join(old.select("a", "b"), ["a", "b"], "left_anti")
         pairs = written(pairs)
-        if pairs.isEmpty():
-            seen = None
-        else:
+        if not pairs.isEmpty():
             seen = compared(pairs, docs, id_col, text_col, k)
             found.append(seen.where(F.lit(100) * F.col("shared") >= F.lit(percent) * F.col("united")).select(F.col("a").alias("src"), F.col("b").alias("dst")))
             done.append(seen)
         drop_written(pairs)
-        if turn == rounds or seen is None and not done:
+        if turn == rounds:
             break
         parts = components(reduce(DataFrame.unionByName, found)) if found else None
-        measured = reduce(DataFrame.unionByName, [x.select("a", "b", (1 - F.col("shared") / F.col("united")).alias("d")) for x in done])
+        none = docs.sparkSession.createDataFrame([], "a long, b long, d double")
+        measured = reduce(DataFrame.unionByName, [x.select("a", "b", (1 - F.col("shared") / F.col("united")).alias("d")) for x in done], none)
         crowds = rows.where(crowd & (F.col("id") != F.col("p.id"))).select("token", "id", "n", "away", F.col("p.id").alias("p"), F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
         left = crowds.join(measured, ["a", "b"], "left").withColumn("d", F.coalesce("d", F.lit(None).cast("double")))
         if parts is not None:
