@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from threadlake.llm.common import drop_written, release, written
 
 GRAM = 8
+SMALL = 1_000_000  # rows (some 60 bytes each) in a broadcast side
 STEP = 16  # windows are first judged by strings a step apart
 
 
@@ -391,7 +392,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # the texts that hold repeated phrases, one of equals
     groups = base.groupBy("text").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     wanted = lengths.join(groups.select("text", "rep"), "text")
-    side = F.broadcast(wanted) if lengths.count() <= 200_000 else wanted
+    side = F.broadcast(wanted) if lengths.count() <= SMALL else wanted  # so that texts need no shuffle
     held = rows.join(side, "text").where(F.col("id").eqNullSafe(F.col("rep"))).select("text", "raw", "lengths")
     view = lambda raw, known: Windows(raw, known, length, window, depth)
 
