@@ -28,8 +28,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id; documents without an id all stay."""
-    groups = written(jaccard_components(docs.select("doc_id", "text")))
+    """Of each group of documents linked at five words and 0.8 the one with the smallest id; documents without an id all stay."""
+    groups = written(jaccard_components(docs.select("doc_id", "text"), k=5, percent=80))
     ids = groups.where("id is not null")
     gone = ids.where("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
     side = F.broadcast(gone) if gone.count() <= SMALL else gone

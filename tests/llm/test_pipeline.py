@@ -53,3 +53,16 @@ def test_stages_handle_hard_tables(spark, tmp_path):
     kept = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).where("doc_id is not null")
     assert kept.groupBy("doc_id").count().where("count > 1").count() == 0
     assert corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).where(F.col("doc_id") == 2).count() == 0
+
+
+def test_near_duplicates_at_five_words_and_four_fifths(spark):
+    from tests.llm.test_python import brute_components
+
+    rng = random.Random(8)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = [new(120) for _ in range(12)]
+    texts += [t + new(24) for t in texts[:4]] + [t[:99] for t in texts[4:8]] + [t + new(40) for t in texts[8:10]]
+    rows = [(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, DATA).collect()}
+    assert kept == {c for _, _, c in brute_components([r[:2] for r in rows], 5, 80)} == {*range(12), 20, 21}
