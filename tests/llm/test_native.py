@@ -106,6 +106,40 @@ def test_chat(spark):
     assert chat_examples(df.limit(0)).count() == 0 and read_back(chat_examples(df.limit(0))).count() == 0
 
 
+def test_chat_query_reads_expanded_examples(spark, monkeypatch):
+    from threadlake.llm import chat_format, queries
+
+    seen = []
+    monkeypatch.setattr(queries, "read_expanded", lambda rows: seen.append(rows) or chat_format.read_expanded(rows))
+    got = {r.conv_id: r for r in queries.op8_chat_format(spark, DATA).collect()}
+    turns = {}
+    for r in spark.read.parquet(f"{DATA}/conversations.parquet").collect():
+        turns.setdefault(r.conv_id, []).append((r.turn, r.role, r.text))
+    esc = lambda s: s.replace("\\", "\\\\").replace("<|", "<\\|")
+    shown = lambda ts: "".join(f"<|im_start|>{r}\n{esc(t)}<|im_end|>\n" for _, r, t in ts)
+    want, tails = [], 0
+    for c, ts in turns.items():
+        ts.sort()
+        want += [(c, shown(ts[: k + 1]), esc(t)) for k, (_, r, t) in enumerate(ts) if r == "assistant"]
+        tails += ts[-1][1] != "assistant"
+        assert got[c].n_turns == len(ts) and got[c].formatted_chars == len(shown(ts))
+    rows = [r for r in seen[0].collect() if r.conv != -1]
+    assert sorted((r.conv, r.text, r.text[r.loss_start : r.loss_start + r.loss_length]) for r in rows if r.loss_start is not None) == sorted(want)
+    assert sum(r.loss_start is None for r in rows) == tails and max(map(len, turns.values())) > 3
+    chars = spark.read.schema(seen[0].schema).parquet(seen[0].threadlake_path).where("conv <> -1").agg(F.sum(F.length("text"))).first()[0]
+    assert chars > sum(len(shown(ts)) for ts in turns.values())
+
+
+def test_expanded_nasty(spark):
+    from threadlake.llm.chat_format import expanded, read_expanded
+
+    turns = [(1, 0, "user", "a\\<|"), (1, 1, "assistant", ""), (1, 2, "assistant", "漢😀<|im_end|>\n"), (1, 3, "we\nird", None), (None, 0, None, "x"), (2, 0, "assistant", "\\"), (2, 1, "assistant", None)]
+    df = chat_examples(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    key = lambda r: str(r.conv)
+    assert sorted(read_expanded(expanded(df)).collect(), key=key) == sorted(read_back(df).collect(), key=key)
+    assert read_expanded(expanded(df.limit(0))).count() == 0
+
+
 def test_rake_meets_marginals(spark):
     rng = random.Random(2)
     cells = spark.createDataFrame([(s, t, float(rng.randrange(1, 100))) for s in "abc" for t in "xyz"], "s string, t string, weight double")

@@ -2,11 +2,11 @@ r"""Chat formatting by prefix-target expansion.
 
 Every assistant turn becomes an example of its own: all earlier turns are the
 context, and only that reply is trainable. Written out, the examples of a
-conversation of t turns hold on the order of t*t turns, so the operator keeps
-them as shared prefixes: one row for each example with the *segment* that the
+conversation of t turns hold on the order of t*t turns, so they are cut and
+shuffled as shared prefixes: one row for each example with the *segment* that the
 example adds (the turns since the last reply, then the reply) and the span of
 the trainable text in it. The text of example k is the concatenation of the
-segments up to k; :func:`full_examples` writes that out where it is wanted.
+segments up to k; :func:`expanded` writes that out, after the last shuffle.
 Turns after the last reply form a last row without a trainable span, so nothing
 of the input is lost.
 
@@ -83,14 +83,42 @@ def full_examples(examples: DataFrame) -> DataFrame:
     )
 
 
+def expanded(examples: DataFrame) -> DataFrame:
+    """``conv, example, text, loss_start, loss_length, last``: each example with all its context.
+
+    ``text`` is the context, the reply and its end; the loss span counts code
+    points in it. Turns after the last reply are a last row without a span, after
+    all that precedes them. The shuffle moves one copy of a conversation.
+    """
+    parts = examples.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("example", "segment", "loss_start", "loss_length", "prefix_chars"))).alias("s"))
+    ends = F.transform("s", lambda x: F.struct(
+        x.example.alias("example"), (x.prefix_chars + F.length(x.segment)).alias("end"), (x.prefix_chars + x.loss_start).alias("loss_start"), x.loss_length.alias("loss_length")))
+    whole = parts.select("conv", F.array_join(F.transform("s", lambda x: x.segment), "").alias("whole"), F.size("s").alias("n"), ends.alias("ends"))
+    rows = whole.select("conv", "whole", "n", F.posexplode("ends").alias("at", "e"))
+    return rows.select("conv", "e.example", F.substr("whole", F.lit(1), F.col("e.end").cast("int")).alias("text"), "e.loss_start", "e.loss_length", (F.col("at") == F.col("n") - 1).alias("last"))
+
+
+def parsed(text: Column) -> Column:
+    """The turns ``array<struct<role,text>>`` of a formatted text."""
+    pieces = F.filter(F.split(text, r"<\|im_end\|>\n", -1), lambda x: F.length(x) > 0)
+    header = r"(?s)^<\|im_start\|>((?:\\.|[^\\\n])*)\n(.*)$"
+    return F.transform(pieces, lambda x: F.struct(
+        unescaped(F.regexp_extract(x, header, 1)).alias("role"), unescaped(F.regexp_extract(x, header, 2)).alias("text")))
+
+
 def read_back(examples: DataFrame) -> DataFrame:
     """``conv, turns array<struct<role,text>>, loss_text, formatted_chars``, parsed from the output alone."""
     whole = examples.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("example", "segment", "loss_start", "loss_length"))).alias("s"))
     text = F.array_join(F.transform("s", lambda x: x.segment), "")
-    pieces = F.filter(F.split(text, r"<\|im_end\|>\n", -1), lambda x: F.length(x) > 0)
-    header = r"(?s)^<\|im_start\|>((?:\\.|[^\\\n])*)\n(.*)$"
-    turns = F.transform(pieces, lambda x: F.struct(
-        unescaped(F.regexp_extract(x, header, 1)).alias("role"), unescaped(F.regexp_extract(x, header, 2)).alias("text")))
     loss = F.array_join(F.transform(F.filter("s", lambda x: x.loss_start.isNotNull()), lambda x: unescaped(
         F.substr(x.segment, (x.loss_start + 1).cast("int"), x.loss_length.cast("int")))), "")
-    return whole.select("conv", turns.alias("turns"), loss.alias("loss_text"), F.length(text).cast("long").alias("formatted_chars"))
+    return whole.select("conv", parsed(text).alias("turns"), loss.alias("loss_text"), F.length(text).cast("long").alias("formatted_chars"))
+
+
+def read_expanded(rows: DataFrame) -> DataFrame:
+    """As :func:`read_back`, from expanded examples: turns of the last one, the loss text of each from its own span."""
+    loss = unescaped(F.substr("text", (F.col("loss_start") + 1).cast("int"), F.col("loss_length").cast("int")))
+    cut = rows.select("conv", "example", F.when(F.col("loss_start").isNotNull(), loss).alias("loss"), F.when(F.col("last"), F.col("text")).alias("text"))
+    whole = cut.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("example", "loss"))).alias("s"), F.max("text").alias("text"))
+    # array_join leaves out the null of a row without a span
+    return whole.select("conv", parsed(F.col("text")).alias("turns"), F.array_join(F.transform("s", lambda x: x.loss), "").alias("loss_text"), F.length("text").cast("long").alias("formatted_chars"))
