@@ -68,6 +68,20 @@ def test_urls(spark):
     assert {r.id: r.verdict for r in url_filter(pages(spark, rows), URL_RULES, more).collect()}[11] == "block"
 
 
+def test_url_filter_follows_all_targets(spark):
+    blocked = "http://a.com/en/1"
+    link, meta = "<link rel='canonical' href='{}'>".format, "<meta http-equiv=refresh content='0; url={}'>".format
+    rows = [
+        (blocked, None), ("http://m.com/en/sub/1", ""),
+        ("http://f.info/1", link("http://free.info/o1") + meta(blocked)), ("http://f.info/2", link("http://free.info/o2") + link(blocked)),
+        ("http://f.info/3", f"<meta content='0;url={blocked}' http-equiv='refresh'>"), ("http://f.info/4", link("//a.com/en/1#x")), ("http://m.com/5", meta("/en/sub/1")),
+        ("http://m.com/en", link("en/sub/1/")), ("http://m.com", link("en/sub/1")), ("http://m.com/q/r/s?x=1", link("../../en/./sub/1")), ("http://f.info/6", link("mailto:a.com/en/1") + link("#top") + link("?p=2") + link("9")),
+        ("no base", link("/en/sub/1")), ("http://f.info/7", meta("/go?url=http://a.com/en/1")),
+    ]
+    got = {r.id: r.verdict for r in url_filter(pages(spark, rows), URL_RULES).collect()}
+    assert [got[i] for i in range(len(rows))] == ["block"] * 6 + ["block"] * 4 + ["allow"] * 3
+
+
 def test_exact_dedup(spark, nasty, empty):
     for support in (0.001, 0.05, 0.5):
         rows = [(r.doc_id, r.text or "") for r in nasty.collect()]

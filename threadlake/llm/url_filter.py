@@ -1,8 +1,8 @@
 """URL filters with redirect equivalence.
 
 Rules name a host and a path prefix. A url that no rule fits takes part in the
-decision of its aliases: urls joined by a redirect, a canonical link or the
-same normal form (scheme, port, tracking parameters, fragment and a last slash
+decision of its aliases: urls joined by a redirect, a canonical link (all that a
+page declares, relative ones resolved against its url) or the same normal form (scheme, port, tracking parameters, fragment and a last slash
 do not count) are one component, and a component with a blocked member blocks
 its members. An explicit allow goes first: a member that an allow rule fits
 stays allowed whatever its aliases are.
@@ -41,14 +41,34 @@ def normal_form(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, form).otherwise(url)
 
 
-def declared_alias(html: Column) -> Column:
-    """The absolute target of a page's canonical link or immediate redirect; null if it has none."""
-    found = F.array(
-        F.regexp_extract(html, r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)""", 1),
-        F.regexp_extract(html, r"""(?is)<link\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)["']?[^>]*\brel\s*=\s*["']?canonical\b""", 1),
-        F.regexp_extract(html, r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*\burl\s*=\s*["']?([^"'\s>]+)""", 1),
+def declared_targets(html: Column) -> Column:
+    """The targets of all canonical links and immediate redirects of a page, as they stand there; null html has none."""
+    link, meta, value = r"<link\b[^>]*?", r"<meta\b[^>]*?", r"""\s*=\s*["']?([^"'\s>]+)"""
+    canonical, refresh = r"""\brel\s*=\s*["']?canonical\b""", r"""\bhttp-equiv\s*=\s*["']?refresh\b"""
+    to_url = r"""\burl\s*=\s*["']?([^"'\s>]+)"""
+    return F.coalesce(F.concat(*[F.regexp_extract_all(html, F.lit("(?is)" + r), 1) for r in (
+        link + canonical + r"""[^>]*?[\s"']href""" + value, link + r"""[\s"']href""" + value + r"""["']?[^>]*?""" + canonical,
+        meta + refresh + "[^>]*?" + to_url, meta + to_url + "[^>]*?" + refresh,
+    )]), F.array().cast("array<string>"))
+
+
+def resolved(url: Column, target: Column) -> Column:
+    """``target`` as a page at ``url`` means it; null if it is no place on a host, or relative and ``url`` has no ``://``."""
+    scheme, site = F.regexp_extract(url, r"(?s)^(.*?)://", 1), F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+    path = F.when(F.startswith(target, F.lit("/")), "").when(target.rlike(r"^[?#]"), path_of(url)).otherwise(
+        F.concat(F.regexp_extract(path_of(url), r"(?s)^(.*/)", 1), F.when(F.instr(path_of(url), "/") == 0, "/").otherwise("")))
+    asked = F.concat(path, target)
+    only, rest = F.regexp_extract(asked, r"(?s)^([^?#]*)", 1), F.regexp_extract(asked, r"(?s)^[^?#]*(.*)$", 1)
+    none = F.array().cast("array<string>")
+    steps = F.aggregate(F.split(only, "/"), none, lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(x))))
+    local = F.when(only.rlike(r"(^|/)\.\.?(/|$)"), F.array_join(steps, "/")).otherwise(only)
+    known = F.instr(url, "://") > 0
+    return (
+        F.when(target.rlike(r"(?i)^[a-z][a-z0-9+.-]*://"), target)
+        .when(target.rlike(r"(?i)^[a-z][a-z0-9+.-]*:") | F.isnull(target), None)
+        .when(known & F.startswith(target, F.lit("//")), F.concat(scheme, F.lit(":"), target))
+        .when(known, F.concat(site, local, rest))
     )
-    return F.get(F.filter(found, lambda x: F.instr(x, "://") > 0), 0)
 
 
 def rule_fits(host: Column, path: Column, rule_host: str, rule_path: str) -> Column:
@@ -84,13 +104,14 @@ def url_filter(pages: DataFrame, rules: Iterable[tuple[str, str, str]], redirect
     rule, own = ruled(host_of(url), path_of(url), rules)
     base = pages.select(
         F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"), rule.alias("rule"), own.alias("own"),
-        normal_form(url).alias("form"), normal_form(declared_alias(html)).alias("alias"),
+        normal_form(url).alias("form"),
     )
-    edges = base.select(F.col("form").alias("src"), F.col("alias").alias("dst")).where("src is not null and dst is not null and src <> dst")
+    declared = pages.select(url.alias("url"), F.explode(declared_targets(html)).alias("target"))
+    edges = declared.select(normal_form(F.col("url")).alias("src"), normal_form(resolved(F.col("url"), F.col("target"))).alias("dst")).where("src is not null and dst is not null and src <> dst")
     if redirects is not None:
         edges = edges.unionByName(redirects.select(normal_form(F.col("source")).alias("src"), normal_form(F.col("target")).alias("dst")))
     found = components(edges)
-    joined = base.drop("alias").join(found.withColumnRenamed("node", "form"), "form", "left")
+    joined = base.join(found.withColumnRenamed("node", "form"), "form", "left")
     joined = joined.withColumn("component", F.coalesce("component", "form"))
     blocked = joined.where("own = 'block' and component is not null").select("component").distinct().withColumn("hit", F.lit(True))
     # only urls without a rule of their own need the component's decision
