@@ -30,3 +30,26 @@ def test_same_as_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.SQL)))
 def test_runs(spark, name):
     assert plans.QUERIES[name](spark, DATA).count() >= 0
+
+
+def test_mail_files_hold_whole_texts(spark, monkeypatch):
+    from threadlake.sources import mail
+
+    seen = []
+    parse = mail.parse_files
+    monkeypatch.setattr(mail, "parse_files", lambda files: seen.append(parse(files)) or seen[-1])
+    assert plans.QUERIES["parse_emlx"](spark, DATA).count() == 200
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    got = {r.source_id: r.body_text for r in seen[0].where("error is null").collect()}
+    assert len(got) > 150 and max(map(len, got.values())) > 10_000
+    assert all(body == texts[i].replace("\r\n", "\n").strip() for i, body in got.items())
+
+
+def test_rules_read_whole_texts(spark, tmp_path):
+    long = "word " * 500
+    rows = [(5, long + "\n\nplease unsubscribe here"), (6, long), (7, None), (8, long), (24, long + "\n\nyou received this")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(5, 1)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r.doc_id: r.verdict for r in plans.QUERIES["classify_messages"](spark, str(tmp_path)).collect()}
+    assert got == {5: "ambiguous", 6: "personal", 7: "personal", 8: "ambiguous", 24: "newsletter"}
+    assert [r.verdict for r in plans.QUERIES["classifier_metrics"](spark, str(tmp_path)).collect()] == ["ambiguous"]

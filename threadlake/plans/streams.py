@@ -70,7 +70,7 @@ def arrivals_after_grace(t: Tables) -> DataFrame:
 def parse_emlx(t: Tables) -> DataFrame:
     from threadlake.sources.mail import parse_files
 
-    head = F.concat(F.lit("Message-ID: <"), F.col("doc_id"), F.lit("@x>\nFrom: A <a@x.org>\nSubject: =?utf-8?Q?Gr=C3=BC=C3=9Fe?=\nDate: Mon, 01 Jan 2024 10:00:00 +0100\n\n"), F.substring("text", 1, 50))
+    head = F.concat(F.lit("Message-ID: <"), F.col("doc_id"), F.lit("@x>\nFrom: A <a@x.org>\nSubject: =?utf-8?Q?Gr=C3=BC=C3=9Fe?=\nDate: Mon, 01 Jan 2024 10:00:00 +0100\n\n"), F.coalesce("text", F.lit("")))
     body = F.encode(head, "UTF-8")
     size = F.when(F.col("doc_id") % 50 == 0, F.lit("x")).otherwise(F.octet_length(body).cast("string"))
     files = t.documents.select(F.concat(F.lit("/m/INBOX.mbox/"), F.col("doc_id"), F.lit(".emlx")).alias("path"), F.concat(F.encode(F.concat(size, F.lit("\n")), "UTF-8"), body).alias("content"))

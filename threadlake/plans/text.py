@@ -165,7 +165,7 @@ def decode_qp(t: Tables) -> DataFrame:
 def rule_rows(t: Tables) -> DataFrame:
     n = F.col("doc_id")
     sender = F.when(n % 11 == 0, "News <newsletter@x.org>").when(n % 11 == 1, "no-reply@x.org").when(n % 11 == 2, "Updates <updates-1@shop.de>").when(n % 11 == 3, "a@ads.bad.com").otherwise("Ann <ann@x.org>")
-    body = F.when(n % 4 == 0, F.concat(F.substring("text", 1, 20), F.lit("\n\nUnsubscribe now"))).otherwise(F.lit("plain words"))
+    body = X.trimmed(F.concat(F.coalesce("text", F.lit("")), F.when(n % 4 == 0, "\n\nUnsubscribe now").otherwise("")))
     what, why = verdict(sender, body, n % 13 == 0, F.when(n % 17 == 0, "auto-replied").when(n % 17 == 1, "no"), F.when(n % 19 == 0, "<mailto:u@x>"), F.lit(None).cast("string"), F.when(n % 23 == 0, " Bulk "), ["bad.com"])
     return t.documents.select("doc_id", what.alias("verdict"), why.alias("reason"))
 
