@@ -53,3 +53,20 @@ def test_rules_read_whole_texts(spark, tmp_path):
     got = {r.doc_id: r.verdict for r in plans.QUERIES["classify_messages"](spark, str(tmp_path)).collect()}
     assert got == {5: "ambiguous", 6: "personal", 7: "personal", 8: "ambiguous", 24: "newsletter"}
     assert [r.verdict for r in plans.QUERIES["classifier_metrics"](spark, str(tmp_path)).collect()] == ["ambiguous"]
+
+
+def test_prompts_hold_whole_bodies(spark):
+    from threadlake.operators import prompt
+    from threadlake.plans.base import Tables
+    from threadlake.plans.search import top_chunks
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    rows = top_chunks(Tables(spark, DATA)).cache()
+    hits = rows.select("qid", "chunk_id", "rank", "text").collect()
+    assert max(len(r.text) for r in hits) > 400 and all(r.text == texts[r.chunk_id] for r in hits)
+    shown = {r.qid: r.context for r in plans.QUERIES["context_block"](spark, DATA).collect()}
+    first = {r.qid: r for r in sorted(hits, key=lambda r: -r["rank"])}
+    assert set(shown) == set(first) and all(texts[r.chunk_id] in shown[q] for q, r in first.items())
+    costs = prompt.budget_trim(rows, 600).select("chunk_id", "rank", "running").where("rank = 1").collect()
+    assert costs and all(r.running >= len(texts[r.chunk_id]) // 4 for r in costs)
+    rows.unpersist()

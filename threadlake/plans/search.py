@@ -46,7 +46,7 @@ def fused(t: Tables) -> DataFrame:
 def top_chunks(t: Tables, k: int = 8) -> DataFrame:
     """Hits with their message; two chunks make a message, so that messages repeat."""
     hits = S.above_floor(fused(t)).where(F.col("rank") <= k)
-    m = t.messages.select(F.col("pk").alias("chunk_id"), F.concat(F.lit("msg-"), F.floor(F.col("pk") / 2)).alias("message_id"), "subject", "sender", "original_sender", "date_unix", F.substring("body_text", 1, 400).alias("text"), F.lit("body").alias("source"))
+    m = t.messages.select(F.col("pk").alias("chunk_id"), F.concat(F.lit("msg-"), F.floor(F.col("pk") / 2)).alias("message_id"), "subject", "sender", "original_sender", "date_unix", F.col("body_text").alias("text"), F.lit("body").alias("source"))
     return F.broadcast(hits).join(m, "chunk_id")
 
 
