@@ -70,3 +70,18 @@ def test_prompts_hold_whole_bodies(spark):
     costs = prompt.budget_trim(rows, 600).select("chunk_id", "rank", "running").where("rank = 1").collect()
     assert costs and all(r.running >= len(texts[r.chunk_id]) // 4 for r in costs)
     rows.unpersist()
+
+
+def test_no_rows_are_left_out(spark, duck, tmp_path):
+    rows = [(1, "a", 1), (2, "b" * 40_000, 40_000), (3, "c", None), (4, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.too_long, r.too_large) for r in plans.QUERIES["size_guards"](spark, str(tmp_path)).collect()}
+    assert got == {1: (False, False), 2: (True, True), 3: (False, False), 4: (None, None)}
+    scopes = plans.QUERIES["style_scopes"](spark, DATA)
+    assert scopes.count() == 3 * duck.execute("select count(*) from orders").fetchone()[0]
+    refs = {(r.referenced, r.pk) for r in plans.QUERIES["reverse_refs"](spark, DATA).collect()}
+    assert refs == {(r.referenced, r.pk) for r in plans.QUERIES["message_refs"](spark, DATA).collect()} and any(pk % 2 for _, pk in refs)
+    ranges = {r.qid: r for r in plans.QUERIES["date_range"](spark, DATA).collect()}
+    assert len(ranges) == 200
+    shown = lambda x: tuple(duck.execute("select epoch(?::timestamp)::bigint", [x]).fetchone())[0]
+    assert (ranges[26].lo, ranges[26].hi) == (shown("2024-03-01"), shown("2024-04-01") - 1)

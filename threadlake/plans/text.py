@@ -100,7 +100,7 @@ def decoded_bound(t: Tables) -> DataFrame:
 
 @query("SELECT doc_id, length(text) > 2000 AS too_long, strlen(text) > 2500 AS too_large FROM documents WHERE n_chars BETWEEN 100 AND 30000")
 def size_guards(t: Tables) -> DataFrame:
-    return t.documents.where(F.col("n_chars").between(100, 30000)).select("doc_id", (F.length("text") > 2000).alias("too_long"), (F.octet_length("text") > 2500).alias("too_large"))
+    return t.documents.select("doc_id", (F.length("text") > 2000).alias("too_long"), (F.octet_length("text") > 2500).alias("too_large"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Ann <ann' || doc_id || '@x.org>' END AS original FROM documents")
@@ -198,7 +198,14 @@ def date_range_numeric(t: Tables) -> DataFrame:
 
 @query()
 def date_range(t: Tables) -> DataFrame:
-    asked = t.spark.createDataFrame([(0, "mails since monday"), (1, "invoices of march 2024"), (2, "was kam letzte 3 Wochen?"), (3, "before 2026-05-01"), (4, "nothing")], "qid long, question string")
+    n = F.col("doc_id")
+    d, m = F.lpad((n % 28 + 1).cast("string"), 2, "0"), F.lpad((n % 12 + 1).cast("string"), 2, "0")
+    months = F.array(*[F.lit(x) for x in ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")])
+    question = (
+        F.when(n % 5 == 0, "mails since monday").when(n % 5 == 1, F.concat(F.lit("invoices of "), F.element_at(months, (n % 12 + 1).cast("int")), F.lit(" 2024")))
+        .when(n % 5 == 2, F.concat(F.lit("was kam letzte "), n % 12 + 1, F.lit(" Wochen?"))).when(n % 5 == 3, F.concat(F.lit("before 2026-"), m, F.lit("-"), d)).otherwise("nothing")
+    )
+    asked = t.documents.select(n.alias("qid"), question.alias("question"))
     return with_ranges(asked, now=START + 70_000_000)
 
 
