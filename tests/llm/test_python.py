@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from threadlake.llm.decontaminate import Index, contamination, fitted
 from threadlake.llm.jaccard_join import jaccard_components
 from threadlake.llm.quality import fit, quality_scores
 from threadlake.llm.sharding import shard_by_bytes
+from threadlake.llm.shingles import pieces, shingled
 from threadlake.llm.suffix_dedup import Windows, anchors, suffix_dedup
 from threadlake.llm.token_store import Encoder, WaveletMatrix, occurrences, read_documents, write_shards
 
@@ -158,9 +160,9 @@ def brute_components(rows, k, percent):
     return sorted(((i, len(s), root(i) if i is not None else None) for i, s in sets), key=str)
 
 
-@pytest.mark.parametrize(("percent", "rounds", "small"), [(85, 3, 4), (50, 2, 3), (85, 0, 2), (100, 3, 4)])
-def test_jaccard(spark, percent, rounds, small):
-    rng = random.Random(percent + rounds)
+@pytest.mark.parametrize(("percent", "fan", "seed"), [(85, 4, 88), (50, 2, 52), (85, 1, 85), (100, 4, 103)])
+def test_jaccard(spark, percent, fan, seed):
+    rng = random.Random(seed)
     base = [[f"w{rng.randrange(60)}" for _ in range(rng.randrange(1, 40))] for _ in range(12)]
     rows = []
     for i in range(110):
@@ -170,12 +172,12 @@ def test_jaccard(spark, percent, rounds, small):
         rows.append((i, "  ".join(w)))
     rows += [(200, ""), (201, None), (202, " \n"), (None, rows[0][1]), (3, rows[4][1]), (500, rows[5][1]), (500, rows[5][1])]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, token long").repartition(3)
-    got = sorted(map(tuple, jaccard_components(df, percent=percent, rounds=rounds, small=small).collect()), key=str)
+    got = sorted(map(tuple, jaccard_components(df, percent=percent, fan=fan).collect()), key=str)
     assert got == brute_components(rows, 4, percent)
 
 
 def test_jaccard_nasty(nasty, empty):
-    got = sorted(map(tuple, jaccard_components(nasty, small=4).collect()), key=str)
+    got = sorted(map(tuple, jaccard_components(nasty).collect()), key=str)
     assert got == brute_components([(r.doc_id, r.text) for r in nasty.collect()], 4, 85)
     assert jaccard_components(empty).count() == 0
 
@@ -207,6 +209,22 @@ def test_wavelet_matrix():
         assert m.rank(top + 100_000, n) == 0 and m.select(top + 100_000, 0) == -1
 
 
+def test_shingles_are_those_of_each_text():
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["a", "B", "b", " ", "\n", "\t", "é"]) for _ in range(rng.randrange(40))) for _ in range(300)]
+    texts += ["x" * 40_000 + " y z", "", " ", "Y " * 200_000 + "x" * 20_000 + " Z q", "x" * 40_000 + " Y  Z "]
+    for k in (1, 3, 4):
+        known = {}
+        for _, raw, bounds in pieces(pa.array(texts)):
+            hashes, ends = shingled(raw, bounds, k)
+            for i in range(len(bounds) - 1):
+                w = bytes(raw[bounds[i] : bounds[i + 1]]).lower().split()
+                want = [tuple(w[j : j + k]) for j in range(len(w) - k + 1)] if len(w) >= k else [tuple(w)] if w else []
+                assert len(want) == ends[i + 1] - ends[i]
+                assert all(known.setdefault(s, h) == h for s, h in zip(want, hashes[ends[i] : ends[i + 1]].tolist()))
+        assert len(set(known.values())) == len(known)
+
+
 def hard_texts():
     rng = random.Random(1)
     out = ["<|startoftext|> a<|endoftext|>b <|ENDOFTEXT|>", "it's I'LL don't 'sup x'y", "Σας ΟΔΟΣ İstanbul ǅ", "é é ́a Á", "a\x1cb \x85 c d", "123 4a5b ½ ²", "naïve—dash… «q» ŀ ŉ ß ẞ ſt", "漢字 한국 😀👍🏽", "a.b,c!d?? ...", "", " \n", "\x00 \x01x"]

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,22 +17,51 @@ from pyspark.sql import functions as F
 BLANK = r"[\x20\x09-\x0D]"
 NOT_BLANK = r"[^\x20\x09-\x0D]"
 
+FEW = 10_000  # edges
+BATCH = 8 << 20  # bytes of an Arrow batch
+BROADCAST = 48 << 20  # bytes of a broadcast side, counted before
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the one named in spark.checkpoint.dir. Only where a session names
-    none (tests, notebooks) a temporary folder of this machine is set.
+    It is the one named in spark.checkpoint.dir. Where a session names none, a
+    temporary folder is set if driver and executors are one process (tests,
+    notebooks); on a cluster that is an error, since executors would write to
+    their own disks.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="threadlake-"))
     return context.getCheckpointDir().rstrip("/")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = BATCH) -> Iterator[None]:
+    """Arrow batches of about ``size`` bytes for the actions inside, whatever the texts' lengths."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def narrow(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if its rows, counted or given, fit into ``BROADCAST`` bytes."""
+    rows = df.count() if rows is None else rows
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST else df
+
+
 def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """The rows of ``df``, written once as Parquet to the shared folder and read again.
 
@@ -39,7 +72,8 @@ def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    with small_batches(df.sparkSession):
+        writer.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.threadlake_path = path
     return out
@@ -74,6 +108,25 @@ def uniform(*cols: Column | str, seed: int = 0) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of the given edges by union-find; the smallest node names each."""
+    top: dict = {}
+    kinds = None
+
+    def root(x):
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    for batch in batches:
+        kinds = batch.schema.types
+        for u, v in zip(*(c.to_pylist() for c in batch.columns)):
+            x, y = root(top.setdefault(u, u)), root(top.setdefault(v, v))
+            top[max(x, y)] = min(x, y)
+    if top:
+        yield pa.RecordBatch.from_arrays([pa.array(list(top), kinds[0]), pa.array([root(x) for x in top], kinds[1])], names=["node", "component"])
+
+
 def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """Connected components: one row ``(node, component)`` for each node of an edge.
 
@@ -81,7 +134,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
     and small-star steps (Kiveris et al. 2014): each step is one grouped minimum,
     which Spark pre-aggregates before the shuffle, and one equi-join, which AQE
     splits when a hub is skewed. Every round is written to the shared folder, so
-    the plan stays short. Only two counters reach the driver.
+    the plan stays short. Only two counters reach the driver. At most ``FEW``
+    edges are settled in one task instead.
     Nulls, self loops and repeated edges are ignored; an empty table gives an empty one.
     """
     links = (
@@ -91,9 +145,11 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
         .distinct()
     )
     links = written(links)
-    if links.isEmpty():
-        return links.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    seen = None
+    state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    seen = state(links)
+    if seen[0] <= FEW:  # what one task settles sooner than a round takes; no more rows than that ever meet in it
+        kind = links.schema["u"].dataType.simpleString()
+        return links.coalesce(1).mapInArrow(united, f"node {kind}, component {kind}")
     for _ in range(max_rounds):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -103,7 +159,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         nxt = written(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        now = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = state(nxt)
         drop_written(links)
         links = nxt
         if now == seen:

@@ -1,22 +1,25 @@
 """N-gram Jaccard join in the metric space of shingle sets.
 
-The Jaccard distance is a metric, so a pivot divides documents into regions,
-and the triangle inequality says which documents near a border must be
-replicated. Two kinds of pivots are used.
+The Jaccard distance is a metric, so pivots divide documents into regions, and
+the triangle inequality says which pairs in a region can still be near. Two
+kinds of pivots are used.
 
 * Single shingles. At distance below 1 from ``{s}`` are just the sets that hold
   s. Among its shingles, in one global order (rare ones first), a set of n is
   replicated to the first ``n - ceil(t*n) + 1``: two sets of similarity t must
-  meet in one of those regions. Whole documents as first pivots would not do:
-  nearly all documents are at distance 1 from nearly all pivots, so each window
-  would hold the corpus.
-* Documents. In each region a member is the pivot; its exact distances to the
-  others link its ball of radius r = 1 - t, and for a member at distance d only
-  members with a distance in [d - r, d + r] stay possible partners. Regions are
-  joined recursively with new pivots taken from members that are not linked
-  yet; regions that are one component already need no more pairs, which is why
-  a group of thousands of near copies costs a few comparisons for each copy.
-  After ``rounds`` rounds the pairs left in the windows are compared directly.
+  meet in one of those regions, and first in that of their first common
+  shingle. Whole documents as first pivots would not do: nearly all documents
+  are at distance 1 from nearly all pivots, so each window would hold the corpus.
+  Regions with the same members are one region.
+* Documents. In a region the members not in its largest component are the
+  outsiders; turn by turn some of them (``fan`` times as many as the turn before)
+  are pivots, whose exact distances to the members of other components are taken.
+  A pair is left out if its sizes, the places of the region's shingle in both, or
+  the distances to a common pivot (the triangle inequality's window) rule a link
+  out. Pivots then leave the region, links unite components, and a region ends
+  when one component is left, so the recursion ends by itself, without a turn for
+  all pairs: a group of thousands of near copies costs about one comparison for
+  each copy.
 
 The order comes from a fixed-size sketch of shingle frequencies. It affects
 speed alone: any order gives the same, exact result. Sets equal to each other
@@ -32,47 +35,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadlake.llm.common import components, drop_written, release, written
+from threadlake.llm.common import components, drop_written, narrow, release, written
+from threadlake.llm.shingles import pieces, shingled
 
 SKETCH_BITS = 20  # the sketch has 2**SKETCH_BITS counters
 CHUNK_BITS = 14
-SMALL = 2_000_000  # ids in a broadcast side
-
-
-class Shingler:
-    """Hashes of the distinct k-word shingles of a text; words are lower-cased (A-Z) runs of non-blank bytes."""
-
-    def __init__(self, k: int, most: int = 500_000):
-        self.k, self.most, self.words = k, most, {}
-        rng = np.random.default_rng(20240611)
-        self.factors = rng.integers(1, 2**63, k, dtype="uint64") * np.uint64(2) + np.uint64(1)
-
-    def word(self, w: bytes) -> int:
-        if len(self.words) > self.most:
-            self.words.clear()
-        h = self.words[w] = xxhash.xxh3_64_intdigest(w)
-        return h
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        """Sorted; with fewer than k words the whole sequence is one shingle; without words none."""
-        runs = (text or "").encode("utf-8", "replace").lower().split()
-        if not runs:
-            return np.zeros(0, "uint64")
-        get = self.words.get
-        h = np.array([get(w) or self.word(w) for w in runs], "uint64")
-        if len(h) < self.k:
-            return np.array([xxhash.xxh3_64_intdigest(h.tobytes(), seed=len(h))], "uint64")
-        n = len(h) - self.k + 1
-        out = np.zeros(n, "uint64")
-        for j, f in enumerate(self.factors):
-            out += (h[j : j + n] ^ (h[j : j + n] >> np.uint64(29))) * f
-        out ^= out >> np.uint64(31)
-        out *= np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(32)
-        return np.unique(out)
+SALTED = 1_000  # comparisons with one pivot that share a task's read of its text
 
 
 def least_shared(n: int, percent: int) -> int:
@@ -80,6 +51,15 @@ def least_shared(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def packed(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+    pack = zstandard.ZstdCompressor(level=1).compress
+    return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([pack(c.astype("uint32").tobytes()) for c in sums.values()], pa.binary())], names=["chunk", "block"])
+
+
+def unpacked(block: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(block), "uint32")
+
+
 def frequencies(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
     """Counts of shingles by the high bits of their hash, summed over all documents.
 
@@ -89,34 +69,39 @@ def frequencies(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
     size = 1 << SKETCH_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, total, held = Shingler(k), np.zeros(size, "uint32"), []
+        total, held, waiting = np.zeros(size, "int64"), [], 0
+
+        def add() -> None:
+            nonlocal waiting
+            if held:
+                total.__iadd__(np.bincount(np.concatenate(held), minlength=size))
+            held.clear()
+            waiting = 0
+
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.append((shingles(text) >> np.uint64(64 - SKETCH_BITS)).astype("int64"))
-                if sum(map(len, held[-1:])) and len(held) >= 2000:
-                    total += np.bincount(np.concatenate(held), minlength=size).astype("uint32")
-                    held = []
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=size).astype("uint32")
+            for _, raw, bounds in pieces(batch.column(0)):
+                held.append((shingled(raw, bounds, k)[0] >> np.uint64(64 - SKETCH_BITS)).astype("int64"))
+                waiting += len(held[-1])
+                if waiting >= size:
+                    add()
+        add()
         if total.any():
-            chunks = total.reshape(-1, 1 << CHUNK_BITS)
-            pack = zstandard.ZstdCompressor(level=1).compress
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array([pack(c.tobytes()) for c in chunks])], names=["chunk", "block"])
+            yield packed(dict(enumerate(total.reshape(-1, 1 << CHUNK_BITS))))
 
-    def add(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def merge(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in blocks:
             for chunk, block in zip(batch.column("chunk").to_pylist(), batch.column("block").to_pylist()):
-                got = np.frombuffer(zstandard.ZstdDecompressor().decompress(block), "uint32")
-                sums[chunk] = sums[chunk] + got if chunk in sums else got
+                sums[chunk] = sums[chunk] + unpacked(block) if chunk in sums else unpacked(block)
         if sums:
-            pack = zstandard.ZstdCompressor(level=1).compress
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([pack(c.tobytes()) for c in sums.values()])], names=["chunk", "block"])
+            yield packed(sums)
 
-    parts = docs.select(text_col).mapInArrow(count, "chunk int, block binary").repartition("chunk").mapInArrow(add, "chunk int, block binary")
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    parts = written(texts.mapInArrow(count, "chunk int, block binary").repartition("chunk").mapInArrow(merge, "chunk int, block binary"))
     out = np.zeros((size >> CHUNK_BITS, 1 << CHUNK_BITS), "uint32")
     for row in parts.collect():
-        out[row.chunk] += np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(row.block)), "uint32")
+        out[row.chunk] += unpacked(bytes(row.block))
+    drop_written(parts)
     return out.ravel()
 
 
@@ -125,140 +110,165 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int)
     table = docs.sparkSession.sparkContext.broadcast(frequencies(docs, text_col, k))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(k)
+        often = table.value
         for batch in batches:
-            sizes, digests, rows = [], [], []
-            for text in batch.column("text").to_pylist():
-                s = shingles(text)
-                n = len(s)
-                take = n - least_shared(n, percent) + 1 if n else 0
-                often = table.value[(s >> np.uint64(64 - SKETCH_BITS)).astype("int64")]
-                order = np.lexsort((s, often))[:take]
-                sizes.append(n)
-                digests.append(xxhash.xxh3_128_digest(s.tobytes()))
-                rows.append(s[order].view("int64"))
-            ends = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype("int32")
-            flat = np.concatenate([*rows, np.zeros(0, "int64")])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(ends, flat)],
-                names=["id", "n", "digest", "prefix"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+            for at, raw, bounds in pieces(batch.column("text")):
+                flat, ends = shingled(raw, bounds, k)
+                sizes, digests, rows = [], [], []
+                for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                    s = np.unique(flat[a:b])
+                    n = len(s)
+                    take = n - least_shared(n, percent) + 1 if n else 0
+                    count = often[(s >> np.uint64(64 - SKETCH_BITS)).astype("int64")]
+                    sizes.append(n)
+                    digests.append(xxhash.xxh3_128_digest(s.tobytes()))
+                    rows.append(s[np.argsort(count, kind="stable")[:take]].view("int64"))
+                places = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype("int32")
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").slice(at, len(sizes)), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(places, np.concatenate(rows))],
+                    names=["id", "n", "digest", "prefix"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return written(rows.mapInArrow(first, "id long, n long, digest binary, prefix array<long>"))
 
 
-def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by their first column, those whose value occurs twice or more; nothing is buffered but a row."""
-    last, last_kept = None, False
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if last is not None:
-            batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
-        key = batch.column(0).to_numpy()
-        same = key[1:] == key[:-1]
-        keep = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-        out = keep.copy()
-        if last is not None and last_kept:
-            out[0] = False  # was given out with the batch before
-        last, last_kept = batch.slice(batch.num_rows - 1), bool(keep[-1])
-        yield batch.filter(pa.array(out))
-
-
-def compared(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """``a, b, shared, united`` for each pair of ids, from whole texts (repeated ids: the best of their rows).
+def compared(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """``a, b, p, d, linked`` for each of ``pairs`` (``a < b, p`` one of them), from whole texts (repeated ids: the nearest of their rows).
 
+    A pivot's text travels once for every ``SALTED`` of its pairs, another's
+    once for each pair; if the wanted ids are few, texts are picked at the scan.
     Texts travel, not sets: they compress, and hashes do not.
     """
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(k)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                sets: dict[str, np.ndarray] = {}  # a pivot's text comes again and again
-                both, united = [], []
-                for pair in zip(batch.column("s").to_pylist(), batch.column("t").to_pylist()):
-                    x, y = (sets[t] if t in sets else sets.setdefault(t, shingles(t)) for t in pair)
-                    place = np.searchsorted(x, y)
-                    m = int((x[np.minimum(place, len(x) - 1)] == y).sum()) if len(x) else 0
-                    both.append(m)
-                    united.append(len(x) + len(y) - m)
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both, pa.int64()), pa.array(united, pa.int64())], names=["a", "b", "shared", "united"])
-
-    needed = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-    side = F.broadcast(needed) if needed.count() <= SMALL else needed  # ids only, so that the corpus needs no shuffle
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(side, "id", "left_semi")
-    joined = pairs.join(rows.select(F.col("id").alias("b"), F.col("text").alias("t")), "b").join(rows.select(F.col("id").alias("a"), F.col("text").alias("s")), "a")
-    out = joined.select("a", "b", "s", "t").mapInArrow(shared, "a long, b long, shared long, united long")
-    best = F.max_by(F.struct("shared", "united"), F.col("shared") / F.greatest("united", F.lit(1)))
-    out = written(out.groupBy("a", "b").agg(best.alias("m")).select("a", "b", "m.*"))
-    drop_written(needed)
-    release(docs.sparkSession)
+    def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sets = None, []  # one pivot's; its own rows come first
+        for batch in batches:
+            for at, raw, bounds in pieces(batch.column("text")):
+                part = batch.slice(at, len(bounds) - 1)
+                flat, ends = shingled(raw, bounds, k)
+                seen, far, linked = [], [], []
+                for i, (p, m) in enumerate(zip(part.column("p").to_pylist(), part.column("m").to_pylist())):
+                    y = np.unique(flat[ends[i] : ends[i + 1]])
+                    if m is None:
+                        if p != now:
+                            now, sets = p, []
+                        sets.append(y)
+                    elif p == now:
+                        best, link = 1.0, False
+                        for x in sets:
+                            if len(x) and len(y):
+                                small, large = (x, y) if len(x) < len(y) else (y, x)
+                                place = np.searchsorted(large, small)
+                                both = int((large[np.minimum(place, len(large) - 1)] == small).sum())
+                                united = len(x) + len(y) - both
+                                best, link = min(best, 1 - both / united), link or 100 * both >= percent * united
+                        seen.append((p, m))
+                        far.append(best)
+                        linked.append(link)
+                if seen:
+                    p, m = (np.array(c, "int64") for c in zip(*seen))
+                    yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(m), pa.array(far, pa.float64()), pa.array(linked, pa.bool_())], names=["p", "m", "d", "linked"])
+
+    spark = docs.sparkSession
+    salts = written(pairs.groupBy("p").agg(F.ceil(F.count("*") / SALTED).cast("int").alias("salts")))
+    heads = salts.select(F.col("p").alias("id"), "p", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("m"))
+    m = F.when(F.col("a") == F.col("p"), F.col("b")).otherwise(F.col("a"))
+    others = pairs.select("p", m.alias("m")).join(salts, "p").select(F.col("m").alias("id"), "p", F.pmod(F.xxhash64("m"), F.col("salts")).cast("int").alias("salt"), "m")
+    asked = written(heads.unionByName(others))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = texts.join(narrow(asked, 60), "id").select("p", "salt", "m", "text")
+    out = rows.repartition("p", "salt").sortWithinPartitions("p", "salt", F.col("m").asc_nulls_first()).mapInArrow(distances, "p long, m long, d double, linked boolean")
+    out = written(out.groupBy("p", "m").agg(F.min("d").alias("d"), F.max("linked").alias("linked")).select(F.least("p", "m").alias("a"), F.greatest("p", "m").alias("b"), "p", "d", "linked"))
+    drop_written(asked)
+    drop_written(salts)
+    release(spark)
     return out
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, rounds: int = 3, small: int = 1) -> DataFrame:
+def regions(reps: DataFrame) -> DataFrame:
+    """``token, id, n, pos``: the members of each region of two sets or more; of regions with the same members the first in the order.
+
+    Members are told apart by count, least and greatest id and a 64-bit hash of all.
+    """
+    held = reps.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
+    kinds = held.groupBy("token").agg(
+        F.count("*").alias("members"), F.min("id").alias("low"), F.max("id").alias("high"), F.bit_xor(F.xxhash64("id")).alias("all"), F.sum("pos").alias("places")).where("low <> high")
+    # a shingle earlier in the order is earlier in every member, so its places add up to less
+    kept = written(kinds.groupBy("members", "low", "high", "all").agg(F.min_by("token", "places").alias("token")).select("token"))
+    out = written(held.join(narrow(kept, 24), "token").select("token", "id", "n", "pos"))
+    drop_written(kept)
+    return out
+
+
+def windowed(x: Column, y: Column, r: float) -> Column:
+    """Whether the distances to every common pivot differ by at most r."""
+    return F.forall(F.map_entries(x), lambda e: F.coalesce(F.abs(e["value"] - F.try_element_at(y, e["key"])) <= F.lit(r + 1e-9), F.lit(True)))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, fan: int = 16) -> DataFrame:
     """``id, n_shingles, component_id`` for every row of ``docs``.
 
     Two documents link when ``100 * shared >= percent * united``; the component
     id is the smallest id reachable by links. Null or blank texts have no
-    shingles and link with nothing. Rows with the same id are one node. Rows
-    with a null id link with nothing and have a null component. An empty table
-    gives an empty one; other columns are not read.
+    shingles and link with nothing. Rows with the same id are one node, linked
+    if any of them is; ids are cast to long, so text that is no number is an
+    error under ANSI. Rows with a null id link with nothing and have a null
+    component. An empty table gives an empty one; other columns are not read.
     """
-    r = 1 - percent / 100
+    spark, r = docs.sparkSession, 1 - percent / 100
     base = prefixes(docs, id_col, text_col, k, percent)
     named = base.where("n > 0 and id is not null")
     classes = named.groupBy("digest").agg(F.min("id").alias("rep"))
-    member = named.join(classes, "digest").select("id", "rep").distinct()
+    member = written(named.select("id", "digest").join(classes, "digest").select("id", "digest", "rep").distinct())
     copies = member.where("id <> rep").select(F.col("id").alias("src"), F.col("rep").alias("dst"))
-    reps = named.join(classes.select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi").select("id", "n", F.explode("prefix").alias("token"))
-    meet = reps.select("token", "id", "n").repartition("token").sortWithinPartitions("token").mapInArrow(repeated, "token long, id long, n long")
-    fits = lambda x, y: F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)  # noqa: E731  sizes alone allow a link
-    open_ = written(meet.withColumn("away", F.array().cast("array<double>")).withColumn("part", F.col("id")))
-    release(docs.sparkSession)
-    found, done = [], []
-    for turn in range(rounds + 1):
-        regions = open_.groupBy("token").agg(F.count("*").alias("members"), F.min_by(F.struct("id", "n"), F.struct(F.col("part") != F.col("id"), "id")).alias("p"))
-        rows = open_.join(regions, "token")
-        crowd = (F.col("members") > small) & F.lit(turn < rounds)
-        star = rows.where(crowd & (F.col("id") != F.col("p.id")) & fits(F.col("n"), F.col("p.n"))).select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
-        # regions of at most ``small`` members, and in the last turn whatever is left: the pairs in each other's windows
-        rest = rows.where(~crowd).select("token", "id", "n", "part", "away")
-        other = rest.select("token", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("part").alias("part2"), F.col("away").alias("away2"))
-        near = F.forall(F.zip_with("away", "away2", lambda x, y: F.coalesce(F.abs(x - y) <= F.lit(r + 1e-9), F.lit(True))), lambda x: x)
-        close = rest.join(other, "token").where((F.col("id") < F.col("id2")) & (F.col("part") != F.col("part2")) & fits(F.col("n"), F.col("n2")) & near)
-        pairs = star.unionByName(close.select(F.col("id").alias("a"), F.col("id2").alias("b"))).distinct()
-        for old in done:
-            pairs = pairs.join(old.select("a", "b"), ["a", "b"], "left_anti")
+    twice = member.groupBy("id").agg(F.min(F.xxhash64("digest")).alias("x"), F.max(F.xxhash64("digest")).alias("y")).where("x <> y").select("id")
+    twice = written(twice)
+    others = member.where("id <> rep").select("id", "digest")
+    reps = named.join(narrow(others, 80), ["id", "digest"], "left_anti").select("id", "n", "prefix")
+    open_ = regions(reps)
+    # ids with several texts have no place in the metric, so their distances prune nothing
+    open_ = open_.join(narrow(twice.withColumn("odd", F.lit(True)), 24), "id", "left").select("token", "id", "n", "pos", F.coalesce("odd", F.lit(False)).alias("odd"), F.col("id").alias("part"), F.map_from_arrays(F.array().cast("array<long>"), F.array().cast("array<double>")).alias("away"))
+    open_ = written(open_)
+    drop_written(twice)
+    release(spark)
+    done: list[DataFrame] = []
+    q = 1
+    while True:
+        sizes = open_.groupBy("token", "part").agg(F.count("*").alias("size"))
+        main = sizes.groupBy("token").agg(F.max(F.struct("size", "part"))["part"].alias("main"), F.count("*").alias("parts")).where("parts > 1").select("token", "main")
+        rows = written(open_.join(main, "token"))
+        drop_written(open_)
+        outside = rows.where("part <> main")
+        chosen = written(outside.groupBy("token", F.pmod(F.xxhash64("id"), F.lit(q)).alias("slot")).agg(F.min("id").alias("id")).select("token", "id"))
+        if chosen.isEmpty():
+            drop_written(rows)
+            drop_written(chosen)
+            break
+        pivot = rows.join(chosen, ["token", "id"], "left_semi").select("token", *[F.col(c).alias(f"p_{c}") for c in ("id", "n", "pos", "odd", "part", "away")])
+        fits = F.lit(100 + percent) * F.least(F.col("n") - F.col("pos"), F.col("p_n") - F.col("p_pos")) >= F.lit(percent) * (F.col("n") + F.col("p_n"))
+        near = F.col("odd") | F.col("p_odd") | windowed(F.col("away"), F.col("p_away"), r)
+        star = rows.join(pivot, "token").where((F.col("part") != F.col("p_part")) & fits & near)
+        pairs = star.groupBy(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).agg(
+            F.min("p_id").alias("p"), F.max(F.col("odd") | F.col("p_odd")).alias("odd"), F.min(F.least("part", "p_part")).alias("low"), F.max(F.greatest("part", "p_part")).alias("high"))
+        if done:
+            pairs = pairs.join(reduce(DataFrame.unionByName, [x.select("a", "b") for x in done]), ["a", "b"], "left_anti")
         pairs = written(pairs)
+        left = rows.join(chosen, ["token", "id"], "left_anti").drop("main")
         if not pairs.isEmpty():
-            seen = compared(pairs, docs, id_col, text_col, k)
-            found.append(seen.where(F.lit(100) * F.col("shared") >= F.lit(percent) * F.col("united")).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+            seen = compared(pairs, docs, id_col, text_col, k, percent)
             done.append(seen)
-        drop_written(pairs)
-        if turn == rounds:
-            break
-        parts = components(reduce(DataFrame.unionByName, found)) if found else None
-        none = docs.sparkSession.createDataFrame([], "a long, b long, d double")
-        measured = reduce(DataFrame.unionByName, [x.select("a", "b", (1 - F.col("shared") / F.col("united")).alias("d")) for x in done], none)
-        crowds = rows.where(crowd & (F.col("id") != F.col("p.id"))).select("token", "id", "n", "away", F.col("p.id").alias("p"), F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
-        left = crowds.join(measured, ["a", "b"], "left").withColumn("d", F.coalesce("d", F.lit(None).cast("double")))
-        if parts is not None:
-            left = left.join(parts.select(F.col("node").alias("id"), F.col("component").alias("part")), "id", "left").join(parts.select(F.col("node").alias("p"), F.col("component").alias("p_part")), "p", "left")
-        else:
-            left = left.withColumn("part", F.lit(None).cast("long")).withColumn("p_part", F.lit(None).cast("long"))
-        left = left.withColumn("part", F.coalesce("part", "id")).withColumn("p_part", F.coalesce("p_part", "p")).withColumn("away", F.concat("away", F.array("d")))
-        # the pivot's ball is one part; of it stay those in a window of a member outside
-        outside = F.col("part") != F.col("p_part")
-        edge = left.groupBy("token").agg(F.min(F.when(outside, F.coalesce("d", F.lit(0.0)))).alias("nearest"), F.min("part").alias("low"), F.max("part").alias("high"))
-        left = left.join(edge.where("low <> high"), "token").where(outside | F.col("d").isNull() | (F.col("d") + F.lit(r + 1e-9) >= F.col("nearest")))
-        nxt = written(left.select("token", "id", "n", "away", "part"))
-        drop_written(open_)
-        open_ = nxt
-        if open_.isEmpty():
-            break
-    links = reduce(DataFrame.unionByName, [*found, copies])
+            united = pairs.join(seen.where("linked").select("a", "b"), ["a", "b"], "left_semi").select(F.col("low").alias("src"), F.col("high").alias("dst"))
+            parts = components(united)
+            left = left.join(parts.withColumnRenamed("node", "part"), "part", "left").withColumn("part", F.coalesce("component", "part"))
+            m = F.when(F.col("a") == F.col("p"), F.col("b")).otherwise(F.col("a"))
+            even = seen.join(pairs.where("not odd").select("a", "b"), ["a", "b"], "left_semi")
+            far = even.groupBy(m.alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("p", "d"))).alias("more"))
+            left = left.join(far, "id", "left").withColumn("away", F.when(F.col("more").isNull(), F.col("away")).otherwise(F.map_concat("away", "more")))
+        open_ = written(left.select("token", "id", "n", "pos", "odd", "part", "away"))
+        for old in (rows, chosen, pairs):
+            drop_written(old)
+        release(spark)
+        q *= fan
+    links = reduce(DataFrame.unionByName, [x.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst")) for x in done], copies)
     out = base.select("id", F.col("n").alias("n_shingles")).join(components(links).withColumnRenamed("node", "id"), "id", "left")
     return out.select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
