@@ -11,15 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlake.llm.common import written
+from threadlake.llm.common import narrow, written
 from threadlake.llm.decontaminate import contamination
 from threadlake.llm.jaccard_join import jaccard_components
 from threadlake.llm.quality import train, with_score
 from threadlake.llm.queries import mixed, vocabulary
 from threadlake.llm.token_store import read_documents, write_shards
 
-SMALL = 2_000_000  # ids in a broadcast side; a larger one is joined by a shuffle
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labels, scores at 0.3 or more."""
@@ -28,18 +26,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked at five words and 0.8 the one with the smallest id; documents without an id all stay."""
-    groups = written(jaccard_components(docs.select("doc_id", "text"), k=5, percent=80))
-    ids = groups.where("id is not null")
-    gone = ids.where("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
-    side = F.broadcast(gone) if gone.count() <= SMALL else gone
-    kept = docs.join(side, "doc_id", "left_anti").select(*docs.columns)
-    if ids.select("id").distinct().count() == ids.count():
-        return kept
-    # rows that share an id are one document: the first text stays
-    named = kept.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*[F.col(c) for c in ["text", *[c for c in docs.columns if c not in ("doc_id", "text")]]])).alias("row"))
-    named = named.select("doc_id", "row.*").select(*docs.columns)
-    return named.unionByName(kept.where("doc_id is null"))
+    """Of each group of documents linked at five words and 0.8 the one with the smallest id.
+
+    Where ids are null or repeat, rows are linked by a number of their own, so
+    that rows which share an id stay if their texts differ; null ids go last.
+    """
+    ids = docs.agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("ids")).first()
+    if ids.rows == ids.ids:
+        groups = written(jaccard_components(docs.select("doc_id", "text"), k=5, percent=80))
+        gone = groups.where("id <> component_id").select(F.col("id").alias("doc_id"))
+        kept = docs.join(narrow(gone, 24), "doc_id", "left_anti")
+    else:
+        rows = written(docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), F.col("text").alias("text"), F.monotonically_increasing_id().alias("row")))
+        groups = jaccard_components(rows.select("row", "text"), id_col="row", k=5, percent=80).join(rows.select(F.col("row").alias("id"), F.col("doc.doc_id").alias("doc_id")), "id")
+        first = written(groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "id"))["id"].alias("row")).select("row"))
+        kept = rows.join(narrow(first, 24), "row", "left_semi").select("doc.*")
+    return kept.select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
