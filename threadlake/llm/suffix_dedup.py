@@ -33,10 +33,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlake.llm.common import drop_written, release, written
+from threadlake.llm.common import BROADCAST, drop_written, release, written
 
 GRAM = 8
-SMALL = 1_000_000  # rows (some 60 bytes each) in a broadcast side
 STEP = 16  # windows are first judged by strings a step apart
 
 
@@ -114,6 +113,75 @@ def grouped(batches: Iterator[pa.RecordBatch], judge: Callable) -> Iterator[pa.R
         yield emit(None)
 
 
+ROWS = 1 << 20  # rows that a task gathers before it deals them out
+
+
+class Blocks:
+    """Rows dealt out by a key as binary blocks of columns, a block for each bucket: what a shuffle moves is few rows.
+
+    A bucket is worked on as a whole, so there are as many as the rows ask for,
+    whatever the number of partitions.
+    """
+
+    schema = "bucket int, block binary"
+
+    def __init__(self, buckets: int, **kinds: str):
+        self.buckets, self.kinds = buckets, [np.dtype(k) for k in kinds.values()]
+
+    def spread(self, key: np.ndarray) -> np.ndarray:
+        return (((mix(key, key).view("uint64") >> np.uint64(32)) * np.uint64(self.buckets)) >> np.uint64(32)).astype("int64")
+
+    def dealt(self, bucket: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(bucket, kind="stable")
+        columns = [c[order].astype(k, copy=False) for c, k in zip(columns, self.kinds)]
+        bucket = bucket[order]
+        cuts = [*np.flatnonzero(changes(bucket)).tolist(), len(bucket)]
+        blocks = [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(cuts, cuts[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype("int32")), pa.array(blocks, pa.binary())], names=["bucket", "block"])
+
+    def opened(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """Each bucket's columns; blocks come sorted by bucket."""
+        width = sum(k.itemsize for k in self.kinds)
+        for bucket, table in by_first(batches):
+            parts = []
+            for block in table.column("block").to_pylist():
+                n, at, part = len(block) // width, 0, []
+                for k in self.kinds:
+                    part.append(np.frombuffer(block, k, n, at))
+                    at += n * k.itemsize
+                parts.append(part)
+            yield bucket, [np.concatenate(c) for c in zip(*parts)]
+
+    def shuffled(self, rows: DataFrame) -> DataFrame:
+        return rows.repartition("bucket").sortWithinPartitions("bucket")
+
+
+class Gathered:
+    """Columns held until there are ``ROWS`` rows."""
+
+    def __init__(self) -> None:
+        self.held, self.rows = [], 0
+
+    def add(self, *columns: np.ndarray) -> bool:
+        self.held.append(columns)
+        self.rows += len(columns[0])
+        return self.rows >= ROWS
+
+    def taken(self) -> list[np.ndarray]:
+        out = [np.concatenate(c) for c in zip(*self.held)]
+        self.held, self.rows = [], 0
+        return out
+
+
+def several(group: np.ndarray, *columns: np.ndarray) -> np.ndarray:
+    """For each row whether its group (``group`` is true at the first row of each) has rows that differ in any column."""
+    first = np.flatnonzero(group)
+    out = np.zeros(len(first), bool)
+    for c in columns:
+        out |= np.minimum.reduceat(c, first) != np.maximum.reduceat(c, first)
+    return out[np.cumsum(group) - 1]
+
+
 def changes(*columns: np.ndarray) -> np.ndarray:
     """True where a row differs from the one before it in any column (and for the first)."""
     out = np.zeros(len(columns[0]), bool)
@@ -123,69 +191,22 @@ def changes(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeats(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """One of equal rows, if another row has the same first ``width`` columns; rows come sorted.
-
-    What is carried over a batch border is one row and one flag, however large a group is.
-    """
-    prior, several, held = None, False, None
-
-    def emit(after: pa.RecordBatch | None) -> pa.RecordBatch:
-        nonlocal prior, several
-        parts = [x for x in (prior, held, after) if x is not None]
-        whole = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-        columns = [whole.column(i).to_numpy() for i in range(whole.num_columns)]
-        new, group = changes(*columns), changes(*columns[:width])
-        at = slice(int(prior is not None), int(prior is not None) + held.num_rows)
-        ends = np.append(new[1:], True)[at]  # the last of equal rows
-        more = np.append(~group[1:], False)[at]
-        new, group = new[at], group[at]
-        other = np.cumsum(new & ~group)
-        start = np.maximum.accumulate(np.where(group, np.arange(len(group)), -1))
-        earlier = np.where(start >= 0, other - other[start] > 0, several | (other > 0))
-        prior, several = held.slice(held.num_rows - 1), bool(earlier[-1])
-        return held.filter(pa.array(ends & (earlier | more)))
-
-    for batch in batches:
-        if batch.num_rows:
-            if held is not None:
-                yield emit(batch.slice(0, 1))
-            held = batch
-    if held is not None:
-        yield emit(None)
-
-
 def paired(columns: list[np.ndarray]) -> np.ndarray:
     """Blocks (key, shard, lo, hi, ...) whose key has two rows of suffixes or more."""
     group = changes(columns[0])
     return ~group | np.append(~group[1:], False) | (columns[3] - columns[2] > 1)
 
 
-def contested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (high, low, settled, text, place), sorted: those of strings that have two places or more, one of them not settled."""
-    prior, open_, held = None, False, None
+def by_text(text: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """Rows (text, places): the places of each text as 32-bit integers."""
+    order = np.argsort(text, kind="stable")
+    text, place = text[order], place[order].astype("<i4")
+    cuts = [*np.flatnonzero(changes(text)).tolist(), len(text)]
+    return pa.RecordBatch.from_arrays([pa.array(text[cuts[:-1]]), pa.array([place[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], names=["text", "places"])
 
-    def emit(after: pa.RecordBatch | None) -> pa.RecordBatch:
-        nonlocal prior, open_
-        parts = [x for x in (prior, held, after) if x is not None]
-        whole = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-        high, low, settled = (whole.column(i).to_numpy() for i in range(3))
-        at = slice(int(prior is not None), int(prior is not None) + held.num_rows)
-        group = changes(high, low)
-        several = (~group | np.append(~group[1:], False))[at]
-        group, settled = group[at], settled[at]
-        start = np.maximum.accumulate(np.where(group, np.arange(len(group)), -1))
-        unsettled = np.where(start >= 0, settled[start] == 0, open_)  # the first row of a string is not settled if any is
-        prior, open_ = held.slice(held.num_rows - 1), bool(unsettled[-1])
-        return held.filter(pa.array(several & unsettled)).select(["text", "place"])
 
-    for batch in batches:
-        if batch.num_rows:
-            if held is not None:
-                yield emit(batch.slice(0, 1))
-            held = batch
-    if held is not None:
-        yield emit(None)
+def placed(blob: bytes | None) -> np.ndarray:
+    return np.frombuffer(blob or b"", "<i4").astype("int64")
 
 
 def suffix_order(tokens: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
@@ -205,6 +226,8 @@ def build(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBa
     """Rows (shard, text, place, token), sorted, to a shard's transform (one row for each shard)."""
     for shard, table in by_first(batches):
         text, place, token = (table.column(i).to_numpy() for i in (1, 2, 3))
+        once = changes(text, place)  # rows of equal texts are one
+        text, place, token = text[once], place[once], token[once]
         starts = changes(text, place - np.arange(len(place)))  # runs of neighbouring repeated phrases
         ends = np.append(np.flatnonzero(starts)[1:], len(text))
         left = ends[np.cumsum(starts) - 1] - np.arange(len(text))
@@ -296,9 +319,9 @@ def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Windows:
     """The windows of one text: what the phrases say about each, and the core phrases' key."""
 
-    def __init__(self, raw: bytes, lengths: bytes, length: int, window: int, depth: int):
+    def __init__(self, raw: bytes, lengths: bytes, length: int, window: int, depth: int, at: np.ndarray | None = None):
         self.raw, self.length = raw, length
-        at = anchors(np.frombuffer(raw, "uint8"), window)
+        at = anchors(np.frombuffer(raw, "uint8"), window) if at is None else at
         most = np.zeros(len(at), "int64")
         known = np.frombuffer(lengths, "uint8")[: len(at)]
         most[: len(known)] = known
@@ -342,29 +365,60 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     than ``length`` keep everything; equal texts lose everything from ``length``
     bytes on. Rows may repeat, ids may be null; an empty table gives an empty
     one; other columns are not read. Equal texts, phrases and windows are
-    recognised by 64, 64 and 128 bits of hash.
+    recognised by 256, 64 and 128 bits of hash.
     """
     window = window or max(2, (length - GRAM) // 4 - 2)
     if length < 4 * window + GRAM or length <= STEP:
         raise ValueError("length is too small for the anchors' window")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.cast("binary").alias("raw")).withColumn("text", F.xxhash64("raw"))
-    base = written(rows.select("id", "text", F.octet_length("raw").cast("long").alias("n"), F.sha2("raw", 256).alias("sha")))
+    base = written(rows.select("id", "text", F.octet_length("raw").cast("long").alias("n"), F.unhex(F.sha2("raw", 256)).alias("sha")))
+    met = base.groupBy("text").agg(F.min("sha").alias("x"), F.max("sha").alias("y")).where("x <> y").select("text")
+    met = [r.text for r in met.collect()]  # different texts with one 64-bit hash: hardly ever one, so their number is chance alone
+    if met:
+        again = F.when(F.col("text").isin(met), F.xxhash64("raw", F.lit(1))).otherwise(F.col("text"))
+        rows = rows.withColumn("text", again)
+        base = written(rows.select("id", "text", F.octet_length("raw").cast("long").alias("n"), F.unhex(F.sha2("raw", 256)).alias("sha")))
+    total = base.where(F.col("n") >= length).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    deal = Blocks(max(1, total // (window // 2 * ROWS)), token="i8", text="i8", place="i4")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Phrases; those that a task meets at two places go on as they are, and a mark for all of them tells the others.
+
+        So of a phrase that is everywhere a task sends one row to the phrase's bucket.
+        """
+        held = Gathered()
+
+        def deal_out() -> pa.RecordBatch:
+            token, text, place = held.taken()
+            order = np.argsort(token)
+            token, text, place = token[order], text[order], place[order]
+            group = changes(token)
+            sure = several(group, text, place)
+            mark = group & sure
+            none = np.full(int(mark.sum()), -1)
+            bucket = np.concatenate((np.where(sure, deal.buckets + deal.spread(text), deal.spread(token)), deal.spread(token[mark])))
+            return deal.dealt(bucket, np.concatenate((token, token[mark])), np.concatenate((text, none)), np.concatenate((place, none)))
+
         for batch in batches:
-            tokens, texts, places = [], [], []
             for key, raw in zip(batch.column("text").to_pylist(), batch.column("raw").to_pylist()):
                 found = phrases(raw, anchors(np.frombuffer(raw, "uint8"), window))
-                tokens.append(signed(found))
-                texts.append(np.full(len(found), key, "int64"))
-                places.append(np.arange(len(found), dtype="int32"))
-            if tokens:
-                yield batch_of(token=np.concatenate(tokens), text=np.concatenate(texts), place=np.concatenate(places))
+                if held.add(signed(found), np.full(len(found), key, "int64"), np.arange(len(found), dtype="int64")):
+                    yield deal_out()
+        if held.rows:
+            yield deal_out()
+
+    def repeated_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, (token, text, place) in deal.opened(batches):
+            if bucket < deal.buckets:
+                order = np.argsort(token)
+                token, text, place = token[order], text[order], place[order]
+                keep = several(changes(token), text, place) & (place >= 0)
+                token, text, place = token[keep], text[keep], place[keep]
+            yield batch_of(token=token, text=text, place=place)
 
     long_enough = rows.where(F.octet_length("raw") >= length).select("text", "raw")
-    tokens = long_enough.mapInArrow(parse, "token long, text long, place int")
-    repeated = tokens.repartition("token").sortWithinPartitions("token", "text", "place").mapInArrow(lambda b: repeats(b, 1), "token long, text long, place int")
+    repeated = deal.shuffled(long_enough.mapInArrow(parse, deal.schema)).mapInArrow(repeated_phrases, "token long, text long, place int")
     repeated = written(repeated)
     release(docs.sparkSession)
     shards = max(1, -(-repeated.count() // shard_rows))
@@ -390,91 +444,146 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for level in [*levels, index]:
         drop_written(level)
     # the texts that hold repeated phrases, one of equals
-    groups = base.groupBy("text").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    groups = written(base.groupBy("sha", "text").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
     wanted = lengths.join(groups.select("text", "rep"), "text")
-    side = F.broadcast(wanted) if lengths.count() <= SMALL else wanted  # so that texts need no shuffle
+    room = lengths.agg(F.coalesce(F.sum(F.octet_length("lengths") + 80), F.lit(0))).first()[0]
+    side = F.broadcast(wanted) if room <= BROADCAST else wanted  # so that texts need no shuffle
     held = rows.join(side, "text").where(F.col("id").eqNullSafe(F.col("rep"))).select("text", "raw", "lengths")
-    view = lambda raw, known: Windows(raw, known, length, window, depth)
+    view = lambda raw, known, at: Windows(raw, known, length, window, depth, np.frombuffer(at, "<i4").astype("int64"))
 
     def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts with a window that may be repeated, their cores' keys, and whether all windows of a core are settled."""
+        """Texts with a window that may be repeated, their anchors and cores' keys, and whether all windows of a core are settled."""
         for batch in batches:
-            keep, keys, settled = [], [], []
+            keep, places, keys, settled = [], [], [], []
             for i, (raw, known) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("raw", "lengths")))):
-                w = view(raw, known)
+                w = Windows(raw, known, length, window, depth)
                 found, q = w.keys()
                 if len(found):
                     core, at = np.unique(found, return_inverse=True)
                     keep.append(i)
+                    places.append(w.at.astype("<i4").tobytes())
                     keys.append(core)
                     settled.append(np.bincount(at, w.open[q], len(core)) == 0)
-            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(keep, pa.int64())).columns, pa.array(keys, pa.list_(pa.int64())), pa.array(settled, pa.list_(pa.bool_()))], names=[*batch.schema.names, "cores", "settled"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.take(pa.array(keep, pa.int64())).columns, pa.array(places, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(settled, pa.list_(pa.bool_()))],
+                names=[*batch.schema.names, "at", "cores", "settled"])
 
-    held = written(held.mapInArrow(cores, "text long, raw binary, lengths binary, cores array<long>, settled array<boolean>"))
+    held = written(held.mapInArrow(cores, "text long, raw binary, lengths binary, at binary, cores array<long>, settled array<boolean>"))
     release(docs.sparkSession)
     kinds = held.select("text", F.explode(F.arrays_zip("cores", "settled")).alias("x")).select("text", F.col("x.cores").alias("core"), F.col("x.settled").alias("settled"))
     doubtful = kinds.where("not settled").select("core").distinct()
     asked = kinds.join(doubtful, "core", "left_semi").groupBy("text").agg(F.collect_list("core").alias("wanted"))
+    total = held.agg(F.coalesce(F.sum(F.octet_length("raw")), F.lit(0))).first()[0]
+    strings_of = Blocks(max(1, total // (4 * ROWS)), high="i8", low="i8", settled="u1", text="i8", place="i4")
+    texts_of = Blocks(strings_of.buckets, text="i8", place="i4")
+    known_columns = ("text", "raw", "lengths", "at", "wanted")
+
+    def dealt_strings(held: Gathered, whole: bool) -> pa.RecordBatch:
+        """Strings of a task by hash; those settled here go on as they are, and a mark for all of them tells the others.
+
+        A string is settled here if it has two places and (aligned strings) one whose windows are open.
+        """
+        high, low, settled, text, place = held.taken()
+        order = np.lexsort((low, high))
+        high, low, settled, text, place = (c[order] for c in (high, low, settled, text, place))
+        group = changes(high, low)
+        first = np.flatnonzero(group)
+        sure = several(group, text, place)
+        if not whole:
+            sure &= (np.minimum.reduceat(settled, first) == 0)[np.cumsum(group) - 1]
+        mark = group & sure
+        none = np.full(int(mark.sum()), -1)
+        stay = ~sure | (settled == 0) if whole else np.ones(len(high), bool)  # settled windows are partners only
+        bucket = np.concatenate((np.where(sure, strings_of.buckets + strings_of.spread(text), strings_of.spread(high))[stay], strings_of.spread(high[mark])))
+        return strings_of.dealt(bucket, *(np.concatenate((c[stay], more)) for c, more in ((high, high[mark]), (low, low[mark]), (settled, none + 1), (text, none), (place, none))))
+
+    def judged_strings(whole: bool) -> Callable:
+        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for bucket, (high, low, settled, text, place) in strings_of.opened(batches):
+                keep = np.ones(len(high), bool)
+                if bucket < strings_of.buckets:
+                    order = np.lexsort((low, high))
+                    high, low, settled, text, place = (c[order] for c in (high, low, settled, text, place))
+                    group = changes(high, low)
+                    keep = several(group, text, place)
+                    if not whole:
+                        keep &= (np.minimum.reduceat(settled, np.flatnonzero(group)) == 0)[np.cumsum(group) - 1]
+                keep &= place >= 0
+                if whole:
+                    keep &= settled == 0
+                if keep.any():
+                    yield texts_of.dealt(texts_of.spread(text[keep]), text[keep], place[keep])
+        return judge
+
+    def places_of(rows: DataFrame, whole: bool) -> DataFrame:
+        """``text, places`` of the strings that pass; a text's places come together by the text's bucket."""
+        passed = strings_of.shuffled(rows).mapInArrow(judged_strings(whole), texts_of.schema)
+        gathered = lambda batches: (by_text(text, place) for _, (text, place) in texts_of.opened(batches))
+        out = written(texts_of.shuffled(passed).mapInArrow(gathered, "text long, places binary"))
+        release(docs.sparkSession)
+        return out
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Strings STEP - 1 shorter at aligned places: a window cannot be repeated if the one in it is not."""
+        out = Gathered()
         for batch in batches:
-            for key, raw, known, some in zip(*(batch.column(c).to_pylist() for c in ("text", "raw", "lengths", "wanted"))):
-                w = view(raw, known)
+            for key, raw, known, at, some in zip(*(batch.column(c).to_pylist() for c in known_columns)):
+                w = view(raw, known, at)
                 found, q = w.keys()
                 q = q[np.isin(found, np.array(some, "int64"))]
-                place, at = np.unique(w.aligned(q), return_inverse=True)
+                place, where = np.unique(w.aligned(q), return_inverse=True)
                 high, low = w.digests(place, length - STEP + 1)
-                yield batch_of(high=high, low=low, settled=(np.bincount(at, w.open[q], len(place)) == 0).astype("int64"), text=np.full(len(place), key, "int64"), place=place.astype("int64"))
+                settled = np.bincount(where, w.open[q], len(place)) == 0
+                if len(place) and out.add(high, low, settled.astype("int64"), np.full(len(place), key, "int64"), place.astype("int64")):
+                    yield dealt_strings(out, False)
+        if out.rows:
+            yield dealt_strings(out, False)
 
-    short = held.select("text", "raw", "lengths").join(asked, "text").mapInArrow(near, "high long, low long, settled long, text long, place long")
-    alive = short.repartition("high").sortWithinPartitions("high", "low", "settled", "text", "place").mapInArrow(contested, "text long, place long")
-    alive = written(alive.groupBy("text").agg(F.collect_list("place").alias("wanted")))
-    release(docs.sparkSession)
+    short = held.select("text", "raw", "lengths", "at").join(asked, "text").mapInArrow(near, strings_of.schema)
+    alive = places_of(short, False).withColumnRenamed("places", "wanted")
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Whole windows at places that are left; settled ones only stand in as partners, once for each batch."""
+        """Whole windows at places that are left; settled ones only stand in as partners."""
+        out = Gathered()
         for batch in batches:
-            partners = []
-            for key, raw, known, some in zip(*(batch.column(c).to_pylist() for c in ("text", "raw", "lengths", "wanted"))):
-                w = view(raw, known)
+            for key, raw, known, at, some in zip(*(batch.column(c).to_pylist() for c in known_columns)):
+                w = view(raw, known, at)
                 q = np.flatnonzero(w.maybe)
-                q = q[np.isin(w.aligned(q), np.array(some, "int64"))]
+                q = q[np.isin(w.aligned(q), placed(some))]
                 high, low = w.digests(q, length)
-                unsure = w.open[q]
-                yield batch_of(high=high[unsure], low=low[unsure], text=np.full(int(unsure.sum()), key, "int64"), place=q[unsure])
-                partners.append(np.stack((high[~unsure], low[~unsure]), 1))
-            if partners:
-                both = np.unique(np.concatenate(partners), axis=0)
-                none = np.full(len(both), -1, "int64")
-                yield batch_of(high=both[:, 0].copy(), low=both[:, 1].copy(), text=none, place=none)
-
-    compared = held.select("text", "raw", "lengths").join(alive, "text").mapInArrow(strings, "high long, low long, text long, place long")
-    same = compared.repartition("high").sortWithinPartitions("high", "low", "text", "place").mapInArrow(lambda b: repeats(b, 2), "high long, low long, text long, place long")
-    places = same.where("place >= 0").groupBy("text").agg(F.collect_list("place").alias("places"))
+                if len(q) and out.add(high, low, (~w.open[q]).astype("int64"), np.full(len(q), key, "int64"), q):
+                    yield dealt_strings(out, True)
+        if out.rows:
+            yield dealt_strings(out, True)
+
+    compared = held.select("text", "raw", "lengths", "at").join(alive, "text").mapInArrow(strings, strings_of.schema)
+    places = places_of(compared, True)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for key, raw, known, found in zip(*(batch.column(c).to_pylist() for c in ("text", "raw", "lengths", "places"))):
-                w = view(raw, known)
+            for key, raw, known, at, found in zip(*(batch.column(c).to_pylist() for c in ("text", "raw", "lengths", "at", "places"))):
+                w = view(raw, known, at)
                 hit = w.sure.copy()
-                hit[np.array(found or [], "int64")] = True
+                hit[placed(found)] = True
                 edge = np.zeros(len(raw) + 1, "int64")
                 q = np.flatnonzero(hit)
                 edge[q] += 1
                 edge[q + length] -= 1
                 gone = np.cumsum(edge[:-1]) > 0
                 kept = np.frombuffer(raw, "uint8")[~gone].tobytes()
-                out.append((key, int(gone.sum()), int((gone & ~np.append(False, gone[:-1])).sum()), hashlib.sha256(kept).hexdigest()))
+                out.append((key, int(gone.sum()), int((gone & ~np.append(False, gone[:-1])).sum()), hashlib.sha256(kept).digest()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["text", "removed", "spans", "rest"])
 
-    cuts = held.select("text", "raw", "lengths").join(places, "text", "left").mapInArrow(cut, "text long, removed long, spans long, rest string").dropDuplicates(["text"])
-    out = base.join(groups.select("text", "copies"), "text").join(cuts, "text", "left")
+    cuts = held.select("text", "raw", "lengths", "at").join(places, "text", "left").mapInArrow(cut, "text long, removed long, spans long, rest binary")
+    cuts = written(cuts.dropDuplicates(["text"]))
+    for old in (held, lengths, places):
+        drop_written(old)
+    out = base.join(groups.select("sha", F.col("copies")), "sha").join(cuts, "text", "left")
     whole = (F.col("copies") > 1) & (F.col("n") >= length)
     return out.select(
         "id", F.col("n").alias("n_bytes"), F.when(whole, F.col("n")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"),
         F.when(whole, F.lit(1)).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("rest", "sha")).alias("kept_sha256"),
+        F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.lower(F.hex(F.coalesce("rest", "sha")))).alias("kept_sha256"),
     )
