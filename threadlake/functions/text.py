@@ -134,6 +134,17 @@ def link_action(url: Column) -> Column:
     return F.when(scheme.isin(OPENED), "open").when(scheme.isin(CONFIRMED), "confirm").otherwise("block")
 
 
+def host_allowed(url: Column, hosts: Iterable[str]) -> Column:
+    """Whether a url's host is one of a list, whatever its case, port or user part; null and hostless urls are not."""
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1))
+    return F.coalesce((host != "") & host.isin([h.strip().lower() for h in hosts]), F.lit(False))
+
+
+def error_text(body: Column, most: int = 300) -> Column:
+    """A provider's error body on one line, at most ``most`` characters."""
+    return F.substring(F.trim(F.regexp_replace(body, r"[\r\n]+", " ")), 1, most)
+
+
 def capped(text: Column, most: int = 200) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("…"))).otherwise(text)
 
@@ -143,13 +154,38 @@ def decoded_bound(encoding: Column, size: Column) -> Column:
     return F.when(F.lower(F.trim(encoding)) == "base64", F.floor(size * 3 / 4)).otherwise(size).cast("long")
 
 
+# What marks a forwarded message, and the names of the header lines below the mark.
+FORWARD_MARKS = "(?i)forwarded message|original message"
+FORWARD_HEADERS = "(?i)^(from|to|cc|bcc|date|sent|subject):"
+LINE_ENDS = r"\r\n|[\n\x0B\x0C\r\x{85}\x{2028}\x{2029}]"
+
+
 def original_sender(body: Column) -> Column:
-    """Of a forwarded message the sender named within ten lines of the marker line; null otherwise."""
-    lines = F.split(body, "\n")
-    marker = F.array_position(F.transform(lines, lambda x: x.rlike("(?i)forwarded message|original message")), F.lit(True))
-    after = F.slice(lines, F.greatest(marker, F.lit(1)).cast("int") + 1, 10)
-    named = F.get(F.filter(F.transform(after, lambda x: F.regexp_extract(x, r"(?i)^[>*\s]*(?:from|von):\s*\**\s*(.+?)\s*$", 1)), lambda x: x != ""), 0)
-    return F.when(marker > 0, named)
+    """Of a forwarded message the sender that the first From line (German: Von) within ten lines of a marker names; null otherwise."""
+    lines = F.split(body, LINE_ENDS)
+
+    def below(line: Column, at: Column) -> Column:
+        heads = F.filter(F.slice(lines, at + 2, 10), lambda x: x.rlike("(?i)^[ \t]*(from|von):"))
+        return F.when(line.rlike(FORWARD_MARKS), F.get(heads, 0))
+
+    found = F.get(F.array_compact(F.transform(lines, below)), 0)
+    return F.nullif(F.regexp_extract(found, r"^[ \t]*[^:]*:[ \t]*(.*?)[ \t]*$", 1), F.lit(""))
+
+
+def strip_forward_header(body: Column) -> Column:
+    """Without the first marker line and the header lines below it (and the blank lines around those); verbatim without a marker."""
+    lines = F.split(body, LINE_ENDS)
+    size = F.size(lines)
+    first = lambda items, test: F.array_position(F.transform(items, test), F.lit(True)).cast("int")
+    blank = lambda x: F.trim(F.replace(x, F.lit("\t"), F.lit(" "))) == ""
+    mark = first(lines, lambda x: x.rlike(FORWARD_MARKS))
+    after = F.slice(lines, F.greatest(mark, F.lit(1)) + 1, size)
+    filled = first(after, lambda x: ~blank(x))
+    heads = F.when(filled > 0, F.slice(after, F.greatest(filled, F.lit(1)), size)).otherwise(F.array().cast("array<string>"))
+    end = first(heads, lambda x: blank(x) | ~F.trim(x).rlike(FORWARD_HEADERS))
+    rest = F.slice(heads, F.greatest(end, F.lit(1)), size)
+    rest = F.when(end == 0, F.array().cast("array<string>")).when(blank(F.get(rest, 0)), F.slice(rest, 2, size)).otherwise(rest)
+    return F.when(mark > 0, trimmed(F.array_join(F.concat(F.slice(lines, 1, F.greatest(mark, F.lit(1)) - 1), rest), "\n"))).otherwise(body)
 
 
 def quoted_sender(selection: Column, most: int = 20_000) -> Column:

@@ -7,22 +7,23 @@ import binascii
 import email.header
 import quopri
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import UTC
+from email.errors import MessageError
 from email.utils import parsedate_to_datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlake.functions.text import mailbox_of
+from threadlake.functions.text import html_to_text, mailbox_of, original_sender, strip_boilerplate, strip_forward_header, trimmed
 
 # Limits, and the mailboxes that are read.
 MAX_FILE, MAX_ATTACHMENT, MAX_DEPTH = 100 * 1024 * 1024, 25 * 1024 * 1024, 32
 MAILBOXES = ["inbox", "sent", "sent items", "sent messages"]
-RECORD = """path string, source_id long, error string, message_id string, subject string, sender string, date_unix long, body_text string,
+RECORD = """path string, source_id long, error string, message_id string, subject string, sender string, recipient string, date_unix long, texts array<struct<kind:string,text:string>>,
  in_reply_to string, references array<string>, list_unsubscribe string, list_id string, precedence string, auto_submitted string,
- attachments array<struct<filename:string,size:long>>, skipped array<string>"""
+ attachments array<struct<filename:string,size:long,text:string>>, skipped array<string>"""
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
@@ -90,19 +91,17 @@ def content_type(value: str) -> tuple[str, dict[str, str]]:
 
 
 def split_parts(body: str, boundary: str) -> list[str]:
-    """Sections between boundary lines; an unterminated last one counts, text before the first does not."""
+    """Sections between boundary lines up to the closing one; an unterminated last one counts, text before the first does not."""
     out: list[list[str]] = []
-    inside = False
     for line in body.split("\n"):
-        mark = line.strip()
+        mark = line.strip(" \t")
+        if mark == f"--{boundary}--":
+            break
         if mark == f"--{boundary}":
             out.append([])
-            inside = True
-        elif mark == f"--{boundary}--":
-            inside = False
-        elif inside:
+        elif out:
             out[-1].append(line)
-    return ["\n".join(x) for x in out]
+    return [x for x in map("\n".join, out) if x]
 
 
 def decoded_words(value: str | None) -> str | None:
@@ -111,7 +110,7 @@ def decoded_words(value: str | None) -> str | None:
         return None
     try:
         return str(email.header.make_header(email.header.decode_header(value)))
-    except (LookupError, UnicodeError, ValueError):
+    except (LookupError, UnicodeError, ValueError, MessageError):
         return value
 
 
@@ -146,21 +145,20 @@ def collect(part: str, depth: int, out: dict) -> None:
         children = split_parts(body, options["boundary"])
         if kind == "multipart/alternative":
             kinds = [content_type(first(headers(c.partition("\n\n")[0]), "content-type") or "text/plain")[0] for c in children]
-            pick = next((kinds.index(k) for k in ("text/plain", "text/html") if k in kinds), None)
-            children = [children[pick]] if pick is not None else children
+            children = next(([children[kinds.index(k)]] for k in ("text/plain", "text/html") if k in kinds), [])
         for child in children:
             collect(child, depth + 1, out)
         return
-    name = options.get("name") or content_type(first(heads, "content-disposition") or "")[1].get("filename")
-    if kind == "application/pdf":
+    name = content_type(first(heads, "content-disposition") or "")[1].get("filename") or options.get("name")
+    if kind == "application/pdf" or (name or "").lower().endswith(".pdf"):
         bound = len(body) * 3 // 4 if encoding == "base64" else len(body)
         data = transfer_decoded(body, encoding) if bound <= MAX_ATTACHMENT else None
         if data is None or len(data) > MAX_ATTACHMENT:
             out["skipped"].append(name or "attachment.pdf")
-        else:
-            out["attachments"].append({"filename": name or "attachment.pdf", "size": len(data)})
-    elif kind in ("text/plain", "text/html") and not (first(heads, "content-disposition") or "").lower().startswith("attachment"):
-        out["texts"].append((kind, in_charset(transfer_decoded(body, encoding), options.get("charset"))))
+        elif data:
+            out["attachments"].append({"filename": name or "attachment.pdf", "size": len(data), "text": out["extract"](data)})
+    elif kind in ("text/plain", "text/html"):
+        out["texts"].append({"kind": kind, "text": in_charset(transfer_decoded(body, encoding), options.get("charset"))})
 
 
 def unix_date(value: str | None) -> int:
@@ -172,23 +170,39 @@ def unix_date(value: str | None) -> int:
         return 0
 
 
-def parsed(data: bytes) -> dict:
+def no_text(data: bytes) -> None:
+    """No library here reads PDF, so an attachment has no text unless a caller's extractor gives one."""
+
+
+def parsed(data: bytes, extract: Callable[[bytes], str | None] = no_text) -> dict:
+    """The record of a mail file, its texts by kind; ``extract`` gives the text of a PDF."""
     text = framed(data).decode("latin-1").replace("\r\n", "\n")
     heads = headers(text.partition("\n\n")[0])
-    out: dict = {"texts": [], "attachments": [], "skipped": []}
+    out: dict = {"texts": [], "attachments": [], "skipped": [], "extract": extract}
     collect(text, 0, out)
     bare = lambda x: re.sub(r"^[\s<>]+|[\s<>]+$", "", x)
     get = lambda n: first(heads, n)
-    bodies = [t if k == "text/plain" else re.sub(r"<[^<>]+>", " ", t) for k, t in out["texts"]]
     return {
         "message_id": bare(get("message-id") or ""), "subject": decoded_words(get("subject")) or "", "sender": decoded_words(get("from")) or "",
-        "date_unix": unix_date(get("date")), "body_text": "\n\n".join(b.strip() for b in bodies).strip(), "in_reply_to": bare(get("in-reply-to") or "") or None,
+        "recipient": decoded_words(get("to")) or "", "date_unix": unix_date(get("date")), "texts": out["texts"], "in_reply_to": bare(get("in-reply-to") or "") or None,
         "references": [r for r in map(bare, (get("references") or "").split()) if r], "list_unsubscribe": get("list-unsubscribe"), "list_id": get("list-id"),
         "precedence": get("precedence"), "auto_submitted": get("auto-submitted"), "attachments": out["attachments"], "skipped": out["skipped"]}
 
 
-def parse_files(files: DataFrame) -> DataFrame:
-    """``files`` (``path, content``) to records; a file that fails is a record with ``error`` alone (dead letters)."""
+def visible(texts: Column) -> Column:
+    """The texts of a mail as one: HTML as its visible text, paragraphs of boilerplate left out, empty ones too."""
+    plain = lambda t: F.when(t.kind == "text/html", strip_boilerplate(html_to_text(t.text))).otherwise(strip_boilerplate(trimmed(t.text)))
+    return trimmed(F.array_join(F.filter(F.transform(texts, plain), lambda t: t != ""), "\n\n"))
+
+
+def parse_files(files: DataFrame, extract: Callable[[bytes], str | None] = no_text) -> DataFrame:
+    """``files`` (``path, content``) to records; a file that fails is a record with ``error`` alone (dead letters).
+
+    ``body_text`` is what is shown of the texts, without the header block of a
+    forwarded message, whose author is ``original_sender``. ``extract`` gets the
+    bytes of a PDF and gives its text or None (unreadable, locked, empty); it has
+    to be a function that the workers can import.
+    """
     columns = [f.split()[0] for f in re.sub(r"<[^ ]*>", "", RECORD).replace("\n", " ").split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,13 +212,16 @@ def parse_files(files: DataFrame) -> DataFrame:
                 found = re.search(r"([0-9]+)(\.partial)?\.emlx$", path)
                 row = dict.fromkeys(columns) | {"path": path, "source_id": int(found[1]) if found else None}
                 try:
-                    row |= parsed(bytes(content))
-                except ValueError as e:
-                    row["error"] = str(e)
+                    row |= parsed(bytes(content), extract)
+                except Exception as e:  # whatever a file does, the job goes on
+                    row["error"] = str(e) or type(e).__name__
                 rows.append(row)
             out = pd.DataFrame(rows, columns=columns, dtype=object)
             out["source_id"] = out["source_id"].astype("Int64")
             out["date_unix"] = out["date_unix"].astype("Int64")
             yield out
 
-    return files.select("path", "content").mapInPandas(run, RECORD)
+    rows = files.select("path", "content").mapInPandas(run, RECORD)
+    whole = visible(F.col("texts"))
+    rows = rows.withColumn("whole", whole)
+    return rows.withColumns({"original_sender": original_sender(F.col("whole")), "body_text": strip_forward_header(F.col("whole"))}).drop("whole", "texts")
