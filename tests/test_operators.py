@@ -91,6 +91,43 @@ def test_upsert_and_latest(spark):
     assert latest(old.unionByName(new), ["k"], ["pk"]).where("k = 2").first().pk == 99
 
 
+@pytest.mark.parametrize(("question", "first", "last"), [
+    ("first week of march or april 2025", (2025, 3, 1), (2025, 3, 7)), ("last week of march and march 2025", (2025, 3, 25), (2025, 3, 31)),
+    ("march 5 or 10.06.2025", (2025, 3, 5), (2025, 6, 10)), ("zweite Woche im Juni 2025", (2025, 6, 8), (2025, 6, 14)), ("march and may 2025", (2025, 3, 1), (2025, 5, 31))])
+def test_ranges_of_several_months(question, first, last):
+    assert unix_range(question, NOW) == (day(*first), day(*last) + 86399)
+
+
+def test_replay_is_the_plain_one():
+    def plain(order):
+        thread, namers = {}, {}
+        for own, parent, refs in order:
+            ahead = [x for x in (parent, *reversed(refs)) if x]
+            mine = next((thread[x] for x in ahead if x in thread), own)
+            thread[own] = mine
+            gone = {thread[x] for x in namers.get(own, ())} - {mine}
+            thread = {k: mine if v in gone else v for k, v in thread.items()}
+            for x in dict.fromkeys(ahead):
+                namers.setdefault(x, []).append(own)
+        return thread
+
+    rng = random.Random(1)
+    for _ in range(500):
+        ids = [f"m{i}" for i in range(rng.randrange(1, 14))]
+        order = [(i, rng.choice([*ids, None]), [rng.choice(ids) for _ in range(rng.randrange(3))]) for i in rng.sample(ids, len(ids))]
+        assert T.replayed(order) == plain(order)
+
+
+def test_stuck_jobs_go_back_when_the_watermark_has_passed(spark):
+    from threadlake.streaming import arrivals as A
+
+    rows = [(0, 1, "claim", 1, "2024-01-01 00:00:00"), (0, 2, "claim", 2, "2024-01-01 00:00:10"), (0, 2, "personal", 3, "2024-01-01 00:00:11"), (1, 3, "claim", 4, "2024-01-01 02:00:00"), (2, 4, "claim", 5, "2024-01-01 02:00:01"), (3, 5, "claim", 6, "2024-01-01 02:00:02")]
+    df = spark.createDataFrame(rows, "part int, source_id long, event string, seq long, at string").withColumn("at", F.col("at").cast("timestamp"))
+    stream = A.replayed(df, "part", 4).withWatermark("at", "10 seconds")
+    got = {r.source_id: r.state for r in A.drained(A.job_states(stream, 600), "update", ["source_id"]).collect()}
+    assert got == {1: "pending", 2: "eligible", 3: "classifying", 4: "classifying", 5: "classifying"}
+
+
 def test_replay_depends_on_order():
     assert T.replayed([("c", "a", ["a", "b"]), ("a", None, []), ("b", None, [])]) == {"c": "b", "a": "b", "b": "b"}
     assert T.replayed([("a", None, []), ("b", None, []), ("c", "b", ["a", "b"])]) == {"a": "a", "b": "b", "c": "b"}

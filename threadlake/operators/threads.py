@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,39 +48,89 @@ def components(links: DataFrame, nodes: DataFrame, max_rounds: int = 50) -> Data
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def replayed(order: Sequence[tuple[str, str | None, Sequence[str]]]) -> dict[str, str]:
-    """Thread ids of messages that arrive in this order: (id, replied-to id, references).
+class Replay:
+    """Thread ids of messages taken in the order of their arrival: (id, replied-to id, references).
 
     A message joins the thread of the nearest known ancestor, else founds one;
-    then every thread with a message that named it is merged into its own.
+    then every thread with a message that named it is merged into its own. Threads
+    are a forest: a merge is one link, whatever the threads' sizes, and a root
+    keeps the name of the thread that took the others in.
     """
-    thread: dict[str, str] = {}
-    namers: dict[str, list[str]] = {}
-    for own, parent, refs in order:
+
+    def __init__(self) -> None:
+        self.node: dict[str, int] = {}
+        self.above: list[int] = []
+        self.weight: list[int] = []
+        self.name: list[str] = []
+        self.namers: dict[str, list[str]] = {}
+
+    def root(self, x: int) -> int:
+        while self.above[x] != x:
+            self.above[x] = x = self.above[self.above[x]]
+        return x
+
+    def founded(self, name: str) -> int:
+        self.above.append(len(self.above))
+        self.weight.append(1)
+        self.name.append(name)
+        return self.above[-1]
+
+    def take(self, own: str, parent: str | None, refs: Sequence[str]) -> None:
         ahead = [x for x in (parent, *reversed(list(refs))) if x]
-        mine = next((thread[x] for x in ahead if x in thread), own)
-        thread[own] = mine
-        merged = {thread[x] for x in namers.get(own, ()) if x in thread} - {mine}
-        if merged:
-            thread = {k: mine if v in merged else v for k, v in thread.items()}
+        near = next((x for x in ahead if x in self.node), None)
+        mine = self.founded(own) if near is None else self.root(self.node[near])
+        self.node[own] = mine
+        for x in self.namers.pop(own, ()):
+            other = self.root(self.node[x])
+            if other != mine:
+                name = self.name[mine]
+                low, high = (other, mine) if self.weight[other] <= self.weight[mine] else (mine, other)
+                self.above[low] = high
+                self.weight[high] += self.weight[low]
+                self.name[high], mine = name, high
         for x in dict.fromkeys(ahead):
-            namers.setdefault(x, []).append(own)
-    return thread
+            self.namers.setdefault(x, []).append(own)
+
+    def threads(self) -> dict[str, str]:
+        return {m: self.name[self.root(x)] for m, x in self.node.items()}
+
+
+def replayed(order: Iterable[tuple[str, str | None, Sequence[str]]]) -> dict[str, str]:
+    """``{message id: thread id}``; see :class:`Replay`."""
+    run = Replay()
+    for own, parent, refs in order:
+        run.take(own, parent, refs)
+    return run.threads()
 
 
 def replay(messages: DataFrame, links: DataFrame) -> DataFrame:
     """``message_id, thread_id``: the replay inside each component, which no relabelling ever leaves.
 
-    ``messages`` has ``pk, message_id, in_reply_to, references, arrival``.
+    ``messages`` has ``pk, message_id, in_reply_to, references, arrival``. Rows
+    come sorted by component and arrival in Arrow batches; what is held is the ids
+    of one component, not its rows.
     """
     parts = messages.join(components(links, messages.select("pk")), "pk")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["arrival", "pk"])
-        got = replayed([(r.message_id, r.in_reply_to, list(r.references) if r.references is not None else []) for r in rows.itertuples()])
-        return pd.DataFrame({"message_id": list(got), "thread_id": list(got.values())})
-
-    return parts.groupBy("component").applyInPandas(run, "message_id string, thread_id string")
+    rows = parts.repartition("component").sortWithinPartitions("component", "arrival", "pk").select("component", "message_id", "in_reply_to", "references")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, Replay()
+
+        def done() -> pa.RecordBatch:
+            got = state.threads()
+            return pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), pa.array(list(got.values()), pa.string())], names=["message_id", "thread_id"])
+
+        for batch in batches:
+            for component, own, parent, refs in zip(*(c.to_pylist() for c in batch.columns)):
+                if component != now:
+                    if state.node:
+                        yield done()
+                    now, state = component, Replay()
+                state.take(own, parent, refs or [])
+        if state.node:
+            yield done()
+
+    return rows.mapInArrow(run, "message_id string, thread_id string")
 
 
 def last_messages(messages: DataFrame, most: int = 20) -> DataFrame:

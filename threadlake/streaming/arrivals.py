@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from threadlake.operators.merge import latest
 from threadlake.sources.shared import fresh_path
 
+# Where a job that hangs goes back to.
+RECOVERED = {"classifying": "pending", "drafting": "eligible"}
 # What an event does to a job's state.
 STEPS = {
     ("pending", "claim"): "classifying", ("failed", "claim"): "classifying", ("classifying", "newsletter"): "newsletter_skipped", ("classifying", "auto"): "auto_generated",
@@ -19,10 +21,13 @@ STEPS = {
 }
 
 
-def events(spark: SparkSession, sf_dir: str, files_per_batch: int = 1) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", files_per_batch).parquet(sf_dir)
-    return raw.withColumn("at", F.col("ts").cast("timestamp"))
+def replayed(rows: DataFrame, batch: str, count: int) -> DataFrame:
+    """A stream of stored rows, those with ``batch`` 0 first, one micro-batch for each of ``count`` numbers."""
+    spark = rows.sparkSession
+    folder = fresh_path(spark, "arrivals")
+    for k in range(count):  # one after the other, since a source takes files by their age
+        rows.where(F.col(batch) == k).drop(batch).coalesce(1).write.parquet(f"{folder}/batch={k}")
+    return spark.readStream.schema(rows.drop(batch).schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(folder)
 
 
 def first_arrivals(stream: DataFrame, key: str = "event_id", at: str = "at", grace: str = "300 seconds") -> DataFrame:
@@ -34,8 +39,8 @@ def window_counts(stream: DataFrame, at: str = "at", width: str = "1 hour", grac
     return stream.withWatermark(at, grace).groupBy(F.window(at, width), "event_type").agg(F.count("*").alias("events"))
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now; the rows that it wrote (in complete mode the last state)."""
+def drained(stream: DataFrame, mode: str = "append", key: Sequence[str] = ()) -> DataFrame:
+    """Run a stream over what is there now; the rows that it wrote (in complete mode the last state, in update mode the last row of each key)."""
     spark = stream.sparkSession
     out, mark = fresh_path(spark, "stream"), fresh_path(spark, "progress")
 
@@ -45,6 +50,8 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", mark).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
     found = spark.read.parquet(f"{out}/all" if mode == "complete" else out)
+    if mode == "update":
+        found = latest(found, list(key), ["batch"])
     return found.drop("batch")
 
 
@@ -61,17 +68,28 @@ def merging(path: str, key: str, order: str) -> Callable[[DataFrame, int], None]
     return put
 
 
-def job_states(stream: DataFrame) -> DataFrame:
-    """``source_id, state, attempts`` after each batch of ``(source_id, event, seq)``; state is kept for each job."""
+def job_states(stream: DataFrame, stuck_after: int | None = None) -> DataFrame:
+    """``source_id, state, attempts`` after each batch of ``(source_id, event, seq)``; state is kept for each job.
+
+    With ``stuck_after`` (seconds; the stream then has a watermark on ``at``) a
+    job whose last event is older than that goes back from classifying to
+    pending and from drafting to eligible once the watermark has passed.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         state, attempts = held.get if held.exists else ("pending", 0)
-        rows = pd.concat(list(batches)).sort_values("seq")
-        for event in rows["event"]:
-            after = STEPS.get((state, event), state)
-            attempts += int(after == "failed" and state != "failed")
-            state = after
+        if held.hasTimedOut:
+            state = RECOVERED.get(state, state)
+        else:
+            rows = pd.concat(list(batches)).sort_values("seq")
+            for event in rows["event"]:
+                after = STEPS.get((state, event), state)
+                attempts += int(after == "failed" and state != "failed")
+                state = after
+            if stuck_after is not None and state in RECOVERED:
+                last = int(rows["at"].max().timestamp() * 1000) + stuck_after * 1000
+                held.setTimeoutTimestamp(max(last, held.getCurrentWatermarkMs() + 1))
         held.update((state, attempts))
         yield pd.DataFrame({"source_id": [key[0]], "state": [state], "attempts": [attempts]})
 
-    return stream.groupBy("source_id").applyInPandasWithState(run, "source_id long, state string, attempts long", "state string, attempts long", "update", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("source_id").applyInPandasWithState(run, "source_id long, state string, attempts long", "state string, attempts long", "update", GroupStateTimeout.NoTimeout if stuck_after is None else GroupStateTimeout.EventTimeTimeout)
