@@ -45,6 +45,25 @@ def replace_children(children: DataFrame, new: DataFrame, parent: str) -> DataFr
     return children.join(new.select(parent).distinct(), parent, "left_anti").select(*children.columns).unionByName(new.select(*children.columns))
 
 
+def without(table: DataFrame, keys: DataFrame, on: Sequence[str], status: str | None = None) -> DataFrame:
+    """``table`` without the rows that ``keys`` names by ``on``; with ``status`` only those of that status go."""
+    gone = keys.select(*on).distinct()
+    if status is not None:
+        gone = gone.withColumn("status", F.lit(status))
+        on = [*on, "status"]
+    return table.join(gone, list(on), "left_anti").select(*table.columns)
+
+
+def cascaded(children: DataFrame, parents: DataFrame, key: str, parent_key: str | None = None) -> DataFrame:
+    """``children`` of the parents that are left."""
+    return children.join(parents.select(F.col(parent_key or key).alias(key)).distinct(), key, "left_semi").select(*children.columns)
+
+
+def emptied(*tables: DataFrame) -> tuple[DataFrame, ...]:
+    """Every table without rows (delete all)."""
+    return tuple(t.limit(0) for t in tables)
+
+
 def remap(rows: DataFrame, mapping: DataFrame, column: str) -> DataFrame:
     """``column`` with ``mapping`` (``old``, ``new``) applied."""
     joined = rows.join(mapping, F.col(column) == F.col("old"), "left")

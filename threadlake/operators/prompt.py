@@ -77,8 +77,21 @@ def assemble(questions: DataFrame, contexts: DataFrame, sessions: DataFrame | No
     return rows.select("qid", F.coalesce(full, F.lit(NO_MATCH)).alias("prompt"), F.col("context").isNotNull().alias("matched"))
 
 
-def draft(messages: DataFrame, account: str = "", most: int = 20) -> DataFrame:
-    """``thread_id, prompt``: the last messages of each thread, then what to reply to."""
+# The style block's heading, and how many grounding chunks a draft gets.
+STYLE, GROUNDING = "STYLE GUIDANCE (how this user writes; match their tone and register):", 6
+
+
+def draft_system(system: str, style: Column) -> Column:
+    """The system prompt with the style block, if there is one."""
+    return F.when(F.coalesce(style, F.lit("")) != "", F.concat(F.lit(f"{system}\n\n{STYLE}\n"), style)).otherwise(F.lit(system))
+
+
+def draft(messages: DataFrame, account: str = "", most: int = 20, grounding: DataFrame | None = None) -> DataFrame:
+    """``thread_id, prompt``: the last messages of each thread, then grounding, then what to reply to.
+
+    ``grounding`` has ``thread_id, rank, sender, date_unix, text``; the best
+    ``GROUNDING`` chunks of a thread are shown.
+    """
     shown = F.concat(F.lit("--- "), F.col("sender"), F.lit(" | "), date_text(F.col("date_unix")), F.lit(" ---\n"), F.col("text"))
     rows = last_messages(messages, most).groupBy("thread_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", shown.alias("shown")))), lambda r: r.shown), "\n\n").alias("block"),
@@ -91,7 +104,25 @@ def draft(messages: DataFrame, account: str = "", most: int = 20) -> DataFrame:
             sender, F.lit(" on "), day, F.lit(". Address the reply to "), sender, F.lit(f"; never address it to {account}."))
     else:
         ask = F.concat(F.lit("Draft a reply to the most recent message above, from "), sender, F.lit(", dated "), day, F.lit("."))
-    return rows.select("thread_id", F.concat(F.lit(THREAD + "\n"), F.col("block"), F.lit("\n\n"), ask).alias("prompt"))
+    context = F.lit("")
+    if grounding is not None:
+        best = grounding.withColumn("nth", F.row_number().over(Window.partitionBy("thread_id").orderBy("rank"))).where(F.col("nth") <= GROUNDING)
+        unit = F.concat(F.lit("--- from: "), F.col("sender"), F.lit(" | date: "), date_text(F.col("date_unix")), F.lit(" ---\n"), F.col("text"))
+        blocks = best.groupBy("thread_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", unit.alias("shown")))), lambda r: r.shown), "\n\n").alias("ground"))
+        rows = rows.join(blocks, "thread_id", "left")
+        context = F.coalesce(F.concat(F.lit(CONTEXT + "\n"), F.col("ground"), F.lit("\n\n")), F.lit(""))
+    return rows.select("thread_id", F.concat(F.lit(THREAD + "\n"), F.col("block"), F.lit("\n\n"), context, ask).alias("prompt"))
+
+
+def drop_counts(fused: DataFrame, ranked: DataFrame, kept: DataFrame, floor: float, top_k: int) -> DataFrame:
+    """``qid, by_floor, by_top_k, by_budget``: how many hits of a question each step left out.
+
+    ``fused`` are all hits, ``ranked`` those of :func:`budget_trim`'s input and ``kept`` its output.
+    """
+    above = F.col("score") > floor
+    first = fused.groupBy("qid").agg(F.count_if(~above).alias("by_floor"), F.count_if(above & (F.col("rank") > top_k)).alias("by_top_k"))
+    counts = ranked.groupBy("qid").agg(F.count("*").alias("n")).join(kept.groupBy("qid").agg(F.count("*").alias("k")), "qid", "left")
+    return first.join(counts, "qid", "left").select("qid", "by_floor", "by_top_k", (F.coalesce("n", F.lit(0)) - F.coalesce("k", F.lit(0))).alias("by_budget"))
 
 
 def relevance_percent(scored: DataFrame) -> DataFrame:
