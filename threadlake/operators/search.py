@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlake.functions.text import terms
-from threadlake.sources.shared import shared_dir
+from threadlake.operators.index import folder
+from threadlake.sources.shared import shared_dir, sized
 
 K1, B = 1.2, 0.75  # of BM25
 TOP_N, TOP_K, RRF_K = 30, 8, 60.0
@@ -35,7 +36,11 @@ def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
 def keyword_search(questions: DataFrame, index: DataFrame, stats: DataFrame, top_n: int = TOP_N) -> DataFrame:
     """``qid, chunk_id, score, rank`` by BM25 over any of the terms; ties by id. Without terms, nothing."""
     asked = questions.select("qid", F.explode(terms(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
-    used = index.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
+    wanted = asked.select("term").distinct()
+    on = ["term"]
+    if "folder" in index.columns:  # a stored index: only the terms' folders are opened
+        wanted, on = wanted.withColumn("folder", folder(F.col("term"))), ["folder", "term"]
+    used = index.join(sized(wanted, 80), on, "left_semi")
     df = used.groupBy("term").agg(F.count("*").alias("df"))
     n, avgdl = stats.first()
     idf = F.greatest(F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
@@ -44,6 +49,29 @@ def keyword_search(questions: DataFrame, index: DataFrame, stats: DataFrame, top
     return ranked(scored, top_n)
 
 
+def containing(passages: DataFrame, docs: DataFrame, index: DataFrame) -> DataFrame:
+    """``qid, chunk_id`` of every document (``chunk_id, text``) that holds a passage (``qid, passage``) literally.
+
+    A passage's inner terms stand whole in such a document, so the postings of the
+    rarest name the candidates, which are then searched. Passages of fewer than
+    three terms have no inner one and are searched in all documents.
+    """
+    split = passages.select("qid", "passage", terms(F.col("passage")).alias("t"))
+    inner = split.where(F.size("t") >= 3).select("qid", F.explode(F.array_distinct(F.slice("t", 2, F.size("t") - 2))).alias("term"))
+    on = ["folder", "term"] if "folder" in index.columns else ["term"]
+    if len(on) == 2:
+        inner = inner.withColumn("folder", folder(F.col("term")))
+    used = index.join(sized(inner.select(*on).distinct(), 80), on, "left_semi").select("term", "chunk_id")
+    df = used.groupBy("term").agg(F.count("*").alias("df"))
+    # a term without postings is in no document, so its passage is in none either
+    rare = inner.join(df, "term", "left").groupBy("qid").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
+    near = rare.join(used, "term").select("qid", "chunk_id").join(passages, "qid").join(docs, "chunk_id").where(F.contains("text", "passage")).select("qid", "chunk_id")
+    short = split.where(F.size("t") < 3).select("qid", "passage")
+    if short.isEmpty():
+        return near
+    return near.unionByName(docs.join(sized(short, 200), F.contains("text", "passage")).select("qid", "chunk_id"))
+
+
 def ranked(scored: DataFrame, top_n: int) -> DataFrame:
     order = Window.partitionBy("qid").orderBy(F.col("score").desc(), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n)

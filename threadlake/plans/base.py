@@ -75,7 +75,7 @@ class Tables:
 
     @cached_property
     def questions(self) -> DataFrame:
-        return self.benchmark.select(F.col("item_id").alias("qid"), F.substring("text", 1, 60).alias("question"), "text")
+        return self.benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("question"), "text")
 
 
 # The same tables as SQL.
@@ -92,4 +92,4 @@ JOBS = """(SELECT event_id AS source_id, 'm' || user_id AS message_id,
 DRAFTS = """(SELECT o_orderkey AS pk, 't' || o_custkey AS thread_id, 'c' || o_custkey || '@shop' || o_custkey % 3 || '.example.com' AS sender,
  (epoch_us(o_orderdate) // 1000000) AS generated_at, CASE o_orderstatus WHEN 'O' THEN 'ready' WHEN 'F' THEN 'sent' ELSE 'dismissed' END AS status,
  CASE WHEN o_orderkey % 3 = 0 THEN (epoch_us(o_orderdate) // 1000000) + 9 END AS style_learned_at FROM orders)"""
-QUESTIONS = "(SELECT item_id AS qid, substr(text, 1, 60) AS question, text FROM benchmark)"
+QUESTIONS = "(SELECT item_id AS qid, text AS question, text FROM benchmark)"

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadlake.operators import index as I
 from threadlake.operators import prompt as P
 from threadlake.operators import search as S
 from threadlake.plans.base import MESSAGES, QUESTIONS, START, THREADS, Tables, query
+from threadlake.sources.shared import fresh_path, sized, stored
 
 # Question q asks with the vector of number 3q + 1; vector i is chunk i.
 TERMS = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda x: x <> '')"
@@ -25,9 +27,22 @@ FUSED = f"""SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORD
 WITH = f"WITH fused AS MATERIALIZED ({FUSED}), m AS {MESSAGES}\n"
 
 
+STORED: dict[tuple[str, str], str] = {}
+
+
+def index(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The stored index of the documents, written when a session first asks for it."""
+    at = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if at not in STORED:
+        path = fresh_path(t.spark, "index")
+        docs = t.documents.select(F.col("doc_id").alias("chunk_id"), "text")
+        I.append(docs, path, S.postings(docs))
+        STORED[at] = path
+    return I.read(t.spark, STORED[at])
+
+
 def keyword(t: Tables) -> DataFrame:
-    docs = t.documents
-    return S.keyword_search(t.questions, S.postings(docs, "doc_id"), S.corpus_stats(docs))
+    return S.keyword_search(t.questions, *index(t))
 
 
 def vectors(t: Tables) -> DataFrame:
@@ -43,14 +58,14 @@ def fused(t: Tables) -> DataFrame:
     return S.fuse(vector(t), keyword(t))
 
 
-def top_chunks(t: Tables, k: int = 8) -> DataFrame:
+def top_chunks(t: Tables, k: int = 8, found: DataFrame | None = None) -> DataFrame:
     """Hits with their message; two chunks make a message, so that messages repeat."""
-    hits = S.above_floor(fused(t)).where(F.col("rank") <= k)
+    hits = S.above_floor(fused(t) if found is None else found).where(F.col("rank") <= k)
     m = t.messages.select(F.col("pk").alias("chunk_id"), F.concat(F.lit("msg-"), F.floor(F.col("pk") / 2)).alias("message_id"), "subject", "sender", "original_sender", "date_unix", F.col("body_text").alias("text"), F.lit("body").alias("source"))
-    return F.broadcast(hits).join(m, "chunk_id")
+    return sized(hits, 60).join(m, "chunk_id")
 
 
-TOP = f"(SELECT f.qid, f.chunk_id, f.score, f.rank, 'msg-' || pk // 2 AS message_id, subject, sender, original_sender, date_unix, substr(body_text, 1, 400) AS text FROM fused f JOIN m ON pk = chunk_id WHERE rank <= 8)"
+TOP = f"(SELECT f.qid, f.chunk_id, f.score, f.rank, 'msg-' || pk // 2 AS message_id, subject, sender, original_sender, date_unix, body_text AS text FROM fused f JOIN m ON pk = chunk_id WHERE rank <= 8)"
 DAY = "strftime(make_timestamp(date_unix * 1000000), '%Y-%m-%d')"
 
 
@@ -87,7 +102,7 @@ def rrf_fusion(t: Tables) -> DataFrame:
 def hybrid_search(t: Tables) -> DataFrame:
     hits = S.above_floor(fused(t)).where(F.col("rank") <= S.TOP_K)
     m = t.messages.select(F.col("pk").alias("chunk_id"), "message_id", "date_unix")
-    return F.broadcast(hits).join(m, "chunk_id").select("qid", "chunk_id", "score", F.col("rank").cast("long"), "message_id", "date_unix")
+    return sized(hits, 60).join(m, "chunk_id").select("qid", "chunk_id", "score", F.col("rank").cast("long"), "message_id", "date_unix")
 
 
 @query(WITH + "SELECT qid, count(*) AS kept FROM fused WHERE score > 0.015 GROUP BY qid")
@@ -95,9 +110,11 @@ def relevance_floor(t: Tables) -> DataFrame:
     return S.above_floor(fused(t), 0.015).groupBy("qid").agg(F.count("*").alias("kept"))
 
 
-@query(WITH + "SELECT qid, chunk_id, score FROM fused WHERE chunk_id % 3 <> qid % 3")
+@query(WITH + "SELECT qid, chunk_id, score FROM fused WHERE chunk_id NOT IN (qid * 3 + 1, qid, qid * 7, qid + 20)")
 def retrieve_excluding(t: Tables) -> DataFrame:
-    out = t.benchmark.select(F.col("item_id").alias("qid"), (F.col("item_id") % 3).alias("r")).join(t.documents.select(F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 3).alias("r")), "r").select("qid", "chunk_id")
+    """Each question leaves out a few chunks: its own thread, as it were."""
+    n = F.col("item_id")
+    out = t.benchmark.select(n.alias("qid"), F.explode(F.array(n * 3 + 1, n, n * 7, n + 20)).alias("chunk_id"))
     return S.without(fused(t), out).select("qid", "chunk_id", "score")
 
 
@@ -131,15 +148,14 @@ def retrieval_provenance(t: Tables) -> DataFrame:
 @query(f"WITH k AS MATERIALIZED (SELECT DISTINCT qid FROM ({KEYWORD})) SELECT item_id AS qid, CASE WHEN item_id % 5 = 0 OR k.qid IS NULL THEN '{P.NO_MATCH}' END AS notice FROM benchmark LEFT JOIN k ON k.qid = item_id")
 def no_match(t: Tables) -> DataFrame:
     asked = t.questions.withColumn("question", F.when(F.col("qid") % 5 == 0, "?!").otherwise(F.col("question")))
-    found = S.keyword_search(asked, S.postings(t.documents, "doc_id"), S.corpus_stats(t.documents)).select("qid").distinct().withColumn("hit", F.lit(True))
+    found = S.keyword_search(asked, *index(t)).select("qid").distinct().withColumn("hit", F.lit(True))
     return t.questions.select("qid").join(found, "qid", "left").select("qid", F.when(F.col("hit").isNull(), P.NO_MATCH).alias("notice"))
 
 
 @query(f"WITH k AS MATERIALIZED ({KEYWORD}), truth AS (SELECT item_id AS qid, doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)) SELECT count(*) AS pairs, (count(k.rank))::BIGINT AS found, round(count(k.rank) / count(*), 6) AS recall FROM truth LEFT JOIN k ON k.qid = truth.qid AND k.chunk_id = truth.chunk_id AND k.rank <= 8")
 def recall_at_k(t: Tables) -> DataFrame:
     items = t.benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))
-    # the questions are a stated query set, tested against all documents
-    truth = t.documents.join(F.broadcast(items), F.contains("text", "passage")).select("qid", F.col("doc_id").alias("chunk_id"))
+    truth = S.containing(items, t.documents.select(F.col("doc_id").alias("chunk_id"), "text"), index(t)[0])
     hits = keyword(t).where(F.col("rank") <= 8).select("qid", "chunk_id", "rank")
     return truth.join(hits, ["qid", "chunk_id"], "left").agg(F.count("*").alias("pairs"), F.count("rank").alias("found"), F.round(F.count("rank") / F.count("*"), 6).alias("recall"))
 
@@ -204,7 +220,7 @@ def relevance_percent(t: Tables) -> DataFrame:
     return P.relevance_percent(fused(t).where("rank <= 8")).select("qid", "chunk_id", "percent")
 
 
-SOURCES = WITH.rstrip() + f""", kept AS {TOP}, lines AS (SELECT qid, number, number || '  ' || split_part(coalesce(original_sender, sender), '.', -2)[-7:] || ' (' || {DAY} || '): ' || subject || chr(10) || '"' || trim(regexp_replace(text, '\\s+', ' ', 'g')) || '"' AS line
+SOURCES = WITH.rstrip() + f""", kept AS {TOP}, lines AS (SELECT qid, number, number || '  ' || regexp_extract(regexp_extract(coalesce(original_sender, sender), '([^\\s<>]+@[^\\s<>]+)', 1), '([^.@]+)\\.[^.@]+$', 1) || ' (' || {DAY} || '): ' || subject || chr(10) || '"' || trim(regexp_replace(text, '\\s+', ' ', 'g')) || '"' AS line
  FROM {NUMBERED} QUALIFY row_number() OVER (PARTITION BY qid, message_id ORDER BY rank) = 1) """
 
 

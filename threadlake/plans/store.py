@@ -214,7 +214,7 @@ def style_sample_counts(t: Tables) -> DataFrame:
     return style_scope_rows(t).groupBy("scope").agg(F.count("*").alias("sample_count"))
 
 
-@query("SELECT o_orderkey AS pk, unnest(['global', 'domain:example', 'address:c' || o_custkey || '@shop' || o_custkey % 3 || '.example.com']) AS scope FROM orders WHERE o_orderkey % 50 = 1")
+@query("SELECT o_orderkey AS pk, unnest(['global', 'domain:example', 'address:c' || o_custkey || '@shop' || o_custkey % 3 || '.example.com']) AS scope FROM orders")
 def style_scopes(t: Tables) -> DataFrame:
     from threadlake.functions.text import sender_address, sender_domain
 
@@ -294,7 +294,7 @@ def message_refs(t: Tables) -> DataFrame:
     return T.edges(t.linked)
 
 
-@query(f"SELECT e.referenced, m.pk FROM (SELECT DISTINCT pk, unnest(list_concat([in_reply_to], refs)) AS referenced FROM {LINKED}) e JOIN {LINKED} m USING (pk) WHERE e.referenced IS NOT NULL AND m.pk % 2 = 0")
+@query(f"SELECT e.referenced, m.pk FROM (SELECT DISTINCT pk, unnest(list_concat([in_reply_to], refs)) AS referenced FROM {LINKED}) e JOIN {LINKED} m USING (pk) WHERE e.referenced IS NOT NULL")
 def reverse_refs(t: Tables) -> DataFrame:
     return T.edges(t.linked).join(t.linked.select("pk"), "pk").select("referenced", "pk")
 

@@ -6,26 +6,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.operators import ingest as I
+from threadlake.plans.text import BOILER, TRIM
 from threadlake.plans.base import JOBS, MESSAGES, Tables, query
 from threadlake.streaming import arrivals as A
 
 
-@query("SELECT DISTINCT event_id, user_id FROM events")
+BATCHES = 4
+SLICED = f"(SELECT *, floor((epoch_us(ts) - min(epoch_us(ts)) OVER ()) / (max(epoch_us(ts)) OVER () - min(epoch_us(ts)) OVER () + 1) * {BATCHES})::INT AS part FROM events)"
+
+
+def arriving(t: Tables, late: bool = False) -> DataFrame:
+    """Events in four micro-batches by time; with ``late`` one in fifty of the first quarter comes with the last, and one in seven comes twice."""
+    bounds = t.events.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("low"), F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("high"))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = t.events.crossJoin(F.broadcast(bounds)).withColumn("part", F.floor((at - F.col("low")) / (F.col("high") - F.col("low") + 1) * BATCHES).cast("int")).drop("low", "high")
+    if late:
+        rows = rows.withColumn("part", F.when((F.col("part") == 0) & (F.col("event_id") % 50 == 0), BATCHES - 1).otherwise(F.col("part")))
+        rows = rows.unionByName(rows.where("event_id % 7 = 0"))
+    return A.replayed(rows.withColumn("at", F.col("ts").cast("timestamp")), "part", BATCHES)
+
+
+@query(f"SELECT DISTINCT event_id, user_id FROM {SLICED} WHERE NOT (part = 0 AND event_id % 50 = 0)")
 def stream_first_arrivals(t: Tables) -> DataFrame:
-    return A.drained(A.first_arrivals(A.events(t.spark, t.sf_dir))).select("event_id", "user_id")
+    """Late rows are older than the watermark when they come, so they are dropped."""
+    return A.drained(A.first_arrivals(arriving(t, late=True))).select("event_id", "user_id")
 
 
 @query("SELECT epoch_us(ts) // 3600000000 * 3600 AS window_start, event_type, count(*) AS events FROM events GROUP BY ALL")
 def stream_window_counts(t: Tables) -> DataFrame:
-    out = A.drained(A.window_counts(A.events(t.spark, t.sf_dir)), "complete")
+    out = A.drained(A.window_counts(arriving(t)), "complete")
     return out.select((F.floor(F.unix_seconds("window.start") / 3600) * 3600).alias("window_start"), "event_type", "events")
 
 
-@query()
+STEP = " ".join(f"WHEN split_part(s, '|', 1) = '{a}' AND e = '{b}' THEN '{c}|' || split_part(s, '|', 2){'::INT + 1' if c == 'failed' else ''}" for (a, b), c in A.STEPS.items())
+
+
+@query(f"""SELECT source_id, split_part(s, '|', 1) AS state, split_part(s, '|', 2)::BIGINT AS attempts FROM (SELECT source_id, list_reduce(list_prepend('pending|0', l), lambda s, e: CASE {STEP} ELSE s END) AS s FROM
+ (SELECT user_id AS source_id, list(['claim','personal','error','done','newsletter'][event_id % 5 + 1] ORDER BY part, event_id) AS l FROM {SLICED} GROUP BY user_id))""")
 def stream_job_states(t: Tables) -> DataFrame:
     kinds = F.array(*[F.lit(x) for x in ("claim", "personal", "error", "done", "newsletter")])
-    rows = A.events(t.spark, t.sf_dir).select(F.col("user_id").alias("source_id"), F.element_at(kinds, (F.col("event_id") % 5 + 1).cast("int")).alias("event"), F.col("event_id").alias("seq"))
-    return A.drained(A.job_states(rows), "update")
+    rows = arriving(t).select(F.col("user_id").alias("source_id"), F.element_at(kinds, (F.col("event_id") % 5 + 1).cast("int")).alias("event"), F.col("event_id").alias("seq"))
+    return A.drained(A.job_states(rows), "update", ["source_id"])
 
 
 FILES = "(SELECT event_id AS source_id, event_id % 3 || '-' || user_id AS fingerprint FROM events)"
@@ -66,12 +87,40 @@ def arrivals_after_grace(t: Tables) -> DataFrame:
     return I.after_grace(rows, rows.where("source_id % 2 = 0"), 1706000000).select("source_id")
 
 
-@query()
+LINES = r"regexp_replace({}, '\r\n|[\x0B\x0C\r\x{{85}}\x{{2028}}\x{{2029}}]', chr(10), 'g')"
+SHOWN = TRIM.format(f"array_to_string(list_filter(string_split(shown, chr(10) || chr(10)), lambda p: NOT regexp_matches(p, '{BOILER}')), chr(10) || chr(10))")
+SQUEEZED = TRIM.format(r"regexp_replace(regexp_replace(regexp_replace(body, '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g')")
+
+
+@query(f"""SELECT doc_id AS source_id, CASE WHEN bad THEN 'bad count' END AS error, CASE WHEN NOT bad THEN doc_id || '@x' END AS message_id, CASE WHEN NOT bad THEN CASE WHEN doc_id % 2 = 0 THEN 'Grüße' ELSE '=?utf-8?b?abcde?=' END END AS subject,
+ CASE WHEN NOT bad THEN 'A <a@x.org>' END AS sender, CASE WHEN NOT bad THEN CASE WHEN doc_id % 3 = 0 THEN 1704099600 WHEN doc_id % 3 = 1 THEN 1704103200 ELSE 0 END END AS date_unix,
+ CASE WHEN NOT bad AND whole LIKE '%Forwarded message%' THEN 'Ann <ann' || doc_id || '@x.org>' END AS original_sender,
+ CASE WHEN NOT bad THEN CASE WHEN whole LIKE '%Forwarded message%' THEN {TRIM.format(LINES.format("regexp_replace(whole, '(?s)^-+ Forwarded message.*?Subject: s' || chr(10) || chr(10) || '?', '')"))} ELSE whole END END AS body_text,
+ CASE WHEN NOT bad THEN CASE WHEN kind = 4 THEN 1 ELSE 0 END END::INT AS attachments FROM (
+ SELECT doc_id, kind, bad, {SHOWN} AS whole FROM (
+ SELECT doc_id, kind, doc_id % 50 = 0 AS bad, CASE WHEN kind = 3 THEN {SQUEEZED} ELSE {TRIM.format('body')} END AS shown FROM (
+ SELECT doc_id, doc_id % 5 AS kind, CASE WHEN doc_id % 5 = 1 THEN t ELSE replace(t, chr(13) || chr(10), chr(10)) END AS body FROM (
+ SELECT doc_id, CASE WHEN doc_id % 7 = 0 AND doc_id % 5 <> 3 THEN '---------- Forwarded message ---------' || chr(10) || 'From: Ann <ann' || doc_id || '@x.org>' || chr(10) || 'Subject: s' || chr(10) || chr(10) ELSE '' END || coalesce(text, '') AS t FROM documents))))""")
 def parse_emlx(t: Tables) -> DataFrame:
+    """Whole documents as mail: plain, base64, alternative, HTML with style and script, and mixed with a PDF; one in fifty is broken."""
     from threadlake.sources.mail import parse_files
 
-    head = F.concat(F.lit("Message-ID: <"), F.col("doc_id"), F.lit("@x>\nFrom: A <a@x.org>\nSubject: =?utf-8?Q?Gr=C3=BC=C3=9Fe?=\nDate: Mon, 01 Jan 2024 10:00:00 +0100\n\n"), F.coalesce("text", F.lit("")))
-    body = F.encode(head, "UTF-8")
-    size = F.when(F.col("doc_id") % 50 == 0, F.lit("x")).otherwise(F.octet_length(body).cast("string"))
-    files = t.documents.select(F.concat(F.lit("/m/INBOX.mbox/"), F.col("doc_id"), F.lit(".emlx")).alias("path"), F.concat(F.encode(F.concat(size, F.lit("\n")), "UTF-8"), body).alias("content"))
-    return parse_files(files).select("source_id", "message_id", "subject", "date_unix", "error")
+    n = F.col("doc_id")
+    forward = F.when((n % 7 == 0) & (n % 5 != 3), F.concat(F.lit("---------- Forwarded message ---------\nFrom: Ann <ann"), n, F.lit("@x.org>\nSubject: s\n\n"))).otherwise("")
+    text = F.concat(forward, F.coalesce("text", F.lit("")))
+    markup = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    part = lambda mark, kind, body: F.concat(F.lit(f"--{mark}\nContent-Type: {kind}\n\n"), body, F.lit("\n"))
+    body = (
+        F.when(n % 5 == 0, F.concat(F.lit("\n"), text))
+        .when(n % 5 == 1, F.concat(F.lit("Content-Type: text/plain; charset=\"utf-8\"\nContent-Transfer-Encoding: base64\n\n"), F.base64(F.encode(text, "UTF-8"))))
+        .when(n % 5 == 2, F.concat(F.lit("Content-Type: multipart/alternative; boundary=\"b;1\"\n\n"), part("b;1", "text/html", F.lit("<p>other</p>")), part("b;1", "text/plain", text), F.lit("--b;1--\n--b;1\n\nafter the end")))
+        .when(n % 5 == 3, F.concat(F.lit("Content-Type: text/html\n\n<html><style>p{}</style><script>evil()</script><p>"), markup, F.lit("</p></html>")))
+        .otherwise(F.concat(F.lit("Content-Type: multipart/mixed; boundary=m\n\n"), part("m", "text/plain", text), F.lit("--m\nContent-Type: application/octet-stream; name=\"a.PDF\"\nContent-Transfer-Encoding: base64\n\naGVsbG8=\n--m--\n")))
+    )
+    subject = F.when(n % 2 == 0, "=?utf-8?Q?Gr=C3=BC=C3=9Fe?=").otherwise("=?utf-8?b?abcde?=")
+    date = F.when(n % 3 == 0, "Mon, 01 Jan 2024 10:00:00 +0100 (CET)").when(n % 3 == 1, "1 Jan 2024 10:00:00 +0000").otherwise("someday")
+    mail = F.concat(F.lit("Message-ID: <"), n, F.lit("@x>\nFrom: A <a@x.org>\nSubject: "), subject, F.lit("\nDate: "), date, F.lit("\n"), body)
+    data = F.encode(mail, "UTF-8")
+    size = F.when(n % 50 == 0, F.lit("x")).otherwise(F.octet_length(data).cast("string"))
+    files = t.documents.select(F.concat(F.lit("/m/INBOX.mbox/"), n, F.lit(".emlx")).alias("path"), F.concat(F.encode(F.concat(size, F.lit("\n")), "UTF-8"), data).alias("content"))
+    return parse_files(files).select("source_id", "error", "message_id", "subject", "sender", "date_unix", "original_sender", "body_text", F.size("attachments").alias("attachments"))

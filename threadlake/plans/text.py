@@ -98,7 +98,7 @@ def decoded_bound(t: Tables) -> DataFrame:
     return t.lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), X.decoded_bound(F.when(F.col("l_linenumber") % 2 == 0, " Base64").otherwise("8bit"), F.col("l_partkey")).alias("bound"))
 
 
-@query("SELECT doc_id, length(text) > 2000 AS too_long, strlen(text) > 2500 AS too_large FROM documents WHERE n_chars BETWEEN 100 AND 30000")
+@query("SELECT doc_id, length(text) > 2000 AS too_long, strlen(text) > 2500 AS too_large FROM documents")
 def size_guards(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", (F.length("text") > 2000).alias("too_long"), (F.octet_length("text") > 2500).alias("too_large"))
 
@@ -172,8 +172,9 @@ def rule_rows(t: Tables) -> DataFrame:
 
 RULES = """SELECT doc_id, CASE WHEN r = 'auto_submitted' THEN 'auto_generated' WHEN r LIKE 'prior Sent%' OR r LIKE 'no newsletter%' THEN 'personal' WHEN r = 'one weak sign' THEN 'ambiguous' ELSE 'newsletter' END AS verdict, r AS reason FROM (SELECT doc_id, CASE
  WHEN doc_id % 17 = 0 THEN 'auto_submitted' WHEN doc_id % 11 = 1 THEN 'no_reply_sender' WHEN doc_id % 11 = 0 THEN 'newsletter_address' WHEN doc_id % 11 = 3 THEN 'excluded' WHEN doc_id % 13 = 0 THEN 'prior Sent correspondence with this address'
- WHEN doc_id % 19 = 0 THEN 'List-Unsubscribe present' WHEN doc_id % 23 = 0 THEN 'Precedence: bulk' WHEN doc_id % 11 = 2 AND doc_id % 4 = 0 THEN 'sender local-part pattern + unsubscribe-language boilerplate'
- WHEN doc_id % 11 = 2 OR doc_id % 4 = 0 THEN 'one weak sign' ELSE 'no newsletter signals detected' END AS r FROM documents)"""
+ WHEN doc_id % 19 = 0 THEN 'List-Unsubscribe present' WHEN doc_id % 23 = 0 THEN 'Precedence: bulk' WHEN doc_id % 11 = 2 AND shrinks THEN 'sender local-part pattern + unsubscribe-language boilerplate'
+ WHEN doc_id % 11 = 2 OR shrinks THEN 'one weak sign' ELSE 'no newsletter signals detected' END AS r FROM (SELECT doc_id, coalesce(length({kept}) < length(body), false) AS shrinks FROM (SELECT doc_id, {body} AS body FROM documents)))""".format(
+ kept=TRIM.format(f"array_to_string(list_filter(string_split(body, chr(10) || chr(10)), lambda p: NOT regexp_matches(p, '{BOILER}')), chr(10) || chr(10))"), body=TRIM.format("coalesce(text, '') || CASE WHEN doc_id % 4 = 0 THEN chr(10) || chr(10) || 'Unsubscribe now' ELSE '' END"))
 
 
 @query(RULES)
@@ -196,14 +197,25 @@ def date_range_numeric(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", r.lo.alias("lo"), r.hi.alias("hi"))
 
 
-@query()
+DAYS = "epoch(make_date({}, {}, {}))::BIGINT"
+NOW_DAY = f"((({START} + 70000000) // 86400) * 86400)"  # a Saturday, whose Monday is five days back
+
+
+@query(f"""SELECT doc_id AS qid, CASE f WHEN 0 THEN {NOW_DAY} - 5 * 86400 WHEN 1 THEN {DAYS.format(2024, 'm', 1)} WHEN 2 THEN {NOW_DAY} - m * 7 * 86400 WHEN 3 THEN 0
+  WHEN 4 THEN {DAYS.format(2025, 'm', 1)} WHEN 5 THEN {DAYS.format(2025, 3, 25)} WHEN 6 THEN {DAYS.format(2025, 3, 5)} END AS lo,
+ CASE f WHEN 0 THEN {NOW_DAY} + 86399 WHEN 1 THEN epoch(make_date(2024, m, 1) + INTERVAL 1 MONTH)::BIGINT - 1 WHEN 2 THEN {NOW_DAY} + 86399 WHEN 3 THEN {DAYS.format(2026, 'm', 'd')} + 86399
+  WHEN 4 THEN {DAYS.format(2025, 'm', 7)} + 86399 WHEN 5 THEN {DAYS.format(2025, 3, 31)} + 86399 WHEN 6 THEN {DAYS.format(2025, 6, 10)} + 86399 END AS hi
+ FROM (SELECT doc_id, doc_id % 8 AS f, (doc_id % 12 + 1)::INT AS m, (doc_id % 28 + 1)::INT AS d FROM documents)""")
 def date_range(t: Tables) -> DataFrame:
     n = F.col("doc_id")
     d, m = F.lpad((n % 28 + 1).cast("string"), 2, "0"), F.lpad((n % 12 + 1).cast("string"), 2, "0")
     months = F.array(*[F.lit(x) for x in ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")])
+    month = F.element_at(months, (n % 12 + 1).cast("int"))
     question = (
-        F.when(n % 5 == 0, "mails since monday").when(n % 5 == 1, F.concat(F.lit("invoices of "), F.element_at(months, (n % 12 + 1).cast("int")), F.lit(" 2024")))
-        .when(n % 5 == 2, F.concat(F.lit("was kam letzte "), n % 12 + 1, F.lit(" Wochen?"))).when(n % 5 == 3, F.concat(F.lit("before 2026-"), m, F.lit("-"), d)).otherwise("nothing")
+        F.when(n % 8 == 0, "mails since monday").when(n % 8 == 1, F.concat(F.lit("invoices of "), month, F.lit(" 2024")))
+        .when(n % 8 == 2, F.concat(F.lit("was kam letzte "), n % 12 + 1, F.lit(" Wochen?"))).when(n % 8 == 3, F.concat(F.lit("before 2026-"), m, F.lit("-"), d))
+        .when(n % 8 == 4, F.concat(F.lit("first week of "), month, F.lit(" or april 2025"))).when(n % 8 == 5, "last week of march and march 2025")
+        .when(n % 8 == 6, "march 5 or 10.06.2025").otherwise("nothing")
     )
     asked = t.documents.select(n.alias("qid"), question.alias("question"))
     return with_ranges(asked, now=START + 70_000_000)
@@ -228,12 +240,18 @@ def hash_embed(t: Tables) -> DataFrame:
     return rows.where("v > 0").select("item_id", "bucket", F.round("v", 6).alias("value"))
 
 
-@query(f"""SELECT pk, arg_max(cand, (overlap, gen)) AS draft FROM (SELECT m.pk, d.pk AS cand, d.generated_at AS gen, CASE WHEN d.pk % 3 = m.pk % 3 THEN 80 ELSE 0 END AS overlap
- FROM (SELECT pk FROM {MESSAGES} WHERE pk % 100 = 0) m JOIN {DRAFTS} d ON d.pk % 100 = m.pk // 100 AND d.status = 'ready') GROUP BY pk""")
+SELECTIONS = f"(SELECT pk, lower(regexp_extract(sender, '<([^<>]*)>', 1)) AS address, trim(regexp_replace(lower(substr('Am Montag schrieb ' || sender || ':' || chr(10) || '> ' || coalesce(body_text, ''), 1, 20000)), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS said FROM {MESSAGES} WHERE pk % 100 = 0)"
+ANSWERED = f"(SELECT pk AS draft, lower(regexp_extract(sender, '<([^<>]*)>', 1)) AS address, date_unix AS made, substr(trim(regexp_replace(lower(coalesce(body_text, '')), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), 1, 80) AS opening FROM {MESSAGES})"
+
+
+@query(f"""SELECT pk, arg_max(draft, (common, made, draft)) AS draft FROM (SELECT s.pk, a.draft, a.made, CASE WHEN length(opening) >= 20 AND contains(said, opening) THEN length(opening) ELSE 0 END AS common
+ FROM {SELECTIONS} s LEFT JOIN {ANSWERED} a USING (address)) GROUP BY pk""")
 def match_selection(t: Tables) -> DataFrame:
-    picked = t.messages.where("pk % 100 = 0").select(F.col("pk").alias("mid"), F.floor(F.col("pk") / 100).alias("slot"))
-    ready = t.drafts.where("status = 'ready'").select("pk", "generated_at", (F.col("pk") % 100).alias("slot"))
-    text = lambda n: X.squeezed(F.concat(F.lit("Dear  Reader\nthis is body number "), n % 3))
-    prefix = F.substring(text(F.col("pk")), 1, 80)
-    overlap = F.when(F.contains(text(F.col("mid")), prefix), 80).otherwise(0)
-    return F.broadcast(picked).join(ready, "slot").groupBy(F.col("mid").alias("pk")).agg(F.max_by(F.col("pk"), F.struct(overlap, "generated_at")).alias("draft"))
+    """Each message divisible by 100 is quoted whole; every message has a ready draft that answers it."""
+    from threadlake.operators.selection import match
+
+    m = t.messages
+    quoted = F.concat(F.lit("Am Montag schrieb "), F.col("sender"), F.lit(":\n> "), F.coalesce("body_text", F.lit("")))
+    asked = m.where("pk % 100 = 0").select("pk", quoted.alias("selection"))
+    drafts = m.select(F.col("pk").alias("draft"), "sender", F.col("date_unix").alias("generated_at"), F.col("body_text").alias("body"))
+    return match(asked, drafts)
