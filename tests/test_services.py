@@ -102,3 +102,25 @@ def test_text_functions(spark):
     got = [r.h for r in spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, u string").orderBy("i").select(host_allowed(F.col("u"), ["api.x.org", "[::1]"]).alias("h")).collect()]
     assert got == [True, True, False, False, False, True]
     assert spark.range(1).select(error_text(F.lit("a\r\n\nb" + "c" * 400)).alias("e")).first().e == "a b" + "c" * 297
+
+
+def test_latest_thread_checks_the_whole_address(spark):
+    from threadlake.operators.threads import latest_thread
+
+    rows = [(1, "t1", "Ann <ann@x.org>", 10), (2, "t2", "J <joann@x.org>", 20), (3, "t3", "J <joann@x.org>", 30), (4, "t4", "ANN@X.org", 15)]
+    m = spark.createDataFrame(rows, "pk long, thread_id string, sender string, date_unix long")
+    assert [r.thread_id for r in latest_thread(m, "Ann@x.org").collect()] == ["t4"]
+    assert latest_thread(m, "ann@x.org", scan=2).count() == 0  # the limit comes before the exact check
+
+
+def test_generator_settles_ambiguous_messages(spark):
+    from threadlake.operators.classify import settled
+
+    def chat(prompts):
+        if "fail" in prompts[0]:
+            raise ValueError("no")
+        return ["Newsletter." if "sale" in prompts[0] else "hm"]
+
+    rows = [(1, "ambiguous", "a", "s", "big sale"), (2, "ambiguous", "a", "s", "hello"), (3, "ambiguous", "a", "s", "fail"), (4, "personal", "a", "s", "sale"), (5, None, "a", "s", "sale")]
+    df = spark.createDataFrame(rows, "pk long, verdict string, sender string, subject string, body_text string")
+    assert {r.pk: r.verdict for r in settled(df, chat).collect()} == {1: "newsletter", 2: "ambiguous", 3: "ambiguous", 4: "personal", 5: None}

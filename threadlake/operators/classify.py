@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.functions.text import excluded, sender_address, strip_boilerplate
+from threadlake.operators.providers import Generator, generated
 
 # Local parts of senders that take no replies, and weak signs of a bulk sender.
 NO_REPLY = ["noreply", "no-reply"]
@@ -42,3 +43,16 @@ def verdict(sender: Column, body: Column, has_prior: Column, auto_submitted: Col
     for test, v, r in reversed(chain):
         what, why = F.when(test, F.lit(v)).otherwise(what), F.when(test, r if isinstance(r, Column) else F.lit(r)).otherwise(why)
     return what, why
+
+
+def settled(rows: DataFrame, chat: Generator, id_col: str = "pk") -> DataFrame:
+    """``rows`` (with ``verdict``, ``sender``, ``subject``, ``body_text``) whose ambiguous ones a generator decided.
+
+    Its answer counts by its first word, newsletter or personal; any other, and a
+    failed call, leaves the message ambiguous. Only ambiguous rows are sent.
+    """
+    open_ = rows.where("verdict = 'ambiguous'")
+    asked = open_.select(id_col, F.concat(F.lit("Is this mail a newsletter or personal? Answer with one word.\nFrom: "), F.col("sender"), F.lit("\nSubject: "), F.col("subject"), F.lit("\n\n"), F.col("body_text")).alias("prompt"))
+    said = generated(asked, chat, id_col, "prompt").select(F.col("id").alias(id_col), F.lower(F.regexp_extract("answer", r"[A-Za-z]+", 0)).alias("word"))
+    decided = open_.join(said, id_col, "left").withColumn("verdict", F.when(F.col("word").isin("newsletter", "personal"), F.col("word")).otherwise(F.col("verdict"))).drop("word")
+    return rows.where("verdict is null or verdict <> 'ambiguous'").unionByName(decided.select(*rows.columns))

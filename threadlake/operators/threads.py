@@ -144,3 +144,12 @@ def upto_target(messages: DataFrame) -> DataFrame:
     """Each thread up to its target message (``is_target``) and including it."""
     ahead = Window.partitionBy("thread_id").orderBy("date_unix", "pk").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     return messages.withColumn("keep", F.max(F.col("is_target").cast("int")).over(ahead)).where("keep = 1").drop("keep")
+
+
+def latest_thread(messages: DataFrame, address: str, scan: int = 500) -> DataFrame:
+    """``thread_id`` of the newest message that an address sent: of the ``scan`` newest whose sender holds it as a substring, the first whose address it is."""
+    from threadlake.functions.text import sender_address
+
+    newest = [F.col("date_unix").desc(), F.col("pk").desc()]
+    coarse = messages.where(F.contains(F.lower("sender"), F.lit(address.lower()))).orderBy(*newest).limit(scan)
+    return coarse.where(sender_address(F.col("sender")) == address.lower()).orderBy(*newest).limit(1).select("thread_id")
