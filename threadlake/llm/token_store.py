@@ -17,15 +17,16 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadlake.llm.common import written
+from threadlake.llm.common import narrow, written
+from threadlake.llm.shingles import beginnings, runs_of, word_hashes
 
 BLOCK = 512  # bits for each stored count of a plane
+SLOT_BITS = 20  # slots of an encoder's memory by hash
 
 
 class WaveletMatrix:
@@ -71,6 +72,18 @@ class WaveletMatrix:
             i = self.zeros[j] + self.ones(j, i) if one else i - self.ones(j, i)
         return token
 
+    def access_many(self, places: np.ndarray) -> np.ndarray:
+        """The tokens at ``places``, plane by plane for all of them together."""
+        i, out = places.astype("int64"), np.zeros(len(places), "int64")
+        for j, plane in enumerate(self.planes):
+            byte = i >> 3
+            one = (plane[byte] >> (7 - (i & 7)).astype("uint8")) & 1 != 0
+            upto = np.concatenate(([0], np.cumsum(np.bitwise_count(plane), dtype="int64")))
+            ones = upto[byte] + np.bitwise_count(plane[byte] & ~(np.uint8(0xFF) >> (i & 7).astype("uint8")))
+            i = np.where(one, self.zeros[j] + ones, i - ones)
+            out = out << 1 | one
+        return out
+
     def span(self, token: int, i: int) -> tuple[int, int]:
         """The token's interval on the last level for the first ``i`` places."""
         low = 0
@@ -135,6 +148,38 @@ class WaveletMatrix:
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
+# Kinds of bytes, for parting words from the signs behind them: ASCII letters, first bytes of Latin letters (U+00C0 to U+023F), ASCII signs but the apostrophe.
+ASCII_LETTER, LATIN_FIRST, SIGN = (np.zeros(256, bool) for _ in range(3))
+ASCII_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+LATIN_FIRST[0xC3:0xC9] = True
+SIGN[[i for i in range(0x21, 0x7F) if not chr(i).isalnum() and i != 0x27]] = True
+
+
+def parted(raw: np.ndarray, start: np.ndarray, end: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same runs, those of Latin letters with signs behind them as two: the pre-tokenizer parts them there."""
+    if not len(start):
+        return start, end, upto
+    letter = ASCII_LETTER[raw]
+    high = np.flatnonzero(LATIN_FIRST[raw[:-1]])
+    two = raw[high].astype("uint16") << 8 | raw[high + 1]
+    # without the signs x and / of arithmetic, and a capital that lower case divides
+    high = high[(raw[high + 1] & 0xC0 == 0x80) & (two != 0xC397) & (two != 0xC3B7) & (two != 0xC4B0)]
+    letter[high] = letter[high + 1] = True
+    other = np.append(np.flatnonzero(~letter), len(raw))
+    head = np.minimum(other[np.searchsorted(other, start)], end)
+    cut = (head > start) & (head < end)
+    word = np.flatnonzero(cut)
+    sign = SIGN[raw]
+    plain = np.append(np.flatnonzero(~sign), len(raw))
+    cut[word] = plain[np.searchsorted(plain, head[word])] >= end[word]
+    pairs = np.concatenate(([0], np.cumsum(cut, dtype="int64")))
+    at = np.arange(len(start)) + pairs[:-1]
+    starts, ends = np.empty(len(start) + int(pairs[-1]), "int64"), np.empty(len(start) + int(pairs[-1]), "int64")
+    starts[at], ends[at] = start, np.where(cut, head, end)
+    starts[at[cut] + 1], ends[at[cut] + 1] = head[cut], end[cut]
+    return starts, ends, upto + pairs[upto]
+
+
 def byte_letters() -> dict[int, str]:
     """Byte-level BPE's letter for each byte: itself where it is a visible Latin-1 sign, else the next from U+0100."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -155,7 +200,7 @@ class Encoder:
     ``most`` runs.
     """
 
-    def __init__(self, path: str, plain: bool = True, most: int = 600_000):
+    def __init__(self, path: str, plain: bool = True, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
         from tokenizers import Tokenizer
 
@@ -166,12 +211,16 @@ class Encoder:
     def forget(self) -> None:
         self.places: dict[bytes, int] = {}
         self.starts, self.ids = array("q", [0]), array("I")
+        # the same by hash and first eight bytes, one run for each slot: what most words are found by
+        self.slots = np.zeros((1 << SLOT_BITS, 3), "uint64")
 
     def learn(self, run: bytes) -> int:
         """Add a run; a plain word with signs is put together from the two, which are runs themselves."""
         text = run.decode("utf-8", "replace")
-        plain = self.plain and PLAIN.fullmatch(text)
-        if not plain:
+        plain = None
+        if self.plain and run.isascii() and run.isalpha():  # most are
+            got = [t.id for t in self.model.tokenize(text.lower())]
+        elif not (plain := self.plain and PLAIN.fullmatch(text)):
             got = self.tokenizer.encode(text, add_special_tokens=False).ids
         elif plain[2]:
             got = array("I")
@@ -188,23 +237,47 @@ class Encoder:
         place = self.places[run] = len(self.places)
         return place
 
+    def known(self, run: bytes) -> int:
+        place = self.places.get(run)
+        return self.learn(run) if place is None else place
+
+    def places_of(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each run of the texts ``raw[bounds[i]:bounds[i+1]]``, and the runs' bounds by text; A-Z count as a-z."""
+        start, end, upto = parted(raw, *runs_of(raw, bounds))
+        h = word_hashes(raw, start, end)
+        begin = beginnings(raw, start, end)
+        slot = (h >> np.uint64(64 - SLOT_BITS)).astype("int64")
+        met = self.slots[slot]
+        out = met[:, 2].astype("int64") - 1
+        missed = np.flatnonzero((met[:, 0] != h) | (met[:, 1] != begin) | (out < 0))
+        if len(missed):
+            pair = np.stack((h[missed], begin[missed]), 1).view("V16")[:, 0]
+            _, first, back = np.unique(pair, return_index=True, return_inverse=True)
+            where = missed[first]
+            whole, known = raw.tobytes().lower(), self.known
+            found = np.array([known(whole[a:b]) for a, b in zip(start[where].tolist(), end[where].tolist())], "int64")
+            out[missed] = found[back]
+            self.slots[slot[where]] = np.stack((h[where], begin[where], (found + 1).astype("uint64")), 1)
+        return out, upto
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and how many each has."""
         if len(self.places) > self.most:
             self.forget()
         # ASCII capitals fold to fewer runs; not where a special token's own spelling may occur
-        runs = [(t if b"<|" in t or not self.plain else t.lower()).split() for t in texts]
-        get, learn = self.places.get, self.learn
-        at = np.array([learn(w) if p is None else p for r in runs for w, p in zip(r, map(get, r))] or [0], "int64")
-        if not any(runs):
+        if self.plain and not any(b"<|" in t for t in texts):
+            at, upto = self.places_of(np.frombuffer(b"".join(texts), "uint8"), np.cumsum([0, *map(len, texts)]))
+        else:
+            runs = [(t if b"<|" in t or not self.plain else t.lower()).split() for t in texts]
+            at = np.array([self.known(w) for r in runs for w in r], "int64")
+            upto = np.cumsum([0, *map(len, runs)])
+        if not len(at):
             return np.zeros(0, "uint32"), np.zeros(len(texts), "int64")
         starts, ids = np.array(self.starts), np.array(self.ids, "uint32")
         first, sizes = starts[at], starts[at + 1] - starts[at]
         ends = np.cumsum(sizes)
         flat = ids[np.repeat(first - (ends - sizes), sizes) + np.arange(int(ends[-1]))]
-        upto = np.concatenate(([0], ends))
-        edges = upto[np.concatenate(([0], np.cumsum([len(r) for r in runs])))]
-        return flat, np.diff(edges)
+        return flat, np.diff(np.concatenate(([0], ends))[upto])
 
 
 ENCODERS: dict[tuple[str, bool], Encoder] = {}
@@ -217,7 +290,8 @@ def encoder(path: str, plain: bool) -> Encoder:
     return ENCODERS[path, plain]
 
 
-STORED = "shard int, n_docs long, n_tokens long, doc_ids binary, doc_ends binary, matrix binary"
+#: ``before``: tokens of the shard in earlier pieces; ``n_null``: the first documents, whose ids are null.
+STORED = "shard int, before long, n_docs long, n_tokens long, n_null long, doc_ids binary, doc_ends binary, matrix binary"
 
 
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, shards: int = 0, id_col: str = "doc_id", text_col: str = "text", piece: int = 4 << 20, plain: bool = True) -> DataFrame:
@@ -242,7 +316,7 @@ def pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, limit
     model, held, number = None, [], 0
     ids: list[int | None] = []
     texts: list[bytes] = []
-    size = waiting = shard = 0
+    size = waiting = shard = before = 0
 
     def encode() -> None:
         nonlocal waiting
@@ -253,10 +327,12 @@ def pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, limit
             waiting = 0
 
     def close() -> pa.RecordBatch:
+        nonlocal before
         flat, counts = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-        known = np.array([-(2**63) if i is None else i for i in ids], "<i8")
-        row = {"shard": shard, "n_docs": len(ids), "n_tokens": len(flat), "doc_ids": known.tobytes(), "doc_ends": np.cumsum(counts).astype("<i8").tobytes(), "matrix": WaveletMatrix.of(flat).to_bytes(), "piece": number}
-        types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32()]
+        known = np.array([0 if i is None else i for i in ids], "<i8")
+        row = {"shard": shard, "before": before, "n_docs": len(ids), "n_tokens": len(flat), "n_null": ids.count(None), "doc_ids": known.tobytes(), "doc_ends": np.cumsum(counts).astype("<i8").tobytes(), "matrix": WaveletMatrix.of(flat).to_bytes(), "piece": number}
+        types = [pa.int32(), *[pa.int64()] * 4, *[pa.binary()] * 3, pa.int32()]
+        before += len(flat)
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), types)], names=list(row))
 
     for whole in batches:
@@ -280,26 +356,30 @@ def pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, limit
 
 
 def read_documents(stored: DataFrame) -> DataFrame:
-    """``id, start, n_tokens, ids_crc32`` of every document, decoded from the written shards."""
-    sizes = stored.select("shard", "piece", "n_tokens")
-    place = Window.orderBy("shard", "piece").rowsBetween(Window.unboundedPreceding, -1)
-    # one small row for each piece, not for each document
-    starts = sizes.select("shard", "piece", F.coalesce(F.sum("n_tokens").over(place), F.lit(0)).alias("start"))
-    blobs = stored.join(F.broadcast(starts), ["shard", "piece"]).select("start", "doc_ids", "doc_ends", "matrix")
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    """``id, start, n_tokens, ids_crc32, first_token`` of every document, decoded from the written shards.
+
+    Where a document starts is what earlier shards hold (one small row for each
+    shard), what earlier pieces of its shard hold, and its place in the piece.
+    """
+    place = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    shards = stored.groupBy("shard").agg(F.sum("n_tokens").alias("all"))
+    shards = written(shards.select("shard", F.coalesce(F.sum("all").over(place), F.lit(0)).alias("earlier")))
+    blobs = stored.join(narrow(shards, 24), "shard").select((F.col("earlier") + F.col("before")).alias("start"), "n_null", "doc_ids", "doc_ends", "matrix")
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                start, ids, ends, blob = (batch.column(i)[row].as_py() for i in range(4))
-                tokens = WaveletMatrix.from_bytes(blob).tokens().astype("<u4")
+                start, nulls, ids, ends, blob = (batch.column(i)[row].as_py() for i in range(5))
+                matrix = WaveletMatrix.from_bytes(blob)
+                tokens = matrix.tokens().astype("<u4")
                 ends, ids = np.frombuffer(ends, "<i8"), np.frombuffer(ids, "<i8")
                 first = np.concatenate(([0], ends[:-1]))
                 raw = memoryview(tokens).cast("B")
                 crc = np.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(first.tolist(), ends.tolist())], "int64")
-                out = pa.array(ids, pa.int64(), mask=ids == -(2**63))
-                yield pa.RecordBatch.from_arrays([out, pa.array(start + first), pa.array(ends - first), pa.array(crc)], names=["id", "start", "n_tokens", "ids_crc32"])
+                out = pa.array(ids, pa.int64(), mask=np.arange(len(ids)) < nulls)
+                yield pa.RecordBatch.from_arrays([out, pa.array(start + first), pa.array(ends - first), pa.array(crc), pa.array(matrix.access_many(first))], names=["id", "start", "n_tokens", "ids_crc32", "first_token"])
 
-    return blobs.mapInArrow(decode, "id long, start long, n_tokens long, ids_crc32 long")
+    return blobs.mapInArrow(decode, "id long, start long, n_tokens long, ids_crc32 long, first_token long")
 
 
 def occurrences(stored: DataFrame, token: int) -> DataFrame:
