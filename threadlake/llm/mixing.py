@@ -7,51 +7,95 @@ is then kept with its cell's calibrated probability.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadlake.llm.common import drop_written, uniform, written
+from threadlake.llm.common import drop_written, narrow, uniform, written
 
+ARRAY = 200_000  # cells times values that are raked as one row of arrays
 
-def rake(cells: DataFrame, dims: list[str], targets: Mapping[str, DataFrame], rounds: int = 12, tolerance: float = 1e-4) -> DataFrame:
+
+def rake(cells: DataFrame, dims: list[str], targets: Mapping[str, DataFrame], rounds: int = 100, tolerance: float = 1e-9) -> DataFrame:
     """``cells`` (``dims``, ``weight``) with ``fitted``, the weights raked to ``targets``.
 
     ``targets[d]`` has the columns ``d, share``; shares are rescaled to the
-    values that occur. Each step is one window sum over a table with a row for
-    each cell. It stops when no marginal is off by more than ``tolerance`` of
-    the total (looked at after every third round), or after ``rounds``. Cells of weight 0 stay 0.
+    values that occur. The cell table is one row of arrays while its cells times
+    values are at most ``ARRAY``: each step is then a pass over arrays, and all
+    ``rounds`` are one expression. A larger table is raked by window sums, three
+    rounds for each written table, until no marginal is off by more than
+    ``tolerance`` of the total. Either way what is left of that difference is
+    looked at, and one above ``tolerance`` is reported as a warning: targets that
+    the empty cells rule out cannot be met. Cells of weight 0 stay 0.
     """
     state = cells.withColumn("fitted", F.col("weight").cast("double"))
+    values = cells.agg(F.count("*").alias("n"), *[F.countDistinct(F.struct(d)).alias(d) for d in dims]).first()
     for d in dims:
         found = targets[d].groupBy(d).agg(F.sum("share").alias("share"))
-        joined = state.join(F.broadcast(found.withColumnRenamed(d, "t_value")), F.col(d).eqNullSafe(F.col("t_value")), "left").drop("t_value")
+        joined = state.join(narrow(found.withColumnRenamed(d, "t_value"), 100, values[d]), F.col(d).eqNullSafe(F.col("t_value")), "left").drop("t_value")
         once = F.coalesce(F.col("share"), F.lit(0.0)) / F.count("*").over(Window.partitionBy(d))
         state = joined.withColumn("share", once)
         state = state.withColumn(f"want_{d}", F.sum("share").over(Window.partitionBy(d)) / F.sum("share").over(Window.partitionBy())).drop("share")
-    total = F.sum("fitted").over(Window.partitionBy())
     state = written(state)
-    for done in range(0, rounds, 3):
-        step = state
-        for d in dims * min(3, rounds - done):  # a few rounds for each table that is written
-            own = F.sum("fitted").over(Window.partitionBy(d))
-            step = step.withColumn("fitted", F.when(own > 0, F.col("fitted") * F.col(f"want_{d}") / own).otherwise(0.0))
-        nxt = written(step)
-        drop_written(state)
-        state = nxt
-        off = F.greatest(*[F.abs(F.sum("fitted").over(Window.partitionBy(d)) / total - F.col(f"want_{d}")) for d in dims], F.lit(0.0))
-        if (state.select(off.alias("off")).agg(F.max("off")).first()[0] or 0.0) <= tolerance:
-            break
+    total = F.sum("fitted").over(Window.partitionBy())
+    off = F.greatest(*[F.abs(F.sum("fitted").over(Window.partitionBy(d)) / total - F.col(f"want_{d}")) for d in dims], F.lit(0.0))
+    residual = lambda df: df.select(off.alias("off")).agg(F.max("off")).first()[0] or 0.0
+    if values.n * sum(values[d] for d in dims) <= ARRAY:
+        state = written(raked_arrays(state, dims, rounds))
+        left = residual(state)
+    else:
+        for done in range(0, rounds, 3):
+            step = state
+            for d in dims * min(3, rounds - done):  # a few rounds for each table that is written
+                own = F.sum("fitted").over(Window.partitionBy(d))
+                step = step.withColumn("fitted", F.when(own > 0, F.col("fitted") * F.col(f"want_{d}") * total / own).otherwise(0.0))
+            nxt = written(step)
+            drop_written(state)
+            state = nxt
+            left = residual(state)
+            if left <= tolerance:
+                break
+    if left > tolerance:
+        warnings.warn(f"raking ended with a marginal off by {left:.3g} of the total", stacklevel=2)
     return state.drop(*[f"want_{d}" for d in dims])
 
 
+def raked_arrays(state: DataFrame, dims: list[str], rounds: int) -> DataFrame:
+    """The same on one row of arrays, in a fixed order of the cells."""
+    numbered = state.withColumns({f"at_{d}": (F.dense_rank().over(Window.partitionBy().orderBy(F.col(d).asc_nulls_first())) - 1).cast("int") for d in dims})
+    columns = [*dims, "weight", "fitted", *[f"{p}_{d}" for d in dims for p in ("at", "want")]]
+    one = numbered.agg(F.array_sort(F.collect_list(F.struct(*[F.col(f"at_{d}") for d in dims], F.struct(*columns).alias("cell")))).alias("s")).select(F.transform("s", lambda x: x.cell).alias("cells"))
+    one = one.withColumns({n: F.col(f"cells.{n}") for d in dims for n in (f"at_{d}", f"want_{d}")} | {"fit": F.col("cells.fitted"), "all": F.aggregate("cells.fitted", F.lit(0.0), lambda a, x: a + x)})
+    for d in dims:  # the wanted total of each value, by its number
+        by_value = F.array_sort(F.array_distinct(F.arrays_zip(f"at_{d}", f"want_{d}")))
+        one = one.withColumn(f"want_{d}", F.transform(by_value[f"want_{d}"], lambda x: F.col("all") * x))
+
+    def step(fit: Column, d: str) -> Column:
+        at, want = F.col(f"at_{d}"), F.col(f"want_{d}")
+        sums = F.transform(want, lambda _, k: F.aggregate(F.zip_with(fit, at, lambda f, i: F.when(i == k, f).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x))
+        # a lambda over one element binds the sums, so that they are taken once
+        return F.aggregate(F.array(sums), fit, lambda _, s: F.zip_with(fit, at, lambda f, i: F.when(F.get(s, i) > 0, f * F.get(want, i) / F.get(s, i)).otherwise(0.0)))
+
+    turns = F.sequence(F.lit(1), F.lit(rounds * len(dims)))
+
+    def turn(fit: Column, n: Column) -> Column:
+        out = step(fit, dims[-1])
+        for i, d in reversed(list(enumerate(dims[:-1], 1))):
+            out = F.when(n % len(dims) == i, step(fit, d)).otherwise(out)
+        return out
+
+    fitted = one.select("cells", F.aggregate(turns, F.col("fit"), turn).alias("fit")).select(F.explode(F.arrays_zip("cells", "fit")).alias("x"))
+    return fitted.select(*[F.col(f"x.cells.{c}").alias(c) for c in dims], F.col("x.cells.weight").alias("weight"), F.col("x.fit").alias("fitted"), *[F.col(f"x.cells.want_{d}").alias(f"want_{d}") for d in dims])
+
+
 def flat_targets(cells: DataFrame, dim: str, power: float = 0.5) -> DataFrame:
     """Default targets: each value's share of the weight to the given power (1 keeps it, 0 is uniform)."""
     return cells.groupBy(dim).agg(F.pow(F.sum("weight"), F.lit(power)).alias("share"))
 
 
-def mix(docs: DataFrame, dims: Mapping[str, Column], tokens: Column, targets: Mapping[str, DataFrame] | None = None, keep: float = 0.5, tolerance: float = 1e-4, id_col: str = "doc_id", seed: int = 1) -> DataFrame:
+def mix(docs: DataFrame, dims: Mapping[str, Column], tokens: Column, targets: Mapping[str, DataFrame] | None = None, keep: float = 0.5, tolerance: float = 1e-9, id_col: str = "doc_id", seed: int = 1) -> DataFrame:
     """The sampled rows of ``docs`` with ``mix_<dim>``, ``mix_tokens`` and ``mix_probability``.
 
     A cell's probability is proportional to fitted/actual weight and at most 1;

@@ -98,7 +98,7 @@ def topic() -> F.Column:
 def mixed(docs: DataFrame) -> DataFrame:
     """Half the tokens, raked to the square roots of each source's, language's and topic's share."""
     tokens = F.floor((F.octet_length(F.coalesce(F.col("text"), F.lit(""))) + 3) / 4) + 1
-    return mix(docs, {"source": F.col("source"), "lang": F.col("lang"), "topic": topic()}, tokens, keep=0.5, tolerance=0.0)
+    return mix(docs, {"source": F.col("source"), "lang": F.col("lang"), "topic": topic()}, tokens, keep=0.5)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,11 +114,16 @@ LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz
 def url_sql() -> str:
     host = LOWER.format("regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1)")
     rules = ", ".join(f"('{v}', '{h}', '{p}', '{h}{p}')" for v, h, p in URL_RULES)
-    alias = ", ".join(
-        f"regexp_extract(html, '{r}', 1)" for r in (
-            r"(?is)<link\b[^>]*\brel\s*=\s*[\x22\x27]?canonical\b[^>]*\bhref\s*=\s*[\x22\x27]?([^\x22\x27\s>]+)",
-            r"(?is)<link\b[^>]*\bhref\s*=\s*[\x22\x27]?([^\x22\x27\s>]+)[\x22\x27]?[^>]*\brel\s*=\s*[\x22\x27]?canonical\b",
-            r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\x22\x27]?refresh\b[^>]*\burl\s*=\s*[\x22\x27]?([^\x22\x27\s>]+)"))
+    value, rel, meta, to = r"\s*=\s*[\x22\x27]?([^\x22\x27\s>]+)", r"\brel\s*=\s*[\x22\x27]?canonical\b", r"\bhttp-equiv\s*=\s*[\x22\x27]?refresh\b", r"\burl\s*=\s*[\x22\x27]?([^\x22\x27\s>]+)"
+    targets = " || ".join(f"regexp_extract_all(html, '(?is){r}', 1)" for r in (
+        r"<link\b[^>]*?" + rel + r"[^>]*?[\s\x22\x27]href" + value, r"<link\b[^>]*?[\s\x22\x27]href" + value + r"[\x22\x27]?[^>]*?" + rel,
+        r"<meta\b[^>]*?" + meta + "[^>]*?" + to, r"<meta\b[^>]*?" + to + "[^>]*?" + meta))
+    path = "regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1)"
+    asked = f"""CASE WHEN starts_with(t, '/') THEN '' WHEN regexp_matches(t, '^[?#]') THEN {path} ELSE regexp_extract({path}, '^(?s:(.*/))', 1) || CASE WHEN contains({path}, '/') THEN '' ELSE '/' END END || t"""
+    steps = "list_reduce(list_transform(string_split(bare, '/'), lambda x: [x]), lambda done, x: CASE x[1] WHEN '.' THEN done WHEN '..' THEN done[:greatest(len(done) - 1, 1)] ELSE list_concat(done, x) END)"
+    target = f"""CASE WHEN regexp_matches(t, '(?i)^[a-z][a-z0-9+.-]*://') THEN t WHEN regexp_matches(t, '(?i)^[a-z][a-z0-9+.-]*:') OR url NOT LIKE '%://%' THEN NULL
+  WHEN starts_with(t, '//') THEN regexp_extract(url, '^(?s:(.*?))://', 1) || ':' || t
+  ELSE regexp_extract(url, '^(?s:(.*?://[^/?#]*))', 1) || CASE WHEN regexp_matches(bare, '(^|/)[.][.]?(/|$)') THEN array_to_string({steps}, '/') ELSE bare END || regexp_extract(asked, '^[^?#]*(?s:(.*))$', 1) END"""
     form = lambda u: f"""CASE WHEN {u} LIKE '%://%' THEN regexp_replace({LOWER.format(f"regexp_extract({u}, '^(?s:.*?)://([^/?#]*)', 1)")}, ':(80|443)$', '')
         || regexp_replace(regexp_extract({u}, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '/+$', '')
         || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract({u}, '^(?s:.*?)://[^?#]*[?]([^#]*)', 1), '&'),
@@ -126,10 +131,12 @@ def url_sql() -> str:
     return f"""
 WITH RECURSIVE rules(action, rhost, rpath, name) AS (VALUES {rules}),
 b AS (SELECT row_number() OVER () AS row, page_id, {host} AS host, regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path,
-  {form('url')} AS form, list_filter([{alias}], lambda x: x LIKE '%://%')[1] AS target FROM pages),
+  {form('url')} AS form FROM pages),
+d AS (SELECT *, regexp_extract(asked, '^([^?#]*)', 1) AS bare FROM (SELECT *, {asked} AS asked FROM (SELECT url, unnest({targets}) AS t FROM pages WHERE url IS NOT NULL AND html IS NOT NULL))),
+g AS (SELECT url, {target} AS target FROM d),
 r AS (SELECT row, arg_max(name, length(name)) AS rule, arg_max(action, length(name)) AS own FROM b JOIN rules
   ON (host = rhost OR suffix(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY row),
-e AS (SELECT form AS u, {form('target')} AS v FROM b WHERE target IS NOT NULL AND form IS NOT NULL),
+e AS (SELECT {form('url')} AS u, {form('target')} AS v FROM g WHERE target IS NOT NULL),
 reach(node, top) AS (SELECT form, form FROM b WHERE form IS NOT NULL UNION SELECT v, v FROM e
   UNION SELECT CASE WHEN e.u = reach.node THEN e.v ELSE e.u END, top FROM reach JOIN e ON e.u = reach.node OR e.v = reach.node),
 c AS (SELECT node, min(top) AS component FROM reach GROUP BY node),
@@ -158,21 +165,20 @@ FROM l GROUP BY conv_id
 
 
 
-def mixing_sql(rounds: int = 12) -> str:
+def mixing_sql(rounds: int = 100) -> str:
     dims = ("source", "lang", "topic")
     want = ", ".join(f"(SELECT sqrt(sum(i.weight)) FROM cells i WHERE i.{d} IS NOT DISTINCT FROM c.{d}) / (SELECT sum(x) FROM (SELECT sqrt(sum(weight)) AS x FROM cells GROUP BY {d})) AS want_{d}" for d in dims)
-    steps, last = [], "s0"
-    for n in range(rounds * len(dims)):
-        d = dims[n % len(dims)]
-        steps.append(f"s{n + 1} AS MATERIALIZED (SELECT * REPLACE (fitted * want_{d} / sum(fitted) OVER (PARTITION BY {d}) AS fitted) FROM {last})")
-        last = f"s{n + 1}"
+    step = "s"
+    for d in dims:
+        step = f"(SELECT * REPLACE (fitted * want_{d} / sum(fitted) OVER (PARTITION BY {d}) AS fitted) FROM {step})"
     return f"""
-WITH d AS (SELECT doc_id, source, lang, CASE WHEN regexp_matches(t, '[0-9]{{4}}') THEN 'figures' WHEN length(t) < 160 * (length(t) - length(replace(t, chr(10), '')) + 1) THEN 'lines' ELSE 'prose' END AS topic,
+WITH RECURSIVE d AS (SELECT doc_id, source, lang, CASE WHEN regexp_matches(t, '[0-9]{{4}}') THEN 'figures' WHEN length(t) < 160 * (length(t) - length(replace(t, chr(10), '')) + 1) THEN 'lines' ELSE 'prose' END AS topic,
   (strlen(t) + 3) // 4 + 1 AS tokens FROM (SELECT *, coalesce(text, '') AS t FROM documents)),
 cells AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::DOUBLE AS weight FROM d GROUP BY ALL),
-s0 AS MATERIALIZED (SELECT c.*, weight AS fitted, {want} FROM cells c), {", ".join(steps)},
+s AS (SELECT 0 AS round, c.*, weight AS fitted, {want} FROM cells c UNION ALL SELECT * REPLACE (round + 1 AS round) FROM {step} WHERE round < {rounds}),
+l AS MATERIALIZED (SELECT * FROM s WHERE round = {rounds}),
 r AS (SELECT *, fitted / weight AS need, coalesce(sum(weight) OVER (ORDER BY fitted / weight DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below,
-  sum(fitted) OVER (ORDER BY fitted / weight DESC, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, sum(weight) OVER () AS total FROM {last}),
+  sum(fitted) OVER (ORDER BY fitted / weight DESC, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, sum(weight) OVER () AS total FROM l),
 k AS (SELECT max(scale) AS scale FROM (SELECT (total * 0.5::DOUBLE - below) / rest AS scale, need FROM r) WHERE scale * need <= 1),
 p AS (SELECT source, lang, topic, least(1.0::DOUBLE, coalesce(scale, 1.0::DOUBLE) * need) AS probability FROM r, k)
 SELECT doc_id, d.source, d.lang, d.topic, tokens, round(probability, 6) AS probability FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source AND d.lang IS NOT DISTINCT FROM p.lang AND d.topic = p.topic

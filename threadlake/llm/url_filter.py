@@ -42,7 +42,7 @@ def normal_form(url: Column) -> Column:
 
 
 def declared_targets(html: Column) -> Column:
-    """The targets of all canonical links and immediate redirects of a page, as they stand there; null html has none."""
+    """The targets of all canonical links and refreshes (whatever their delay) of a page, as they stand there; null html has none."""
     link, meta, value = r"<link\b[^>]*?", r"<meta\b[^>]*?", r"""\s*=\s*["']?([^"'\s>]+)"""
     canonical, refresh = r"""\brel\s*=\s*["']?canonical\b""", r"""\bhttp-equiv\s*=\s*["']?refresh\b"""
     to_url = r"""\burl\s*=\s*["']?([^"'\s>]+)"""
