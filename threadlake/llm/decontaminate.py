@@ -92,7 +92,9 @@ class Index:
                     starts = np.arange(min(stride, len(tokens) - width + 1))
                     rows += [(k, n, s) for keys in self.keys(tokens, starts, width, walks) for k, s in zip(keys.tolist(), starts.tolist())]
             rows.sort()
-            self.classes.append((width, walks, np.array([r[0] for r in rows], "uint64"), np.array([r[1:] for r in rows], "int64").reshape(-1, 2)))
+            # documents are read at every step words, no more than the fewest offsets of an item here
+            step = min([stride, *[len(t) - width + 1 for _, t in self.items if self.width(len(t)) == width]])
+            self.classes.append((width, step, walks, np.array([r[0] for r in rows], "uint64"), np.array([r[1:] for r in rows], "int64").reshape(-1, 2)))
 
     def width(self, length: int) -> int:
         """The window of an item of so many words: at most its length less the offsets, in steps of a quarter."""
@@ -100,13 +102,13 @@ class Index:
         return max(1, int(2 ** (math.floor(4 * math.log2(room)) / 4)))
 
     @staticmethod
-    def keys(tokens: np.ndarray, starts: np.ndarray, width: int, walks: list) -> Iterator[np.ndarray]:
-        """A key of each window for each table. Sampled places are hashed as the walk passes them."""
+    def keys(tokens: np.ndarray, starts: np.ndarray, width: int, walks: list, ends: np.ndarray | None = None) -> Iterator[np.ndarray]:
+        """A key of each window for each table. Sampled places are hashed as the walk passes them; ``ends`` cuts windows short."""
         number = 0
         for bits, places in walks:
             keys = np.full((len(places), len(starts)), 1, "uint64") * np.arange(number + 1, number + 1 + len(places), dtype="uint64")[:, None]
             number += len(places)
-            at, end = starts.copy(), starts + width
+            at, end = starts.copy(), starts + width if ends is None else ends
             for j in range(1 + max(map(max, places))):
                 here = np.where(at < end, tokens[np.minimum(at, end - 1)], -1)
                 if any(j in p for p in places):
@@ -126,18 +128,20 @@ class Index:
         sizes = ends - first
         unknown = np.concatenate(([0], np.cumsum(flat == 0)))
         found = [np.zeros((0, 3), "int64")]
-        for width, walks, known, where in self.classes:
-            each = np.where(sizes >= width, (sizes - width) // self.stride + 1, 0)
+        for width, step, walks, known, where in self.classes:
+            allowed = math.floor(self.rate * (width * 2**0.25 + self.stride))
+            least = max(1, width - allowed)  # at a document's end a passage may lack words
+            each = np.where(sizes >= least, (sizes - least) // step + 1, 0)
             upto = np.cumsum(each)
             doc = np.repeat(np.arange(len(sizes)), each)
-            starts = first[doc] + self.stride * (np.arange(len(doc)) - (upto - each)[doc])
+            starts = first[doc] + step * (np.arange(len(doc)) - (upto - each)[doc])
+            stops = np.minimum(starts + width, ends[doc])
             # a window within reach has no more words unknown to all items than edits are allowed
-            allowed = math.floor(self.rate * (width * 2**0.25 + self.stride))
-            near = unknown[starts + width] - unknown[starts] <= allowed
-            starts, doc = starts[near], doc[near]
+            near = unknown[stops] - unknown[starts] <= allowed
+            starts, stops, doc = starts[near], stops[near], doc[near]
             if not len(starts):
                 continue
-            for keys in self.keys(flat, starts, width, walks):
+            for keys in self.keys(flat, starts, width, walks, stops):
                 low, high = np.searchsorted(known, keys, "left"), np.searchsorted(known, keys, "right")
                 at = np.flatnonzero(low < high)
                 many = high[at] - low[at]
@@ -196,7 +200,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     query set that is broadcast; more than ``max_items`` raise an error rather
     than grow without bound (call it for blocks of items then). Null or blank
     items match nothing, null texts have no words, equal items are each
-    reported, and a column named hits is replaced.
+    reported, and a column named hits is replaced. An item of fewer than
+    ``1 / rate`` words may have no edit, so one of a single word marks every
+    document with that word: leave such items out of a benchmark. Item ids are
+    cast to long.
     """
     rows = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).limit(max_items + 1).collect()
     if len(rows) > max_items:
