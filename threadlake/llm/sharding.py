@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from threadlake.llm.common import uniform, written
 
+PER_RANGE, LEAST_RANGES, MOST_RANGES = 1_000_000, 512, 65_536
+
 
 def range_of(key: pd.Series, tie: pd.Series, keys: np.ndarray, ties: np.ndarray) -> np.ndarray:
     """The number of splitters ``(keys, ties)`` (sorted) at or below each ``(key, tie)``."""
@@ -28,7 +30,7 @@ def range_of(key: pd.Series, tie: pd.Series, keys: np.ndarray, ties: np.ndarray)
     return out
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", ranges: int = 512) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", ranges: int = 0) -> DataFrame:
     """``id, size, crc32, shard, slot`` for every row; the shards' bytes are equal to within one record.
 
     A record's size is the UTF-8 bytes of its text (null: none) plus one. Rows
@@ -38,16 +40,20 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     in each shard without gaps. An empty table gives an empty one; other
     columns are not read.
 
-    The sample has about ``8 * ranges`` keys however large the input is, and only
-    it and one total for each range reach the driver. A range holds about
-    1/``ranges`` of the bytes; one of more than twice that is divided.
+    A range holds about 1/``ranges`` of the bytes; one of more than twice that (or
+    than two of the largest record) is divided, until none is left. With
+    ``ranges`` 0 there is one for each ``PER_RANGE`` rows, but at least
+    ``LEAST_RANGES`` and at most ``MOST_RANGES``. The sample has about ``8 * ranges``
+    keys, and only it and one total for each range reach the driver. Ids are cast
+    to long.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = written(docs.select(
         F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("crc32"), F.monotonically_increasing_id().alias("row"),
     )).withColumn("key", F.coalesce(F.col("id").cast("long"), F.lit(-(2**63)))).withColumn("tie", F.xxhash64("row"))
-    total, largest = base.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(1))).first()
+    total, largest, count = base.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(1)), F.count("*")).first()
+    ranges = ranges or min(MOST_RANGES, max(LEAST_RANGES, count // PER_RANGE))
     draws = 8 * ranges
     chance = F.col("size") * F.lit(draws / max(total, 1))
     sample = sorted((r.key, r.tie, r.weight) for r in base.where(uniform("row", seed=7) < chance).select(
@@ -64,7 +70,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
         return base.withColumn("range", number("key", "tie"))
 
     # ranges that the sample left overfull are divided again, by a sample of their own
-    for _ in range(6):
+    for _ in range(50):
         split = ranged(splits)
         sizes = {r["range"]: r["size"] for r in split.groupBy("range").agg(F.sum("size").alias("size")).collect()}
         limit = max(2 * total // ranges, 2 * largest)
@@ -75,6 +81,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
         chance = F.least(F.lit(1.0), F.col("size") * F.lit(draws / max(1, sum(over.values()))))
         more = sorted((r.key, r.tie, 1.0) for r in within.where(uniform("row", seed=11) < chance).select("key", "tie").collect())
         splits = sorted({*splits, *quantiles(more, max(2, 2 * sum(over.values()) * ranges // max(1, total)))})
+    else:
+        raise RuntimeError("ranges stay overfull")  # row keys differ, so any range can be divided
     bases, run = [], 0
     for k in sorted(sizes):
         bases.append((int(k), int(run)))
