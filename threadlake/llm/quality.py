@@ -125,7 +125,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on at most ``sample_rows`` labelled documents that are not held out.
 
     The sample is the labels with the smallest hash of the id. Null labels are
-    left out; an id with several labels counts as 1 if any is.
+    left out; an id with several labels counts as 1 if any is, and one with
+    several texts is one example, that of the least statistics.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).where(~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("double").alias("y"))
@@ -138,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), rows], names=["id", "y", "x"])
 
     kind = dict(texts.dtypes)["id"]
-    rows = texts.mapInArrow(features, f"id {kind}, y double, x array<double>").orderBy("id").limit(2 * sample_rows).collect()
+    rows = texts.mapInArrow(features, f"id {kind}, y double, x array<double>").groupBy("id", "y").agg(F.min("x").alias("x")).orderBy("id").collect()
     x = np.array([r.x for r in rows]).reshape(len(rows), len(NAMES))
     return fit(x, np.array([r.y for r in rows]))
 
