@@ -82,6 +82,25 @@ def test_url_filter_follows_all_targets(spark):
     assert [got[i] for i in range(len(rows))] == ["block"] * 6 + ["block"] * 4 + ["allow"] * 3
 
 
+def test_url_sql_follows_all_targets(spark, tmp_path):
+    import duckdb
+
+    from threadlake.llm.queries import QUERIES, SQL
+
+    link, meta = "<link rel='canonical' href='{}'>".format, "<meta http-equiv=refresh content='0; url={}'>".format
+    urls = ["http://a.com/en/1", "http://m.com/x/y", "https://shop.EXAMPLE.com/en/77?q#f", "http://f.info", "http://f.info/d/e?k=1&utm_id=2", "no scheme", None, "http://f.info:80/d/e/", "http://m.com/en/sub/1", "http://m.com/en/sub/1", "http://long.info/" + "p/" * 20_000]
+    targets = ["/en/sub/1", "//a.com/en/1#x", "../../en/./sub/1", "?k=3", "#top", "mailto:x", "en/..", "http://f.info/d/e", "sub/1", "/a/./b", ".", "https://a.com/en/1"]
+    rng = random.Random(5)
+    rows = [(i % 60, rng.choice(urls), rng.choice([None, "", "x" * 50_000, link(rng.choice(targets)) + meta(rng.choice(targets)), link(rng.choice(targets)) * 2 + link(rng.choice(targets))])) for i in range(80)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    names = ["page_id", "host", "path", "rule", "verdict"]
+    want = con.execute(f"select {', '.join(names)} from ({SQL['op1_url_filter']})").fetchall()
+    got = [tuple(r[n] for n in names) for r in QUERIES["op1_url_filter"](spark, str(tmp_path)).collect()]
+    assert sorted(map(tuple, want), key=str) == sorted(got, key=str) and len({g[4] for g in got}) == 2
+
+
 def test_exact_dedup(spark, nasty, empty):
     for support in (0.001, 0.05, 0.5):
         rows = [(r.doc_id, r.text or "") for r in nasty.collect()]
