@@ -134,6 +134,10 @@ def test_chat(spark):
     examples = chat_examples(df)
     assert examples.where("loss_start is not null").count() == sum(r == "assistant" for ts in conversations.values() for _, r, _ in ts)
     whole = full_examples(examples.where("conv is not null")).orderBy("conv", "example").collect()
+    esc = lambda s: s.replace("\\", "\\\\").replace("<|", "<\\|")
+    shown = lambda ts: "".join("<|im_start|>" + esc(r).replace("\n", "\\\n") + "\n" + esc(x) + "<|im_end|>\n" for _, r, x in ts)
+    want = [(c, shown(ts[:k]) + "<|im_start|>assistant\n", esc(x)) for c, ts in conversations.items() if c is not None for k, (_, r, x) in enumerate(ts) if r == "assistant"]
+    assert sorted((r.conv, r.context, r.target) for r in whole) == sorted(want)
     for r in whole:
         assert r.context.endswith("<|im_start|>assistant\n") and r.context.count("<|im_start|>assistant\n") == r.example + 1
     assert chat_examples(df.limit(0)).count() == 0 and read_back(chat_examples(df.limit(0))).count() == 0
@@ -191,6 +195,8 @@ def test_mix(spark, nasty, empty):
     assert sorted(map(str, out.collect())) == sorted(map(str, mix(nasty.repartition(7), dims, F.lit(1), keep=0.5).collect()))
     assert mix(nasty, dims, F.lit(1), keep=1.0).count() == nasty.count()
     assert mix(empty, dims, F.lit(1)).count() == 0
+    nulls = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("s").alias("source"))
+    assert mix(nulls, {"source": F.col("source")}, F.lit(1), keep=0.5).count() in (0, 3000)  # rows with a null id share their fate
     big = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 < 8, "hot").otherwise("cold").alias("source"))
     target = {"source": spark.createDataFrame([("hot", 0.5), ("cold", 0.5)], "source string, share double")}
     got = {r.source: r["count"] for r in mix(big, {"source": F.col("source")}, F.lit(1), target, keep=0.3).groupBy("source").count().collect()}

@@ -38,8 +38,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null texts count as empty, and all empty texts form one group. Rows that
     repeat an id are all returned; of rows with the same text and id each has
     ``kept`` true when the id is the one that stays. An empty table gives an
-    empty one. Other columns of ``docs`` are neither read nor returned, so
-    their names cannot clash.
+    empty one. Ids are whole numbers (text that is none is an error under
+    ANSI). Other columns of ``docs`` are neither read nor returned, so their
+    names cannot clash.
     """
     base = written(fingerprints(docs, id_col, text_col))
     counters = base.stat.freqItems(["digest"], support)

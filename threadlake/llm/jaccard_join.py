@@ -218,8 +218,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark, r = docs.sparkSession, 1 - percent / 100
     base = prefixes(docs, id_col, text_col, k, percent)
     named = base.where("n > 0 and id is not null")
-    classes = named.groupBy("digest").agg(F.min("id").alias("rep"))
-    member = written(named.select("id", "digest").join(classes, "digest").select("id", "digest", "rep").distinct())
+    # stored, so that a join with it can be split where a third of all rows are copies of one text
+    classes = written(named.groupBy("digest").agg(F.min("id").alias("rep")))
+    member = written(named.select("id", "digest").distinct().join(narrow(classes, 80), "digest").select("id", "digest", "rep"))
     copies = member.where("id <> rep").select(F.col("id").alias("src"), F.col("rep").alias("dst"))
     twice = member.groupBy("id").agg(F.min(F.xxhash64("digest")).alias("x"), F.max(F.xxhash64("digest")).alias("y")).where("x <> y").select("id")
     twice = written(twice)
@@ -230,6 +231,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     open_ = open_.join(narrow(twice.withColumn("odd", F.lit(True)), 24), "id", "left").select("token", "id", "n", "pos", F.coalesce("odd", F.lit(False)).alias("odd"), F.col("id").alias("part"), F.map_from_arrays(F.array().cast("array<long>"), F.array().cast("array<double>")).alias("away"))
     open_ = written(open_)
     drop_written(twice)
+    drop_written(classes)
     release(spark)
     done: list[DataFrame] = []
     q = 1

@@ -302,7 +302,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, shards: int =
     A shard's matrix is cut into pieces of about ``piece`` bytes of text, which
     bounds memory whatever a range holds; one document is never divided. Null
     ids come first, null texts count as empty, an empty table gives no rows.
-    ``shards`` 0 lets the session's shuffle partitions decide.
+    ``shards`` 0 lets the session's shuffle partitions decide. Ids are cast to
+    long, so text that is no number is an error under ANSI.
     """
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).withColumn("tie", F.xxhash64("text"))
