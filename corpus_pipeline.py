@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlake.llm.common import narrow, written
+from threadlake.llm.common import drop_written, narrow, written
 from threadlake.llm.decontaminate import contamination
 from threadlake.llm.jaccard_join import jaccard_components
 from threadlake.llm.quality import train, with_score
@@ -68,6 +68,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+    for nth, (_, stage) in enumerate(STAGES):
+        before, docs = docs, written(stage(spark, docs, sf_dir))
+        if nth:
+            drop_written(before)  # the stage's own input, which no later one reads
     return docs
