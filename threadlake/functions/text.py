@@ -227,6 +227,36 @@ def epoch(ts: Column) -> Column:
     return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts.cast("timestamp_ntz")).cast("long")
 
 
+# Seconds from 1970 to 2001, and the advisor's tokens for each free GB, step, bounds and answers.
+COCOA_EPOCH = 978_307_200
+PER_GB, STEP, FEWEST, MOST_TOKENS, LONG_CONTEXT, LONG_ANSWER, SHORT_ANSWER = 1000, 512, 2048, 16384, 8192, 1000, 800
+
+
+def cocoa_seconds(seconds: Column) -> Column:
+    """Seconds since 2001 of seconds since 1970."""
+    return seconds - COCOA_EPOCH
+
+
+def token_advice(free_gb: Column) -> tuple[Column, Column]:
+    """``(context, answer)`` tokens for so much free memory: in whole steps, within bounds."""
+    context = F.least(F.greatest(F.floor(free_gb * PER_GB / STEP + 0.5) * STEP, F.lit(FEWEST)), F.lit(MOST_TOKENS)).cast("long")
+    return context, F.when(context >= LONG_CONTEXT, LONG_ANSWER).otherwise(SHORT_ANSWER)
+
+
+def guarded(text: Column, most_chars: int, most_bytes: int) -> tuple[Column, Column]:
+    """Whether a text has more characters, and more UTF-8 bytes, than that; null for a null text."""
+    return F.length(text) > most_chars, F.octet_length(text) > most_bytes
+
+
+def mail_date(value: Column) -> Column:
+    """Seconds since 1970 of a mail's date (weekday optional, seconds optional with a weekday, a comment behind it dropped); null if it is none."""
+    bare = F.trim(F.regexp_replace(value, r"\(.*$", ""))
+    day = F.regexp_extract(bare, r"^(?:[A-Za-z]{3},\s*)?([0-9]{1,2} [A-Za-z]{3} [0-9]{4} [0-9]{2}:[0-9]{2}:[0-9]{2} [+-][0-9]{4})$", 1)
+    short = F.regexp_extract(bare, r"^[A-Za-z]{3},\s*([0-9]{1,2} [A-Za-z]{3} [0-9]{4} [0-9]{2}:[0-9]{2} [+-][0-9]{4})$", 1)
+    at = F.coalesce(F.try_to_timestamp(F.nullif(day, F.lit("")), F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(F.nullif(short, F.lit("")), F.lit("d MMM yyyy HH:mm Z")))
+    return F.unix_seconds(at)
+
+
 # Signs that a message link keeps as they are.
 LINK_SIGNS = "-._~@+!$&'()*,;="
 

@@ -157,7 +157,7 @@ def date_scoped(fused: DataFrame, chunks: DataFrame, ranges: DataFrame, top_k: i
     inside = F.col("lo").isNull() | F.col("date_unix").between(F.col("lo"), F.col("hi"))
     scoped = ranges.where("lo is not null")
     # questions are few: the range join is a broadcast of them
-    direct = chunks.join(F.broadcast(scoped), F.col("date_unix").between(F.col("lo"), F.col("hi"))).select("qid", "chunk_id", "date_unix")
+    direct = chunks.join(sized(scoped, 40), F.col("date_unix").between(F.col("lo"), F.col("hi"))).select("qid", "chunk_id", "date_unix")
     oldest = Window.partitionBy("qid").orderBy("date_unix", "chunk_id")
     direct = direct.withColumn("at", F.row_number().over(oldest)).where(F.col("at") <= top_k)
     direct_ids = direct.select("qid", "chunk_id", F.lit(True).alias("dated"))

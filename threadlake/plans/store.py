@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlake.functions.text import epoch
+from threadlake.operators import activity as A
 from threadlake.operators import jobs as J
 from threadlake.operators import threads as T
-from threadlake.operators.merge import insert_absent, latest, remap, replace_children, upsert
+from threadlake.operators.merge import insert_absent, latest, remap, replace_children, upsert, without
 from threadlake.plans.base import DRAFTS, JOBS, LINKED, MESSAGES, START, THREADS, Tables, query
+from threadlake.sources.shared import sized
 
 NOW = 1706000000
 
@@ -17,9 +19,9 @@ NOW = 1706000000
 @query("""SELECT o_orderkey AS id, coalesce(c_name, '') AS subject, CASE WHEN coalesce(c_name, '') = '' THEN coalesce(n_name, '') ELSE c_name || ' <' || coalesce(n_name, '') || '>' END AS sender,
  (epoch_us(o_orderdate) // 1000000) AS date_unix FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey WHERE (epoch_us(o_orderdate) // 1000000) > 800000000""")
 def envelope_newer_than(t: Tables) -> DataFrame:
-    rows = t.orders.where(epoch(F.col("o_orderdate")) > 800000000).join(t.customer, F.col("o_custkey") == F.col("c_custkey"), "left").join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    name, address = F.coalesce("c_name", F.lit("")), F.coalesce("n_name", F.lit(""))
-    return rows.select(F.col("o_orderkey").alias("id"), name.alias("subject"), F.when(name == "", address).otherwise(F.concat(name, F.lit(" <"), address, F.lit(">"))).alias("sender"), epoch(F.col("o_orderdate")).alias("date_unix"))
+    messages = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("person"), epoch(F.col("o_orderdate")).alias("date_unix"))
+    people = t.customer.select(F.col("c_custkey").alias("person"), F.col("c_nationkey").alias("place"), F.col("c_name").alias("name"))
+    return A.envelopes(messages, people, t.nation.select(F.col("n_nationkey").alias("place"), F.col("n_name").alias("address")), 800000000)
 
 
 @query("""SELECT c_custkey AS id, coalesce(nullif(e, ''), nullif(n, ''), c_custkey::VARCHAR) AS label FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'u' || c_custkey || '@x.org' ELSE '' END AS e,
@@ -44,7 +46,7 @@ def chunks_with_meta(t: Tables) -> DataFrame:
 @query("SELECT item_id, (item_id * 37) % 1500 AS doc_id, lang FROM benchmark JOIN documents ON doc_id = (item_id * 37) % 1500")
 def ordered_lookup(t: Tables) -> DataFrame:
     wanted = t.benchmark.select("item_id", (F.col("item_id") * 37 % 1500).alias("doc_id"))
-    return F.broadcast(wanted).join(t.documents.select("doc_id", "lang"), "doc_id").select("item_id", "doc_id", "lang")
+    return sized(wanted, 24).join(t.documents.select("doc_id", "lang"), "doc_id").select("item_id", "doc_id", "lang")
 
 
 @query(f"""WITH m AS (SELECT message_id, pk, subject, date_unix FROM {MESSAGES} WHERE pk % 10 < 7), n AS (SELECT message_id, pk + 1000000 AS pk, 'New ' || pk AS subject, date_unix + 1 AS date_unix FROM {MESSAGES} WHERE pk % 10 > 4)
@@ -93,8 +95,7 @@ def coalesce_update(t: Tables) -> DataFrame:
 
 @query("SELECT count(DISTINCT l_orderkey)::BIGINT AS parents, count(*)::BIGINT AS children FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def delete_cascade(t: Tables) -> DataFrame:
-    gone = t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
-    left = t.lineitem.join(gone, "l_orderkey", "left_anti")
+    left = without(t.lineitem, t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey")), ["l_orderkey"])
     return left.agg(F.count_distinct("l_orderkey").alias("parents"), F.count("*").alias("children"))
 
 
@@ -111,7 +112,7 @@ def prune_drafts(t: Tables) -> DataFrame:
 @query("SELECT event_id, user_id FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_nationkey < 9)")
 def prune_failures_semi(t: Tables) -> DataFrame:
     valid = t.customer.where("c_nationkey < 9").select(F.col("c_custkey").alias("user_id"))
-    return t.events.join(valid, "user_id", "left_semi").select("event_id", "user_id")
+    return A.within(t.events, valid, "user_id").select("event_id", "user_id")
 
 
 @query(f"""SELECT (SELECT count(*) FROM {MESSAGES}) AS messages, (SELECT count(*) FROM embeddings) AS chunks, (SELECT count(*) FROM {JOBS} WHERE state = 'failed') AS failures,
@@ -231,32 +232,28 @@ def style_scope_rows(t: Tables) -> DataFrame:
 @query("""SELECT user_id, min(e)::BIGINT AS start_unix, max(e)::BIGINT AS last_unix, count(*) AS events FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY e, event_id) AS s FROM
  (SELECT user_id, event_id, (epoch_us(ts) // 1000000) AS e, CASE WHEN (epoch_us(ts) // 1000000) - lag((epoch_us(ts) // 1000000)) OVER (PARTITION BY user_id ORDER BY ts, event_id) < 3600 THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s""")
 def debounce_sessions(t: Tables) -> DataFrame:
-    rows = t.events.select("user_id", F.timestamp_seconds(epoch(F.col("ts"))).alias("at"))
-    grouped = rows.groupBy("user_id", F.session_window("at", "1 hour")).agg(F.min("at").alias("a"), F.max("at").alias("b"), F.count("*").alias("events"))
-    return grouped.select("user_id", F.unix_seconds("a").alias("start_unix"), F.unix_seconds("b").alias("last_unix"), "events")
+    return A.debounced(t.events.select("user_id", epoch(F.col("ts")).alias("at")), "user_id")
 
 
 @query("SELECT user_id, (epoch_us(ts) // 1000000) // 3600 * 3600 AS window_start, arg_max(event_type, event_id) AS last_type, count(*) AS events FROM events GROUP BY ALL")
 def throttle_window(t: Tables) -> DataFrame:
-    start = F.floor(epoch(F.col("ts")) / 3600) * 3600
-    return t.events.groupBy("user_id", start.cast("long").alias("window_start")).agg(F.max_by("event_type", "event_id").alias("last_type"), F.count("*").alias("events"))
+    return A.throttled(t.events.withColumn("at", epoch(F.col("ts"))), "user_id", "event_type", "event_id").withColumnRenamed("last", "last_type")
 
 
-@query(f"""SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE event_type <> 'view' AND (epoch_us(ts) // 1000000) BETWEEN {NOW} - 43200 AND {NOW}) WHERE r <= 20000""")
+@query(f"""SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY epoch_us(ts) // 1000000 DESC, event_id DESC) AS r FROM events WHERE event_type <> 'view' AND (epoch_us(ts) // 1000000) BETWEEN {NOW} - 43200 AND {NOW}) WHERE r <= 20000""")
 def rolling_log_window(t: Tables) -> DataFrame:
-    kept = t.events.where("event_type <> 'view'").where(epoch(F.col("ts")).between(NOW - 43200, NOW))
-    return kept.orderBy(F.desc("ts"), F.desc("event_id")).limit(20000).select("event_id")
+    return A.recent(t.events.where("event_type <> 'view'").withColumn("at", epoch(F.col("ts"))), NOW, 43200, 20000, "event_id").select("event_id")
 
 
 @query("SELECT n_regionkey AS grp, arg_max(n_name, n_nationkey) AS path, max(n_nationkey) AS version FROM nation GROUP BY n_regionkey")
 def max_by_version(t: Tables) -> DataFrame:
-    return t.nation.groupBy(F.col("n_regionkey").alias("grp")).agg(F.max_by("n_name", "n_nationkey").alias("path"), F.max("n_nationkey").alias("version"))
+    return A.highest(t.nation.select(F.col("n_regionkey").alias("grp"), F.col("n_name").alias("path"), F.col("n_nationkey").alias("version")), "grp", "version", "path")
 
 
 @query("SELECT EXISTS (SELECT 1 FROM events WHERE event_type = 'error') AS has_errors, EXISTS (SELECT 1 FROM events WHERE event_type = 'nothing') AS has_nothing")
 def exists_probe(t: Tables) -> DataFrame:
-    one = lambda kind, name: t.events.where(F.col("event_type") == kind).limit(1).agg((F.count("*") > 0).alias("v")).select(F.lit(name).alias("k"), "v")
-    return one("error", "has_errors").unionByName(one("nothing", "has_nothing")).groupBy().pivot("k", ["has_errors", "has_nothing"]).agg(F.first("v"))
+    both = A.exists(t.events, "has_errors", F.col("event_type") == "error").unionByName(A.exists(t.events, "has_nothing", F.col("event_type") == "nothing"))
+    return both.groupBy().pivot("name", ["has_errors", "has_nothing"]).agg(F.first("found"))
 
 
 PATHS = "concat('/mail/V10/', ['INBOX','Sent','Trash','Sent Messages'][o_custkey % 4 + 1], '.mbox/', o_orderkey % 3, '/', o_orderkey // 2, CASE WHEN o_orderkey % 2 = 0 THEN '.emlx' ELSE '.partial.emlx' END)"
@@ -361,7 +358,7 @@ def asof_first_reply(t: Tables) -> DataFrame:
 def scope_fallback(t: Tables) -> DataFrame:
     own = t.customer.where("c_custkey % 7 = 0").select("c_custkey", F.concat(F.lit("a"), F.col("c_custkey")).alias("a"))
     domain = t.nation.where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("c_nationkey"), F.concat(F.lit("d"), F.col("n_nationkey")).alias("d"))
-    rows = t.customer.select("c_custkey", "c_nationkey").join(own, "c_custkey", "left").join(F.broadcast(domain), "c_nationkey", "left")
+    rows = t.customer.select("c_custkey", "c_nationkey").join(own, "c_custkey", "left").join(sized(domain, 60), "c_nationkey", "left")
     scope = F.when(F.col("a").isNotNull(), "address").when(F.col("d").isNotNull(), "domain").otherwise("global")
     return rows.select(F.col("c_custkey").alias("id"), scope.alias("scope"), F.coalesce("a", "d", F.lit("g")).alias("value"))
 

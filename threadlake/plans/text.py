@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threadlake.functions import text as X
 from threadlake.functions.vectors import cosine, hash_embedding
+from threadlake.operators.activity import wrong_dimension
 from threadlake.operators.chunking import chunk
 from threadlake.operators.classify import verdict
 from threadlake.operators.datescope import numeric_range, with_ranges
@@ -45,16 +46,23 @@ def html_to_text(t: Tables) -> DataFrame:
     return t.pages.select("page_id", X.html_to_text(F.col("html")).alias("text"))
 
 
-@query("SELECT l_orderkey AS k, l_linenumber AS n, 'a&lt;' || l_linenumber || '<b> \"q\" &copy; AB ä€ &bad &#99999999; ' || l_orderkey AS text FROM lineitem")
+@query("SELECT doc_id, text || ' &copy; &bad &#99999999; &lt;' AS text FROM documents")
 def decode_entities(t: Tables) -> DataFrame:
-    text = F.concat(F.lit("a&amp;lt;"), F.col("l_linenumber"), F.lit("&lt;b&gt; &quot;q&quot; &copy; &#65;&#x42; &auml;&euro; &bad &#99999999; "), F.col("l_orderkey"))
-    return t.lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), X.decode_entities(text).alias("text"))
+    """Whole documents with their signs and umlauts written as entities of each kind, and some that stay."""
+    text = F.col("text")
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("ä", "&auml;"), ("ö", "&ouml;"), ("Ü", "&Uuml;"), ("ß", "&#223;"), ("é", "&#xE9;"), ("e", "&#101;"), ("😀", "&#x1F600;")):
+        text = F.replace(text, F.lit(sign), F.lit(entity)) if sign != "e" else F.regexp_replace(text, "e(?= )", entity)
+    return t.documents.select("doc_id", X.decode_entities(F.concat(text, F.lit(" &copy; &bad &#99999999; &amp;lt;"))).alias("text"))
 
 
-@query("SELECT doc_id, 'first ' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '' ELSE chr(10) || chr(10) || 'kept ' || source END || chr(10) || chr(10) || 'last' AS text FROM documents")
+STRIPPED = TRIM.format(f"array_to_string(list_filter(string_split(body, chr(10) || chr(10)), lambda p: NOT regexp_matches(p, '{BOILER}')), chr(10) || chr(10))")
+
+
+@query(f"SELECT doc_id, {STRIPPED} AS text FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Click to Unsubscribe here' ELSE 'kept ' || source END || chr(10) || chr(10) || text || chr(10) || chr(10) || 'hier ABMELDEN' || chr(10) || chr(10) || text AS body FROM documents)")
 def strip_boilerplate(t: Tables) -> DataFrame:
-    middle = F.when(F.col("doc_id") % 2 == 0, F.lit("Click to Unsubscribe here")).otherwise(F.concat(F.lit("kept "), F.col("source")))
-    text = F.concat_ws("\n\n", F.concat(F.lit("first "), F.col("doc_id")), middle, F.lit("hier ABMELDEN"), F.lit("last"))
+    """Whole documents, twice, between paragraphs of boilerplate."""
+    head = F.when(F.col("doc_id") % 2 == 0, F.lit("Click to Unsubscribe here")).otherwise(F.concat(F.lit("kept "), F.col("source")))
+    text = F.concat(head, F.lit("\n\n"), F.col("text"), F.lit("\n\nhier ABMELDEN\n\n"), F.col("text"))
     return t.documents.select("doc_id", X.strip_boilerplate(text).alias("text"))
 
 
@@ -100,7 +108,8 @@ def decoded_bound(t: Tables) -> DataFrame:
 
 @query("SELECT doc_id, length(text) > 2000 AS too_long, strlen(text) > 2500 AS too_large FROM documents")
 def size_guards(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", (F.length("text") > 2000).alias("too_long"), (F.octet_length("text") > 2500).alias("too_large"))
+    long, large = X.guarded(F.col("text"), 2000, 2500)
+    return t.documents.select("doc_id", long.alias("too_long"), large.alias("too_large"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Ann <ann' || doc_id || '@x.org>' END AS original FROM documents")
@@ -124,9 +133,8 @@ def stamp_check(t: Tables) -> DataFrame:
 
 @query("SELECT c_custkey AS id, (least(greatest(floor(abs(c_acctbal) / 500 * 1000 / 512 + 0.5) * 512, 2048), 16384))::BIGINT AS context, CASE WHEN least(greatest(floor(abs(c_acctbal) / 500 * 1000 / 512 + 0.5) * 512, 2048), 16384) >= 8192 THEN 1000 ELSE 800 END AS answer FROM customer")
 def token_advisor(t: Tables) -> DataFrame:
-    free = F.abs("c_acctbal") / 500
-    context = F.least(F.greatest(F.floor(free * 1000 / 512 + 0.5) * 512, F.lit(2048)), F.lit(16384)).cast("long")
-    return t.customer.select(F.col("c_custkey").alias("id"), context.alias("context"), F.when(context >= 8192, 1000).otherwise(800).alias("answer"))
+    context, answer = X.token_advice(F.abs("c_acctbal") / 500)
+    return t.customer.select(F.col("c_custkey").alias("id"), context.alias("context"), answer.alias("answer"))
 
 
 @query(f"SELECT pk, strftime(make_timestamp(date_unix * 1000000), '%Y-%m-%d') AS day FROM {MESSAGES}")
@@ -134,18 +142,18 @@ def render_ymd(t: Tables) -> DataFrame:
     return t.messages.select("pk", X.date_text(F.col("date_unix")).alias("day"))
 
 
-@query(f"SELECT pk, date_unix - 3600 AS parsed FROM {MESSAGES}")
+@query(f"SELECT pk, CASE pk % 4 WHEN 0 THEN date_unix - 3600 WHEN 1 THEN date_unix + 19800 WHEN 2 THEN date_unix // 60 * 60 END AS parsed FROM {MESSAGES}")
 def parse_rfc5322(t: Tables) -> DataFrame:
-    at = F.timestamp_seconds("date_unix")
-    stamp = F.concat(F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "dd MMM yyyy HH:mm:ss"), F.lit(" +0100 (CET)"))
-    raw = F.concat(F.lit("Mon, "), stamp)
-    clean = F.regexp_replace(F.regexp_replace(raw, r"\s*\(.*$", ""), r"^\s*[A-Za-z]{3},\s*", "")
-    return t.messages.select("pk", F.unix_seconds(F.to_timestamp(clean, "dd MMM yyyy HH:mm:ss Z")).alias("parsed"))
+    """Every form of the date header, with its weekday: a zone and a comment, no weekday, no seconds, and one that is no date."""
+    at, n = F.to_utc_timestamp(F.timestamp_seconds("date_unix"), F.current_timezone()), F.col("pk") % 4
+    shown = lambda pattern, zone: F.concat(F.date_format(at, pattern), F.lit(zone))
+    raw = F.when(n == 0, shown("E, dd MMM yyyy HH:mm:ss", " +0100 (CET)")).when(n == 1, shown("d MMM yyyy HH:mm:ss", " -0530")).when(n == 2, shown("E, dd MMM yyyy HH:mm", " +0000")).otherwise(shown("E, 99 MMM yyyy HH:mm:ss", " +0000"))
+    return t.messages.select("pk", X.mail_date(raw).alias("parsed"))
 
 
 @query("SELECT o_orderkey AS id, (epoch_us(o_orderdate) // 1000000) - 978307200 AS cocoa FROM orders")
 def cocoa_shift(t: Tables) -> DataFrame:
-    return t.orders.select(F.col("o_orderkey").alias("id"), (X.epoch(F.col("o_orderdate")) - 978307200).alias("cocoa"))
+    return t.orders.select(F.col("o_orderkey").alias("id"), X.cocoa_seconds(X.epoch(F.col("o_orderdate"))).alias("cocoa"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS first_value, len(json_keys(props))::INT AS keys FROM events")
@@ -154,12 +162,15 @@ def json_props(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.element_at(F.map_values(parsed), 1).alias("first_value"), F.size(parsed).alias("keys"))
 
 
-@query("SELECT l_orderkey AS k, l_linenumber AS n, 'Grüße=' || l_partkey AS text FROM lineitem")
+@query("SELECT doc_id, text FROM documents")
 def decode_qp(t: Tables) -> DataFrame:
+    """Whole documents, encoded byte by byte where they are not plain ASCII, with soft line breaks."""
     from threadlake.functions.mime import quoted_printable
 
-    raw = F.concat(F.lit("Gr=C3=BC=C3=\n=9Fe=3D"), F.col("l_partkey"))
-    return t.lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), quoted_printable(raw).alias("text"))
+    pieces = F.regexp_extract_all("text", F.lit(r"(?s)[ -<>-~\n]+|."), F.lit(0))
+    coded = F.transform(pieces, lambda p: F.when(p.rlike(r"^[ -<>-~\n]+$"), p).otherwise(F.regexp_replace(F.hex(F.encode(p, "UTF-8")), "(..)", "=$1")))
+    raw = F.regexp_replace(F.array_join(coded, ""), "(=C3)", "$1=\n")
+    return t.documents.select("doc_id", quoted_printable(raw).alias("text"))
 
 
 def rule_rows(t: Tables) -> DataFrame:
@@ -230,7 +241,7 @@ def cosine_similarity(t: Tables) -> DataFrame:
 
 @query("SELECT label, count(*) AS vectors, (count(*) FILTER (len(embedding) <> 64))::BIGINT AS dropped FROM embeddings GROUP BY label")
 def vector_dim_guard(t: Tables) -> DataFrame:
-    return t.embeddings.groupBy("label").agg(F.count("*").alias("vectors"), F.count_if(F.size("embedding") != 64).alias("dropped"))
+    return wrong_dimension(t.embeddings, "label", 64)
 
 
 @query("""WITH c AS (SELECT item_id, (unicode(ch) % 32) AS b, count(*) AS n FROM (SELECT item_id, unnest(string_split(text, '')) AS ch FROM benchmark) GROUP BY ALL)
