@@ -124,3 +124,17 @@ def test_generator_settles_ambiguous_messages(spark):
     rows = [(1, "ambiguous", "a", "s", "big sale"), (2, "ambiguous", "a", "s", "hello"), (3, "ambiguous", "a", "s", "fail"), (4, "personal", "a", "s", "sale"), (5, None, "a", "s", "sale")]
     df = spark.createDataFrame(rows, "pk long, verdict string, sender string, subject string, body_text string")
     assert {r.pk: r.verdict for r in settled(df, chat).collect()} == {1: "newsletter", 2: "ambiguous", 3: "ambiguous", 4: "personal", 5: None}
+
+
+def test_stream_into_a_stored_table(spark, tmp_path):
+    from threadlake.streaming import arrivals as A
+
+    rows = [(0, "a", 1, "x"), (0, "b", 1, "x"), (1, "a", 3, "y"), (2, "a", 2, "late"), (2, "c", 5, "z")]
+    df = spark.createDataFrame(rows, "part int, k string, seq long, v string")
+    store = Store(spark, str(tmp_path / "store"))
+    put = A.merging(store, "t", "k", "seq")
+    A.replayed(df, "part", 3).writeStream.option("checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    want = [("a", "y"), ("b", "x"), ("c", "z")]
+    assert sorted((r.k, r.v) for r in store.read("t").collect()) == want and store.latest()[0] == 2
+    put(df.where("part = 2").drop("part").withColumn("v", F.lit("again")), 2)  # the batch comes again
+    assert sorted((r.k, r.v) for r in store.read("t").collect()) == want and store.latest()[0] == 2

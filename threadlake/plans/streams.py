@@ -17,9 +17,9 @@ SLICED = f"(SELECT *, floor((epoch_us(ts) - min(epoch_us(ts)) OVER ()) / (max(ep
 
 def arriving(t: Tables, late: bool = False) -> DataFrame:
     """Events in four micro-batches by time; with ``late`` one in fifty of the first quarter comes with the last, and one in seven comes twice."""
-    bounds = t.events.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("low"), F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("high"))
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = t.events.crossJoin(F.broadcast(bounds)).withColumn("part", F.floor((at - F.col("low")) / (F.col("high") - F.col("low") + 1) * BATCHES).cast("int")).drop("low", "high")
+    low, high = t.events.agg(F.min(at), F.max(at)).first()
+    rows = t.events.withColumn("part", F.floor((at - F.lit(low)) / F.lit(high - low + 1) * BATCHES).cast("int"))
     if late:
         rows = rows.withColumn("part", F.when((F.col("part") == 0) & (F.col("event_id") % 50 == 0), BATCHES - 1).otherwise(F.col("part")))
         rows = rows.unionByName(rows.where("event_id % 7 = 0"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from threadlake.operators.merge import latest
+from threadlake.sources.commit import Store
 from threadlake.sources.shared import fresh_path
 
 # Where a job that hangs goes back to.
@@ -55,15 +56,23 @@ def drained(stream: DataFrame, mode: str = "append", key: Sequence[str] = ()) ->
     return found.drop("batch")
 
 
-def merging(path: str, key: str, order: str) -> Callable[[DataFrame, int], None]:
-    """A sink that keeps the last row of each key: versions are staged beside each other, readers take the last whole one."""
+def merging(store: Store, table: str, key: str, order: str) -> Callable[[DataFrame, int], None]:
+    """A sink that keeps the last row of each key in a stored table.
+
+    Rows and the number of the batch change in one commit, so a batch that comes
+    again after a failure changes nothing, and readers see whole batches.
+    """
+    marks = f"{table}_batches"
 
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch
-        if number:
-            rows = spark.read.parquet(f"{path}/version={number - 1}").unionByName(batch)
-        latest(rows, [key], [order]).write.mode("overwrite").parquet(f"{path}/version={number}")
+        with store.transaction() as t:
+            known = t.tables.get(marks)
+            if known and t.read(marks).where(F.col("batch") >= number).limit(1).count():
+                return
+            rows = batch if table not in t.tables else t.read(table).unionByName(batch)
+            t.write(table, latest(rows, [key], [order]))
+            t.write(marks, spark.createDataFrame([(number,)], "batch long"))
 
     return put
 
