@@ -17,13 +17,13 @@ SLICED = f"(SELECT *, floor((epoch_us(ts) - min(epoch_us(ts)) OVER ()) / (max(ep
 
 def arriving(t: Tables, late: bool = False) -> DataFrame:
     """Events in four micro-batches by time; with ``late`` one in fifty of the first quarter comes with the last, and one in seven comes twice."""
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    at = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
     low, high = t.events.agg(F.min(at), F.max(at)).first()
     rows = t.events.withColumn("part", F.floor((at - F.lit(low)) / F.lit(high - low + 1) * BATCHES).cast("int"))
     if late:
         rows = rows.withColumn("part", F.when((F.col("part") == 0) & (F.col("event_id") % 50 == 0), BATCHES - 1).otherwise(F.col("part")))
         rows = rows.unionByName(rows.where("event_id % 7 = 0"))
-    return A.replayed(rows.withColumn("at", F.col("ts").cast("timestamp")), "part", BATCHES)
+    return A.replayed(rows.withColumn("at", F.timestamp_micros(at)), "part", BATCHES)
 
 
 @query(f"SELECT DISTINCT event_id, user_id FROM {SLICED} WHERE NOT (part = 0 AND event_id % 50 = 0)")
