@@ -98,6 +98,16 @@ def test_ranges_of_several_months(question, first, last):
     assert unix_range(question, NOW) == (day(*first), day(*last) + 86399)
 
 
+def test_chunks_do_not_divide_characters():
+    rng = random.Random(4)
+    units = ["a", "b", " ", ". ", "\n", "\r\n", "e\u0301", "👍🏽", "ü"]
+    for _ in range(40):
+        text = "".join(rng.choice(units) for _ in range(rng.randrange(100, 900))).strip()
+        marks = text.replace("\r\n", "\0").replace("e\u0301", "\1").replace("👍🏽", "\2")
+        want = [p.replace("\0", "\r\n").replace("\1", "e\u0301").replace("\2", "👍🏽").strip() for p in chunks_of(marks, 64, 16)]
+        assert chunks_of(text, 64, 16) == [p for p in want if p]
+
+
 def test_replay_is_the_plain_one():
     def plain(order):
         thread, namers = {}, {}

@@ -138,3 +138,16 @@ def test_stream_into_a_stored_table(spark, tmp_path):
     assert sorted((r.k, r.v) for r in store.read("t").collect()) == want and store.latest()[0] == 2
     put(df.where("part = 2").drop("part").withColumn("v", F.lit("again")), 2)  # the batch comes again
     assert sorted((r.k, r.v) for r in store.read("t").collect()) == want and store.latest()[0] == 2
+
+
+def test_answers(spark):
+    from threadlake.operators.evals import assertions
+
+    rows = [
+        (1, "The fee is 10 percent and due in May [1].", ["10 percent", "[1]"], ["John"], None, "en", None), (2, "Das steht nicht da, keine Angabe.", None, ["EUR"], [r"\\d{4}"], "de", True),
+        (3, "Call 555-12345.", [], [], [r"[0-9]{3}-[0-9]{5}"], None, None), (4, "Der Preis ist hoch.", ["Preis"], None, None, "en", False), (5, "", ["x"], None, None, None, True),
+    ]
+    df = spark.createDataFrame(rows, "qid long, answer string, contains array<string>, not_contains array<string>, not_matches array<string>, lang string, refusal boolean")
+    got = {r.qid: (r.has_all, r.has_none, r.no_match, r.right_language, r.right_refusal, r.passed) for r in assertions(df).collect()}
+    assert got[1] == (True,) * 6 and got[2] == (True,) * 6 and got[3] == (True, True, False, True, True, False)
+    assert got[4] == (True, True, True, False, True, False) and got[5] == (False, True, True, True, False, False)

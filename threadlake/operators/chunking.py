@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
@@ -28,18 +29,32 @@ def boundary(text: str, start: int, hard: int, size: int) -> int:
     return hard
 
 
+def characters(text: str) -> list[str] | None:
+    """The text as what a reader takes for characters (grapheme clusters), or None where those are its code points."""
+    if text.isascii() and "\r\n" not in text:
+        return None
+    found = regex.findall(r"\X", text)
+    return found if len(found) < len(text) else None
+
+
 def chunks_of(text: str | None, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
-    """Trimmed pieces of at most ``size`` characters; each starts ``overlap`` before the last one's end."""
+    """Trimmed pieces of at most ``size`` characters, none of them divided; each starts ``overlap`` before the last one's end."""
     size = max(64, size)
     overlap = max(0, min(overlap, size // 2))
-    text = (text or "").strip()
+    whole = (text or "").strip()
+    if len(whole) <= size:
+        return [whole] if whole else []
+    units = characters(whole)
+    # one sign for each character; those of several code points are neither blanks nor stops
+    text = whole if units is None else "".join(u if len(u) == 1 else "\0" for u in units)
     if len(text) <= size:
-        return [text] if text else []
+        return [whole]
+    cut = text.__getitem__ if units is None else lambda at: "".join(units[at])
     out, start = [], 0
     while True:
         hard = min(start + size, len(text))
         end = hard if hard == len(text) else boundary(text, start, hard, size)
-        piece = text[start:end].strip()
+        piece = cut(slice(start, end)).strip()
         if piece:
             out.append(piece)
         if end >= len(text):

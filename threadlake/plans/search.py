@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadlake.operators import evals as E
 from threadlake.operators import index as I
 from threadlake.operators import prompt as P
 from threadlake.operators import search as S
@@ -249,7 +250,17 @@ def citation_render(t: Tables) -> DataFrame:
     return P.cited(answers).withColumn("new_n", F.col("new_n").cast("long"))
 
 
-@query("SELECT item_id AS qid, contains(text, 'the') AND contains(text, 'er') AS has_all, NOT contains(text, 'qqq') AS has_none, NOT regexp_matches(text, '[0-9]{4}') AS no_match FROM benchmark")
+COUNTED = {k: f"len(list_filter(words, lambda w: w IN ({', '.join(repr(w) for w in ws)})))" for k, ws in E.LANGUAGE_WORDS.items()}
+DECLINES = " OR ".join(f"contains(lower(answer), '{p}')" for p in E.DECLINING)
+
+
+@query(f"""SELECT *, has_all AND has_none AND no_match AND right_language AND right_refusal AS passed FROM (SELECT qid, contains(answer, 'the') AND contains(answer, 'er') AS has_all, NOT contains(answer, 'qqq') AS has_none, NOT regexp_matches(answer, '[0-9]{{4}}') AND NOT regexp_matches(answer, '^x') AS no_match,
+ CASE WHEN qid % 3 = 0 THEN true ELSE coalesce(CASE WHEN {COUNTED['en']} > {COUNTED['de']} THEN 'en' WHEN {COUNTED['de']} > {COUNTED['en']} THEN 'de' END = CASE qid % 3 WHEN 1 THEN 'en' ELSE 'de' END, false) END AS right_language,
+ CASE WHEN qid % 2 = 0 THEN true ELSE ({DECLINES}) = (qid % 4 = 1) END AS right_refusal FROM (SELECT *, {TERMS.format('answer')} AS words FROM (SELECT item_id AS qid, text || CASE WHEN item_id % 5 = 0 THEN ' It is Not Mentioned.' ELSE '' END AS answer FROM benchmark)))""")
 def eval_assertions(t: Tables) -> DataFrame:
-    wanted = F.from_json(F.lit('["the","er"]'), "array<string>")
-    return t.benchmark.select(F.col("item_id").alias("qid"), F.forall(wanted, lambda w: F.contains("text", w)).alias("has_all"), (~F.contains("text", F.lit("qqq"))).alias("has_none"), (~F.col("text").rlike("[0-9]{4}")).alias("no_match"))
+    n = F.col("item_id")
+    listed = lambda *ws: F.array(*[F.lit(w) for w in ws])
+    rows = t.benchmark.select(
+        n.alias("qid"), F.concat("text", F.when(n % 5 == 0, " It is Not Mentioned.").otherwise("")).alias("answer"), listed("the", "er").alias("contains"), listed("qqq").alias("not_contains"), listed("[0-9]{4}", "^x").alias("not_matches"),
+        F.when(n % 3 == 1, "en").when(n % 3 == 2, "de").alias("lang"), F.when(n % 2 == 1, n % 4 == 1).alias("refusal"))
+    return E.assertions(rows)
