@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
+from threadlake.llm.common import lean
+
 PUNCTUATION = re.compile(rb"[!-/:-@\[-`{-~]+")
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 ODD = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -214,9 +216,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hit = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("distance", pa.int64())]))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for whole, at in ((b, at) for b in batches for at in range(0, b.num_rows, 256)):
+            batch = whole.slice(at, 256)
             found = [[dict(zip(("item_id", "start", "distance"), m)) for m in ms] for ms in index.value.matches(batch.column(place).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, hit)], names=[*batch.schema.names, "hits"])
 
     found = StructType([StructField(n, LongType()) for n in ("item_id", "start", "distance")])
-    return kept.mapInArrow(find, StructType([*kept.schema.fields, StructField("hits", ArrayType(found))]))
+    return kept.mapInArrow(lean(find), StructType([*kept.schema.fields, StructField("hits", ArrayType(found))]))

@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadlake.llm.common import components, drop_written, narrow, release, written
+from threadlake.llm.common import components, drop_written, lean, narrow, release, written
 from threadlake.llm.shingles import pieces, shingled
 
 SKETCH_BITS = 20  # the sketch has 2**SKETCH_BITS counters
@@ -97,7 +97,7 @@ def frequencies(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
             yield packed(sums)
 
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    parts = written(texts.mapInArrow(count, "chunk int, block binary").repartition("chunk").mapInArrow(merge, "chunk int, block binary"))
+    parts = written(texts.mapInArrow(lean(count), "chunk int, block binary").repartition("chunk").mapInArrow(merge, "chunk int, block binary"))
     out = np.zeros((size >> CHUNK_BITS, 1 << CHUNK_BITS), "uint32")
     for row in parts.collect():
         out[row.chunk] += unpacked(bytes(row.block))
@@ -129,7 +129,7 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int)
                     names=["id", "n", "digest", "prefix"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return written(rows.mapInArrow(first, "id long, n long, digest binary, prefix array<long>"))
+    return written(rows.mapInArrow(lean(first), "id long, n long, digest binary, prefix array<long>"))
 
 
 def compared(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
@@ -177,7 +177,7 @@ def compared(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: i
     asked = written(heads.unionByName(others))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = texts.join(narrow(asked, 60), "id").select("p", "salt", "m", "text")
-    out = rows.repartition("p", "salt").sortWithinPartitions("p", "salt", F.col("m").asc_nulls_first()).mapInArrow(distances, "p long, m long, d double, linked boolean")
+    out = rows.repartition("p", "salt").sortWithinPartitions("p", "salt", F.col("m").asc_nulls_first()).mapInArrow(lean(distances), "p long, m long, d double, linked boolean")
     out = written(out.groupBy("p", "m").agg(F.min("d").alias("d"), F.max("linked").alias("linked")).select(F.least("p", "m").alias("a"), F.greatest("p", "m").alias("b"), "p", "d", "linked"))
     drop_written(asked)
     drop_written(salts)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from threadlake.llm.common import uniform
+from threadlake.llm.common import lean, uniform
 
 CLASSES = [b"0123456789", bytes(range(65, 91)), bytes(range(97, 123)), b" ", b"\n", b".", b",", b"!?", b";:", b"'\"()-", b"#$%&*", b"@/\\_", b"<>{}[]|=+^~`", b"\t\r"]
 KIND = np.full(256, len(CLASSES), "uint8")  # the last kind: bytes of characters beyond ASCII
@@ -139,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), rows], names=["id", "y", "x"])
 
     kind = dict(texts.dtypes)["id"]
-    rows = texts.mapInArrow(features, f"id {kind}, y double, x array<double>").groupBy("id", "y").agg(F.min("x").alias("x")).orderBy("id").collect()
+    rows = texts.mapInArrow(lean(features), f"id {kind}, y double, x array<double>").groupBy("id", "y").agg(F.min("x").alias("x")).orderBy("id").collect()
     x = np.array([r.x for r in rows]).reshape(len(rows), len(NAMES))
     return fit(x, np.array([r.y for r in rows]))
 
@@ -151,10 +151,13 @@ def with_score(docs: DataFrame, model: Trees, text_col: str = "text", score_col:
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([statistics(t) for t in batch.column(place).to_pylist()]).reshape(batch.num_rows, len(NAMES))
+            parts = [np.zeros((0, len(NAMES)))]
+            for at in range(0, batch.num_rows, 256):  # so that few texts are Python objects at once
+                parts.append(np.array([statistics(t) for t in batch.column(place).slice(at, 256).to_pylist()]))
+            x = np.concatenate(parts)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x))], names=[*batch.schema.names, score_col])
 
-    return kept.mapInArrow(scored, StructType([*kept.schema.fields, StructField(score_col, DoubleType())]))
+    return kept.mapInArrow(lean(scored), StructType([*kept.schema.fields, StructField(score_col, DoubleType())]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlake.llm.common import BROADCAST, drop_written, release, written
+from threadlake.llm.common import BROADCAST, drop_written, lean, release, written
 
 GRAM = 8
 STEP = 16  # windows are first judged by strings a step apart
@@ -418,13 +418,13 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield batch_of(token=token, text=text, place=place)
 
     long_enough = rows.where(F.octet_length("raw") >= length).select("text", "raw")
-    repeated = deal.shuffled(long_enough.mapInArrow(parse, deal.schema)).mapInArrow(repeated_phrases, "token long, text long, place int")
+    repeated = deal.shuffled(long_enough.mapInArrow(lean(parse), deal.schema)).mapInArrow(lean(repeated_phrases), "token long, text long, place int")
     repeated = written(repeated)
     release(docs.sparkSession)
     shards = max(1, -(-repeated.count() // shard_rows))
     dealt = repeated.select(F.pmod("text", F.lit(shards)).cast("int").alias("shard"), "text", "place", "token")
     index = written(dealt.repartition("shard").sortWithinPartitions("shard", "text", "place").mapInArrow(
-        lambda b: build(b, depth), "shard int, lf binary, prior binary, first binary, text binary, place binary"))
+        lean(lambda b: build(b, depth)), "shard int, lf binary, prior binary, first binary, text binary, place binary"))
     drop_written(repeated)
     # the merge
     block = "key long, shard int, lo int, hi int"
@@ -440,7 +440,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     heads = index.select("shard", F.lit(0).alias("kind"), "text", "place", none.cast("int").alias("depth"), none.cast("int").alias("lo"), none.cast("int").alias("hi"))
     for k, level in enumerate(levels, 1):
         heads = heads.unionByName(level.select("shard", F.lit(1).alias("kind"), none.cast("binary").alias("text"), none.cast("binary").alias("place"), F.lit(k).alias("depth"), "lo", "hi"))
-    lengths = written(heads.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(matched, "text long, lengths binary"))
+    lengths = written(heads.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(lean(matched), "text long, lengths binary"))
     for level in [*levels, index]:
         drop_written(level)
     # the texts that hold repeated phrases, one of equals
@@ -468,7 +468,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 [*batch.take(pa.array(keep, pa.int64())).columns, pa.array(places, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(settled, pa.list_(pa.bool_()))],
                 names=[*batch.schema.names, "at", "cores", "settled"])
 
-    held = written(held.mapInArrow(cores, "text long, raw binary, lengths binary, at binary, cores array<long>, settled array<boolean>"))
+    held = written(held.mapInArrow(lean(cores), "text long, raw binary, lengths binary, at binary, cores array<long>, settled array<boolean>"))
     release(docs.sparkSession)
     kinds = held.select("text", F.explode(F.arrays_zip("cores", "settled")).alias("x")).select("text", F.col("x.cores").alias("core"), F.col("x.settled").alias("settled"))
     doubtful = kinds.where("not settled").select("core").distinct()
@@ -517,9 +517,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def places_of(rows: DataFrame, whole: bool) -> DataFrame:
         """``text, places`` of the strings that pass; a text's places come together by the text's bucket."""
-        passed = strings_of.shuffled(rows).mapInArrow(judged_strings(whole), texts_of.schema)
+        passed = strings_of.shuffled(rows).mapInArrow(lean(judged_strings(whole)), texts_of.schema)
         gathered = lambda batches: (by_text(text, place) for _, (text, place) in texts_of.opened(batches))
-        out = written(texts_of.shuffled(passed).mapInArrow(gathered, "text long, places binary"))
+        out = written(texts_of.shuffled(passed).mapInArrow(lean(gathered), "text long, places binary"))
         release(docs.sparkSession)
         return out
 
@@ -539,7 +539,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if out.rows:
             yield dealt_strings(out, False)
 
-    short = held.select("text", "raw", "lengths", "at").join(asked, "text").mapInArrow(near, strings_of.schema)
+    short = held.select("text", "raw", "lengths", "at").join(asked, "text").mapInArrow(lean(near), strings_of.schema)
     alive = places_of(short, False).withColumnRenamed("places", "wanted")
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -556,7 +556,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if out.rows:
             yield dealt_strings(out, True)
 
-    compared = held.select("text", "raw", "lengths", "at").join(alive, "text").mapInArrow(strings, strings_of.schema)
+    compared = held.select("text", "raw", "lengths", "at").join(alive, "text").mapInArrow(lean(strings), strings_of.schema)
     places = places_of(compared, True)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -576,7 +576,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["text", "removed", "spans", "rest"])
 
-    cuts = held.select("text", "raw", "lengths", "at").join(places, "text", "left").mapInArrow(cut, "text long, removed long, spans long, rest binary")
+    cuts = held.select("text", "raw", "lengths", "at").join(places, "text", "left").mapInArrow(lean(cut), "text long, removed long, spans long, rest binary")
     cuts = written(cuts.dropDuplicates(["text"]))
     for old in (held, lengths, places):
         drop_written(old)

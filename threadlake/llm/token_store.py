@@ -22,11 +22,11 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadlake.llm.common import narrow, written
+from threadlake.llm.common import lean, narrow, written
 from threadlake.llm.shingles import beginnings, runs_of, word_hashes
 
 BLOCK = 512  # bits for each stored count of a plane
-SLOT_BITS = 20  # slots of an encoder's memory by hash
+SLOT_BITS, PROBES = 21, 16  # slots of an encoder's memory by hash, and how many are tried
 
 
 class WaveletMatrix:
@@ -209,60 +209,85 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.places: dict[bytes, int] = {}
+        self.places: dict[bytes, int] = {}  # of runs that are looked up one by one
         self.starts, self.ids = array("q", [0]), array("I")
-        # the same by hash and first eight bytes, one run for each slot: what most words are found by
-        self.slots = np.zeros((1 << SLOT_BITS, 3), "uint64")
+        self.slots = np.zeros((1 << SLOT_BITS, 3), "uint64")  # hash, first eight bytes, place and one: of all others
+
+    def find(self, h: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """The places of runs by hash and first bytes, -1 for unknown ones; a slot that is taken sends on to the next."""
+        out = np.full(len(h), -1, "int64")
+        todo, slot = np.arange(len(h)), (h >> np.uint64(64 - SLOT_BITS)).astype("int64")
+        for _ in range(PROBES):
+            met = self.slots[slot]
+            hit = (met[:, 0] == h[todo]) & (met[:, 1] == begin[todo]) & (met[:, 2] > 0)
+            out[todo[hit]] = met[hit, 2].astype("int64") - 1
+            on = ~hit & (met[:, 2] > 0)
+            if not on.any():
+                break
+            todo, slot = todo[on], (slot[on] + 1) & ((1 << SLOT_BITS) - 1)
+        return out
+
+    def keep(self, h: np.ndarray, begin: np.ndarray, place: np.ndarray) -> None:
+        """Remember new runs; one that finds no free slot is learnt again when it comes again."""
+        rows = np.stack((h, begin, place.astype("uint64") + np.uint64(1)), 1)
+        slot = (h >> np.uint64(64 - SLOT_BITS)).astype("int64")
+        for _ in range(PROBES):
+            free = np.flatnonzero(self.slots[slot, 2] == 0)
+            _, first = np.unique(slot[free], return_index=True)
+            won = free[first]
+            self.slots[slot[won]] = rows[won]
+            left = np.ones(len(rows), bool)
+            left[won] = False
+            if not left.any():
+                break
+            rows, slot = rows[left], (slot[left] + 1) & ((1 << SLOT_BITS) - 1)
 
     def learn(self, run: bytes) -> int:
-        """Add a run; a plain word with signs is put together from the two, which are runs themselves."""
+        """Add a run."""
+        self.ids.extend(self.ids_of(run))
+        self.starts.append(len(self.ids))
+        return len(self.starts) - 2
+
+    def ids_of(self, run: bytes) -> list[int]:
+        """A run's ids; a plain word with signs has those of the two."""
         text = run.decode("utf-8", "replace")
         plain = None
         if self.plain and run.isascii() and run.isalpha():  # most are
-            got = [t.id for t in self.model.tokenize(text.lower())]
-        elif not (plain := self.plain and PLAIN.fullmatch(text)):
-            got = self.tokenizer.encode(text, add_special_tokens=False).ids
-        elif plain[2]:
-            got = array("I")
-            for part in (plain[1].encode(), plain[2].encode()):
-                place = self.places.get(part)
-                place = self.learn(part) if place is None else place
-                got += self.ids[self.starts[place] : self.starts[place + 1]]
-        else:
-            word = text.lower()
-            spelt = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-            got = [t.id for t in self.model.tokenize(spelt)]
-        self.ids.extend(got)
-        self.starts.append(len(self.ids))
-        place = self.places[run] = len(self.places)
-        return place
+            return [t.id for t in self.model.tokenize(text.lower())]
+        if not (plain := self.plain and PLAIN.fullmatch(text)):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        if plain[2]:
+            return self.ids_of(plain[1].encode()) + self.ids_of(plain[2].encode())
+        word = text.lower()
+        spelt = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+        return [t.id for t in self.model.tokenize(spelt)]
 
     def known(self, run: bytes) -> int:
         place = self.places.get(run)
-        return self.learn(run) if place is None else place
+        if place is None:
+            place = self.places[run] = self.learn(run)
+        return place
 
     def places_of(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The place of each run of the texts ``raw[bounds[i]:bounds[i+1]]``, and the runs' bounds by text; A-Z count as a-z."""
         start, end, upto = parted(raw, *runs_of(raw, bounds))
         h = word_hashes(raw, start, end)
         begin = beginnings(raw, start, end)
-        slot = (h >> np.uint64(64 - SLOT_BITS)).astype("int64")
-        met = self.slots[slot]
-        out = met[:, 2].astype("int64") - 1
-        missed = np.flatnonzero((met[:, 0] != h) | (met[:, 1] != begin) | (out < 0))
+        out = self.find(h, begin)
+        missed = np.flatnonzero(out < 0)
         if len(missed):
             pair = np.stack((h[missed], begin[missed]), 1).view("V16")[:, 0]
             _, first, back = np.unique(pair, return_index=True, return_inverse=True)
             where = missed[first]
-            whole, known = raw.tobytes().lower(), self.known
-            found = np.array([known(whole[a:b]) for a, b in zip(start[where].tolist(), end[where].tolist())], "int64")
+            whole, learn = raw.tobytes().lower(), self.learn
+            found = np.array([learn(whole[a:b]) for a, b in zip(start[where].tolist(), end[where].tolist())], "int64")
             out[missed] = found[back]
-            self.slots[slot[where]] = np.stack((h[where], begin[where], (found + 1).astype("uint64")), 1)
+            self.keep(h[where], begin[where], found)
         return out, upto
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and how many each has."""
-        if len(self.places) > self.most:
+        if len(self.starts) > self.most:
             self.forget()
         # ASCII capitals fold to fewer runs; not where a special token's own spelling may occur
         if self.plain and not any(b"<|" in t for t in texts):
@@ -273,7 +298,7 @@ class Encoder:
             upto = np.cumsum([0, *map(len, runs)])
         if not len(at):
             return np.zeros(0, "uint32"), np.zeros(len(texts), "int64")
-        starts, ids = np.array(self.starts), np.array(self.ids, "uint32")
+        starts, ids = np.frombuffer(self.starts, "int64"), np.frombuffer(self.ids, "uint32")  # views, gone before more is learnt
         first, sizes = starts[at], starts[at + 1] - starts[at]
         ends = np.cumsum(sizes)
         flat = ids[np.repeat(first - (ends - sizes), sizes) + np.arange(int(ends[-1]))]
@@ -310,7 +335,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, shards: int =
     count = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(count, F.col("id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("id").asc_nulls_first(), "tie")
     dealt = dealt.select("id", "text", F.spark_partition_id().alias("shard"))
-    return written(dealt.mapInArrow(lambda batches: pieces(batches, tokenizer, end_id, piece, plain), STORED + ", piece int"))
+    return written(dealt.mapInArrow(lean(lambda batches: pieces(batches, tokenizer, end_id, piece, plain)), STORED + ", piece int"))
 
 
 def pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, limit: int, plain: bool) -> Iterator[pa.RecordBatch]:
@@ -380,7 +405,7 @@ def read_documents(stored: DataFrame) -> DataFrame:
                 out = pa.array(ids, pa.int64(), mask=np.arange(len(ids)) < nulls)
                 yield pa.RecordBatch.from_arrays([out, pa.array(start + first), pa.array(ends - first), pa.array(crc), pa.array(matrix.access_many(first))], names=["id", "start", "n_tokens", "ids_crc32", "first_token"])
 
-    return blobs.mapInArrow(decode, "id long, start long, n_tokens long, ids_crc32 long, first_token long")
+    return blobs.mapInArrow(lean(decode), "id long, start long, n_tokens long, ids_crc32 long, first_token long")
 
 
 def occurrences(stored: DataFrame, token: int) -> DataFrame:
