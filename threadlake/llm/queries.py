@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlake.llm.chat_format import chat_examples, expanded, read_expanded
+from threadlake.llm.collocations import collocations
 from threadlake.llm.common import written
 from threadlake.llm.decontaminate import contamination
 from threadlake.llm.exact_dedup import exact_dedup
 from threadlake.llm.jaccard_join import jaccard_components
 from threadlake.llm.mixing import mix
+from threadlake.llm.periodic_runs import RUNS, periodic_runs
 from threadlake.llm.quality import quality_scores
 from threadlake.llm.sharding import shard_by_bytes
+from threadlake.llm.substring_dedup import substring_dedup
 from threadlake.llm.suffix_dedup import suffix_dedup
 from threadlake.llm.token_store import read_documents, write_shards
 from threadlake.llm.url_filter import url_filter
@@ -106,7 +109,43 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").cast("long").alias("tokens"), F.round("mix_probability", 6).alias("probability"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op3_quality, op4_decontaminate, op5_suffix_dedup, op6_jaccard_join, op7_sharding, op8_chat_format, op9_token_store, op10_mixing)}
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: the texts as they are, but in one of ten by the id's checksum a stretch to the end repeats its first words."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), 0)
+    n, g = F.size("words"), F.floor(F.col("h") / 10)
+    docs = docs.select("doc_id", "text", h.alias("h")).withColumn("words", F.when(F.col("h") % 10 == 0, words)).withColumn("n", n)
+    docs = docs.withColumn("a", F.when(F.col("n") > 0, (g % F.col("n")).cast("int")))
+    docs = docs.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + g % 8))).cast("int"))
+    rest = F.col("n") - F.col("a")
+    turns = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int")))
+    made = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(turns, F.lit(1), rest)), " ")
+    return docs.select("doc_id", F.when(F.col("n") > 0, made).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs(with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    none = F.lit(None).cast(RUNS.removeprefix("array<").removesuffix(">"))
+    # the first of those with the greatest length / period
+    best = F.aggregate("runs", none, lambda a, x: F.when(a.isNull() | (x.length * a.period > a.length * x.period), x).otherwise(a))
+    lines = F.array_join(F.transform("runs", lambda x: F.concat(F.concat_ws(",", x.start, x.length, x.period), F.lit("\n"))), "")
+    return out.withColumn("best", best).select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x.end - x.start)
+    return out.select(F.col("id").alias("doc_id"), "n_words", removed.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op3_quality, op4_decontaminate, op5_suffix_dedup, op6_jaccard_join, op7_sharding, op8_chat_format, op9_token_store, op10_mixing, op11_periodic_runs, op12_substring_dedup, op13_collocations)}
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -186,4 +225,33 @@ WHERE ('0x' || substr(md5('1|' || coalesce(doc_id::VARCHAR, '')), 1, 8))::UBIGIN
 """
 
 
-SQL = {"op1_url_filter": url_sql(), "op10_mixing": mixing_sql(), "op2_exact_dedup": DEDUP_SQL, "op8_chat_format": CHAT_SQL}
+SUBSTRING_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS nth FROM x) WHERE nth > 1),
+gone AS (SELECT DISTINCT doc_id, i + unnest(range(0, 20)) AS i FROM r),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
+def collocations_sql(most: int = 3, least: int = 10, top: int = 2000) -> str:
+    grams = " UNION ALL ".join(f"SELECT lang, {k} AS k, array_to_string(w[i:i + {k - 1}], ' ') AS phrase FROM (SELECT lang, w, unnest(range(1, len(w) - {k - 2})) AS i FROM p)" for k in range(1, most + 1))
+    low = LOWER.format("coalesce(text, '')")
+    return rf"""
+WITH p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({low}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM ({grams}) GROUP BY ALL),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= {least}),
+u AS (SELECT *, array_to_string(w[:cut], ' ') AS one, array_to_string(w[cut + 1:], ' ') AS two FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)),
+s AS (SELECT u.*, o.f AS l, t.f AS r, (1000000 * a::HUGEINT * a) // (o.f::HUGEINT * t.f) AS score FROM u JOIN f o ON o.lang = u.lang AND o.phrase = one AND o.k = cut JOIN f t ON t.lang = u.lang AND t.phrase = two AND t.k = u.k - cut),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase, k ORDER BY score, cut) = 1),
+h AS (SELECT DISTINCT b.lang, b.phrase FROM (SELECT lang, a, unnest([w[:k - 1], w[2:]]) AS inner_words FROM c WHERE k > 2) longer
+  JOIN b ON b.lang = longer.lang AND b.phrase = array_to_string(inner_words, ' ') AND 100 * longer.a >= 50 * b.a)
+SELECT lang, rank, phrase, a, l, r, (SELECT sum(f) FROM f WHERE f.lang = g.lang AND f.k = 1)::BIGINT AS n, score::BIGINT AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b ANTI JOIN h USING (lang, phrase)) g WHERE rank <= {top}
+"""
+
+
+SQL = {"op12_substring_dedup": SUBSTRING_SQL, "op13_collocations": collocations_sql(), "op1_url_filter": url_sql(), "op10_mixing": mixing_sql(), "op2_exact_dedup": DEDUP_SQL, "op8_chat_format": CHAT_SQL}

@@ -21,7 +21,8 @@ MASK = 2**64
 BLANKS = np.zeros(256, bool)
 BLANKS[[0x20, *range(0x09, 0x0E)]] = True
 RANDOM = np.random.default_rng(20240611)
-VALUES = RANDOM.integers(0, MASK, 256, dtype="uint64")
+EXACT = RANDOM.integers(0, MASK, 256, dtype="uint64")  # of bytes as they are
+VALUES = EXACT.copy()
 VALUES[0x41:0x5B] = VALUES[0x61:0x7B]
 LOWER = np.arange(256, dtype="uint8")
 LOWER[0x41:0x5B] += 32
@@ -46,8 +47,8 @@ def finish(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the words ``raw[start:end]``, which follow each other."""
+def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray = VALUES) -> np.ndarray:
+    """Hashes of the words ``raw[start:end]``, which follow each other; with ``EXACT`` as values A-Z are not lower-cased."""
     out = np.zeros(len(start), "uint64")
     up, down = powers(BASE), powers(pow(BASE, -1, MASK))
     size = end - start
@@ -58,16 +59,16 @@ def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
         if size[at:to].max() <= LONG:
             part = raw[first : end[to - 1]]
             upto = np.zeros(len(part) + 1, "uint64")
-            np.cumsum(VALUES[part] * up[: len(part)], out=upto[1:])
+            np.cumsum(values[part] * up[: len(part)], out=upto[1:])
             s, e = start[at:to] - first, end[at:to] - first
             out[at:to] = (upto[e] - upto[s]) * down[s]
         else:
             for i in range(at, to):
                 word = raw[start[i] : end[i]]
                 if size[i] <= LONG:
-                    out[i] = (VALUES[word] * up[: len(word)]).sum(dtype="uint64")
+                    out[i] = (values[word] * up[: len(word)]).sum(dtype="uint64")
                 else:
-                    out[i] = xxhash.xxh3_64_intdigest(word.tobytes().lower())
+                    out[i] = xxhash.xxh3_64_intdigest(word.tobytes() if values is EXACT else word.tobytes().lower())
         at = to
     out = finish(out) ^ size.astype("uint64") * np.uint64(0xD6E8FEB86659FD93)
     return finish(out)
