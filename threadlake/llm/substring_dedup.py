@@ -82,6 +82,20 @@ class Words:
         return text[first], lo - self.bounds[text[first]], small[at[first]], finish(kind)
 
 
+def spans_of(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """``no, spans``: start and end of each stretch of words that a text's windows ``gone`` (first, number) cover, one after the other."""
+    for batch in batches:
+        out = []
+        offsets = batch.column("gone").offsets.to_numpy()
+        first, windows = (batch.column("gone").values.field(c).to_numpy().astype("int64") for c in ("start", "windows"))
+        for a, b in zip(offsets[:-1], offsets[1:]):
+            order = np.argsort(first[a:b], kind="stable")
+            start, end = first[a:b][order], np.maximum.accumulate((first[a:b] + windows[a:b] + window - 1)[order])
+            new = np.append(True, start[1:] > end[:-1])
+            out.append(np.stack((start[new], np.append(end[:-1][new[1:]], end[-1])), 1).ravel().tolist())
+        yield pa.RecordBatch.from_arrays([batch.column("no"), pa.array(out, pa.list_(pa.int32()))], names=["no", "spans"])
+
+
 def compacted(links: DataFrame, max_rounds: int = 64) -> DataFrame:
     """``at, head``: the first node of each linked node's path, by pointer doubling.
 
@@ -101,10 +115,10 @@ def compacted(links: DataFrame, max_rounds: int = 64) -> DataFrame:
 
 
 def numbered(rows: DataFrame) -> tuple[DataFrame, int]:
-    """``key, rep, no`` for each different text, numbered by its smallest id (nulls last), then key; and the bits that a word's number takes."""
-    texts = written(rows.groupBy("key").agg(F.min("id").alias("rep"), F.max(F.octet_length("raw")).alias("n")))
+    """``key, rep, no, copied`` for each different text, numbered by its smallest id (nulls last), then key; and the bits that a word's number takes."""
+    texts = written(rows.groupBy("key").agg(F.min("id").alias("rep"), F.max(F.octet_length("raw")).alias("n"), (F.count("*") > 1).alias("copied")))
     ordered = written(texts.orderBy(F.col("rep").asc_nulls_last(), "key").select(
-        "key", "rep", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1)).alias("nth")))
+        "key", "rep", "copied", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1)).alias("nth")))
     counts = ordered.groupBy("part").agg(F.count("*").alias("n"))  # a row for each partition
     earlier = Window.partitionBy().orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
@@ -112,7 +126,7 @@ def numbered(rows: DataFrame) -> tuple[DataFrame, int]:
     bits = int(total.longest // 2 + 1).bit_length()
     if bits + int(total.texts).bit_length() > 62:
         raise ValueError("texts are too many and too long for coordinates of 63 bits")
-    out = written(ordered.join(F.broadcast(before), "part").select("key", "rep", (F.col("before") + F.col("nth")).alias("no")))
+    out = written(ordered.join(F.broadcast(before), "part").select("key", "rep", "copied", (F.col("before") + F.col("nth")).alias("no")))
     drop_written(texts)
     drop_written(ordered)
     return out, bits
@@ -143,7 +157,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).alias("id"), text.alias("raw")).withColumn("key", F.substring(F.unhex(F.sha2("raw", 256)), 1, 16))
     texts, bits = numbered(rows)
-    known = narrow(texts, 80)  # so that texts need no shuffle while this is a small table
+    known = narrow(texts.select("key", "rep", "no"), 80)  # so that texts need no shuffle while this is a small table
     firsts = rows.join(known, "key").where(F.col("id").eqNullSafe(F.col("rep")))
     coordinate = lambda no, start: F.shiftleft(no, bits) + start
 
@@ -190,7 +204,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = edges.groupBy("anchor").count().where("count > 1").select("anchor")
     mixed = edges.join(shared, "anchor", "left_semi").select(
         F.shiftright("first", bits).alias("no"), F.col("first").bitwiseAND(F.lit(2**bits - 1)).cast("int").alias("start"), F.col("windows").cast("int").alias("windows"))
-    asked = written(mixed.groupBy("no").agg(F.collect_list(F.struct("start", "windows")).alias("asked")).join(texts, "no"))
+    asked = written(mixed.groupBy("no").agg(F.collect_list(F.struct("start", "windows")).alias("asked")).join(texts.select("key", "rep", "no"), "no"))
     side = sized_side(asked, F.size("asked") * 8 + 100)
 
     def window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,36 +230,33 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hashed = rows.join(side, "key").where(F.col("id").eqNullSafe(F.col("rep"))).select("no", "raw", "asked").mapInArrow(lean(window_hashes), "one long, two long, at long")
     hashed = written(hashed)
     release(spark)
-    earliest = written(hashed.groupBy("one", "two").agg(F.count("*").alias("n"), F.min("at").alias("first")).where("n > 1").drop("n"))
-    later = hashed.join(narrow(earliest, 56), ["one", "two"]).where("at <> first").select(
-        F.shiftright("at", bits).alias("no"), F.col("at").bitwiseAND(F.lit(2**bits - 1)).cast("int").alias("start"), F.lit(1).alias("windows"))
+    groups = written(hashed.groupBy("one", "two").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last"))
+    # of two places the later one is known; more are looked up
+    several = narrow(groups.where("n > 2").select("one", "two", "first"), 56)
+    later = groups.where("n = 2").select(F.col("last").alias("at")).unionByName(hashed.join(several, ["one", "two"]).where("at <> first").select("at"))
+    later = later.select(F.shiftright("at", bits).alias("no"), F.col("at").bitwiseAND(F.lit(2**bits - 1)).cast("int").alias("start"), F.lit(1).alias("windows"))
     gone = copies.unionByName(later).groupBy("no").agg(F.collect_set(F.struct("start", "windows")).alias("gone"))
-    found = written(texts.join(gone, "no", "left").select("key", "rep", "gone"))
-    for old in (listed, again, edges, paths, copies, asked, hashed, earliest, texts):
+    spans = written(gone.mapInArrow(lambda batches: spans_of(batches, window), "no long, spans array<int>"))
+    # what differs from its own words: texts with spans, and copies of texts
+    found = written(texts.join(spans, "no", "left").where("spans is not null or copied").select("key", "rep", "spans"))
+    for old in (listed, again, edges, paths, copies, asked, hashed, groups, spans, texts):
         drop_written(old)
     release(spark)
-    marked = rows.join(sized_side(found, F.greatest(F.size("gone"), F.lit(0)) * 16 + 90), "key").select("id", "raw", "gone", (~F.col("id").eqNullSafe(F.col("rep"))).alias("copy"))
+    side = sized_side(found, F.greatest(F.size("spans"), F.lit(0)) * 4 + 90)
+    marked = rows.join(side.withColumn("known", F.lit(True)), "key", "left").select(
+        "id", "raw", "spans", (F.coalesce("known", F.lit(False)) & ~F.col("id").eqNullSafe(F.col("rep"))).alias("copy"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shape = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             n, spans, kept = [], [], []
-            gone = batch.column("gone")
-            offsets = gone.offsets.to_numpy()
-            begin, size = (gone.values.field(c).to_numpy() for c in ("start", "windows"))
-            for i, (raw, copy) in enumerate(zip(batch.column("raw").to_pylist(), batch.column("copy").to_pylist())):
+            for raw, copy, found in zip(batch.column("raw").to_pylist(), batch.column("copy").to_pylist(), batch.column("spans").to_pylist()):
                 words = raw.split()  # at the bytes that count as blank
-                edge = np.zeros(len(words) + 1, "int64")
-                if copy and len(words) >= window:
-                    edge[0], edge[-1] = 1, -1
-                a, b = begin[offsets[i] : offsets[i + 1]], size[offsets[i] : offsets[i + 1]]
-                np.add.at(edge, a, 1)
-                np.add.at(edge, a + b + window - 1, -1)
-                stay = np.concatenate(([True], np.cumsum(edge[:-1]) == 0, [True]))
-                turn = np.flatnonzero(stay[1:] != stay[:-1])
+                ends = [0, len(words)] if copy and len(words) >= window else found or []
                 n.append(len(words))
-                spans.append([{"start": x, "end": y} for x, y in zip(turn[::2].tolist(), turn[1::2].tolist())])
-                kept.append(b" ".join([words[j] for j in np.flatnonzero(stay[1:-1])] if len(turn) else words))
+                spans.append([{"start": a, "end": b} for a, b in zip(ends[::2], ends[1::2])])
+                stay = zip([0, *ends[1::2]], [*ends[::2], len(words)])
+                kept.append(b" ".join([w for a, b in stay for w in words[a:b]] if ends else words))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(spans, shape), pa.array(kept, pa.binary())], names=["id", "n_words", "spans", "kept"])
 
     kind = rows.schema["id"].dataType.simpleString()
