@@ -28,7 +28,7 @@ from threadlake.llm.shingles import FACTORS, LOWER, finish, pieces, word_hashes
 
 #: The bytes that part words, and those that part pieces as well.
 GAPS, STOPS = b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d"
-CHUNK = 8 << 20  # bytes of text counted together
+CHUNK = 4 << 20  # bytes of text counted together
 EXACT_GRAMS = 4 << 20  # hashes of eight bytes
 BLOOM_BITS = 1 << 28
 PROBES = 3
