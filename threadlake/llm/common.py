@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 BLANK = r"[\x20\x09-\x0D]"
 NOT_BLANK = r"[^\x20\x09-\x0D]"
 
-FEW = 10_000  # edges
+FEW = 10_000  # edges that one task settles sooner than a round takes
 BATCH = 8 << 20  # bytes of an Arrow batch
 BROADCAST = 48 << 20  # bytes of a broadcast side, counted before
 
@@ -148,15 +148,16 @@ def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(top), kinds[0]), pa.array([root(x) for x in top], kinds[1])], names=["node", "component"])
 
 
-def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, few: int = 0) -> DataFrame:
     """Connected components: one row ``(node, component)`` for each node of an edge.
 
     ``component`` is the smallest node of the component. Alternating large-star
     and small-star steps (Kiveris et al. 2014): each step is one grouped minimum,
     which Spark pre-aggregates before the shuffle, and one equi-join, which AQE
     splits when a hub is skewed. Every round is written to the shared folder, so
-    the plan stays short. Only two counters reach the driver. At most ``FEW``
-    edges are settled in one task instead.
+    the plan stays short. Only two counters reach the driver. A caller of many
+    small graphs may have up to ``few`` edges (``FEW``, say) settled by union-find
+    in one Python task instead; by default no edge leaves the JVM.
     Nulls, self loops and repeated edges are ignored; an empty table gives an empty one.
     """
     links = (
@@ -168,7 +169,9 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
     links = written(links)
     state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     seen = state(links)
-    if seen[0] <= FEW:  # what one task settles sooner than a round takes; no more rows than that ever meet in it
+    if seen[0] == 0:
+        return links.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    if seen[0] <= few:  # no more rows than that ever meet in one task
         kind = links.schema["u"].dataType.simpleString()
         return links.coalesce(1).mapInArrow(united, f"node {kind}, component {kind}")
     for _ in range(max_rounds):

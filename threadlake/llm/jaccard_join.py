@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadlake.llm.common import components, drop_written, lean, narrow, release, written
+from threadlake.llm.common import FEW, components, drop_written, lean, narrow, release, written
 from threadlake.llm.shingles import pieces, shingled
 
 SKETCH_BITS = 20  # the sketch has 2**SKETCH_BITS counters
@@ -260,7 +260,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             seen = compared(pairs, docs, id_col, text_col, k, percent)
             done.append(seen)
             united = pairs.join(seen.where("linked").select("a", "b"), ["a", "b"], "left_semi").select(F.col("low").alias("src"), F.col("high").alias("dst"))
-            parts = components(united)
+            parts = components(united, few=FEW)
             left = left.join(parts.withColumnRenamed("node", "part"), "part", "left").withColumn("part", F.coalesce("component", "part"))
             m = F.when(F.col("a") == F.col("p"), F.col("b")).otherwise(F.col("a"))
             even = seen.join(pairs.where("not odd").select("a", "b"), ["a", "b"], "left_semi")
@@ -272,5 +272,5 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         release(spark)
         q *= fan
     links = reduce(DataFrame.unionByName, [x.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst")) for x in done], copies)
-    out = base.select("id", F.col("n").alias("n_shingles")).join(components(links).withColumnRenamed("node", "id"), "id", "left")
+    out = base.select("id", F.col("n").alias("n_shingles")).join(components(links, few=FEW).withColumnRenamed("node", "id"), "id", "left")
     return out.select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
