@@ -16,19 +16,22 @@ from pyspark.sql import functions as F
 from threadlake.llm.common import drop_written, narrow, uniform, written
 
 ARRAY = 200_000  # cells times values that are raked as one row of arrays
+BLOCK = 30  # rounds between two looks at the marginals
+STALLED = 0.9  # a block that leaves more of the difference than that takes off too little to go on
 
 
-def rake(cells: DataFrame, dims: list[str], targets: Mapping[str, DataFrame], rounds: int = 100, tolerance: float = 1e-9) -> DataFrame:
+def rake(cells: DataFrame, dims: list[str], targets: Mapping[str, DataFrame], tolerance: float = 1e-9, array: int = ARRAY) -> DataFrame:
     """``cells`` (``dims``, ``weight``) with ``fitted``, the weights raked to ``targets``.
 
     ``targets[d]`` has the columns ``d, share``; shares are rescaled to the
-    values that occur. The cell table is one row of arrays while its cells times
-    values are at most ``ARRAY``: each step is then a pass over arrays, and all
-    ``rounds`` are one expression. A larger table is raked by window sums, three
-    rounds for each written table, until no marginal is off by more than
-    ``tolerance`` of the total. Either way what is left of that difference is
-    looked at, and one above ``tolerance`` is reported as a warning: targets that
-    the empty cells rule out cannot be met. Cells of weight 0 stay 0.
+    values that occur. Rounds go on in blocks of ``BLOCK`` until no marginal is
+    off by more than ``tolerance`` of the total, or until a block leaves more than
+    ``STALLED`` of the difference: then the cells that are empty rule the targets
+    out (or all but), which is reported as a warning with what is left. Cells of
+    weight 0 stay 0. While its cells times values are at most ``array``, the cell
+    table is one row of arrays and a block is one expression; a larger one is
+    raked by window sums, three rounds for each written table. Both stop by the
+    same rule at the same rounds.
     """
     state = cells.withColumn("fitted", F.col("weight").cast("double"))
     values = cells.agg(F.count("*").alias("n"), *[F.countDistinct(F.struct(d)).alias(d) for d in dims]).first()
@@ -42,26 +45,28 @@ def rake(cells: DataFrame, dims: list[str], targets: Mapping[str, DataFrame], ro
     total = F.sum("fitted").over(Window.partitionBy())
     off = F.greatest(*[F.abs(F.sum("fitted").over(Window.partitionBy(d)) / total - F.col(f"want_{d}")) for d in dims], F.lit(0.0))
     residual = lambda df: df.select(off.alias("off")).agg(F.max("off")).first()[0] or 0.0
-    if values.n * sum(values[d] for d in dims) <= ARRAY:
-        state = written(raked_arrays(state, dims, rounds))
-        left = residual(state)
-    else:
-        for done in range(0, rounds, 3):
-            step = state
-            for d in dims * min(3, rounds - done):  # a few rounds for each table that is written
-                own = F.sum("fitted").over(Window.partitionBy(d))
-                step = step.withColumn("fitted", F.when(own > 0, F.col("fitted") * F.col(f"want_{d}") * total / own).otherwise(0.0))
-            nxt = written(step)
+    small = values.n * sum(values[d] for d in dims) <= array
+    left, before = residual(state), None
+    while left > tolerance and (before is None or left <= STALLED * before):
+        for step in [BLOCK] if small else [3] * (BLOCK // 3):
+            nxt = written(raked_arrays(state, dims, step) if small else raked_windows(state, dims, step))
             drop_written(state)
             state = nxt
-            left = residual(state)
-            if left <= tolerance:
-                break
+        left, before = residual(state), left
     if left > tolerance:
         warnings.warn(f"raking ended with a marginal off by {left:.3g} of the total", stacklevel=2)
     return state.drop(*[f"want_{d}" for d in dims])
 
 
+def raked_windows(state: DataFrame, dims: list[str], rounds: int) -> DataFrame:
+    """``state`` after some rounds, by window sums."""
+    total = F.sum("fitted").over(Window.partitionBy())
+    for d in dims * rounds:
+        own = F.sum("fitted").over(Window.partitionBy(d))
+        state = state.withColumn("fitted", F.when(own > 0, F.col("fitted") * F.col(f"want_{d}") * total / own).otherwise(0.0))
+    return state
+
+
 def raked_arrays(state: DataFrame, dims: list[str], rounds: int) -> DataFrame:
     """The same on one row of arrays, in a fixed order of the cells."""
     numbered = state.withColumns({f"at_{d}": (F.dense_rank().over(Window.partitionBy().orderBy(F.col(d).asc_nulls_first())) - 1).cast("int") for d in dims})
@@ -101,7 +106,8 @@ def mix(docs: DataFrame, dims: Mapping[str, Column], tokens: Column, targets: Ma
     A cell's probability is proportional to fitted/actual weight and at most 1;
     the factor is set, cell by cell with those at 1 held, so that ``keep`` of
     the tokens are expected to stay. A document's draw depends on its id and
-    ``seed`` alone, so repeated rows share their fate. Null dimensions form a
+    ``seed`` alone, so repeated rows share their fate, and so do all rows of a
+    null id. Null dimensions form a
     value of their own. An empty table gives an empty one. Clashing names are
     avoided by the ``mix_`` prefix.
     """
