@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from threadlake.llm.common import lean
+from threadlake.llm.common import lean, written
 
 PUNCTUATION = re.compile(rb"[!-/:-@\[-`{-~]+")
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -79,15 +79,17 @@ class Index:
         p = max(1e-3, 1 - 3 * rate) ** samples
         self.tables = max(1, math.ceil(math.log(1 - recall) / math.log(1 - p)))
         rng = np.random.default_rng(seed)
+        # a walk's bit for (step, word) is the highest of the word's code times the step's factor, so no table of both is kept
+        self.codes = rng.integers(1, 2**64 - 1, len(self.words.known) + 2, dtype="uint64")
         self.classes = []
         for width in sorted({self.width(len(t)) for _, t in self.items}):
             # every walk has a random function of its own, and every table places of its own
             steps = max(1, (3 * width) // 2)
             walks = []
             for _ in range(WALKS):
-                bits = rng.integers(0, 2, (steps, len(self.words.known) + 2), dtype="int8")
+                factors = rng.integers(0, 2**63, steps, dtype="uint64") * np.uint64(2) + np.uint64(1)
                 places = [rng.choice(steps, min(samples, steps), replace=False) for _ in range(-(-self.tables // WALKS))]
-                walks.append((bits, places))
+                walks.append((factors, places))
             rows = []
             for n, (_, tokens) in enumerate(self.items):
                 if self.width(len(tokens)) == width:
@@ -103,11 +105,10 @@ class Index:
         room = max(1, length - self.stride + 1)
         return max(1, int(2 ** (math.floor(4 * math.log2(room)) / 4)))
 
-    @staticmethod
-    def keys(tokens: np.ndarray, starts: np.ndarray, width: int, walks: list, ends: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    def keys(self, tokens: np.ndarray, starts: np.ndarray, width: int, walks: list, ends: np.ndarray | None = None) -> Iterator[np.ndarray]:
         """A key of each window for each table. Sampled places are hashed as the walk passes them; ``ends`` cuts windows short."""
         number = 0
-        for bits, places in walks:
+        for factors, places in walks:
             keys = np.full((len(places), len(starts)), 1, "uint64") * np.arange(number + 1, number + 1 + len(places), dtype="uint64")[:, None]
             number += len(places)
             at, end = starts.copy(), starts + width if ends is None else ends
@@ -118,7 +119,7 @@ class Index:
                     for t, p in enumerate(places):
                         if j in p:
                             keys[t] = mixed(keys[t] ^ code)
-                at += bits[j, here]
+                at += (self.codes[here] * factors[j] >> np.uint64(63)).astype("int64")
             yield from keys
 
     def candidates(self, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -195,31 +196,54 @@ def fitted(item: np.ndarray, text: np.ndarray) -> int:
     return int(row.min())
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = 0.1, recall: float = 0.95, max_items: int = 100_000) -> DataFrame:
+def item_blocks(items: DataFrame, most_items: int, most_bytes: int) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks that are small enough to be broadcast; an item of more bytes is a block of its own."""
+    held, size = [], 0
+    for i, t in items.toLocalIterator():
+        more = len((t or "").encode("utf-8", "replace"))
+        if held and (len(held) >= most_items or size + more > most_bytes):
+            yield held
+            held, size = [], 0
+        held.append((i, t))
+        size += more
+    if held:
+        yield held
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = 0.1, recall: float = 0.95, most_items: int = 100_000, most_bytes: int = 8 << 20) -> DataFrame:
     """``docs`` with ``hits array<struct<item_id, start, distance>>``, empty where the document is clean.
 
     ``rate`` is the share of an item's words that may be edited. Items are a
-    query set that is broadcast; more than ``max_items`` raise an error rather
-    than grow without bound (call it for blocks of items then). Null or blank
-    items match nothing, null texts have no words, equal items are each
-    reported, and a column named hits is replaced. An item of fewer than
-    ``1 / rate`` words may have no edit, so one of a single word marks every
-    document with that word: leave such items out of a benchmark. Item ids are
-    cast to long.
+    query set: blocks of at most ``most_items`` items and ``most_bytes`` of text
+    are broadcast one after the other (an index takes some twenty times its
+    items' bytes), each over all documents; between blocks the documents and
+    their hits are written. Null or blank items match nothing, null texts have no
+    words, equal items are each reported, and a column named hits is replaced. A
+    text of any length is searched whole. An item of fewer than ``1 / rate`` words
+    may have no edit, so one of a single word marks every document with that word:
+    leave such items out of a benchmark. Item ids are cast to long.
     """
-    rows = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).limit(max_items + 1).collect()
-    if len(rows) > max_items:
-        raise ValueError(f"more than {max_items} items; pass them in blocks")
-    index = docs.sparkSession.sparkContext.broadcast(Index([(r.i, r.t) for r in rows], rate, recall))
     kept = docs.drop("hits")
     place = kept.columns.index(text_col)
     hit = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("distance", pa.int64())]))
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole, at in ((b, at) for b in batches for at in range(0, b.num_rows, 256)):
-            batch = whole.slice(at, 256)
-            found = [[dict(zip(("item_id", "start", "distance"), m)) for m in ms] for ms in index.value.matches(batch.column(place).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, hit)], names=[*batch.schema.names, "hits"])
-
     found = StructType([StructField(n, LongType()) for n in ("item_id", "start", "distance")])
-    return kept.mapInArrow(lean(find), StructType([*kept.schema.fields, StructField("hits", ArrayType(found))]))
+    kind = StructType([*kept.schema.fields, StructField("hits", ArrayType(found))])
+
+    def searched(rows: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
+        index = docs.sparkSession.sparkContext.broadcast(Index(items, rate, recall))
+
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole, at in ((b, at) for b in batches for at in range(0, b.num_rows, 256)):
+                batch = whole.slice(at, 256)
+                new = [[dict(zip(("item_id", "start", "distance"), m)) for m in ms] for ms in index.value.matches(batch.column(place).to_pylist())]
+                if batch.num_columns > kept_columns:
+                    new = [a + b for a, b in zip(batch.column(kept_columns).to_pylist(), new)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:kept_columns], pa.array(new, hit)], names=kind.names)
+
+        return rows.mapInArrow(lean(find), kind)
+
+    kept_columns = len(kept.columns)
+    out = None
+    for items in item_blocks(benchmark.select(F.col(item_id), F.col(item_text)), most_items, most_bytes):
+        out = searched(kept if out is None else written(out), items)
+    return searched(kept, []) if out is None else out
