@@ -47,9 +47,31 @@ def test_components(spark):
             parent[max(x, y)] = min(x, y)
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {x: root(x) for x in parent}
+    assert got == {r.node: r.component for r in components(spark.createDataFrame(edges, "src long, dst long"), few=10_000).collect()}
     assert components(spark.createDataFrame([], "src string, dst string")).count() == 0
 
 
+def test_components_of_many_edges(spark):
+    """A chain, a star, a cycle and many small trees: over 12,000 edges."""
+    n = F.col("id")
+    chain = spark.range(3000).select((n * 7919 % 3001).alias("src"), ((n + 1) * 7919 % 3001).alias("dst"))  # numbers in a mixed order
+    star = spark.range(5000).select(F.lit(70_000).cast("long").alias("src"), (n + 71_000).alias("dst"))
+    cycle = spark.range(500).select((n + 90_000).alias("src"), ((n + 1) % 500 + 90_000).alias("dst"))
+    trees = spark.range(4000).select((n + 100_000).alias("src"), (F.floor(n / 4) * 4 + 100_000).alias("dst"))
+    got = components(chain.unionByName(star).unionByName(cycle).unionByName(trees))
+    assert not any(word in got._jdf.queryExecution().toString() for word in ("MapInArrow", "Python", "Pandas"))
+    sizes = {r.component: r["count"] for r in got.groupBy("component").count().collect()}
+    assert sizes == {0: 3001, 70_000: 5001, 90_000: 500} | {100_000 + 4 * i: 4 for i in range(1000)}
+
+
+def test_url_query_stays_in_the_jvm(spark):
+    made = [("http://a.com/en/1", None), ("http://free.info/x", "<link rel='canonical' href='http://a.com/en/1'>")] + [(f"http://chain.info/{i}", f"<link rel=canonical href=/{i + 1}>") for i in range(60)]
+    made[-1] = (made[-1][0], "<link rel=canonical href='http://a.com/en/1'>")
+    out = url_filter(pages(spark, made), URL_RULES)
+    assert not any(word in out._jdf.queryExecution().toString() for word in ("MapInArrow", "Python", "Pandas"))
+    assert {r.id: r.verdict for r in out.collect()} == {i: "block" for i in range(62)}
+
+
 def pages(spark, rows):
     return spark.createDataFrame([(i, u, h, "x") for i, (u, h) in enumerate(rows)], "page_id long, url string, html string, host string")
 
@@ -181,10 +203,26 @@ def test_rake_meets_marginals(spark):
     rng = random.Random(2)
     cells = spark.createDataFrame([(s, t, float(rng.randrange(1, 100))) for s in "abc" for t in "xyz"], "s string, t string, weight double")
     want = {"s": {"a": 0.5, "b": 0.3, "c": 0.2}, "t": {"x": 0.1, "y": 0.1, "z": 0.8}}
-    out = rake(cells, ["s", "t"], {d: spark.createDataFrame(list(w.items()), f"{d} string, share double") for d, w in want.items()}, rounds=30).toPandas()
+    out = rake(cells, ["s", "t"], {d: spark.createDataFrame(list(w.items()), f"{d} string, share double") for d, w in want.items()}).toPandas()
     for d, w in want.items():
         got = out.groupby(d).fitted.sum() / out.fitted.sum()
-        assert all(abs(got[k] - v) < 1e-3 for k, v in w.items())
+        assert all(abs(got[k] - v) < 1e-8 for k, v in w.items())
+
+
+def test_both_ways_of_raking_stop_alike(spark):
+    rng = random.Random(6)
+    cells = spark.createDataFrame([(s, t, u, float(rng.randrange(1, 10**6))) for s in "abcd" for t in "xyz" for u in "mn" if rng.random() < 0.7], "s string, t string, u string, weight double")
+    want = {d: cells.groupBy(d).agg(F.sqrt(F.sum("weight")).alias("share")) for d in ("s", "t", "u")}
+    got = [{(r.s, r.t, r.u): r.fitted for r in rake(cells, ["s", "t", "u"], want, array=array).collect()} for array in (10**6, 0)]
+    assert got[0].keys() == got[1].keys() and all(abs(v - got[1][k]) <= 1e-9 * v for k, v in got[0].items())
+
+
+def test_targets_that_cannot_be_met_are_reported(spark):
+    cells = spark.createDataFrame([("a", "x", 1.0), ("b", "y", 1.0), ("a", "y", 0.0)], "s string, t string, weight double")
+    want = {"s": spark.createDataFrame([("a", 0.9), ("b", 0.1)], "s string, share double"), "t": spark.createDataFrame([("x", 0.1), ("y", 0.9)], "t string, share double")}
+    with pytest.warns(UserWarning, match="marginal"):
+        out = rake(cells, ["s", "t"], want)
+    assert out.where("fitted > 0").count() == 2
 
 
 def test_mix(spark, nasty, empty):

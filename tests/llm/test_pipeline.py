@@ -63,3 +63,33 @@ def test_near_duplicates_at_five_words_and_four_fifths(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, DATA).collect()}
     assert kept == {c for _, _, c in brute_components([r[:2] for r in rows], 5, 80)} == {*range(12), 20, 21}
+
+
+def test_columns_with_clashing_names_come_back(spark, tmp_path):
+    rng = random.Random(3)
+    words = lambda n: " ".join(f"w{rng.randrange(99)}" for _ in range(n))
+    base = spark.createDataFrame([(i, words(40), "en", "s", 1) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
+    names = ["quality_score", "score", "hits", "mix_source", "mix_tokens", "mix_probability", "row", "component_id", "id", "doc", "kept_0", "kept_5", "raw", "n", "digest"]
+    docs = base.withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in names})
+    spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, words(20))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.dtypes == docs.dtypes, name
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in names), name
+
+
+def test_a_very_long_text_goes_through_every_stage(spark, tmp_path):
+    rng = random.Random(5)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    item, long = words(30), words(150_000)
+    texts = [long, long + " " + words(100), long[:500_000] + " " + item + " " + long[500_000:], words(60)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    ids = lambda df: sorted(r.doc_id for r in df.collect())
+    assert ids(corpus_pipeline.quality(spark, docs, str(tmp_path))) == [0, 1, 2, 3]
+    assert ids(corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))) == [0, 3]
+    assert ids(corpus_pipeline.decontaminate(spark, docs, str(tmp_path))) == [0, 1, 3]
+    assert corpus_pipeline.tokens(spark, docs, str(tmp_path)).count() == 4

@@ -31,6 +31,20 @@ def test_trees_learn_and_are_constant_without_labels():
     assert np.ptp(fit(x[:0], y[:0]).score(x)) == 0 and np.ptp(fit(x, np.ones(3000)).score(x)) == 0
 
 
+def test_flat_trees_score_as_walked_one_by_one():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 6))
+    model = fit(x, (x[:, 0] * x[:, 2] > 0.1).astype(float))
+    for row, got in zip(x, model.score(x)):
+        raw = model.base
+        for feature, cut, leaf in zip(model.feature, model.cut, model.leaf):
+            at = 0
+            while at < len(feature):
+                at = 2 * at + 1 + int(row[feature[at]] > cut[at])
+            raw += leaf[at - len(feature)]
+        assert abs(1 / (1 + np.exp(-raw)) - got) < 1e-12
+
+
 def test_quality_held_out(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
     out = quality_scores(docs, labels)
@@ -66,6 +80,19 @@ def test_fitted_distance():
         assert fitted(np.array(a), np.array(b)) == edit_distance(a, b)
 
 
+def test_items_in_blocks_find_the_same(spark):
+    """Items beyond a block's bound go over all documents in further blocks."""
+    rng = random.Random(14)
+    items = [(i, " ".join(f"w{rng.randrange(400)}" for _ in range(20))) for i in range(30)]
+    docs = [(i, " ".join(f"w{rng.randrange(400)}" for _ in range(30)) + " " + items[i % 30][1] * (i % 3 > 0), "taken") for i in range(90)] + [(None, None, "x")]
+    a, b = spark.createDataFrame(docs, "doc_id long, text string, hits string"), spark.createDataFrame(items, "item_id long, text string")
+    key = lambda df: sorted(((r.doc_id, r.text, sorted(map(tuple, r.hits))) for r in df.collect()), key=str)
+    got = key(contamination(a, b))
+    assert sum(len(r[2]) for r in got) >= 60 and [c for c, _ in contamination(a, b).dtypes] == ["doc_id", "text", "hits"]
+    for bound in ({"most_items": 7}, {"most_bytes": 300}):
+        assert {(r[0], h[0]) for r in key(contamination(a, b, **bound)) for h in r[2]} == {(r[0], h[0]) for r in got for h in r[2]}
+
+
 def test_decontamination_recall():
     rng = random.Random(9)
     items = [(i, " ".join(f"w{rng.randrange(900)}" for _ in range(rng.randrange(14, 60)))) for i in range(60)]
