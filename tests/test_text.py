@@ -48,7 +48,7 @@ def test_senders(spark):
 
 
 def test_forwarded_sender(spark):
-    assert one(spark, X.original_sender, "hi\n--- Original Message ---\nDate: x\nVon: Bo <bo@x.de>\n") == "Bo <bo@x.de>"
+    assert one(spark, X.original_sender, "hi\n--- Original Message ---\nDate: x\nVon: No\nFROM: Bo <bo@x.de>\n") == "Bo <bo@x.de>"
     assert one(spark, X.original_sender, "From: Bo <bo@x.de>") is None
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,7 +19,11 @@ ENTITIES = {
 }
 # Schemes that open at once, and those that ask first.
 OPENED, CONFIRMED = ["message"], ["https", "http"]
-MAX_HTML_BYTES = 2_000_000
+MAX_HTML_BYTES = 2 * 1024 * 1024
+# The blanks and line ends that do not count at a text's ends.
+EDGES = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+# What has to be in a text, in lower case, for a boilerplate pattern to fit.
+BOILERPLATE_SIGNS = ["unsubscribe", "abmelden", "abbestellen", "sie erhalten diese e", "you are receiving this", "you received this", "browser", "preferences"]
 
 
 def terms(text: Column) -> Column:
@@ -66,28 +70,52 @@ def decode_entities(text: Column) -> Column:
     return F.array_join(F.transform(pieces, decode), "")
 
 
+# Elements and signs that are not visible text, and those that end a paragraph.
+UNSEEN = ("script", "style", "head", "title")
+PARAGRAPH_ENDS = r"(?i)</(?:p|div|tr|table|ul|ol|li|h[1-6]|blockquote)>|<(?:br|hr)\s*/?>"
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value taken once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def without_element(tag: str) -> Callable[[Column], Column]:
+    """A text without the elements ``tag``, if one is closed anywhere; the guard at each step keeps an unclosed opener from being scanned again and again."""
+    pattern = rf"(?is)<{tag}\b[^<>]*>(?:(?!</?{tag}\b).)*+</{tag}>"
+    return lambda v: F.when(F.contains(F.lower(v), F.lit(f"</{tag}>")), F.regexp_replace(v, pattern, " ")).otherwise(v)
+
+
 def html_to_text(html: Column) -> Column:
     """Visible text: blocks without content go, block ends become paragraph breaks, blanks collapse."""
     x = truncated_utf8(html)
-    for tag in ("script", "style", "head", "title"):
-        # the guard at each step keeps an unclosed opener from being scanned again and again
-        x = F.regexp_replace(x, rf"(?is)<{tag}\b[^<>]*>(?:(?!</?{tag}\b).)*+</{tag}>", " ")
-    x = F.regexp_replace(x, r"(?s)<!--(?:(?!<!--|-->).)*+-->", " ")
-    x = F.regexp_replace(x, r"(?i)</(?:p|div|tr|table|ul|ol|li|h[1-6]|blockquote)>|<(?:br|hr)\s*/?>", "\n\n")
-    x = decode_entities(F.regexp_replace(x, r"<[^<>]+>", ""))
+    for tag in UNSEEN:
+        x = bound(x, without_element(tag))
+    x = bound(x, lambda v: F.when(F.contains(v, F.lit("-->")), F.regexp_replace(v, r"(?s)<!--(?:(?!<!--|-->).)*+-->", " ")).otherwise(v))
+    x = F.regexp_replace(F.regexp_replace(x, PARAGRAPH_ENDS, "\n\n"), r"<[^<>]+>", "")
+    x = bound(x, lambda v: F.when(F.contains(v, F.lit("&")), decode_entities(v)).otherwise(v))
     x = F.regexp_replace(x, r"[ \t]+", " ")
     x = F.regexp_replace(F.regexp_replace(x, r" ?\n ?", "\n"), r"\n{3,}", "\n\n")
     return trimmed(x)
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
+    """Without the blanks and line ends of any script around it."""
+    return F.btrim(text, F.lit(EDGES))
 
 
 def strip_boilerplate(text: Column) -> Column:
     """Paragraphs without the ones that match a boilerplate pattern."""
     pattern = "(?i)" + "|".join(BOILERPLATE)
-    return trimmed(F.array_join(F.filter(F.split(text, "\n\n"), lambda p: ~p.rlike(pattern)), "\n\n"))
+
+    def signed(low: Column) -> Column:
+        found = F.lit(False)
+        for sign in BOILERPLATE_SIGNS:
+            found = found | F.contains(low, F.lit(sign))
+        return found
+
+    kept = lambda v: F.array_join(F.filter(F.split(v, "\n\n"), lambda p: ~p.rlike(pattern)), "\n\n")
+    return trimmed(bound(text, lambda v: F.when(bound(F.lower(v), signed), kept(v)).otherwise(v)))
 
 
 def sender_address(sender: Column) -> Column:
@@ -161,11 +189,11 @@ LINE_ENDS = r"\r\n|[\n\x0B\x0C\r\x{85}\x{2028}\x{2029}]"
 
 
 def original_sender(body: Column) -> Column:
-    """Of a forwarded message the sender that the first From line (German: Von) within ten lines of a marker names; null otherwise."""
+    """Of a forwarded message the sender that the first From line within ten lines of a marker names; null otherwise."""
     lines = F.split(body, LINE_ENDS)
 
     def below(line: Column, at: Column) -> Column:
-        heads = F.filter(F.slice(lines, at + 2, 10), lambda x: x.rlike("(?i)^[ \t]*(from|von):"))
+        heads = F.filter(F.slice(lines, at + 2, 10), lambda x: x.rlike("(?i)^[ \t]*from:"))
         return F.when(line.rlike(FORWARD_MARKS), F.get(heads, 0))
 
     found = F.get(F.array_compact(F.transform(lines, below)), 0)

@@ -14,6 +14,14 @@ from threadlake.operators.providers import Generator, generated
 NO_REPLY = ["noreply", "no-reply"]
 WEAK_SENDERS = ["newsletter", "notifications", "digest", "updates", "bounce"]
 BULK = ["bulk", "list", "junk"]
+AUTOMATIC = ["auto-generated", "auto-replied"]
+# The verdict and the reason of each rule, in the order in which they are tried; the last four go by the number of weak signs.
+RULES = [
+    ("auto_generated", "auto_submitted"), ("newsletter", "no_reply_sender"), ("newsletter", "newsletter_address"), ("newsletter", "excluded"),
+    ("personal", "prior Sent correspondence with this address"), ("newsletter", "List-Unsubscribe present"), ("newsletter", "List-Id present"), ("newsletter", "Precedence: "),
+    ("personal", "no newsletter signals detected"), ("ambiguous", "one weak sign"), ("ambiguous", "one weak sign"), ("newsletter", "sender local-part pattern + unsubscribe-language boilerplate"),
+]
+ASKED_CHARS = 1000  # of a body that a generator is shown
 
 
 def starts_with_any(text: Column, words: Iterable[str]) -> Column:
@@ -25,34 +33,35 @@ def starts_with_any(text: Column, words: Iterable[str]) -> Column:
 
 def verdict(sender: Column, body: Column, has_prior: Column, auto_submitted: Column, list_unsubscribe: Column, list_id: Column, precedence: Column, exclusions: Iterable[str] = ()) -> tuple[Column, Column]:
     """``(verdict, reason)``; ambiguous where only one weak sign is there (a generator may decide)."""
-    local = F.split(sender_address(sender), "@")[0]
-    auto = auto_submitted.isNotNull() & (F.lower(F.trim(auto_submitted)) != "no")
+    address = sender_address(sender)
+    local = F.split(address, "@")[0]
     filled = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
     level = F.lower(F.trim(precedence))
-    bulk = F.coalesce(level.isin(BULK), F.lit(False))
     weak = starts_with_any(local, WEAK_SENDERS)
     shrinks = F.coalesce(F.length(strip_boilerplate(body)) < F.length(body), F.lit(False))
-    chain = [
-        (auto, "auto_generated", "auto_submitted"), (starts_with_any(local, NO_REPLY), "newsletter", "no_reply_sender"),
-        (F.coalesce(F.contains(sender_address(sender), F.lit("newsletter")), F.lit(False)), "newsletter", "newsletter_address"),
-        (excluded(sender, exclusions), "newsletter", "excluded"), (has_prior, "personal", "prior Sent correspondence with this address"),
-        (filled(list_unsubscribe), "newsletter", "List-Unsubscribe present"), (filled(list_id), "newsletter", "List-Id present"), (bulk, "newsletter", F.concat(F.lit("Precedence: "), level)),
-        (weak & shrinks, "newsletter", "sender local-part pattern + unsubscribe-language boilerplate"), (weak | shrinks, "ambiguous", "one weak sign"),
+    tests = [
+        F.coalesce(F.lower(F.btrim(auto_submitted, F.lit(" \t"))).isin(AUTOMATIC), F.lit(False)), starts_with_any(local, NO_REPLY), F.coalesce(F.contains(address, F.lit("newsletter")), F.lit(False)),
+        excluded(sender, exclusions), has_prior, filled(list_unsubscribe), filled(list_id), F.coalesce(level.isin(BULK), F.lit(False)),
     ]
-    what, why = F.lit("personal"), F.lit("no newsletter signals detected")
-    for test, v, r in reversed(chain):
-        what, why = F.when(test, F.lit(v)).otherwise(what), F.when(test, r if isinstance(r, Column) else F.lit(r)).otherwise(why)
-    return what, why
+    # one number for the rule, so that the body is looked at once for both columns
+    rule = F.lit(len(tests) + 1) + weak.cast("int") + 2 * shrinks.cast("int")
+    for nth, test in reversed(list(enumerate(tests, 1))):
+        rule = F.when(test, nth).otherwise(rule)
+    what, why = (F.element_at(F.array(*[F.lit(r[i]) for r in RULES]), rule) for i in (0, 1))
+    return what, F.concat(why, F.when(F.endswith(why, F.lit(": ")), level).otherwise(""))
 
 
 def settled(rows: DataFrame, chat: Generator, id_col: str = "pk") -> DataFrame:
-    """``rows`` (with ``verdict``, ``sender``, ``subject``, ``body_text``) whose ambiguous ones a generator decided.
+    """``rows`` (with ``verdict``, ``sender``, ``body_text``) whose ambiguous ones a generator decided.
 
-    Its answer counts by its first word, newsletter or personal; any other, and a
-    failed call, leaves the message ambiguous. Only ambiguous rows are sent.
+    It is shown the sender and the first ``ASKED_CHARS`` characters of the body. An
+    answer that holds newsletter counts as that, else one that holds personal; any
+    other, and a failed call, leaves the message ambiguous. Only ambiguous rows are sent.
     """
     open_ = rows.where("verdict = 'ambiguous'")
-    asked = open_.select(id_col, F.concat(F.lit("Is this mail a newsletter or personal? Answer with one word.\nFrom: "), F.col("sender"), F.lit("\nSubject: "), F.col("subject"), F.lit("\n\n"), F.col("body_text")).alias("prompt"))
-    said = generated(asked, chat, id_col, "prompt").select(F.col("id").alias(id_col), F.lower(F.regexp_extract("answer", r"[A-Za-z]+", 0)).alias("word"))
-    decided = open_.join(said, id_col, "left").withColumn("verdict", F.when(F.col("word").isin("newsletter", "personal"), F.col("word")).otherwise(F.col("verdict"))).drop("word")
+    shown = F.concat(F.lit("From: "), F.coalesce("sender", F.lit("")), F.lit("\n\nBody:\n"), F.substring(F.coalesce("body_text", F.lit("")), 1, ASKED_CHARS))
+    asked = open_.select(id_col, F.concat(F.lit("Is this mail a newsletter or personal? Answer with one of these two words.\n\n"), shown).alias("prompt"))
+    said = generated(asked, chat, id_col, "prompt").select(F.col("id").alias(id_col), F.lower("answer").alias("said"))
+    word = F.when(F.contains("said", F.lit("newsletter")), "newsletter").when(F.contains("said", F.lit("personal")), "personal")
+    decided = open_.join(said.select(id_col, word.alias("word")), id_col, "left").withColumn("verdict", F.coalesce("word", "verdict")).drop("word")
     return rows.where("verdict is null or verdict <> 'ambiguous'").unionByName(decided.select(*rows.columns))

@@ -1,34 +1,375 @@
-"""The keyword index as stored tables: written once, read by many questions, appended to.
+"""The keyword index as stored tables: segments that never change, tombstones, and a search that reads what can matter.
 
-``postings`` (``term, chunk_id, tf, dl``) is dealt by the hash of the term into
-folders, each sorted by term, so a question opens the folders of its terms and
-skips the row groups that cannot hold them. ``sizes`` has a row for each append:
-the number of chunks and of terms, which add up to the statistics.
+A segment holds its chunks twice. ``terms`` (``chunk_id, term, tf, dl``) goes by
+chunk, ``lists`` by term: rows of up to ``BLOCK`` postings with the block's greatest
+``tf`` and least ``dl``, which bound what any posting in it can score whatever the
+statistics are by then. Both are dealt into folders by hash, as many as their rows
+ask for, and sorted within, so that literal filters on folder, term and chunk leave
+out folders, files, row groups and pages. Lists are dealt by ranges of term and chunk,
+so a stop word's list is many tasks' work.
+
+Chunks that are deleted or replaced become tombstones: the chunk with the number of
+the change, which hides it in all older segments, and by term how many postings are
+hidden, so that statistics are those of the chunks that are left. Segments of one tier
+of sizes are merged when ``FAN`` have come together; tombstones end there. Each change
+is a new version of a small state table, valid once it is written whole; there is one
+writer at a time, and readers keep the version that they opened.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+import secrets
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from dataclasses import dataclass, field
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadlake.functions.text import terms
+from threadlake.sources.shared import forget, sized, stored
+
+K1, B = 1.2, 0.75  # of BM25
+BLOCK, FAN, ROWS = 128, 4, 4_000_000  # postings of a block, segments of a merge, postings of a folder
+LITERALS = 2_000  # values that a filter names; more are joined
+PUSHED = 200  # values that the Parquet reader compares with row groups and pages one by one; of more it gets the range
+SLACK = 1e-5  # below the threshold, since scores are rounded to six places
+STATE = "seq long, file long, kind string, folders int, chunks long, terms long"
+
+
+@dataclass
+class Part:
+    """A segment, or what a change hid: its place in the order of changes, its folder's number, and how many chunks and terms it adds or takes."""
+
+    seq: int
+    file: int
+    folders: int
+    chunks: int
+    terms: int
+
+
+@dataclass
+class Version:
+    number: int = 0
+    segments: list[Part] = field(default_factory=list)
+    dead: list[Part] = field(default_factory=list)  # chunks and terms that a change hid
+
+    @property
+    def chunks(self) -> int:
+        return sum(s.chunks for s in self.segments) - sum(d.chunks for d in self.dead)
+
+    @property
+    def avgdl(self) -> float:
+        total = sum(s.terms for s in self.segments) - sum(d.terms for d in self.dead)
+        return total / self.chunks if self.chunks else 1.0
+
+    @property
+    def next(self) -> int:
+        return 1 + max([s.seq for s in (*self.segments, *self.dead)], default=0)
+
+
+def fresh() -> int:
+    """A folder's number that no other writer has, nor one that failed half-way."""
+    return secrets.randbits(62)
+
+
+def dealt(key: Column, folders: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(folders)).cast("int")
+
+
+@contextmanager
+def many_literals(spark: SparkSession) -> Iterator[None]:
+    """Filters of up to ``PUSHED`` values reach the Parquet reader as they are, in the actions inside."""
+    key = "spark.sql.parquet.pushdown.inFilterThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(PUSHED))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted postings as blocks of at most ``BLOCK``; a batch's end ends a block."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        term = batch.column("term")
+        codes = term.dictionary_encode().indices.to_numpy()
+        new = np.ones(len(codes), bool)
+        new[1:] = codes[1:] != codes[:-1]
+        first = np.flatnonzero(new)
+        at = np.arange(len(codes)) - np.repeat(first, np.diff(np.append(first, len(codes))))
+        cut = np.flatnonzero(new | (at % BLOCK == 0))
+        ends = pa.array(np.append(cut, len(codes)), pa.int32())
+        tf, dl = batch.column("tf").to_numpy(), batch.column("dl").to_numpy()
+        lists = [pa.ListArray.from_arrays(ends, batch.column(c)) for c in ("chunk_id", "tf", "dl")]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("folder").take(pa.array(cut)), term.take(pa.array(cut)), pa.array(np.diff(np.append(cut, len(codes)))), pa.array(np.maximum.reduceat(tf, cut)), pa.array(np.minimum.reduceat(dl, cut)), *lists],
+            names=["folder", "term", "n", "most", "least", "chunks", "tfs", "dls"])
+
+
+LISTS = "folder int, term string, n long, most long, least long, chunks array<long>, tfs array<long>, dls array<long>"
+
+
+class KeywordIndex:
+    """The index at ``path``, in the newest version that is whole; see the module."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self.version = self.newest()
+
+    # versions
+
+    def files(self, path: str) -> tuple:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def newest(self) -> Version:
+        fs, at = self.files(f"{self.path}/state")
+        found = [s.getPath() for s in fs.listStatus(at)] if fs.exists(at) else []
+        numbers = [int(p.getName().removeprefix("version=")) for p in found if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        if not numbers:
+            return Version()
+        rows = self.spark.read.schema(STATE).parquet(f"{self.path}/state/version={max(numbers)}").orderBy("seq").collect()  # a row for each segment and change
+        made = lambda kind: [Part(r.seq, r.file, r.folders, r.chunks, r.terms) for r in rows if r.kind == kind]
+        return Version(max(numbers), made("segment"), made("dead"))
+
+    def commit(self, segments: Sequence[Part], dead: Sequence[Part]) -> None:
+        """A version that exists is an error: somebody else was writing."""
+        number = self.version.number + 1
+        rows = [(s.seq, s.file, kind, s.folders, s.chunks, s.terms) for kind, all_ in (("segment", segments), ("dead", dead)) for s in all_]
+        self.spark.createDataFrame(rows, STATE).coalesce(1).write.parquet(f"{self.path}/state/version={number}")
+        self.version = Version(number, list(segments), list(dead))
+
+    def vacuum(self) -> None:
+        """Delete what the newest version does not name; readers of older ones have to be done."""
+        named = {(k, s.file) for s in self.version.segments for k in ("terms", "lists")} | {(k, d.file) for d in self.version.dead for k in ("dead", "less")}
+        for kind in ("terms", "lists", "dead", "less"):
+            fs, at = self.files(f"{self.path}/{kind}")
+            for status in fs.listStatus(at) if fs.exists(at) else []:
+                if (kind, int(status.getPath().getName().partition("=")[2])) not in named:
+                    fs.delete(status.getPath(), True)
+
+    # changes
+
+    def write(self, seq: int, postings: DataFrame) -> Part | None:
+        """A segment of ``chunk_id, term, tf, dl``; each chunk of them is whole in it. A chunk without terms has a row of the term null."""
+        counted, file = stored(postings), fresh()
+        rows = counted.count()
+        folders = 1 << max(0, math.ceil(math.log2(max(1, rows) / ROWS)))
+        tasks = max(folders, min(self.spark.sparkContext.defaultParallelism, 1 + rows // 100_000))
+        by_chunk = counted.withColumn("folder", dealt(F.col("chunk_id"), folders)).repartitionByRange(tasks, "folder", "chunk_id").sortWithinPartitions("folder", "chunk_id")
+        by_chunk.write.partitionBy("folder").parquet(f"{self.path}/terms/file={file}")
+        stats = totals(counted)
+        order = ["folder", "term", "chunk_id"]
+        by_term = counted.where("term is not null").withColumn("folder", dealt(F.col("term"), folders)).repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+        blocks = by_term.select("folder", "term", "chunk_id", "tf", "dl").mapInArrow(blocked, LISTS).sortWithinPartitions("folder", "term", F.element_at("chunks", 1))
+        blocks.write.option("parquet.block.size", 8 << 20).partitionBy("folder").parquet(f"{self.path}/lists/file={file}")
+        forget(counted)
+        return Part(seq, file, folders, *stats) if stats[0] else None
+
+    def tombs(self, seq: int, gone: DataFrame) -> Part | None:
+        """What a change hides, from the rows ``chunk_id, term, dl`` of its chunks."""
+        file = fresh()
+        gone.select("chunk_id", "dl").distinct().write.parquet(f"{self.path}/dead/file={file}")
+        gone.where("term is not null").groupBy("term").agg(F.count("*").alias("n")).write.parquet(f"{self.path}/less/file={file}")
+        stats = totals(gone)
+        return Part(seq, file, 0, *stats) if stats[0] else None
+
+    def hide(self, seq: int, ids: DataFrame) -> Part | None:
+        """Tombstones for the live chunks among ``ids`` (``chunk_id``)."""
+        if not self.version.segments:
+            return None
+        gone = stored(self.live(self.terms_of(ids.select("chunk_id").distinct())).select("chunk_id", "term", "dl"))
+        made = self.tombs(seq, gone)
+        forget(gone)
+        return made
+
+    def replace(self, docs: DataFrame, ids: DataFrame | None = None, key: str = "chunk_id", text: str = "text", merge: bool = True) -> None:
+        """``docs`` instead of the chunks ``ids`` (default: those of ``docs``), in one version.
+
+        Ids are not null and occur once in ``docs``. New ids are added, ids that
+        the index does not have are passed over, and a null or empty text is a
+        chunk without terms, which counts in the statistics.
+        """
+        seq = self.version.next
+        words = docs.select(F.col(key).cast("long").alias("chunk_id"), F.coalesce(terms(F.col(text)), F.array().cast("array<string>")).alias("t"))
+        rows = words.select("chunk_id", F.size("t").cast("long").alias("dl"), F.explode_outer("t").alias("term"))
+        postings = rows.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl")).select("chunk_id", "term", "tf", "dl")
+        new = self.write(seq, postings)
+        hidden = self.hide(seq, ids if ids is not None else docs.select(F.col(key).cast("long").alias("chunk_id")))
+        if new or hidden:
+            self.commit([*self.version.segments, *[s for s in [new] if s]], [*self.version.dead, *[d for d in [hidden] if d]])
+        if merge:
+            self.merge()
+
+    def append(self, docs: DataFrame, key: str = "chunk_id", text: str = "text", merge: bool = True) -> None:
+        """Chunks whose ids are new."""
+        self.replace(docs, self.spark.createDataFrame([], "chunk_id long"), key, text, merge)
+
+    def delete(self, ids: DataFrame) -> None:
+        """Chunks named by ``chunk_id`` are found no more."""
+        hidden = self.hide(self.version.next, ids)
+        if hidden:
+            self.commit(self.version.segments, [*self.version.dead, hidden])
+
+    def merge(self) -> None:
+        """Merge tiers of ``FAN`` segments and more, the smaller first, until there is none; tombstones that hide nothing any more go."""
+        while True:
+            tiers: dict[int, list[Part]] = {}
+            for s in self.version.segments:
+                tiers.setdefault(int(math.log(max(1, s.chunks), FAN)), []).append(s)
+            full = [tier for _, tier in sorted(tiers.items()) if len(tier) >= FAN]
+            if not full:
+                return
+            self.rewrite(full[0])
+
+    def rewrite(self, some: Sequence[Part]) -> None:
+        """One segment for ``some``, without their hidden chunks; tombstones are left for what they hide in others."""
+        seq = self.version.next
+        merged = self.write(seq, self.live(self.terms_table(some)).select("chunk_id", "term", "tf", "dl"))
+        rest = [s for s in self.version.segments if s.seq not in {x.seq for x in some}]
+        dead = []
+        for d in self.version.dead:
+            older = [s for s in rest if s.seq < d.seq]
+            if older:
+                ids = self.read("dead", [d], "chunk_id long").select("chunk_id")
+                still = self.terms_table(older).join(sized(ids, 24), "chunk_id", "left_semi")
+                still = stored(self.live(still, [e for e in self.version.dead if e.seq < d.seq]).select("chunk_id", "term", "dl"))
+                dead.append(self.tombs(d.seq, still))
+                forget(still)
+        self.commit([*rest, *[s for s in [merged] if s]], [d for d in dead if d])
+
+    # reading
+
+    def read(self, kind: str, parts: Sequence[Part], schema: str) -> DataFrame:
+        """Tables of some parts with the columns ``file`` and ``seq`` (of the part)."""
+        if not parts:
+            return self.spark.createDataFrame([], f"{schema}, file long, seq long")
+        rows = self.spark.read.schema(f"{schema}, file long").option("basePath", f"{self.path}/{kind}").parquet(*[f"{self.path}/{kind}/file={p.file}" for p in parts])
+        return rows.withColumn("seq", F.element_at(F.create_map(*[F.lit(x).cast("long") for p in parts for x in (p.file, p.seq)]), F.col("file")))
+
+    def terms_table(self, some: Sequence[Part] | None = None) -> DataFrame:
+        return self.read("terms", self.version.segments if some is None else some, "chunk_id long, term string, tf long, dl long, folder int")
+
+    def live(self, rows: DataFrame, dead: Sequence[Part] | None = None) -> DataFrame:
+        """Rows (``seq, chunk_id``) that no later change hid."""
+        changes = self.version.dead if dead is None else dead
+        if not changes:
+            return rows
+        # of a chunk the last change counts: it hides every segment before it
+        gone = self.read("dead", changes, "chunk_id long, dl long").groupBy("chunk_id").agg(F.max("seq").alias("hidden"))
+        return rows.join(sized(gone, 40), "chunk_id", "left").where("hidden is null or seq >= hidden").drop("hidden")
+
+    def asked(self, rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+        """Rows of a dealt table whose ``column`` is among ``keys`` (distinct): folders by literals, and values too while they are at most ``LITERALS``."""
+        counts = sorted({s.folders for s in self.version.segments})
+        found = keys.select(column).limit(LITERALS + 1).collect()
+        literal = len(found) <= LITERALS
+        where = F.lit(False)
+        for n in counts:
+            used = [r[0] for r in keys.select(dealt(F.col(column), n)).distinct().collect()]  # at most as many as folders
+            where = where | (F.col("file").isin([s.file for s in self.version.segments if s.folders == n]) & F.col("folder").isin(sorted(used)))
+        rows = rows.where(where)
+        return rows.where(F.col(column).isin([r[0] for r in found])) if literal else rows.join(sized(keys.select(column), 80), column, "left_semi")
+
+    def terms_of(self, keys: DataFrame) -> DataFrame:
+        """``seq, chunk_id, term, tf, dl`` (and more) of the chunks in ``keys`` (``chunk_id``, distinct), hidden ones too."""
+        return self.asked(self.terms_table(), "chunk_id", keys)
+
+    def lists(self, keys: DataFrame) -> DataFrame:
+        """``seq, term, n, most, least, chunks, tfs, dls`` (and more): the blocks of the terms in ``keys`` (``term``, distinct)."""
+        all_ = self.read("lists", self.version.segments, "term string, n long, most long, least long, chunks array<long>, tfs array<long>, dls array<long>, folder int")
+        return self.asked(all_, "term", keys)
+
+    def postings(self, keys: DataFrame) -> DataFrame:
+        """``term, chunk_id, tf, dl`` of the terms in ``keys``, of live chunks."""
+        return self.live(opened(self.lists(keys))).select("term", "chunk_id", "tf", "dl")
+
+    def bounds(self, keys: DataFrame) -> DataFrame:
+        """``term, df, most, least`` of the terms in ``keys`` from the blocks' heads alone; terms that no live chunk holds are left out."""
+        found = self.lists(keys).groupBy("term").agg(F.sum("n").alias("n"), F.max("most").alias("most"), F.min("least").alias("least"))
+        less = self.read("less", self.version.dead, "term string, n long").groupBy("term").agg(F.sum("n").alias("less"))
+        df = F.col("n") - F.coalesce("less", F.lit(0))
+        return found.join(less, "term", "left").select("term", df.alias("df"), "most", "least").where("df > 0")
+
+    # search
+
+    def impact(self, tf: Column, dl: Column) -> Column:
+        """What a posting scores without its term's weight; it rises with ``tf`` and falls with ``dl``."""
+        return tf * (K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * dl / F.lit(self.version.avgdl or 1.0)))
+
+    def search(self, questions: DataFrame, top_n: int = 30) -> DataFrame:
+        """``qid, chunk_id, score, rank`` by BM25 over any of the terms of ``questions`` (``qid, question``), exactly; ties by id.
 
-FOLDERS = 64
+        A question's terms are tried by the most that they can add (MaxScore). The
+        first ones, its *seeds*, are scored in full, and the ``top_n``-th of these
+        partial scores is a threshold that no chunk in the result is below. Terms
+        that together add less than half of it are not read at all: a chunk that
+        has none but them is out of the question. Of the others, blocks that
+        cannot lift a chunk over the threshold are left closed. What the chunks
+        that are left score in all is then read from their own terms.
+        """
+        spark = self.spark
+        if not self.version.segments:
+            return spark.createDataFrame([], "qid long, chunk_id long, score double, rank int")
+        with many_literals(spark):
+            small = lambda df: df.persist()  # noqa: E731  (a few rows for each question)
+            words = small(questions.select("qid", F.explode(terms(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times")))
+            keys = small(words.select("term").distinct())
+            known = small(self.bounds(keys))
+            n = float(self.version.chunks)
+            idf = F.greatest(F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+            most = F.col("weight") * self.impact(F.col("most"), F.col("least"))
+            rows = words.join(sized(known, 80), "term").withColumn("weight", idf * F.col("times")).withColumn("up", most)
+            falling = Window.partitionBy("qid").orderBy(F.col("up").desc(), "term").rowsBetween(Window.unboundedPreceding, -1)
+            rising = Window.partitionBy("qid").orderBy("up", F.col("term").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            of = Window.partitionBy("qid")
+            ahead = lambda c: F.coalesce(F.sum(c).over(falling), F.lit(0))
+            rows = rows.withColumns({"all": F.sum("up").over(of), "behind": F.sum("up").over(rising), "seed": (ahead("up") < F.sum("up").over(of) / 2) | (ahead("df") < 4 * top_n)})
+            plan = small(rows.select("qid", "term", "weight", "up", "all", "behind", "seed"))
+            score = F.col("weight") * self.impact(F.col("tf"), F.col("dl"))
+            own = lambda asked: sized(asked, 80)
+            first = self.postings(plan.where("seed").select("term").distinct()).join(own(plan.where("seed").select("qid", "term", "weight")), "term")
+            parts = stored(first.groupBy("qid", "chunk_id").agg(F.sum(score).alias("score")))
+            nth = lambda scored: ranked(scored.select("qid", "chunk_id", "score"), top_n).where(F.col("rank") == top_n).select("qid", F.col("score").alias("least_score"))
+            whole = small(plan.join(own(nth(parts)), "qid", "left").fillna(0.0, ["least_score"]))
+            # the terms that are read besides: not those that add less than half of the threshold together
+            more = whole.where("not seed and behind >= least_score / 2").select("qid", "term", "weight", "all", "up", "least_score")
+            blocks = self.lists(more.select("term").distinct()).join(own(more), "term")
+            lifts = F.col("weight") * self.impact(F.col("most"), F.col("least")) + F.col("all") - F.col("up") >= F.col("least_score") - SLACK
+            second = self.live(opened(blocks.where(lifts), ["qid", "weight"])).groupBy("qid", "chunk_id").agg(F.sum(score).alias("score"))
+            sums = stored(parts.unionByName(second).groupBy("qid", "chunk_id").agg(F.sum("score").alias("score")))
+            left_out = whole.where("not seed and behind < least_score / 2").groupBy("qid").agg(F.sum("up").alias("rest"))
+            limits = plan.select("qid").distinct().join(left_out, "qid", "left").join(nth(sums), "qid", "left").fillna(0.0, ["rest", "least_score"])
+            candidates = stored(sums.join(own(limits), "qid").where(F.col("score") + F.col("rest") >= F.col("least_score") - SLACK).select("qid", "chunk_id"))
+            theirs = self.live(self.terms_of(candidates.select("chunk_id").distinct())).select("chunk_id", "term", "tf", "dl")
+            exact = theirs.join(sized(candidates, 40), "chunk_id").join(own(plan.select("qid", "term", "weight")), ["qid", "term"])
+            out = stored(ranked(exact.groupBy("qid", "chunk_id").agg(F.round(F.sum(score), 6).alias("score")), top_n))
+        for old in (words, keys, known, plan, whole):
+            old.unpersist()
+        for old in (parts, sums, candidates):
+            forget(old)
+        return out
 
 
-def folder(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(FOLDERS)).cast("int")
+def totals(rows: DataFrame) -> tuple[int, int]:
+    """How many chunks, and how many terms they have together."""
+    found = rows.groupBy("chunk_id").agg(F.max("dl").alias("dl")).agg(F.count("*").alias("chunks"), F.coalesce(F.sum("dl"), F.lit(0)).alias("terms")).first()
+    return found.chunks, found.terms
 
 
-def append(docs: DataFrame, path: str, postings: DataFrame, key: str = "chunk_id", text: str = "text") -> None:
-    """Add chunks (whose ids are new) to the index at ``path``; the first call makes it."""
-    rows = postings.withColumn("folder", folder(F.col("term")))
-    rows.repartition("folder").sortWithinPartitions("folder", "term").write.mode("append").partitionBy("folder").parquet(f"{path}/postings")
-    docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(terms(F.col(text))).cast("long")), F.lit(0)).alias("terms")).coalesce(1).write.mode("append").parquet(f"{path}/sizes")
+def opened(blocks: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """Blocks as rows ``seq, term, chunk_id, tf, dl`` (and columns ``more``)."""
+    one = blocks.select("seq", "term", *more, F.explode(F.arrays_zip("chunks", "tfs", "dls")).alias("p"))
+    return one.select("seq", "term", *more, F.col("p.chunks").alias("chunk_id"), F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl"))
 
 
-def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """``(postings, stats)``; the stats are one row ``n, avgdl``."""
-    postings = spark.read.parquet(f"{path}/postings").select("term", "chunk_id", "tf", "dl", "folder")
-    sizes = spark.read.parquet(f"{path}/sizes").agg(F.sum("n").alias("n"), (F.sum("terms") / F.sum("n")).alias("avgdl"))
-    return postings, sizes
+def ranked(scored: DataFrame, top_n: int) -> DataFrame:
+    """The ``top_n`` of each question by score, ties by id."""
+    order = Window.partitionBy("qid").orderBy(F.col("score").desc(), "chunk_id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n)

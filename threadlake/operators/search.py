@@ -13,10 +13,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlake.functions.text import terms
-from threadlake.operators.index import folder
+from threadlake.operators.index import B, K1, KeywordIndex, ranked
 from threadlake.sources.shared import shared_dir, sized
 
-K1, B = 1.2, 0.75  # of BM25
 TOP_N, TOP_K, RRF_K = 30, 8, 60.0
 BLOCK_VALUES = 1_000_000  # numbers in a broadcast block of question vectors
 
@@ -29,18 +28,18 @@ def postings(docs: DataFrame, key: str = "chunk_id", text: str = "text") -> Data
 
 
 def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row ``n, avgdl``."""
-    return docs.agg(F.count("*").alias("n"), F.avg(F.size(terms(F.col(text)))).alias("avgdl"))
+    """One row ``n, avgdl``; a null text is a chunk without terms."""
+    return docs.agg(F.count("*").alias("n"), F.avg(F.coalesce(F.size(terms(F.col(text))), F.lit(0))).alias("avgdl"))
 
 
 def keyword_search(questions: DataFrame, index: DataFrame, stats: DataFrame, top_n: int = TOP_N) -> DataFrame:
-    """``qid, chunk_id, score, rank`` by BM25 over any of the terms; ties by id. Without terms, nothing."""
+    """``qid, chunk_id, score, rank`` by BM25 over any of the terms; ties by id. Without terms, nothing.
+
+    ``index`` are postings that are not stored, so every list that is asked for is
+    scored whole; a stored index prunes, see :class:`KeywordIndex`.
+    """
     asked = questions.select("qid", F.explode(terms(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
-    wanted = asked.select("term").distinct()
-    on = ["term"]
-    if "folder" in index.columns:  # a stored index: only the terms' folders are opened
-        wanted, on = wanted.withColumn("folder", folder(F.col("term"))), ["folder", "term"]
-    used = index.join(sized(wanted, 80), on, "left_semi")
+    used = index.join(sized(asked.select("term").distinct(), 80), "term", "left_semi")
     df = used.groupBy("term").agg(F.count("*").alias("df"))
     n, avgdl = stats.first()
     idf = F.greatest(F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
@@ -49,7 +48,7 @@ def keyword_search(questions: DataFrame, index: DataFrame, stats: DataFrame, top
     return ranked(scored, top_n)
 
 
-def containing(passages: DataFrame, docs: DataFrame, index: DataFrame) -> DataFrame:
+def containing(passages: DataFrame, docs: DataFrame, index: KeywordIndex) -> DataFrame:
     """``qid, chunk_id`` of every document (``chunk_id, text``) that holds a passage (``qid, passage``) literally.
 
     A passage's inner terms stand whole in such a document, so the postings of the
@@ -58,13 +57,12 @@ def containing(passages: DataFrame, docs: DataFrame, index: DataFrame) -> DataFr
     """
     split = passages.select("qid", "passage", terms(F.col("passage")).alias("t"))
     inner = split.where(F.size("t") >= 3).select("qid", F.explode(F.array_distinct(F.slice("t", 2, F.size("t") - 2))).alias("term"))
-    on = ["folder", "term"] if "folder" in index.columns else ["term"]
-    if len(on) == 2:
-        inner = inner.withColumn("folder", folder(F.col("term")))
-    used = index.join(sized(inner.select(*on).distinct(), 80), on, "left_semi").select("term", "chunk_id")
-    df = used.groupBy("term").agg(F.count("*").alias("df"))
+    keys = inner.select("term").distinct().persist()
+    # lists are looked up twice: their lengths from the blocks' heads, then those of the rarest terms
+    df = index.bounds(keys).select("term", "df")
     # a term without postings is in no document, so its passage is in none either
     rare = inner.join(df, "term", "left").groupBy("qid").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
+    used = index.postings(rare.select("term").distinct())
     near = rare.join(used, "term").select("qid", "chunk_id").join(passages, "qid").join(docs, "chunk_id").where(F.contains("text", "passage")).select("qid", "chunk_id")
     short = split.where(F.size("t") < 3).select("qid", "passage")
     if short.isEmpty():
@@ -72,11 +70,6 @@ def containing(passages: DataFrame, docs: DataFrame, index: DataFrame) -> DataFr
     return near.unionByName(docs.join(sized(short, 200), F.contains("text", "passage")).select("qid", "chunk_id"))
 
 
-def ranked(scored: DataFrame, top_n: int) -> DataFrame:
-    order = Window.partitionBy("qid").orderBy(F.col("score").desc(), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n)
-
-
 def vector_search(questions: DataFrame, vectors: DataFrame, top_n: int = TOP_N, unit_vectors: bool = False) -> DataFrame:
     """``qid, chunk_id, score, rank`` by cosine; vectors of another length are left out, ties go by id.
 

@@ -28,22 +28,20 @@ FUSED = f"""SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORD
 WITH = f"WITH fused AS MATERIALIZED ({FUSED}), m AS {MESSAGES}\n"
 
 
-STORED: dict[tuple[str, str], str] = {}
+INDEXES: dict[tuple[str, str], str] = {}
 
 
-def index(t: Tables) -> tuple[DataFrame, DataFrame]:
+def index(t: Tables) -> I.KeywordIndex:
     """The stored index of the documents, written when a session first asks for it."""
     at = (t.spark.sparkContext.applicationId, t.sf_dir)
-    if at not in STORED:
-        path = fresh_path(t.spark, "index")
-        docs = t.documents.select(F.col("doc_id").alias("chunk_id"), "text")
-        I.append(docs, path, S.postings(docs))
-        STORED[at] = path
-    return I.read(t.spark, STORED[at])
+    if at not in INDEXES:
+        INDEXES[at] = fresh_path(t.spark, "index")
+        I.KeywordIndex(t.spark, INDEXES[at]).append(t.documents.select(F.col("doc_id").alias("chunk_id"), "text"))
+    return I.KeywordIndex(t.spark, INDEXES[at])
 
 
 def keyword(t: Tables) -> DataFrame:
-    return S.keyword_search(t.questions, *index(t))
+    return index(t).search(t.questions)
 
 
 def vectors(t: Tables) -> DataFrame:
@@ -149,14 +147,14 @@ def retrieval_provenance(t: Tables) -> DataFrame:
 @query(f"WITH k AS MATERIALIZED (SELECT DISTINCT qid FROM ({KEYWORD})) SELECT item_id AS qid, CASE WHEN item_id % 5 = 0 OR k.qid IS NULL THEN '{P.NO_MATCH}' END AS notice FROM benchmark LEFT JOIN k ON k.qid = item_id")
 def no_match(t: Tables) -> DataFrame:
     asked = t.questions.withColumn("question", F.when(F.col("qid") % 5 == 0, "?!").otherwise(F.col("question")))
-    found = S.keyword_search(asked, *index(t)).select("qid").distinct().withColumn("hit", F.lit(True))
+    found = index(t).search(asked).select("qid").distinct().withColumn("hit", F.lit(True))
     return t.questions.select("qid").join(found, "qid", "left").select("qid", F.when(F.col("hit").isNull(), P.NO_MATCH).alias("notice"))
 
 
 @query(f"WITH k AS MATERIALIZED ({KEYWORD}), truth AS (SELECT item_id AS qid, doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)) SELECT count(*) AS pairs, (count(k.rank))::BIGINT AS found, round(count(k.rank) / count(*), 6) AS recall FROM truth LEFT JOIN k ON k.qid = truth.qid AND k.chunk_id = truth.chunk_id AND k.rank <= 8")
 def recall_at_k(t: Tables) -> DataFrame:
     items = t.benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))
-    truth = S.containing(items, t.documents.select(F.col("doc_id").alias("chunk_id"), "text"), index(t)[0])
+    truth = S.containing(items, t.documents.select(F.col("doc_id").alias("chunk_id"), "text"), index(t))
     hits = keyword(t).where(F.col("rank") <= 8).select("qid", "chunk_id", "rank")
     return truth.join(hits, ["qid", "chunk_id"], "left").agg(F.count("*").alias("pairs"), F.count("rank").alias("found"), F.round(F.count("rank") / F.count("*"), 6).alias("recall"))
 

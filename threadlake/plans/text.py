@@ -13,7 +13,7 @@ from threadlake.operators.classify import verdict
 from threadlake.operators.datescope import numeric_range, with_ranges
 from threadlake.plans.base import DRAFTS, MESSAGES, START, Tables, query
 
-TRIM = r"regexp_replace({}, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')"
+TRIM = "trim({}, '" + X.EDGES + "')"
 BOILER = "(?i)" + "|".join(X.BOILERPLATE)
 
 
@@ -38,7 +38,7 @@ def chunk_documents(t: Tables) -> DataFrame:
     return chunk(t.documents, "doc_id", "text")
 
 
-@query(r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') AS text FROM (
+@query(r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS text FROM (
  SELECT page_id, replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^<>]*>.*?</script>', ' ', 'g'),
   '(?is)<style\b[^<>]*>.*?</style>', ' ', 'g'), '(?is)<head\b[^<>]*>.*?</head>', ' ', 'g'), '(?is)<title\b[^<>]*>.*?</title>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'),
   '(?i)</(?:p|div|tr|table|ul|ol|li|h[1-6]|blockquote)>|<(?:br|hr)\s*/?>', chr(10) || chr(10), 'g'), '<[^<>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS x FROM pages)""")

@@ -57,9 +57,10 @@ def framed(data: bytes) -> bytes:
     line, found, rest = data.partition(b"\n")
     if not found:
         raise ValueError("no count line")
-    if not line.strip().isdigit():
+    count = re.fullmatch(rb"[ \t]*\+?([0-9]+)[ \t]*", line)
+    size = int(count[1]) if count else 0
+    if size == 0:
         raise ValueError("bad count")
-    size = int(line)
     if size > len(rest):
         raise ValueError("short data")
     return rest[:size]

@@ -31,7 +31,16 @@ def stored(df: DataFrame) -> DataFrame:
     """The rows of ``df``, written once to the shared folder and read again."""
     path = fresh_path(df.sparkSession, "table")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.threadlake_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a table made by :func:`stored` that no later plan reads."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.threadlake_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh_path(spark: SparkSession, kind: str) -> str:
