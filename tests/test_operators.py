@@ -108,24 +108,64 @@ def test_chunks_do_not_divide_characters():
         assert chunks_of(text, 64, 16) == [p for p in want if p]
 
 
-def test_replay_is_the_plain_one():
-    def plain(order):
-        thread, namers = {}, {}
-        for own, parent, refs in order:
-            ahead = [x for x in (parent, *reversed(refs)) if x]
-            mine = next((thread[x] for x in ahead if x in thread), own)
-            thread[own] = mine
-            gone = {thread[x] for x in namers.get(own, ())} - {mine}
-            thread = {k: mine if v in gone else v for k, v in thread.items()}
-            for x in dict.fromkeys(ahead):
-                namers.setdefault(x, []).append(own)
-        return thread
-
-    rng = random.Random(1)
-    for _ in range(500):
-        ids = [f"m{i}" for i in range(rng.randrange(1, 14))]
-        order = [(i, rng.choice([*ids, None]), [rng.choice(ids) for _ in range(rng.randrange(3))]) for i in rng.sample(ids, len(ids))]
-        assert T.replayed(order) == plain(order)
+def plain_threads(order):
+    thread, namers = {}, {}
+    for own, parent, refs in order:
+        ahead = [x for x in (parent, *reversed(refs)) if x]
+        mine = next((thread[x] for x in ahead if x in thread), own)
+        thread[own] = mine
+        gone = {thread[x] for x in namers.get(own, ())} - {mine}
+        thread = {k: mine if v in gone else v for k, v in thread.items()}
+        for x in dict.fromkeys(ahead):
+            namers.setdefault(x, []).append(own)
+    return thread
+
+
+def replayed(spark, order, block):
+    rows = [(i, own, parent, refs, i // 3) for i, (own, parent, refs) in enumerate(order)]  # arrivals tie
+    df = spark.createDataFrame(rows, "pk long, message_id string, in_reply_to string, references array<string>, arrival long")
+    out = T.replay(df.repartition(3), block).collect()
+    got = {r.message_id: r.thread_id for r in out}
+    assert len(got) == len(out)
+    return got
+
+
+@pytest.mark.parametrize("block", [10**6, 45, 9])
+def test_replay_is_the_plain_one(spark, block):
+    """Many small mailboxes side by side, and one thread with half of all messages, some of which wait for a hub."""
+    rng = random.Random(block)
+    boxes = []
+    for k in range(25):
+        ids = [f"b{k}m{i}" for i in range(rng.randrange(1, 9))]
+        boxes.append([(i, rng.choice([*ids, None, ""]), [rng.choice(ids) for _ in range(rng.randrange(3))]) for i in rng.sample(ids, len(ids))])
+    many = [f"x{i}" for i in range(110)]
+    big = [(m, rng.choice([many[max(0, i - rng.randrange(1, 20))], "x60", None, rng.choice(many)]), [rng.choice(many)] * rng.randrange(2)) for i, m in enumerate(many)]
+    boxes.append(big)
+    order = []
+    while any(boxes):
+        box = rng.choice([b for b in boxes if b for _ in range(1 + len(b) // 4)])
+        order.append(box.pop(0))
+    want = plain_threads(order)
+    assert replayed(spark, order, block) == want and len(set(want.values())) > 20
+
+
+def test_a_task_of_the_replay_has_its_share(spark, monkeypatch):
+    """All messages wait for the last one: no block gets more than its own and one link for each."""
+    seen = spark.sparkContext.accumulator(0)
+    plain = T.replay_block
+
+    def counted(batches):
+        def through():
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+        yield from plain(through())
+
+    monkeypatch.setattr(T, "replay_block", counted)
+    order = [(f"m{i}", "hub", []) for i in range(400)] + [("hub", "m7", [])]
+    got = replayed(spark, order, 60)
+    assert set(got.values()) == {"m7"} and len(got) == 401
+    assert seen.value <= 401 + 2 * 60  # of 400 links to the hub those of its own block, and its nearest
 
 
 def test_stuck_jobs_go_back_when_the_watermark_has_passed(spark):
@@ -138,9 +178,17 @@ def test_stuck_jobs_go_back_when_the_watermark_has_passed(spark):
     assert got == {1: "pending", 2: "eligible", 3: "classifying", 4: "classifying", 5: "classifying"}
 
 
-def test_replay_depends_on_order():
-    assert T.replayed([("c", "a", ["a", "b"]), ("a", None, []), ("b", None, [])]) == {"c": "b", "a": "b", "b": "b"}
-    assert T.replayed([("a", None, []), ("b", None, []), ("c", "b", ["a", "b"])]) == {"a": "a", "b": "b", "c": "b"}
+def test_replay_depends_on_order(spark):
+    assert replayed(spark, [("c", "a", ["a", "b"]), ("a", None, []), ("b", None, [])], 1) == {"c": "b", "a": "b", "b": "b"}
+    assert replayed(spark, [("a", None, []), ("b", None, []), ("c", "b", ["a", "b"])], 10) == {"a": "a", "b": "b", "c": "b"}
+
+
+def test_replay_of_hard_rows(spark):
+    """Repeated ids count when they first come, rows without an id are left out, a message may name itself."""
+    rows = [(1, "a", None, None, 5), (2, None, "a", ["a"], 6), (3, "b", "a", [None, ""], 7), (4, "a", "z", [], 9), (5, "s", "s", ["s"], None), (6, "b", None, [], 8)]
+    df = spark.createDataFrame(rows, "pk long, message_id string, in_reply_to string, references array<string>, arrival long")
+    assert {tuple(r) for r in T.replay(df).collect()} == {("a", "a"), ("b", "a"), ("s", "s")}
+    assert T.replay(df.limit(0)).count() == 0
 
 
 def test_components(spark):

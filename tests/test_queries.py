@@ -28,8 +28,8 @@ def test_same_as_sql(spark, duck, name):
     assert got == sorted((tuple(r[i] for i in order) for r in found.fetchall()), key=str)
 
 
-def test_only_the_replay_has_no_sql():
-    assert set(plans.QUERIES) - set(plans.SQL) == {"thread_replay"}
+def test_every_query_has_sql():
+    assert set(plans.QUERIES) == set(plans.SQL)
 
 
 def test_thread_replay_is_the_plain_one(spark):

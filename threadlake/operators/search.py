@@ -1,18 +1,22 @@
 """Keyword, vector and hybrid retrieval, for many questions at once.
 
-The keyword index is three ordinary tables. A question's terms are joined to the
-postings, so only their lists are read; scores are summed map-side first, and
-top-n windows are cut before the shuffle by Spark's window group limit.
+Exhaustive forms over ordinary tables; stored indexes that prune are in
+:mod:`threadlake.operators.index` and :mod:`threadlake.operators.vectors_index`. Scores
+are summed map-side first, and top-n windows are cut before the shuffle by Spark's
+window group limit.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlake.functions.text import terms
+from threadlake.operators.dated import oldest_in
 from threadlake.operators.index import B, K1, KeywordIndex, ranked
 from threadlake.sources.shared import shared_dir, sized
 
@@ -70,6 +74,24 @@ def containing(passages: DataFrame, docs: DataFrame, index: KeywordIndex) -> Dat
     return near.unionByName(docs.join(sized(short, 200), F.contains("text", "passage")).select("qid", "chunk_id"))
 
 
+def question_blocks(questions: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and unit vectors (a column each) of the questions ``qid, vec``, by length, in blocks of at most ``BLOCK_VALUES`` numbers; nulls and empty ones are left out."""
+    held: dict[int, list] = {}
+
+    def block(rows: list) -> tuple[np.ndarray, np.ndarray]:
+        matrix = np.array([r.vec for r in rows], "float64")
+        lengths = np.linalg.norm(matrix, axis=1)
+        return np.array([r.qid for r in rows]), (matrix / np.where(lengths > 0, lengths, 1)[:, None]).T
+
+    for r in questions.select("qid", "vec").where(F.size("vec") > 0).toLocalIterator():
+        rows = held.setdefault(len(r.vec), [])
+        rows.append(r)
+        if len(rows) * len(r.vec) >= BLOCK_VALUES:
+            yield block(held.pop(len(r.vec)))
+    for size in sorted(held):
+        yield block(held[size])
+
+
 def vector_search(questions: DataFrame, vectors: DataFrame, top_n: int = TOP_N, unit_vectors: bool = False) -> DataFrame:
     """``qid, chunk_id, score, rank`` by cosine; vectors of another length are left out, ties go by id.
 
@@ -77,37 +99,28 @@ def vector_search(questions: DataFrame, vectors: DataFrame, top_n: int = TOP_N,
     partition of ``vectors``, which multiplies and cuts its own top ``top_n`` for
     each question before anything is shuffled.
     """
-    asked = [(r.qid, [float(x) for x in r.vec]) for r in questions.select("qid", "vec").collect() if r.vec]
-    empty = questions.sparkSession.createDataFrame([], "qid long, chunk_id long, score double, rank int")
-    if not asked:
-        return empty
     parts = []
-    for size in sorted({len(v) for _, v in asked}):
-        group = [(q, v) for q, v in asked if len(v) == size]
-        step = max(1, BLOCK_VALUES // max(1, size))
-        for i in range(0, len(group), step):
-            ids = np.array([q for q, _ in group[i : i + step]])
-            matrix = np.array([v for _, v in group[i : i + step]])
-            lengths = np.linalg.norm(matrix, axis=1)
-            matrix = (matrix / np.where(lengths > 0, lengths, 1)[:, None]).T
-            held = questions.sparkSession.sparkContext.broadcast((ids, matrix))
-
-            def score(batches, held=held):
-                ids, matrix = held.value
-                for batch in batches:
-                    if not len(batch):
-                        continue
-                    keys = batch["chunk_id"].to_numpy()
-                    values = np.stack(batch["vec"].to_numpy()).astype("float64")
-                    if not unit_vectors:
-                        n = np.linalg.norm(values, axis=1)
-                        values = values / np.where(n > 0, n, 1)[:, None]
-                    got = np.round(values @ matrix, 6)
-                    keep = np.lexsort((np.broadcast_to(keys[:, None], got.shape).T, -got.T), axis=1)[:, :top_n]
-                    yield pd.DataFrame({"qid": np.repeat(ids, keep.shape[1]), "chunk_id": keys[keep].ravel(), "score": np.take_along_axis(got.T, keep, 1).ravel() + 0.0})
-
-            rows = vectors.where(F.size("vec") == size).select("chunk_id", "vec")
-            parts.append(rows.mapInPandas(score, "qid long, chunk_id long, score double"))
+    for ids, matrix in question_blocks(questions):
+        held, size = questions.sparkSession.sparkContext.broadcast((ids, matrix)), len(matrix)
+
+        def score(batches, held=held):
+            ids, matrix = held.value
+            for batch in batches:
+                if not len(batch):
+                    continue
+                keys = batch["chunk_id"].to_numpy()
+                values = np.stack(batch["vec"].to_numpy()).astype("float64")
+                if not unit_vectors:
+                    n = np.linalg.norm(values, axis=1)
+                    values = values / np.where(n > 0, n, 1)[:, None]
+                got = np.round(values @ matrix, 6)
+                keep = np.lexsort((np.broadcast_to(keys[:, None], got.shape).T, -got.T), axis=1)[:, :top_n]
+                yield pd.DataFrame({"qid": np.repeat(ids, keep.shape[1]), "chunk_id": keys[keep].ravel(), "score": np.take_along_axis(got.T, keep, 1).ravel() + 0.0})
+
+        rows = vectors.where(F.size("vec") == size).select("chunk_id", "vec")
+        parts.append(rows.mapInPandas(score, "qid long, chunk_id long, score double"))
+    if not parts:
+        return questions.sparkSession.createDataFrame([], "qid long, chunk_id long, score double, rank int")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -141,18 +154,16 @@ def date_scoped(fused: DataFrame, chunks: DataFrame, ranges: DataFrame, top_k: i
     ``ranges`` has ``qid, lo, hi`` (closed, null: no scope). Of a range at most
     ``top_k`` oldest chunks are taken, before those that are hits are removed.
     Where nothing is left the hits stay unscoped. Returns ``qid, chunk_id,
-    score, provenance, position`` of the first ``top_k``.
+    score, provenance, position`` of the first ``top_k``. ``chunks`` may be a
+    table that :mod:`threadlake.operators.dated` wrote; then a range opens its own
+    months alone.
     """
     shared_dir(fused.sparkSession)
     fused = fused.checkpoint()  # a few rows for each question, read three times below
-    dated = chunks.select("chunk_id", "date_unix")
-    hits = fused.join(ranges, "qid", "left").join(dated, "chunk_id")
+    hits = fused.join(ranges, "qid", "left").join(chunks.select("chunk_id", "date_unix"), "chunk_id")
     inside = F.col("lo").isNull() | F.col("date_unix").between(F.col("lo"), F.col("hi"))
     scoped = ranges.where("lo is not null")
-    # questions are few: the range join is a broadcast of them
-    direct = chunks.join(sized(scoped, 40), F.col("date_unix").between(F.col("lo"), F.col("hi"))).select("qid", "chunk_id", "date_unix")
-    oldest = Window.partitionBy("qid").orderBy("date_unix", "chunk_id")
-    direct = direct.withColumn("at", F.row_number().over(oldest)).where(F.col("at") <= top_k)
+    direct = oldest_in(scoped, chunks, top_k)
     direct_ids = direct.select("qid", "chunk_id", F.lit(True).alias("dated"))
     semantic = hits.where(inside).join(direct_ids, ["qid", "chunk_id"], "left").select(
         "qid", "chunk_id", "score", F.when(F.col("dated"), "semantic+date").otherwise("semantic").alias("provenance"), F.lit(0).alias("block"), F.col("rank").alias("pos"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+import math
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadlake.sources.shared import shared_dir
+from threadlake.functions.text import sender_address
+from threadlake.operators.ordering import positions
+from threadlake.sources.shared import forget, shared_dir, stored
 
 
 def edges(messages: DataFrame) -> DataFrame:
@@ -48,89 +51,139 @@ def components(links: DataFrame, nodes: DataFrame, max_rounds: int = 50) -> Data
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-class Replay:
-    """Thread ids of messages taken in the order of their arrival: (id, replied-to id, references).
+SHIFT = 44  # bits of a place in the order of arrival
 
-    A message joins the thread of the nearest known ancestor, else founds one;
-    then every thread with a message that named it is merged into its own. Threads
-    are a forest: a merge is one link, whatever the threads' sizes, and a root
-    keeps the name of the thread that took the others in.
+
+def last_labels(edges: DataFrame) -> DataFrame:
+    """``node, label``: the latest place in each node's component of ``edges`` (``span, a, b``), spans apart.
+
+    A node is ``span`` and place in one long, with the place reversed, so that the
+    smallest label is the latest.
     """
+    key = lambda c: F.shiftleft(F.col("span"), SHIFT) + F.lit(2**SHIFT - 1) - F.col(c)
+    links = edges.where("a <> b").select(key("a").alias("a"), key("b").alias("b"))
+    nodes = links.select(F.col("a").alias("pk")).unionByName(links.select(F.col("b").alias("pk"))).distinct()
+    place = lambda c: F.lit(2**SHIFT - 1) - F.col(c).bitwiseAND(F.lit(2**SHIFT - 1))
+    return components(links, nodes).select(F.shiftright("pk", SHIFT).alias("span"), place("pk").alias("node"), place("component").alias("label"))
 
-    def __init__(self) -> None:
-        self.node: dict[str, int] = {}
-        self.above: list[int] = []
-        self.weight: list[int] = []
-        self.name: list[str] = []
-        self.namers: dict[str, list[str]] = {}
 
-    def root(self, x: int) -> int:
-        while self.above[x] != x:
-            self.above[x] = x = self.above[self.above[x]]
-        return x
+def arrivals(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Messages by place of arrival (``place, message_id``, one for each id: its first), and the links that the replay follows.
 
-    def founded(self, name: str) -> int:
-        self.above.append(len(self.above))
-        self.weight.append(1)
-        self.name.append(name)
-        return self.above[-1]
-
-    def take(self, own: str, parent: str | None, refs: Sequence[str]) -> None:
-        ahead = [x for x in (parent, *reversed(list(refs))) if x]
-        near = next((x for x in ahead if x in self.node), None)
-        mine = self.founded(own) if near is None else self.root(self.node[near])
-        self.node[own] = mine
-        for x in self.namers.pop(own, ()):
-            other = self.root(self.node[x])
-            if other != mine:
-                name = self.name[mine]
-                low, high = (other, mine) if self.weight[other] <= self.weight[mine] else (mine, other)
-                self.above[low] = high
-                self.weight[high] += self.weight[low]
-                self.name[high], mine = name, high
-        for x in dict.fromkeys(ahead):
-            self.namers.setdefault(x, []).append(own)
-
-    def threads(self) -> dict[str, str]:
-        return {m: self.name[self.root(x)] for m, x in self.node.items()}
-
-
-def replayed(order: Iterable[tuple[str, str | None, Sequence[str]]]) -> dict[str, str]:
-    """``{message id: thread id}``; see :class:`Replay`."""
-    run = Replay()
-    for own, parent, refs in order:
-        run.take(own, parent, refs)
-    return run.threads()
-
-
-def replay(messages: DataFrame, links: DataFrame) -> DataFrame:
-    """``message_id, thread_id``: the replay inside each component, which no relabelling ever leaves.
-
-    ``messages`` has ``pk, message_id, in_reply_to, references, arrival``. Rows
-    come sorted by component and arrival in Arrow batches; what is held is the ids
-    of one component, not its rows.
+    A link ``later, earlier, near`` joins a message to the nearest ancestor that
+    was there when it came (``near``), and to every message that was there and had
+    named it. Which these are depends on the order alone, not on the threads.
     """
-    parts = messages.join(components(links, messages.select("pk")), "pk")
-    rows = parts.repartition("component").sortWithinPartitions("component", "arrival", "pk").select("component", "message_id", "in_reply_to", "references")
+    firsts = messages.where("message_id is not null").groupBy("message_id").agg(F.min_by(F.struct("in_reply_to", "references", "arrival", "pk"), F.struct("arrival", "pk")).alias("m")).select("message_id", "m.*")
+    placed = positions(firsts, ["arrival", "pk", "message_id"], "place").withColumn("place", F.col("place") - 1)
+    order = F.concat(F.array("in_reply_to"), F.reverse(F.coalesce("references", F.array().cast("array<string>"))))
+    named = placed.select("place", F.posexplode(order).alias("at", "name")).where("name is not null and name <> ''")
+    met = named.join(placed.select(F.col("message_id").alias("name"), F.col("place").alias("other")), "name").where("place <> other")
+    near = met.where("other < place").groupBy("place").agg(F.min_by("other", "at").alias("other")).select(F.col("place").alias("later"), F.col("other").alias("earlier"), F.lit(True).alias("near"))
+    waiting = met.where("other > place").select(F.col("other").alias("later"), F.col("place").alias("earlier"), F.lit(False).alias("near"))
+    links = near.unionByName(waiting).groupBy("later", "earlier").agg(F.max("near").alias("near"))
+    return placed.select("place", "message_id"), links
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state = None, Replay()
 
-        def done() -> pa.RecordBatch:
-            got = state.threads()
-            return pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), pa.array(list(got.values()), pa.string())], names=["message_id", "thread_id"])
+def replay_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``place, up`` of the messages of each block, which come sorted by block and place.
 
-        for batch in batches:
-            for component, own, parent, refs in zip(*(c.to_pylist() for c in batch.columns)):
-                if component != now:
-                    if state.node:
-                        yield done()
-                    now, state = component, Replay()
-                state.take(own, parent, refs or [])
-        if state.node:
-            yield done()
+    Threads of earlier blocks are known by the latest message in them. ``up`` is
+    the message whose thread name a message's thread has: itself for a founder, or
+    the latest of an earlier block's thread.
+    """
+    now, above, latest, up = None, {}, {}, {}
 
-    return rows.mapInArrow(run, "message_id string, thread_id string")
+    def root(x: int) -> int:
+        while above.setdefault(x, x) != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    held: list[tuple[int, bool]] = []
+    place = None
+
+    def settle() -> None:
+        """One message with all its links."""
+        found = next((x for x, near in held if near), None)
+        if found is None:
+            up[place] = place
+        else:
+            ahead = latest.get(root(found), found)
+            up[place] = up.get(ahead, ahead)
+        mine = root(place)
+        for x, _ in held:
+            above[root(x)] = mine
+        latest[mine] = place
+
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array(list(up.values()), pa.int64())], names=["place", "up"])
+
+    for batch in batches:
+        for block, later, earlier, near in zip(*(batch.column(c).to_pylist() for c in ("block", "later", "earlier", "near"))):
+            if later != place:
+                if place is not None:
+                    settle()
+                place, held = later, []
+            if block != now:
+                if up:
+                    yield done()
+                now, above, latest, up = block, {}, {}, {}
+            if earlier is not None:
+                held.append((earlier, near))
+    if place is not None:
+        settle()
+        yield done()
+
+
+def replay(messages: DataFrame, block: int = 1_000_000) -> DataFrame:
+    """``message_id, thread_id``: threads as they come about when messages are taken in the order of arrival.
+
+    A message joins the thread of the nearest ancestor that is known by then, else
+    founds one named by its own id; then the threads of all messages that named it
+    are merged into its own, under that one's name. ``messages`` has ``pk,
+    message_id, in_reply_to, references, arrival``; a repeated id counts when it
+    first comes, and rows without an id are left out.
+
+    The order is cut into blocks of ``block`` messages. Which messages are joined
+    before a block is a question of components, answered for all blocks at once by
+    halving the order: links of a first half unite what the second half's links
+    meet, so each halving costs one run of :func:`components` over disjoint parts.
+    Then a block sees earlier threads as single nodes and is replayed by itself, and
+    the names are followed from block to block by pointer doubling. A task holds a
+    block's messages and the links that can matter in it, whatever a thread's size.
+    """
+    known, links = arrivals(messages)
+    known, links = stored(known), stored(links)
+    total = known.count()
+    halvings = max(0, math.ceil(math.log2(max(1, total) / block)))
+    width = max(1, -(-total >> halvings))
+    part = F.floor(F.col("later") / width).cast("long")
+    rows = links.withColumn("block", part)
+    for depth in range(halvings):
+        # a span's first half unites nodes; the second half's links then meet the united ones
+        rows = rows.withColumn("span", F.shiftright("block", halvings - depth)).withColumn("second", F.shiftright("block", halvings - depth - 1).bitwiseAND(F.lit(1)) == 1)
+        labels = last_labels(rows.where("not second").select("span", F.col("later").alias("a"), F.col("earlier").alias("b")))
+        moved = rows.where("second").join(labels.withColumnRenamed("node", "earlier"), ["span", "earlier"], "left").withColumn("earlier", F.coalesce("label", "earlier")).drop("label")
+        joined = rows.where("not second").unionByName(moved).groupBy("block", "later", "earlier").agg(F.max("near").alias("near"))
+        rows = stored(joined)
+    # an earlier thread that one message of a block meets, and not as its nearest, is not seen again in the block
+    often = rows.where(F.floor(F.col("earlier") / width) < F.col("block")).groupBy("block", "earlier").agg(F.count("*").alias("times"))
+    seen = rows.join(often, ["block", "earlier"], "left").where("near or times is null or times > 1").select("block", "later", "earlier", "near")
+    alone = known.select(F.floor(F.col("place") / width).cast("long").alias("block"), F.col("place").alias("later"), F.lit(None).cast("long").alias("earlier"), F.lit(False).alias("near"))
+    tasks = seen.unionByName(alone).repartition(1 << halvings, "block").sortWithinPartitions("block", "later", F.col("near").desc())
+    names = stored(tasks.mapInArrow(replay_block, "place long, up long"))
+    for _ in range(64):
+        farther = names.select(F.col("place").alias("up"), F.col("up").alias("next"))
+        nxt = stored(names.join(farther, "up").select("place", F.col("next").alias("up"), (F.col("next") != F.col("up")).alias("moved")))
+        forget(names)
+        names = nxt.select("place", "up")
+        names.threadlake_path = nxt.threadlake_path
+        if nxt.where("moved").isEmpty():
+            break
+    whole = last_labels(links.select(F.lit(0).cast("long").alias("span"), F.col("later").alias("a"), F.col("earlier").alias("b"))).select(F.col("node").alias("place"), "label")
+    ends = known.join(whole, "place", "left").select("message_id", F.coalesce("label", "place").alias("place"))
+    called = names.join(known.select(F.col("place").alias("up"), F.col("message_id").alias("thread_id")), "up").select("place", "thread_id")
+    return ends.join(called, "place").select("message_id", "thread_id")
 
 
 def last_messages(messages: DataFrame, most: int = 20) -> DataFrame:
@@ -147,9 +200,25 @@ def upto_target(messages: DataFrame) -> DataFrame:
 
 
 def latest_thread(messages: DataFrame, address: str, scan: int = 500) -> DataFrame:
-    """``thread_id`` of the newest message that an address sent: of the ``scan`` newest whose sender holds it as a substring, the first whose address it is."""
-    from threadlake.functions.text import sender_address
+    """``thread_id`` of the newest message that an address sent; see :func:`latest_threads`."""
+    one = messages.sparkSession.createDataFrame([(address,)], "address string")
+    return latest_threads(messages, one, scan).select("thread_id")
+
 
-    newest = [F.col("date_unix").desc(), F.col("pk").desc()]
-    coarse = messages.where(F.contains(F.lower("sender"), F.lit(address.lower()))).orderBy(*newest).limit(scan)
-    return coarse.where(sender_address(F.col("sender")) == address.lower()).orderBy(*newest).limit(1).select("thread_id")
+def latest_threads(messages: DataFrame, addresses: DataFrame, scan: int = 500, block: int = 200) -> DataFrame:
+    """``address, thread_id`` for each of ``addresses``: of the ``scan`` newest messages whose sender holds it as a substring, the first whose address it is.
+
+    Addresses are a query set: ``block`` of them at a time are looked for in every
+    sender, so a set of any size takes as many scans as blocks. They are compared
+    lower-cased; null and empty ones find nothing.
+    """
+    wanted = [r.address for r in addresses.select("address").distinct().where("address <> ''").toLocalIterator()]
+    out = messages.sparkSession.createDataFrame([], f"address string, thread_id {messages.schema['thread_id'].dataType.simpleString()}")
+    newest = Window.partitionBy("address").orderBy(F.col("date_unix").desc(), F.col("pk").desc())
+    for k in range(0, len(wanted), block):
+        some = F.array(*[F.lit(a) for a in wanted[k : k + block]])
+        met = messages.withColumn("address", F.explode(F.filter(some, lambda a: F.contains(F.lower("sender"), F.lower(a)))))
+        seen = met.withColumn("nth", F.row_number().over(newest)).where(F.col("nth") <= scan)
+        own = seen.where(sender_address(F.col("sender")) == F.lower("address"))
+        out = out.unionByName(own.groupBy("address").agg(F.min_by("thread_id", "nth").alias("thread_id")))
+    return out

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadlake.operators import dated as D
 from threadlake.operators import evals as E
 from threadlake.operators import index as I
 from threadlake.operators import prompt as P
 from threadlake.operators import search as S
+from threadlake.operators import vectors_index as VI
 from threadlake.plans.base import MESSAGES, QUESTIONS, START, THREADS, Tables, query
 from threadlake.sources.shared import fresh_path, sized, stored
 
@@ -28,22 +32,35 @@ FUSED = f"""SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORD
 WITH = f"WITH fused AS MATERIALIZED ({FUSED}), m AS {MESSAGES}\n"
 
 
-INDEXES: dict[tuple[str, str], str] = {}
+KEPT: dict[tuple[str, str, str], str] = {}  # written once for each session and folder of tables
 
 
 def index(t: Tables) -> I.KeywordIndex:
-    """The stored index of the documents, written when a session first asks for it."""
-    at = (t.spark.sparkContext.applicationId, t.sf_dir)
-    if at not in INDEXES:
-        INDEXES[at] = fresh_path(t.spark, "index")
-        I.KeywordIndex(t.spark, INDEXES[at]).append(t.documents.select(F.col("doc_id").alias("chunk_id"), "text"))
-    return I.KeywordIndex(t.spark, INDEXES[at])
+    """The stored index of the documents."""
+    docs = t.documents.select(F.col("doc_id").alias("chunk_id"), "text")
+    return I.KeywordIndex(t.spark, kept(t, "index", lambda path: I.KeywordIndex(t.spark, path).append(docs)))
+
+
+def chunks_by_date(t: Tables) -> DataFrame:
+    """The stored chunks by month."""
+    rows = t.messages.select(F.col("pk").alias("chunk_id"), "date_unix")
+    return D.read(t.spark, kept(t, "dated", lambda path: D.write(rows, path)))
 
 
 def keyword(t: Tables) -> DataFrame:
     return index(t).search(t.questions)
 
 
+def kept(t: Tables, kind: str, write: Callable[[str], None]) -> str:
+    """The folder of a table that a session writes when it first asks for it."""
+    at = (kind, t.spark.sparkContext.applicationId, t.sf_dir)
+    if at not in KEPT:
+        path = fresh_path(t.spark, kind)
+        write(path)
+        KEPT[at] = path
+    return KEPT[at]
+
+
 def vectors(t: Tables) -> DataFrame:
     return t.embeddings.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec"))
 
@@ -92,6 +109,41 @@ def vector_search(t: Tables) -> DataFrame:
     return vector(t).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query(VECTOR)
+def vector_index_search(t: Tables) -> DataFrame:
+    """The same from the stored clusters."""
+    asked = t.benchmark.select(F.col("item_id").alias("qid"), (F.col("item_id") * 3 + 1).alias("vec_id")).join(t.embeddings, "vec_id").select("qid", F.col("embedding").alias("vec"))
+    path = kept(t, "clusters", lambda path: VI.VectorIndex(t.spark, path).build(vectors(t), 64))
+    return VI.VectorIndex(t.spark, path).search(asked).withColumn("rank", F.col("rank").cast("long"))
+
+
+CHANGED = f"(SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN reverse(text) ELSE text END AS text FROM documents WHERE doc_id % 6 <> 1)"
+
+
+@query(KEYWORD.replace("documents", CHANGED))
+def keyword_search_changed(t: Tables) -> DataFrame:
+    """A third of the chunks is replaced or deleted; the rest of the index stays as it was written."""
+    docs = t.documents.select(F.col("doc_id").alias("chunk_id"), "text")
+    found = I.KeywordIndex(t.spark, fresh_path(t.spark, "index"))
+    found.append(docs)
+    found.replace(docs.where("chunk_id % 6 = 0").withColumn("text", F.reverse("text")))
+    found.delete(docs.where("chunk_id % 6 = 1"))
+    return found.search(t.questions).withColumn("rank", F.col("rank").cast("long"))
+
+
+SCOPE_FORMS = f"(SELECT doc_id AS qid, CASE doc_id % 5 WHEN 0 THEN 0 WHEN 4 THEN {START} + 9 ELSE {START} + doc_id * 3600 - 86400 * (doc_id % 5) END AS lo, CASE doc_id % 5 WHEN 3 THEN 1 WHEN 4 THEN 99999999999 ELSE {START} + doc_id * 3600 + 864000 END AS hi FROM documents WHERE doc_id % 10 < 5)"
+
+
+@query(f"SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY date_unix, chunk_id) AS position FROM (SELECT qid, pk AS chunk_id, date_unix FROM {SCOPE_FORMS} JOIN {MESSAGES} ON date_unix BETWEEN lo AND hi) QUALIFY position <= 8")
+def oldest_in_range(t: Tables) -> DataFrame:
+    """Half of the messages ask for a range each: narrow ones, open ones at either end, and empty ones."""
+    n = F.col("doc_id")
+    lo = F.when(n % 5 == 0, 0).when(n % 5 == 4, START + 9).otherwise(START + n * 3600 - 86400 * (n % 5)).cast("long")
+    hi = F.when(n % 5 == 3, 1).when(n % 5 == 4, 99999999999).otherwise(START + n * 3600 + 864000).cast("long")
+    ranges = t.documents.where("doc_id % 10 < 5").select(n.alias("qid"), lo.alias("lo"), hi.alias("hi"))
+    return D.oldest_in(ranges, chunks_by_date(t), 8).select("qid", "chunk_id", F.col("at").cast("long").alias("position"))
+
+
 @query(WITH + "SELECT * FROM fused")
 def rrf_fusion(t: Tables) -> DataFrame:
     return fused(t).withColumn("rank", F.col("rank").cast("long"))
@@ -131,7 +183,7 @@ def scoped(t: Tables) -> DataFrame:
     lo = F.when(n % 4 != 0, F.when(n % 4 == 3, F.lit(1)).otherwise(F.lit(START) + n * 7200)).cast("long")
     hi = F.when(n % 4 != 0, F.when(n % 4 == 3, F.lit(2)).otherwise(F.lit(START) + n * 7200 + 400000)).cast("long")
     ranges = t.benchmark.select(n.alias("qid"), lo.alias("lo"), hi.alias("hi"))
-    return S.date_scoped(fused(t), t.messages.select(F.col("pk").alias("chunk_id"), "date_unix"), ranges)
+    return S.date_scoped(fused(t), chunks_by_date(t), ranges)
 
 
 @query(SCOPED + "SELECT qid, chunk_id, score, position FROM final")

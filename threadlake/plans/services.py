@@ -12,6 +12,7 @@ from threadlake.operators import learning as L
 from threadlake.operators import merge as M
 from threadlake.operators import prompt as P
 from threadlake.operators import providers as V
+from threadlake.operators.ordering import positions
 from threadlake.plans.base import DRAFTS, MESSAGES, THREADS, Tables, query
 from threadlake.plans.search import DAY, TOP, TRIMMED, WITH, fused, top_chunks
 from threadlake.plans.streams import LINES
@@ -24,15 +25,12 @@ from threadlake.sources.shared import fresh_path, stored
  CASE WHEN c_custkey % 4 = 0 OR c_custkey % 5 = 0 THEN '' ELSE c_name END AS name, c_custkey % 2 = 0 AS has FROM customer)
  SELECT id, coalesce(nullif(email, ''), nullif(name, ''), id) AS label, CASE WHEN email = '' THEN id ELSE email END AS storage_key, row_number() OVER (ORDER BY lower(coalesce(nullif(email, ''), nullif(name, ''), id)), id) AS position FROM a WHERE email <> '' OR has""")
 def account_discovery(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
     key = F.col("c_custkey")
     index = t.customer.limit(1).select(F.lit("MailData").alias("id"), F.lit(True).alias("has_messages"))
     folders = t.customer.select(key.cast("string").alias("id"), (key % 2 == 0).alias("has_messages")).unionByName(index)
     user = F.when(key % 3 == 0, "no address").otherwise(F.concat(F.lower("c_mktsegment"), key, F.lit("@x.org")))
     known = t.customer.where("c_custkey % 4 <> 0").select(key.cast("string").alias("id"), F.when(key % 5 != 0, F.col("c_name")).alias("name"), user.alias("username"))
-    # accounts are a handful for each user, so their places may be counted in one window
-    return A.discover(folders, known).select("id", "label", "storage_key", F.row_number().over(Window.orderBy(F.lower("label"), "id")).cast("long").alias("position"))
+    return positions(A.discover(folders, known).select("id", "label", "storage_key"), [F.lower("label"), "id"])
 
 
 @query(f"SELECT pk, status FROM {DRAFTS} d WHERE NOT (status = 'ready' AND thread_id IN (SELECT 't' || c_custkey FROM customer WHERE c_nationkey < 9))")

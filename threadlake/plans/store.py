@@ -9,6 +9,7 @@ from threadlake.functions.text import epoch
 from threadlake.operators import activity as A
 from threadlake.operators import jobs as J
 from threadlake.operators import threads as T
+from threadlake.operators.ordering import positions
 from threadlake.operators.merge import insert_absent, latest, remap, replace_children, upsert, without
 from threadlake.plans.base import DRAFTS, JOBS, LINKED, MESSAGES, START, THREADS, Tables, query
 from threadlake.sources.shared import sized
@@ -165,10 +166,9 @@ def recover_stuck(t: Tables) -> DataFrame:
 
 
 @query(f"""SELECT source_id, (state <> 'pending')::INT AS block, row_number() OVER (ORDER BY state <> 'pending', detected_at, source_id) AS position FROM {JOBS}
- WHERE state = 'pending' OR (state = 'failed' AND attempts < 5 AND {NOW} - updated_at >= least(pow(2, attempts) * 60, 3600)) QUALIFY position <= 500""")
+ WHERE state = 'pending' OR (state = 'failed' AND attempts < 5 AND {NOW} - updated_at >= least(pow(2, attempts) * 60, 3600))""")
 def classify_queue(t: Tables) -> DataFrame:
-    first = J.queue(t.jobs, NOW).orderBy("block", "detected_at", "source_id").limit(500)
-    return first.withColumn("position", F.row_number().over(Window.orderBy("block", "detected_at", "source_id")).cast("long")).select("source_id", "block", "position")
+    return positions(J.queue(t.jobs, NOW).select("source_id", "block", "detected_at"), ["block", "detected_at", "source_id"]).select("source_id", "block", "position")
 
 
 @query(f"SELECT source_id, state FROM {JOBS} WHERE state IN ('eligible', 'drafting') ORDER BY detected_at, source_id LIMIT 100")
@@ -314,9 +314,15 @@ def thread_components(t: Tables) -> DataFrame:
     return T.components(thread_links(t), t.linked.select("pk"))
 
 
-@query()
+@query(f"""WITH RECURSIVE n AS (SELECT *, row_number() OVER (ORDER BY pk) AS place, list_concat([in_reply_to], list_reverse(refs)) AS ahead FROM {LINKED}),
+ a AS (SELECT place, unnest(ahead) AS name, unnest(range(len(ahead))) AS nth FROM n), l AS (SELECT a.place, a.nth, n.place AS other FROM a JOIN n ON n.message_id = a.name WHERE n.place <> a.place),
+ k AS MATERIALIZED (SELECT place, message_id, (SELECT arg_min(other, nth) FROM l WHERE l.place = n.place AND other < n.place) AS near, coalesce((SELECT list(DISTINCT l.place) FROM l WHERE other = n.place AND l.place < n.place), []) AS waiting FROM n),
+ s(step, names) AS (SELECT 0::BIGINT, []::VARCHAR[] UNION ALL SELECT step + 1, list_append(list_transform(names, lambda x: CASE WHEN list_contains(gone, x) THEN mine ELSE x END), mine)
+  FROM (SELECT step, names, coalesce(names[near], message_id) AS mine, list_transform(waiting, lambda w: names[w]) AS gone FROM s JOIN k ON place = step + 1))
+ SELECT message_id, names[place] AS thread_id FROM k, (SELECT names FROM s ORDER BY step DESC LIMIT 1)""")
 def thread_replay(t: Tables) -> DataFrame:
-    return T.replay(t.linked, thread_links(t))
+    """Four blocks at least, so that threads go over their borders."""
+    return T.replay(t.linked, block=max(1, t.linked.count() // 4))
 
 
 @query(f"""SELECT thread_id, pk, row_number() OVER (PARTITION BY thread_id ORDER BY date_unix, pk) AS position FROM
@@ -332,10 +338,10 @@ def thread_prefix(t: Tables) -> DataFrame:
 
 @query(f"""SELECT lower(regexp_extract(sender, '<([^<>]*)>', 1)) AS address, arg_max(thread_id, (date_unix, pk)) AS thread_id FROM {THREADS} WHERE contains(sender, 'user@h') GROUP BY 1""")
 def latest_thread_by_sender(t: Tables) -> DataFrame:
-    from threadlake.functions.text import sender_address
-
-    rows = t.threads.where(F.contains("sender", F.lit("user@h"))).select(sender_address(F.col("sender")).alias("address"), "thread_id", "date_unix", "pk")
-    return latest(rows, ["address"], ["date_unix", "pk"]).select("address", "thread_id")
+    """Every user's address, and as many that are only a part of one."""
+    hosts = t.threads.select((F.col("conv_id") % 7).alias("h")).distinct()
+    asked = hosts.select(F.explode(F.array(F.lit("user@h"), F.lit("ser@h"))).alias("name"), "h").select(F.concat("name", F.col("h"), F.lit(".example.net")).alias("address"))
+    return T.latest_threads(t.threads, asked).select("address", "thread_id")
 
 
 @query(f"""SELECT thread_id, bool_or(contains(lower(sender), 'assistant@h')) AS has_prior FROM (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY date_unix DESC, pk DESC) AS r FROM {THREADS}) WHERE r <= 20 GROUP BY thread_id""")
