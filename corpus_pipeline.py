@@ -48,13 +48,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked at five words and 0.8 the one with the smallest id.
 
-    Rows are linked by a number of their own, so rows that share an id stay if
+    Rows are linked by numbers of their own, so rows that share an id stay if
     their texts differ. Null ids go after all others; among rows of equal ids any
     one of the group stays. Null and empty texts link with nothing and stay.
     """
 
     def change(plain: DataFrame) -> DataFrame:
-        rows = written(plain.withColumn("row", F.monotonically_increasing_id()))
+        # a row's number is its id, or one above all ids where it has none or shares it
+        own = F.col("doc_id").cast("long")
+        shared = written(plain.where(own.isNotNull()).groupBy(own.alias("row")).agg(F.count("*").alias("n")).where("n > 1").select("row"))
+        most = plain.agg(F.greatest(F.max(own), F.lit(0))).first()[0] or 0
+        marked = plain.withColumn("row", own).join(narrow(shared.withColumn("met", F.lit(True)), 24), "row", "left")
+        number = F.when(own.isNull() | F.col("met"), F.lit(most + 1) + F.monotonically_increasing_id()).otherwise(own)
+        rows = written(marked.withColumn("row", number).drop("met"))
         groups = jaccard_components(rows.select("row", "text"), id_col="row", k=5, percent=80)
         named = groups.select(F.col("id").alias("row"), "component_id").join(rows.select("row", "doc_id"), "row")
         first = written(named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("row")).select("row"))
