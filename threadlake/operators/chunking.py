@@ -6,8 +6,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 SIZE, OVERLAP = 2048, 256
@@ -76,3 +77,13 @@ def chunk(docs: DataFrame, key: str, text: str, size: int = SIZE, overlap: int =
     kind = docs.schema[key]
     schema = StructType([StructField(key, kind.dataType), StructField("ordinal", IntegerType()), StructField("text", StringType())])
     return docs.select(F.col(key), F.col(text)).mapInArrow(cut, schema)
+
+
+def register(spark: SparkSession, name: str = "chunks") -> None:
+    """The chunker as a table function of SQL: ``SELECT ... FROM t, LATERAL chunks(t.text)`` with the columns ``ordinal, text``."""
+    spark.udtf.register(name, udtf(Chunks, returnType="ordinal int, text string", useArrow=True))
+
+
+class Chunks:
+    def eval(self, text: str) -> Iterator[tuple[int, str]]:
+        yield from enumerate(chunks_of(text))

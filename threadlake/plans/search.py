@@ -71,7 +71,8 @@ def vector(t: Tables) -> DataFrame:
 
 
 def fused(t: Tables) -> DataFrame:
-    return S.fuse(vector(t), keyword(t))
+    """Some sixty rows for each question, written once: most plans read them several times."""
+    return stored(S.fuse(vector(t), keyword(t)))
 
 
 def top_chunks(t: Tables, k: int = 8, found: DataFrame | None = None) -> DataFrame:

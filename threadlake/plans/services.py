@@ -108,7 +108,7 @@ def draft_with_context(t: Tables) -> DataFrame:
 @query(WITH + f"""SELECT qid, by_floor, by_top_k, coalesce(n, 0) - coalesce(k, 0) AS by_budget FROM (SELECT qid, count(*) FILTER (score <= 0.015) AS by_floor, count(*) FILTER (score > 0.015 AND rank > 8) AS by_top_k FROM fused GROUP BY qid)
  LEFT JOIN (SELECT qid, count(*) AS n FROM {TOP} GROUP BY qid) USING (qid) LEFT JOIN (SELECT qid, count(*) AS k FROM {TRIMMED} GROUP BY qid) USING (qid)""")
 def drop_counts(t: Tables) -> DataFrame:
-    found = stored(fused(t))  # read three times
+    found = fused(t)
     ranked = stored(top_chunks(t, found=found).drop("subject"))
     return P.drop_counts(found, ranked, P.budget_trim(ranked, 600), 0.015, 8)
 

@@ -2,28 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.operators import ingest as I
 from threadlake.plans.text import BOILER, TRIM
 from threadlake.plans.base import JOBS, MESSAGES, Tables, query
 from threadlake.streaming import arrivals as A
+from threadlake.streaming import jobs as K
 
 
 BATCHES = 4
 SLICED = f"(SELECT *, floor((epoch_us(ts) - min(epoch_us(ts)) OVER ()) / (max(epoch_us(ts)) OVER () - min(epoch_us(ts)) OVER () + 1) * {BATCHES})::INT AS part FROM events)"
 
 
-def arriving(t: Tables, late: bool = False) -> DataFrame:
-    """Events in four micro-batches by time; with ``late`` one in fifty of the first quarter comes with the last, and one in seven comes twice."""
+def arriving(t: Tables, late: bool = False, shuffled: bool = False, columns: Sequence[Column | str] = ("*",)) -> DataFrame:
+    """Events in four micro-batches by time.
+
+    With ``late`` one in fifty of the first quarter comes with the last, and one in
+    seven comes twice; with ``shuffled`` one in five comes a batch later.
+    """
     at = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
     low, high = t.events.agg(F.min(at), F.max(at)).first()
     rows = t.events.withColumn("part", F.floor((at - F.lit(low)) / F.lit(high - low + 1) * BATCHES).cast("int"))
     if late:
         rows = rows.withColumn("part", F.when((F.col("part") == 0) & (F.col("event_id") % 50 == 0), BATCHES - 1).otherwise(F.col("part")))
         rows = rows.unionByName(rows.where("event_id % 7 = 0"))
-    return A.replayed(rows.withColumn("at", F.timestamp_micros(at)), "part", BATCHES)
+    if shuffled:
+        rows = rows.withColumn("part", F.when(F.col("event_id") % 5 == 0, F.least(F.col("part") + 1, F.lit(BATCHES - 1))).otherwise(F.col("part")))
+    return A.replayed(rows.withColumn("at", F.timestamp_micros(at)).select("part", *columns) if columns != ("*",) else rows.withColumn("at", F.timestamp_micros(at)), "part", BATCHES)
 
 
 @query(f"SELECT DISTINCT event_id, user_id FROM {SLICED} WHERE NOT (part = 0 AND event_id % 50 = 0)")
@@ -49,6 +58,36 @@ def stream_job_states(t: Tables) -> DataFrame:
     return A.drained(A.job_states(rows), "update", ["source_id"])
 
 
+STUCK, GRACE = 600, 300
+TIMED = f"(SELECT user_id, part, event_id, epoch_us(ts) // 1000 AS ms, ['claim','personal','error','done','newsletter'][event_id % 5 + 1] AS event FROM {SLICED})"
+MARKS = f"(SELECT b, coalesce((SELECT max(ms) FROM {TIMED} WHERE part < b) - {GRACE * 1000}, 0) AS mark FROM (SELECT unnest(range({BATCHES + 1})) AS b))"
+
+
+@query(f"""WITH r AS MATERIALIZED {TIMED}, u AS (SELECT DISTINCT user_id FROM r), marks AS MATERIALIZED {MARKS},
+ t AS (SELECT user_id, part AS b, 0 AS kind, event_id AS nth, 'e' || event AS token FROM r UNION ALL SELECT user_id, part, 1, 0, 'd' || (max(ms) + {STUCK * 1000}) FROM r GROUP BY ALL UNION ALL SELECT user_id, b, 2, 0, 'w' || mark FROM u, marks),
+ s AS (SELECT user_id AS source_id, list_reduce(list_prepend('pending|0|0|', list(token ORDER BY b, kind, nth)), lambda s, t: CASE
+   WHEN t[1] = 'e' THEN (CASE {' '.join(f"WHEN split_part(s, '|', 1) = '{a}' AND t[2:] = '{e}' THEN '{c}|' || split_part(s, '|', 2){'::INT + 1' if c == 'failed' else ''} || '|' || split_part(s, '|', 3) || '|' || split_part(s, '|', 4) || ',{a}>{c}'" for (a, e), c in A.STEPS.items())} ELSE s END)
+   WHEN t[1] = 'd' THEN split_part(s, '|', 1) || '|' || split_part(s, '|', 2) || '|' || CASE WHEN split_part(s, '|', 1) IN ('classifying', 'drafting') THEN t[2:] ELSE '0' END || '|' || split_part(s, '|', 4)
+   WHEN split_part(s, '|', 3) <> '0' AND split_part(s, '|', 3)::BIGINT <= t[2:]::BIGINT THEN (CASE WHEN split_part(s, '|', 1) = 'classifying' THEN 'pending|' ELSE 'eligible|' END) || split_part(s, '|', 2) || '|0|' || split_part(s, '|', 4) || ',' || split_part(s, '|', 1) || '>' || CASE WHEN split_part(s, '|', 1) = 'classifying' THEN 'pending' ELSE 'eligible' END
+   ELSE s END) AS s FROM t GROUP BY user_id)
+ SELECT source_id, split_part(s, '|', 1) AS state, split_part(s, '|', 2)::BIGINT AS attempts, array_to_string(list_filter(string_split(split_part(s, '|', 4), ','), lambda x: x <> '')[-5:], ' ') AS log FROM s""")
+def stream_job_timers(t: Tables) -> DataFrame:
+    """Jobs that hang go back when the watermark has passed their time, and each keeps the last changes of its state."""
+    kinds = F.array(*[F.lit(x) for x in ("claim", "personal", "error", "done", "newsletter")])
+    rows = arriving(t, columns=[F.col("user_id").alias("source_id"), F.element_at(kinds, (F.col("event_id") % 5 + 1).cast("int")).alias("event"), F.col("event_id").alias("seq"), "at"])
+    out = A.drained(K.job_machine(rows.withWatermark("at", f"{GRACE} seconds"), STUCK), "update", ["source_id"])
+    return out.select("source_id", "state", "attempts", F.array_join("log", " ").alias("log"))
+
+
+@query(f"""WITH e AS (SELECT user_id, epoch_us(ts) // 1000000 AS at, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, epoch_us(ts) AS us, event_id FROM events),
+ s AS (SELECT *, sum((before IS NULL OR us - before > 3600000000)::INT) OVER (PARTITION BY user_id ORDER BY us, event_id) AS burst FROM e)
+ SELECT user_id, min(us) // 1000000 AS start_unix, max(us) // 1000000 AS last_unix, count(*) AS events FROM s GROUP BY user_id, burst HAVING max(us) + 3600000000 <= (SELECT max(epoch_us(ts)) - 864000000000 FROM events)""")
+def stream_bursts(t: Tables) -> DataFrame:
+    """Bursts that are over; a part of each batch comes with the next one, out of order, and none is lost."""
+    out = A.drained(A.bursts(arriving(t, shuffled=True), "user_id", grace="10 days"))
+    return out.select("user_id", F.unix_seconds("start").alias("start_unix"), F.unix_seconds("last").alias("last_unix"), "events")
+
+
 FILES = "(SELECT event_id AS source_id, event_id % 3 || '-' || user_id AS fingerprint FROM events)"
 
 

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from threadlake.functions import text as X
 from threadlake.functions.vectors import cosine, hash_embedding
 from threadlake.operators.activity import wrong_dimension
-from threadlake.operators.chunking import chunk
+from threadlake.operators.chunking import chunk, register
 from threadlake.operators.classify import verdict
 from threadlake.operators.datescope import numeric_range, with_ranges
-from threadlake.plans.base import DRAFTS, MESSAGES, START, Tables, query
+from threadlake.plans.base import DRAFTS, MESSAGES, SQL, START, Tables, query
 
 TRIM = "trim({}, '" + X.EDGES + "')"
 BOILER = "(?i)" + "|".join(X.BOILERPLATE)
@@ -38,6 +38,14 @@ def chunk_documents(t: Tables) -> DataFrame:
     return chunk(t.documents, "doc_id", "text")
 
 
+@query(SQL["chunk_documents"])
+def chunk_lateral(t: Tables) -> DataFrame:
+    """The same rows from the table function in SQL."""
+    register(t.spark)
+    t.documents.createOrReplaceTempView("documents_to_chunk")
+    return t.spark.sql("SELECT doc_id, c.ordinal, c.text FROM documents_to_chunk d, LATERAL chunks(d.text) c")
+
+
 @query(r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS text FROM (
  SELECT page_id, replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^<>]*>.*?</script>', ' ', 'g'),
   '(?is)<style\b[^<>]*>.*?</style>', ' ', 'g'), '(?is)<head\b[^<>]*>.*?</head>', ' ', 'g'), '(?is)<title\b[^<>]*>.*?</title>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'),
@@ -198,6 +206,57 @@ def classifier_metrics(t: Tables) -> DataFrame:
     return rule_rows(t).join(t.labels, "doc_id").groupBy("verdict").agg(F.count("*").alias("messages"), F.sum("quality").alias("good"), F.round(F.avg("quality"), 6).alias("rate"))
 
 
+HEADERS = ["auto-generated", " Auto-Replied\t", "no", "", "auto-notified", "yes"]
+
+
+@query("SELECT doc_id, doc_id % 7 IN (0, 1) AS automatic FROM documents")
+def auto_submitted(t: Tables) -> DataFrame:
+    """Every value of the header that occurs, and none at all: two of them alone keep a reply from being drafted."""
+    n = F.col("doc_id") % 7
+    value = F.element_at(F.array(*[F.lit(h) for h in HEADERS], F.lit(None)), (n + 1).cast("int"))
+    none = F.lit(None).cast("string")
+    what, _ = verdict(F.lit("Ann <ann@x.org>"), F.lit("hello"), F.lit(False), value, none, none, none)
+    return t.documents.select("doc_id", (what == "auto_generated").alias("automatic"))
+
+
+@query("SELECT doc_id, 2097152 - 10 + doc_id % 20 AS asked, least(2097152 - 10 + doc_id % 20, 2097152) AS kept FROM documents")
+def html_cap(t: Tables) -> DataFrame:
+    """Pages around the cap of two mebibytes keep what is within it; pages of one size are made once."""
+    rows = t.documents.select("doc_id", (F.lit(2 * 1024 * 1024 - 10) + F.col("doc_id") % 20).cast("int").alias("size"))
+    pages = rows.select("size").distinct()
+    kept = pages.select("size", F.length(X.truncated_utf8(F.repeat(F.lit("x"), F.col("size")))).cast("long").alias("kept"))
+    return rows.join(F.broadcast(kept), "size").select("doc_id", F.col("size").cast("long").alias("asked"), "kept")
+
+
+# Questions of each form, first and last day of the range (no first: open; neither: none), as of Thursday, 28 May 2026.
+DATE_FORMS = [
+    ("What was the February 2026 newsletter highlight?", "2026-02-01", "2026-02-28"), ("Was war das Highlight im Februar 2026?", "2026-02-01", "2026-02-28"), ("the February newsletter", "2026-02-01", "2026-02-28"),
+    ("the December summary", "2025-12-01", "2025-12-31"), ("What did the vendor say about pricing?", None, None), ("what emails did i get during on 2026-06-10?", "2026-06-10", "2026-06-10"),
+    ("was bekam ich am 10.06.2026?", "2026-06-10", "2026-06-10"), ("what emails did i get during the first week of June this year?", "2026-06-01", "2026-06-07"), ("what did I get the last week of June 2026?", "2026-06-24", "2026-06-30"),
+    ("the March newsletter last year", "2025-03-01", "2025-03-31"), ("the December summary this year", "2026-12-01", "2026-12-31"), ("what emails did I get this year?", "2026-01-01", "2026-12-31"),
+    ("what emails did I get last year?", "2025-01-01", "2025-12-31"), ("was bekam ich im letzten Jahr?", "2025-01-01", "2025-12-31"), ("what did I get over the past four months?", "2026-01-28", "2026-05-28"),
+    ("what did I get in the past 15 months?", "2025-02-28", "2026-05-28"), ("what emails came in over the past 2 years?", "2024-05-28", "2026-05-28"), ("the last 3 months", "2026-02-28", "2026-05-28"),
+    ("what emails did I get yesterday?", "2026-05-27", "2026-05-27"), ("what did I get last Tuesday?", "2026-05-26", "2026-05-26"), ("anything from Tuesday?", "2026-05-26", "2026-05-26"),
+    ("emails i got yesterday? or last tuesday?", "2026-05-26", "2026-05-27"), ("what did I get today?", "2026-05-28", "2026-05-28"), ("what did I get on 13/05/2026?", "2026-05-13", "2026-05-13"),
+    ("what did I get on 03/04/2026?", None, None), ("what did I get on 04/03/2026?", None, None), ("what did I get on 05/05/2026?", None, None), ("what emails did I get on June 5th this year?", "2026-06-05", "2026-06-05"),
+    ("was bekam ich am 5. Juni?", "2025-06-05", "2025-06-05"), ("the 5th of June, did I get anything?", "2025-06-05", "2025-06-05"), ("the 1st week of June 2026", "2026-06-01", "2026-06-07"),
+    ("did I get anything in March or April?", "2026-03-01", "2026-04-30"), ("emails from November or December last year", "2025-11-01", "2025-12-31"), ("emails since 2026-05-01", "2026-05-01", "2026-05-28"),
+    ("everything before 2026-06-01", "", "2026-06-01"), ("was bekam ich seit gestern?", "2026-05-27", "2026-05-28"), ("vor 3 Tagen", None, None), ("Ich habe Angst vor Spinnen", None, None),
+    ("emails on 2026-06-01, 2026-06-05, or 2026-06-10", "2026-06-01", "2026-06-10"), ("the May newsletter", "2026-05-01", "2026-05-31"), ("what did I get in the past month?", "2026-04-28", "2026-05-28"),
+    ("march 5 to march 9", "2026-03-05", "2026-03-09"), ("5 or 7 march", "2026-03-05", "2026-03-07"), ("between march 5th and april 9th", "2026-03-05", "2026-04-09"),
+    ("until 2026-02-01 or since monday", "", "2026-02-01"), ("since monday until tuesday", "2026-05-25", "2026-05-28"), ("2026-02-31", "2026-03-03", "2026-03-03"),
+]
+FORM_ROWS = ", ".join("({}, {}, {})".format(i, *("NULL" if d is None else "'1970-01-01'" if d == "" else f"'{d}'" for d in days)) for i, (_, *days) in enumerate(DATE_FORMS))
+
+
+@query(f"""SELECT doc_id AS qid, epoch(lo::DATE)::BIGINT AS lo, epoch(hi::DATE)::BIGINT + 86399 AS hi FROM documents JOIN (VALUES {FORM_ROWS}) v(form, lo, hi) ON form = doc_id % {len(DATE_FORMS)}""")
+def date_forms(t: Tables) -> DataFrame:
+    """Every form of a date in a question, each asked by the documents of one remainder."""
+    n = F.col("doc_id") % len(DATE_FORMS)
+    asked = t.documents.select(F.col("doc_id").alias("qid"), F.element_at(F.array(*[F.lit(q) for q, _, _ in DATE_FORMS]), (n + 1).cast("int")).alias("question"))
+    return with_ranges(asked, now=1779969600)
+
+
 @query("""SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN NULL ELSE epoch(make_date(2024, (doc_id % 12 + 1)::INT, (doc_id % 28 + 1)::INT))::BIGINT END AS lo,
  CASE WHEN doc_id % 4 = 3 THEN NULL ELSE epoch(make_date(2024, (doc_id % 12 + 1)::INT, (doc_id % 28 + 1)::INT))::BIGINT + 86399 END AS hi FROM documents""")
 def date_range_numeric(t: Tables) -> DataFrame:

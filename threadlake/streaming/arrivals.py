@@ -40,6 +40,12 @@ def window_counts(stream: DataFrame, at: str = "at", width: str = "1 hour", grac
     return stream.withWatermark(at, grace).groupBy(F.window(at, width), "event_type").agg(F.count("*").alias("events"))
 
 
+def bursts(stream: DataFrame, key: str, at: str = "at", quiet: str = "1 hour", grace: str = "300 seconds") -> DataFrame:
+    """``key, start, last, events`` of each burst that is over: rows of a key that follow each other in less than ``quiet``, in whatever order they come within ``grace``."""
+    found = stream.withWatermark(at, grace).groupBy(key, F.session_window(at, quiet)).agg(F.min(at).alias("start"), F.max(at).alias("last"), F.count("*").alias("events"))
+    return found.select(key, "start", "last", "events")
+
+
 def drained(stream: DataFrame, mode: str = "append", key: Sequence[str] = ()) -> DataFrame:
     """Run a stream over what is there now; the rows that it wrote (in complete mode the last state, in update mode the last row of each key)."""
     spark = stream.sparkSession
