@@ -62,7 +62,7 @@ class VectorIndex:
 
         By default there are as many clusters as the square root of the rows, at most ``MOST_CLUSTERS``.
         """
-        rows = vectors.where(F.size("vec") == size).select("chunk_id", "vec")
+        rows = vectors.where(F.size("vec") == size).select(F.col("chunk_id").cast("long").alias("chunk_id"), "vec")
         total = rows.count()
         count = clusters or max(1, min(MOST_CLUSTERS, round(total**0.5)))
         share = min(1.0, 2 * SAMPLE / max(1, total))
@@ -81,8 +81,7 @@ class VectorIndex:
                     flat = pa.FixedSizeListArray.from_arrays(pa.array(unit.ravel()), size).cast(pa.list_(pa.float64()))
                     yield pa.RecordBatch.from_arrays([batch.column("chunk_id"), pa.array(near.astype("int32")), pa.array(away), flat], names=["chunk_id", "cluster", "away", "unit"])
 
-        kind = rows.schema["chunk_id"].dataType.simpleString()
-        dealt = rows.mapInArrow(placed, f"chunk_id {kind}, cluster int, away double, unit array<double>")
+        dealt = rows.mapInArrow(placed, "chunk_id long, cluster int, away double, unit array<double>")
         # by ranges, so that a cluster with a third of all vectors is many tasks' work
         dealt.repartitionByRange("cluster", "away").sortWithinPartitions("cluster", "away").write.partitionBy("cluster").parquet(f"{self.path}/vectors")
         stats = self.rows().groupBy("cluster").agg(F.min("away").alias("low"), F.max("away").alias("high"), F.count("*").alias("n"))
@@ -90,7 +89,7 @@ class VectorIndex:
         stats.join(known, "cluster").coalesce(1).write.parquet(f"{self.path}/clusters")
 
     def rows(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/vectors")
+        return self.spark.read.schema("chunk_id long, away double, unit array<double>, cluster int").parquet(f"{self.path}/vectors")
 
     def search(self, questions: DataFrame, top_n: int = 30) -> DataFrame:
         """``qid, chunk_id, score, rank`` by cosine, exactly, ties by id; questions (``qid, vec``) are taken in blocks of a bounded size."""

@@ -163,3 +163,37 @@ def parse_emlx(t: Tables) -> DataFrame:
     size = F.when(n % 50 == 0, F.lit("x")).otherwise(F.octet_length(data).cast("string"))
     files = t.documents.select(F.concat(F.lit("/m/INBOX.mbox/"), n, F.lit(".emlx")).alias("path"), F.concat(F.encode(F.concat(size, F.lit("\n")), "UTF-8"), data).alias("content"))
     return parse_files(files).select("source_id", "error", "message_id", "subject", "sender", "date_unix", "original_sender", "body_text", F.size("attachments").alias("attachments"))
+
+
+LARGE = 20_000  # bytes of a file that are too many here
+
+
+@query(f"""WITH f AS (SELECT doc_id, doc_id % 3 <> 0 AS first, doc_id % 6 = 1 AS changed, CASE WHEN strlen(coalesce(text, '')) > {LARGE} THEN 'file too large' WHEN doc_id % 10 = 0 THEN 'bad count' END AS error,
+  coalesce(text, '') || CASE WHEN doc_id % 6 = 1 THEN chr(10) || chr(10) || 'changed' ELSE '' END AS t FROM documents),
+ b AS (SELECT *, {SHOWN} AS body FROM (SELECT *, {TRIM.format("replace(t, chr(13) || chr(10), chr(10))")} AS shown FROM f))
+ SELECT doc_id AS source_id, error, CASE WHEN NOT first OR changed OR error IS NOT NULL THEN 2 ELSE 1 END::BIGINT AS at, CASE WHEN error IS NULL THEN md5(body) END AS body_md5, error IS NULL AND body <> '' AS has_vectors FROM b""")
+def ingest_runs(t: Tables) -> DataFrame:
+    """Documents as files on disk, read by a stream; then the rest comes, some are changed, and a second run takes those alone."""
+    from threadlake.sources.commit import Store
+    from threadlake.sources.mail import listing, mail_stream, put_files
+    from threadlake.sources.shared import fresh_path
+
+    folder, n = fresh_path(t.spark, "mail"), F.col("doc_id")
+    head = F.concat(F.lit("Message-ID: <"), n, F.lit("@x>\nFrom: A <a@x.org>\nSubject: s\nDate: 1 Jan 2024 10:00:00 +0000\n\n"))
+
+    def files(rows: DataFrame, more: str) -> DataFrame:
+        # what is too large by its text is so by a multiple of the head
+        data = F.encode(F.concat(head, F.coalesce("text", F.lit("")), F.lit(more)), "UTF-8")
+        pad = F.when(F.octet_length(F.coalesce("text", F.lit(""))) > LARGE, F.lit(500)).otherwise(0)
+        count = F.when(n % 10 == 0, "0").otherwise(F.octet_length(data).cast("string"))
+        return rows.select(F.concat(F.lit(f"{folder}/INBOX.mbox/"), n, F.lit(".emlx")).alias("path"), F.concat(F.encode(F.concat(count, F.lit("\n")), "UTF-8"), data, F.encode(F.repeat(F.lit(" "), pad.cast("int")), "UTF-8")).alias("content"))
+
+    store, most = Store(t.spark, fresh_path(t.spark, "ingested")), LARGE + 400
+    put_files(files(t.documents.where("doc_id % 3 <> 0"), "")).count()
+    run = mail_stream(t.spark, folder).writeStream.option("checkpointLocation", fresh_path(t.spark, "progress")).trigger(availableNow=True)
+    run.foreachBatch(I.ingesting(store, lambda: 1, most=most)).start().awaitTermination()
+    put_files(files(t.documents.where("doc_id % 3 = 0"), "").unionByName(files(t.documents.where("doc_id % 6 = 1"), "\n\nchanged"))).count()
+    I.ingest(store, listing(t.spark, folder), 2, most=most)
+    vectors = store.read("chunks").where("vec is not null").select("source_id").distinct().withColumn("has_vectors", F.lit(True))
+    good = store.read("messages").join(vectors, "source_id", "left").select("source_id", F.lit(None).cast("string").alias("error"), F.col("stored_at").alias("at"), F.md5(F.encode("body_text", "UTF-8")).alias("body_md5"), F.coalesce("has_vectors", F.lit(False)).alias("has_vectors"))
+    return good.unionByName(store.read("failures").select("source_id", "error", F.col("failed_at").alias("at"), F.lit(None).cast("string").alias("body_md5"), F.lit(False).alias("has_vectors")))

@@ -13,6 +13,8 @@ from email.errors import MessageError
 from email.utils import parsedate_to_datetime
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,75 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", "length", F.unix_seconds("modificationTime").alias("mtime"))
 
 
+def mail_stream(spark: SparkSession, folder: str, most_files: int = 10_000) -> DataFrame:
+    """The same as a stream: a file once, when it comes; contents are not read here either."""
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).option("pathGlobFilter", "*.emlx").option("maxFilesPerTrigger", most_files).load(folder)
+    return files.select("path", "length", F.unix_seconds("modificationTime").alias("mtime"))
+
+
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """Of a path as a listing shows it; an executor opens files by it."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path)
+
+
+PER_TASK = 64 << 20  # bytes of files that a task reads
+
+
+def contents(files: DataFrame, most: int = MAX_FILE) -> DataFrame:
+    """``files`` (``path, length`` and more) with ``content``, or ``error`` where a file is too large or cannot be read.
+
+    A file is judged by its length before it is opened: by the listing's, and by
+    what the file system says when its turn comes, should it have grown. Files are
+    dealt out so that a task reads about ``PER_TASK`` bytes, one file at a time.
+    """
+    total = files.agg(F.coalesce(F.sum(F.least("length", F.lit(most))), F.lit(0))).first()[0]
+    place = files.columns.index("path")
+    columns = [*files.columns, "content", "error"]
+
+    def read(path: str, length: int) -> tuple[bytes | None, str | None]:
+        if length > most:
+            return None, "file too large"
+        try:
+            system, at = file_system(path)
+            if (system.get_file_info(at).size or 0) > most:
+                return None, "file too large"
+            with system.open_input_stream(at) as source:
+                return source.read(), None
+        except OSError as e:
+            return None, f"unreadable: {type(e).__name__}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                data, error = read(row.column(place).to_pylist()[0], row.column(size).to_pylist()[0])
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([data], pa.binary()), pa.array([error], pa.string())], names=columns)
+
+    size = files.columns.index("length")
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in files.schema)
+    return files.repartition(max(1, -(-total // PER_TASK)), "path").mapInArrow(run, f"{kind}, content binary, error string")
+
+
+def put_files(rows: DataFrame) -> DataFrame:
+    """Write each row's ``content`` to its ``path``; gives ``path, length`` of what was written. A file is whole or not there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, sizes = batch.column("path").to_pylist(), []
+            for path, data in zip(paths, batch.column("content").to_pylist()):
+                system, at = file_system(path)
+                system.create_dir(at.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(f"{at}.part") as out:
+                    out.write(data)
+                system.move(f"{at}.part", at)
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], names=["path", "length"])
+
+    return rows.select("path", "content").mapInArrow(run, "path string, length long")
+
+
 def numbered(files: DataFrame) -> DataFrame:
     number = F.regexp_extract("path", r"([0-9]+)(\.partial)?\.emlx$", 1)
     return files.where(number != "").withColumns({
@@ -197,7 +268,7 @@ def visible(texts: Column) -> Column:
 
 
 def parse_files(files: DataFrame, extract: Callable[[bytes], str | None] = no_text) -> DataFrame:
-    """``files`` (``path, content``) to records; a file that fails is a record with ``error`` alone (dead letters).
+    """``files`` (``path, content``, maybe ``error`` for what could not be read) to records; a file that fails is a record with ``error`` alone (dead letters).
 
     ``body_text`` is what is shown of the texts, without the header block of a
     forwarded message, whose author is ``original_sender``. ``extract`` gets the
@@ -209,10 +280,12 @@ def parse_files(files: DataFrame, extract: Callable[[bytes], str | None] = no_te
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for path, content in zip(batch["path"], batch["content"]):
+            for path, content, error in zip(batch["path"], batch["content"], batch["unread"]):
                 found = re.search(r"([0-9]+)(\.partial)?\.emlx$", path)
                 row = dict.fromkeys(columns) | {"path": path, "source_id": int(found[1]) if found else None}
                 try:
+                    if error is not None:
+                        raise ValueError(error)
                     row |= parsed(bytes(content), extract)
                 except Exception as e:  # whatever a file does, the job goes on
                     row["error"] = str(e) or type(e).__name__
@@ -222,7 +295,8 @@ def parse_files(files: DataFrame, extract: Callable[[bytes], str | None] = no_te
             out["date_unix"] = out["date_unix"].astype("Int64")
             yield out
 
-    rows = files.select("path", "content").mapInPandas(run, RECORD)
+    unread = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
+    rows = files.select("path", "content", unread.alias("unread")).mapInPandas(run, RECORD)
     whole = visible(F.col("texts"))
     rows = rows.withColumn("whole", whole)
     return rows.withColumns({"original_sender": original_sender(F.col("whole")), "body_text": strip_forward_header(F.col("whole"))}).drop("whole", "texts")
