@@ -79,8 +79,14 @@ def test_keyword_without_terms(spark):
     assert [(r.qid, r.chunk_id) for r in got] == [(2, 1), (2, 2)]
 
 
-def test_citations():
-    assert P.rendered("A [2]. B [1, 2] [9].", {1: "x", 2: "y"}) == ("A¹. B²\u2009¹.", [2, 1], [9])
+def test_rendered_citations(spark):
+    cases = {
+        ("A [2]. B [1, 2] [9].", (1, 2)): ("A¹. B²\u2009¹.", [2, 1], [9]), ("", (1,)): ("", [], []), ("[3]", (3,)): ("¹", [3], []), ("x [7] y", ()): ("x y", [], [7]),
+        ("a[1][1,1 , 2]  [2]z [x] [12]", (1, 2, 12)): ("a¹¹\u2009² ²z [x]³", [1, 2, 12], []), (" ".join(f"[{n}]" for n in range(1, 13)), tuple(range(1, 13))): ("¹²³⁴⁵⁶⁷⁸⁹¹⁰¹¹¹²", list(range(1, 13)), []),
+    }
+    df = spark.createDataFrame([(i, a, list(k)) for i, (a, k) in enumerate(cases)] + [(99, None, [1])], "i int, answer string, known array<long>")
+    got = {r.i: r.r for r in df.select("i", P.rendered(F.col("answer"), F.col("known")).alias("r")).collect()}
+    assert [(got[i].text, list(got[i].cited), list(got[i].lost)) for i in range(len(cases))] == list(cases.values()) and got[99] is None
 
 
 def test_upsert_and_latest(spark):

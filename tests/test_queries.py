@@ -18,7 +18,8 @@ def duck():
 
 
 @pytest.mark.parametrize("name", ["keyword_search", "vector_search", "hybrid_date_scoped", "chunk_documents", "html_to_text", "decode_entities", "classify_messages", "upsert_messages", "thread_components", "stream_first_arrivals",
-    "stream_job_states", "parse_emlx", "date_range", "match_selection", "recall_at_k", "retrieve_excluding", "drop_counts", "draft_with_context", "atomic_commit", "micro_batch_embed", "runtime_answers", "profile_merge", "context_block", "forwarded_text"])
+    "stream_job_states", "parse_emlx", "date_range", "match_selection", "recall_at_k", "retrieve_excluding", "drop_counts", "draft_with_context", "atomic_commit", "micro_batch_embed", "runtime_answers", "profile_merge", "context_block", "forwarded_text", "vector_index_search", "keyword_search_changed", "oldest_in_range",
+    "stream_job_timers", "stream_bursts", "chunk_lateral", "date_forms", "auto_submitted", "html_cap", "ingest_runs", "rendered_answers", "classify_queue", "account_discovery", "latest_thread_by_sender", "thread_replay"])
 def test_same_as_sql(spark, duck, name):
     df = plans.QUERIES[name](spark, DATA)
     names = sorted(df.columns)

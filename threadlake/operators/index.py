@@ -36,6 +36,7 @@ K1, B = 1.2, 0.75  # of BM25
 BLOCK, FAN, ROWS = 128, 4, 4_000_000  # postings of a block, segments of a merge, postings of a folder
 LITERALS = 2_000  # values that a filter names; more are joined
 PUSHED = 200  # values that the Parquet reader compares with row groups and pages one by one; of more it gets the range
+MOST_BROADCAST = 48 << 20  # bytes
 SLACK = 1e-5  # below the threshold, since scores are rounded to six places
 STATE = "seq long, file long, kind string, folders int, chunks long, terms long"
 
@@ -268,11 +269,12 @@ class KeywordIndex:
     def asked(self, rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
         """Rows of a dealt table whose ``column`` is among ``keys`` (distinct): folders by literals, and values too while they are at most ``LITERALS``."""
         counts = sorted({s.folders for s in self.version.segments})
-        found = keys.select(column).limit(LITERALS + 1).collect()
+        in_folder = [dealt(F.col(column), n).alias(f"of_{n}") for n in counts]
+        found = keys.select(column, *in_folder).limit(LITERALS + 1).collect()
         literal = len(found) <= LITERALS
         where = F.lit(False)
-        for n in counts:
-            used = [r[0] for r in keys.select(dealt(F.col(column), n)).distinct().collect()]  # at most as many as folders
+        for n, folder in zip(counts, in_folder):
+            used = {r[f"of_{n}"] for r in (found if literal else keys.select(folder).distinct().collect())}  # at most as many as folders
             where = where | (F.col("file").isin([s.file for s in self.version.segments if s.folders == n]) & F.col("folder").isin(sorted(used)))
         rows = rows.where(where)
         return rows.where(F.col(column).isin([r[0] for r in found])) if literal else rows.join(sized(keys.select(column), 80), column, "left_semi")
@@ -320,12 +322,13 @@ class KeywordIndex:
         with many_literals(spark):
             small = lambda df: df.persist()  # noqa: E731  (a few rows for each question)
             words = small(questions.select("qid", F.explode(terms(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times")))
-            keys = small(words.select("term").distinct())
-            known = small(self.bounds(keys))
+            asked = words.count()
+            own = lambda df: F.broadcast(df) if asked * 80 <= MOST_BROADCAST else df  # noqa: E731  (of tables with no more rows than words)
+            known = self.bounds(words.select("term").distinct())
             n = float(self.version.chunks)
             idf = F.greatest(F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
             most = F.col("weight") * self.impact(F.col("most"), F.col("least"))
-            rows = words.join(sized(known, 80), "term").withColumn("weight", idf * F.col("times")).withColumn("up", most)
+            rows = words.join(own(known), "term").withColumn("weight", idf * F.col("times")).withColumn("up", most)
             falling = Window.partitionBy("qid").orderBy(F.col("up").desc(), "term").rowsBetween(Window.unboundedPreceding, -1)
             rising = Window.partitionBy("qid").orderBy("up", F.col("term").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
             of = Window.partitionBy("qid")
@@ -333,7 +336,6 @@ class KeywordIndex:
             rows = rows.withColumns({"all": F.sum("up").over(of), "behind": F.sum("up").over(rising), "seed": (ahead("up") < F.sum("up").over(of) / 2) | (ahead("df") < 4 * top_n)})
             plan = small(rows.select("qid", "term", "weight", "up", "all", "behind", "seed"))
             score = F.col("weight") * self.impact(F.col("tf"), F.col("dl"))
-            own = lambda asked: sized(asked, 80)
             first = self.postings(plan.where("seed").select("term").distinct()).join(own(plan.where("seed").select("qid", "term", "weight")), "term")
             parts = stored(first.groupBy("qid", "chunk_id").agg(F.sum(score).alias("score")))
             nth = lambda scored: ranked(scored.select("qid", "chunk_id", "score"), top_n).where(F.col("rank") == top_n).select("qid", F.col("score").alias("least_score"))
@@ -350,7 +352,7 @@ class KeywordIndex:
             theirs = self.live(self.terms_of(candidates.select("chunk_id").distinct())).select("chunk_id", "term", "tf", "dl")
             exact = theirs.join(sized(candidates, 40), "chunk_id").join(own(plan.select("qid", "term", "weight")), ["qid", "term"])
             out = stored(ranked(exact.groupBy("qid", "chunk_id").agg(F.round(F.sum(score), 6).alias("score")), top_n))
-        for old in (words, keys, known, plan, whole):
+        for old in (words, plan, whole):
             old.unpersist()
         for old in (parts, sums, candidates):
             forget(old)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Mapping
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +11,7 @@ from threadlake.operators.threads import last_messages
 # The texts around chunks, turns and questions.
 NO_MATCH = "No matching emails found. Try different terms or a wider date range."
 SESSION, CONTEXT, QUESTION, THREAD = "Earlier in this conversation:", "CONTEXT:", "QUESTION:", "THREAD (oldest first):"
-SUPERSCRIPTS = str.maketrans("0123456789", "⁰¹²³⁴⁵⁶⁷⁸⁹")
+SUPERSCRIPTS = "⁰¹²³⁴⁵⁶⁷⁸⁹"
 
 
 def attributed(sender: Column, original: Column) -> Column:
@@ -137,22 +134,33 @@ def source_line() -> Column:
     return F.concat(F.col("number").cast("string"), F.lit("  "), sender_domain(attributed(F.col("sender"), F.col("original_sender"))), F.lit(" ("), date_text(F.col("date_unix")), F.lit("): "), F.col("subject"), F.lit("\n"), F.lit('"'), flat, F.lit('"'))
 
 
-def rendered(answer: str, known: Mapping[int, str]) -> tuple[str, list[int], list[int]]:
-    """Markers ``[n]`` or ``[n, m]`` as superscripts renumbered by first use; unknown numbers are dropped and listed."""
-    order: dict[int, int] = {}
-    lost: list[int] = []
+MARKER = r" ?\[\d+(?:\s*,\s*\d+)*\]"
+
+
+def numbers_of(markers: Column) -> Column:
+    """The numbers in an array of markers, in order."""
+    digits = F.transform(markers, lambda m: F.transform(F.regexp_extract_all(m, F.lit(r"\d+"), F.lit(0)), lambda d: d.cast("long")))
+    return F.flatten(digits)
+
+
+def rendered(answer: Column, known: Column) -> Column:
+    """``struct<text, cited, lost>``: markers ``[n]`` or ``[n, m]`` as superscripts renumbered by first use.
+
+    ``known`` are the numbers that have a source. A marker takes the blank before
+    it along; of its numbers the known ones are shown once each, with a thin space
+    between, and the others are dropped and listed in ``lost``. A null answer is null.
+    """
+    markers = F.regexp_extract_all(answer, F.lit(MARKER), F.lit(0))
+    every = F.array_distinct(numbers_of(markers))
+    order = F.filter(every, lambda n: F.array_contains(known, n))
 
-    def mark(m: re.Match) -> str:
-        shown = []
-        for n in dict.fromkeys(int(x) for x in re.findall(r"\d+", m[0])):
-            if n in known:
-                shown.append(str(order.setdefault(n, len(order) + 1)).translate(SUPERSCRIPTS))
-            elif n not in lost:
-                lost.append(n)
-        return " ".join(shown)
+    def shown(marker: Column) -> Column:
+        own = F.filter(F.array_distinct(numbers_of(F.array(marker))), lambda n: F.array_contains(known, n))
+        return F.array_join(F.transform(own, lambda n: F.translate(F.array_position(order, n).cast("string"), "0123456789", SUPERSCRIPTS)), "\u2009")
 
-    text = re.sub(r" ?\[\d+(?:\s*,\s*\d+)*\]", mark, answer)
-    return text, list(order), lost
+    between = F.split(answer, MARKER, -1)
+    text = F.array_join(F.zip_with(between, F.transform(markers, shown), lambda x, m: F.concat(x, F.coalesce(m, F.lit("")))), "")
+    return F.when(answer.isNotNull(), F.struct(text.alias("text"), order.alias("cited"), F.filter(every, lambda n: ~F.array_contains(known, n)).alias("lost")))
 
 
 def cited(answers: DataFrame) -> DataFrame:

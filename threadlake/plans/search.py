@@ -301,6 +301,19 @@ def citation_render(t: Tables) -> DataFrame:
     return P.cited(answers).withColumn("new_n", F.col("new_n").cast("long"))
 
 
+@query("""WITH a AS (SELECT item_id AS qid, text, item_id % 4 + 2 AS a, item_id % 3 + 1 AS b FROM benchmark),
+ o AS (SELECT *, CASE WHEN a <= 4 THEN [a] ELSE [] END || CASE WHEN a <> 1 THEN [1] ELSE [] END || CASE WHEN b NOT IN (a, 1) THEN [b] ELSE [] END AS o FROM a),
+ s AS (SELECT *, ['¹', '²', '³'] AS up FROM o)
+ SELECT qid, text || CASE WHEN a <= 4 THEN up[list_position(o, a)] ELSE '' END || ' and' || up[list_position(o, 1)] || CASE WHEN b <> 1 THEN chr(8201) || up[list_position(o, b)] ELSE '' END || ' or.' AS text,
+  array_to_string(o, ' ') AS cited, CASE WHEN a > 4 THEN a || ' ' ELSE '' END || '9' AS lost FROM s""")
+def rendered_answers(t: Tables) -> DataFrame:
+    """Whole texts as answers with markers behind; four sources are known."""
+    n = F.col("item_id")
+    answer = F.concat("text", F.lit(" ["), n % 4 + 2, F.lit("] and [1, "), n % 3 + 1, F.lit("] or [9]."))
+    r = P.rendered(answer, F.array(*[F.lit(k).cast("long") for k in (1, 2, 3, 4)]))
+    return t.benchmark.select(n.alias("qid"), r.alias("r")).select("qid", "r.text", F.array_join("r.cited", " ").alias("cited"), F.array_join("r.lost", " ").alias("lost"))
+
+
 COUNTED = {k: f"len(list_filter(words, lambda w: w IN ({', '.join(repr(w) for w in ws)})))" for k, ws in E.LANGUAGE_WORDS.items()}
 DECLINES = " OR ".join(f"contains(lower(answer), '{p}')" for p in E.DECLINING)
 
