@@ -31,7 +31,8 @@ def same(spark, index, live, questions, top_n=10):
     docs = frame(spark, sorted(live.items()))
     key = lambda df: sorted((r.qid, r.rank, r.chunk_id, r.score) for r in df.collect())
     want = key(keyword_search(questions, postings(docs), corpus_stats(docs), top_n))
-    assert key(index.search(questions, top_n)) == want
+    for prune in (True, False):
+        assert key(index.search(questions, top_n, prune)) == want
     return want
 
 

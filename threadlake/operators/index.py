@@ -37,6 +37,7 @@ BLOCK, FAN, ROWS = 128, 4, 4_000_000  # postings of a block, segments of a merge
 LITERALS = 2_000  # values that a filter names; more are joined
 PUSHED = 200  # values that the Parquet reader compares with row groups and pages one by one; of more it gets the range
 MOST_BROADCAST = 48 << 20  # bytes
+WHOLE = 50_000_000  # postings that are scored sooner than pruned
 SLACK = 1e-5  # below the threshold, since scores are rounded to six places
 STATE = "seq long, file long, kind string, folders int, chunks long, terms long"
 
@@ -274,7 +275,7 @@ class KeywordIndex:
         literal = len(found) <= LITERALS
         where = F.lit(False)
         for n, folder in zip(counts, in_folder):
-            used = {r[f"of_{n}"] for r in (found if literal else keys.select(folder).distinct().collect())}  # at most as many as folders
+            used = {0} if n == 1 else {r[f"of_{n}"] for r in (found if literal else keys.select(folder).distinct().collect())}  # at most as many as folders
             where = where | (F.col("file").isin([s.file for s in self.version.segments if s.folders == n]) & F.col("folder").isin(sorted(used)))
         rows = rows.where(where)
         return rows.where(F.col(column).isin([r[0] for r in found])) if literal else rows.join(sized(keys.select(column), 80), column, "left_semi")
@@ -294,7 +295,10 @@ class KeywordIndex:
 
     def bounds(self, keys: DataFrame) -> DataFrame:
         """``term, df, most, least`` of the terms in ``keys`` from the blocks' heads alone; terms that no live chunk holds are left out."""
-        found = self.lists(keys).groupBy("term").agg(F.sum("n").alias("n"), F.max("most").alias("most"), F.min("least").alias("least"))
+        return self.bounds_of(self.lists(keys))
+
+    def bounds_of(self, lists: DataFrame) -> DataFrame:
+        found = lists.groupBy("term").agg(F.sum("n").alias("n"), F.max("most").alias("most"), F.min("least").alias("least"))
         less = self.read("less", self.version.dead, "term string, n long").groupBy("term").agg(F.sum("n").alias("less"))
         df = F.col("n") - F.coalesce("less", F.lit(0))
         return found.join(less, "term", "left").select("term", df.alias("df"), "most", "least").where("df > 0")
@@ -305,7 +309,7 @@ class KeywordIndex:
         """What a posting scores without its term's weight; it rises with ``tf`` and falls with ``dl``."""
         return tf * (K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * dl / F.lit(self.version.avgdl or 1.0)))
 
-    def search(self, questions: DataFrame, top_n: int = 30) -> DataFrame:
+    def search(self, questions: DataFrame, top_n: int = 30, prune: bool | None = None) -> DataFrame:
         """``qid, chunk_id, score, rank`` by BM25 over any of the terms of ``questions`` (``qid, question``), exactly; ties by id.
 
         A question's terms are tried by the most that they can add (MaxScore). The
@@ -315,6 +319,10 @@ class KeywordIndex:
         has none but them is out of the question. Of the others, blocks that
         cannot lift a chunk over the threshold are left closed. What the chunks
         that are left score in all is then read from their own terms.
+
+        Pruning takes a dozen small jobs. Where the asked lists hold no more than
+        ``WHOLE`` postings for all questions together, which the blocks' heads tell,
+        they are scored whole in one; ``prune`` decides otherwise. The answer is the same.
         """
         spark = self.spark
         if not self.version.segments:
@@ -324,18 +332,25 @@ class KeywordIndex:
             words = small(questions.select("qid", F.explode(terms(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times")))
             asked = words.count()
             own = lambda df: F.broadcast(df) if asked * 80 <= MOST_BROADCAST else df  # noqa: E731  (of tables with no more rows than words)
-            known = self.bounds(words.select("term").distinct())
+            lists = self.lists(words.select("term").distinct())
+            known = self.bounds_of(lists)
             n = float(self.version.chunks)
             idf = F.greatest(F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
             most = F.col("weight") * self.impact(F.col("most"), F.col("least"))
-            rows = words.join(own(known), "term").withColumn("weight", idf * F.col("times")).withColumn("up", most)
+            score = F.col("weight") * self.impact(F.col("tf"), F.col("dl"))
+            rows = small(words.join(own(known), "term").withColumn("weight", idf * F.col("times")).withColumn("up", most))
+            if not prune and (prune is False or (rows.agg(F.sum("df")).first()[0] or 0) <= WHOLE):
+                every = self.live(opened(lists)).join(own(rows.select("qid", "term", "weight")), "term")
+                out = stored(ranked(every.groupBy("qid", "chunk_id").agg(F.round(F.sum(score), 6).alias("score")), top_n))
+                words.unpersist()
+                rows.unpersist()
+                return out
             falling = Window.partitionBy("qid").orderBy(F.col("up").desc(), "term").rowsBetween(Window.unboundedPreceding, -1)
             rising = Window.partitionBy("qid").orderBy("up", F.col("term").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
             of = Window.partitionBy("qid")
             ahead = lambda c: F.coalesce(F.sum(c).over(falling), F.lit(0))
-            rows = rows.withColumns({"all": F.sum("up").over(of), "behind": F.sum("up").over(rising), "seed": (ahead("up") < F.sum("up").over(of) / 2) | (ahead("df") < 4 * top_n)})
-            plan = small(rows.select("qid", "term", "weight", "up", "all", "behind", "seed"))
-            score = F.col("weight") * self.impact(F.col("tf"), F.col("dl"))
+            ordered = rows.withColumns({"all": F.sum("up").over(of), "behind": F.sum("up").over(rising), "seed": (ahead("up") < F.sum("up").over(of) / 2) | (ahead("df") < 4 * top_n)})
+            plan = small(ordered.select("qid", "term", "weight", "up", "all", "behind", "seed"))
             first = self.postings(plan.where("seed").select("term").distinct()).join(own(plan.where("seed").select("qid", "term", "weight")), "term")
             parts = stored(first.groupBy("qid", "chunk_id").agg(F.sum(score).alias("score")))
             nth = lambda scored: ranked(scored.select("qid", "chunk_id", "score"), top_n).where(F.col("rank") == top_n).select("qid", F.col("score").alias("least_score"))
@@ -350,9 +365,10 @@ class KeywordIndex:
             limits = plan.select("qid").distinct().join(left_out, "qid", "left").join(nth(sums), "qid", "left").fillna(0.0, ["rest", "least_score"])
             candidates = stored(sums.join(own(limits), "qid").where(F.col("score") + F.col("rest") >= F.col("least_score") - SLACK).select("qid", "chunk_id"))
             theirs = self.live(self.terms_of(candidates.select("chunk_id").distinct())).select("chunk_id", "term", "tf", "dl")
+            theirs = theirs.join(own(plan.select("term").distinct()), "term", "left_semi")
             exact = theirs.join(sized(candidates, 40), "chunk_id").join(own(plan.select("qid", "term", "weight")), ["qid", "term"])
             out = stored(ranked(exact.groupBy("qid", "chunk_id").agg(F.round(F.sum(score), 6).alias("score")), top_n))
-        for old in (words, plan, whole):
+        for old in (words, rows, plan, whole):
             old.unpersist()
         for old in (parts, sums, candidates):
             forget(old)
