@@ -102,3 +102,13 @@ def test_no_rows_are_left_out(spark, duck, tmp_path):
     assert len(ranges) == 200
     shown = lambda x: tuple(duck.execute("select epoch(?::timestamp)::bigint", [x]).fetchone())[0]
     assert (ranges[25].lo, ranges[25].hi) == (shown("2024-02-01"), shown("2024-03-01") - 1)
+
+
+def test_bursts_within_one_second_go_by_number(spark, duck, tmp_path):
+    """A pause ends within a second whose rows have numbers against their order in time; some rows have no time."""
+    duck.execute("""create table odd as select * from (values (7, '2024-01-01 10:00:00.100', 1), (9, '2024-01-01 12:00:05.200', 1), (8, '2024-01-01 12:00:05.700', 1), (10, '2024-01-01 12:00:06', 1),
+     (11, NULL, 1), (12, NULL, 1), (13, '2024-01-01 09:00:00', NULL), (14, '2024-01-01 09:59:59.900', NULL), (15, '2024-01-01 11:00:00', NULL)) v(event_id, ts, user_id)""")
+    duck.execute(f"copy (select event_id::BIGINT as event_id, ts::TIMESTAMP as ts, user_id::BIGINT as user_id from odd) to '{tmp_path}/events.parquet' (format parquet)")
+    got = [tuple(r[c] for c in ("user_id", "start_unix", "last_unix", "events")) for r in plans.QUERIES["debounce_sessions"](spark, str(tmp_path)).collect()]
+    want = duck.execute(plans.SQL["debounce_sessions"].replace("FROM events", f"FROM '{tmp_path}/events.parquet'")).fetchall()
+    assert sorted(got, key=str) == sorted(want, key=str) and len(got) == 6

@@ -232,7 +232,7 @@ def style_scope_rows(t: Tables) -> DataFrame:
 @query("""SELECT user_id, min(e)::BIGINT AS start_unix, max(e)::BIGINT AS last_unix, count(*) AS events FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY e, event_id) AS s FROM
  (SELECT user_id, event_id, (epoch_us(ts) // 1000000) AS e, CASE WHEN (epoch_us(ts) // 1000000) - lag((epoch_us(ts) // 1000000)) OVER (PARTITION BY user_id ORDER BY ts, event_id) < 3600 THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s""")
 def debounce_sessions(t: Tables) -> DataFrame:
-    return A.debounced(t.events.select("user_id", epoch(F.col("ts")).alias("at")), "user_id")
+    return A.debounced(t.events.select("user_id", "event_id", "ts", epoch(F.col("ts")).alias("at")), "user_id", "event_id", "ts")
 
 
 @query("SELECT user_id, (epoch_us(ts) // 1000000) // 3600 * 3600 AS window_start, arg_max(event_type, event_id) AS last_type, count(*) AS events FROM events GROUP BY ALL")
