@@ -219,3 +219,19 @@ def test_ingest_is_idempotent(spark):
     assert I.unseen(files, once).count() == 0
     changed = spark.createDataFrame([(2, "c")], "source_id long, fingerprint string")
     assert [r.fingerprint for r in I.unseen(changed, once).collect()] == ["c"]
+
+
+def test_rounds_of_components_are_stored_tables(spark):
+    """The labels are read from the last round's table, and the tables of earlier rounds are gone."""
+    from pathlib import Path
+
+    from threadlake.sources.shared import shared_dir
+
+    shared = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(shared.glob("table-*"))
+    links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
+    nodes = spark.createDataFrame([(i,) for i in [*range(61), 100, 101, 200]], "pk long")
+    found = T.components(links, nodes)
+    left = set(shared.glob("table-*")) - before
+    assert len(left) == 1 and found.inputFiles() and all(next(iter(left)).name in f for f in found.inputFiles())
+    assert {r.pk: r.component for r in found.collect()} == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100, 200: 200}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from threadlake.functions.text import sender_address
 from threadlake.operators.ordering import positions
-from threadlake.sources.shared import forget, shared_dir, stored
+from threadlake.sources.shared import forget, stored
 
 
 def edges(messages: DataFrame) -> DataFrame:
@@ -32,21 +32,22 @@ def components(links: DataFrame, nodes: DataFrame, max_rounds: int = 50) -> Data
     """``pk, component`` (smallest pk) of every node; ``links`` has ``a, b``.
 
     Smallest labels spread over edges, with a shortcut through the label's own
-    label in each round, so rounds grow with the logarithm of a chain. Lineage is
-    cut by reliable checkpoints.
+    label in each round, so rounds grow with the logarithm of a chain. Each round
+    is a table in the shared folder, deleted when the next one is written, so that
+    the driver keeps no plan or data set of earlier rounds.
     """
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    label = nodes.select("pk", F.col("pk").alias("component"))
-    spark = nodes.sparkSession
-    shared_dir(spark)  # sets the checkpoint folder where a session has none
-    both = both.checkpoint()
+    both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = stored(nodes.select("pk", F.col("pk").alias("component")))
     for _ in range(max_rounds):
         near = both.join(label, F.col("a") == F.col("pk")).groupBy("b").agg(F.min("component").alias("m"))
         step = label.join(near, F.col("pk") == F.col("b"), "left").select("pk", F.least("component", F.coalesce("m", "component")).alias("next"), "component")
         own = step.select(F.col("pk").alias("next"), F.col("next").alias("far"))
-        new = step.join(own, "next").select("pk", F.least("next", "far").alias("component"), (F.least("next", "far") < F.col("component")).alias("moved")).checkpoint()
+        new = stored(step.join(own, "next").select("pk", F.least("next", "far").alias("component"), (F.least("next", "far") < F.col("component")).alias("moved")))
+        forget(label)
         label = new.drop("moved")
+        label.threadlake_path = new.threadlake_path
         if new.where("moved").isEmpty():
+            forget(both)
             return label
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
