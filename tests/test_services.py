@@ -151,3 +151,11 @@ def test_answers(spark):
     got = {r.qid: (r.has_all, r.has_none, r.no_match, r.right_language, r.right_refusal, r.passed) for r in assertions(df).collect()}
     assert got[1] == (True,) * 6 and got[2] == (True,) * 6 and got[3] == (True, True, False, True, True, False)
     assert got[4] == (True, True, True, False, True, False) and got[5] == (False, True, True, True, False, False)
+
+
+def test_forward_header_splits_a_text_once(spark):
+    """Each step is named several times; written out, the plan would split a text and look for the marker again for each."""
+    rows = spark.createDataFrame([("a\nBegin forwarded message:\n\nFrom: x\nTo: y\n\nb",), (None,), ("c\n",), ("-----Original Message-----\nSent: z",)], "t string")
+    out = rows.select(strip_forward_header(F.col("t")).alias("s"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and [r.s for r in out.collect()] == ["a\nb", None, "c\n", ""]
