@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from threadlake.functions.text import terms
 from threadlake.operators.dated import oldest_in
 from threadlake.operators.index import B, K1, KeywordIndex, ranked
-from threadlake.sources.shared import shared_dir, sized
+from threadlake.sources.shared import shared_dir, sized, stored
 
 TOP_N, TOP_K, RRF_K = 30, 8, 60.0
 BLOCK_VALUES = 1_000_000  # numbers in a broadcast block of question vectors
@@ -67,7 +67,8 @@ def containing(passages: DataFrame, docs: DataFrame, index: KeywordIndex) -> Dat
     # a term without postings is in no document, so its passage is in none either
     rare = inner.join(df, "term", "left").groupBy("qid").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
     used = index.postings(rare.select("term").distinct())
-    near = rare.join(used, "term").select("qid", "chunk_id").join(passages, "qid").join(docs, "chunk_id").where(F.contains("text", "passage")).select("qid", "chunk_id")
+    pairs = stored(rare.join(used, "term").select("qid", "chunk_id"))  # counted before texts are joined to them, so that these stay where they are
+    near = docs.join(sized(pairs, 40), "chunk_id").join(sized(passages, 200), "qid").where(F.contains("text", "passage")).select("qid", "chunk_id")
     short = split.where(F.size("t") < 3).select("qid", "passage")
     if short.isEmpty():
         return near
