@@ -10,7 +10,7 @@ from threadlake.operators import dated as D
 from threadlake.operators.ordering import positions
 from threadlake.operators.search import vector_search
 from threadlake.operators.vectors_index import VectorIndex
-from tests.test_index import scanned
+from tests.test_index import scanned, shuffled
 
 
 def clouds(rng, n, size, centres):
@@ -74,9 +74,22 @@ def test_oldest_in_ranges(spark, tmp_path):
     assert D.oldest_in(asked, df.limit(0), 8).count() == 0
 
 
+def test_ranges_meet_their_own_rows_alone(spark):
+    """Thousands of ranges that begin in one month, or are open at an end, over many months: rows that are moved go with rows and ranges."""
+    n, m = 4000, 2000
+    rows = spark.range(n).select(F.col("id").alias("chunk_id"), (F.col("id") * 86_400 + F.col("id") % 3).alias("date_unix"))
+    ranges = spark.range(m).select(F.col("id").alias("qid"), F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).alias("lo"), F.lit(10**11).alias("hi"))
+    found = []
+    moved = shuffled(spark, lambda: found.extend(D.oldest_in(ranges, rows, 3).select("qid", "chunk_id", "at").collect()))
+    assert moved < 12 * (n + 3 * m)  # an open range would meet all 134 months, and ranges of one month its 30 rows
+    assert sorted(map(tuple, found)) == sorted((q, c, k) for q in range(m) for k, c in enumerate((0, 1, 2) if q % 2 == 0 else (1, 2, 3), 1))
+
+
 def test_positions(spark):
     rng = random.Random(3)
     rows = [(i, rng.randrange(40), "x") for i in range(500)]
     got = positions(spark.createDataFrame(rows, "id long, v long, place_in_part string").drop("place_in_part").repartition(7), [F.col("v").desc(), "id"], "nth")
     assert [(r.id, r.nth) for r in got.orderBy("nth").collect()] == [(i, n) for n, (_, i) in enumerate(sorted((-v, i) for i, v, _ in rows), 1)]
     assert positions(spark.createDataFrame([], "id long"), ["id"]).count() == 0
+    ones = positions(spark.createDataFrame([(i, i % 3 // 2) for i in range(50)], "id long, one int").repartition(5), ["id"], of="one")
+    assert [(r.id, r.position) for r in ones.orderBy("id").collect()] == [(i, (i + 1) // 3) for i in range(50)]
