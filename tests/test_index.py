@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from threadlake.operators import index as I
 from threadlake.operators.index import KeywordIndex
-from threadlake.operators.search import corpus_stats, keyword_search, postings
+from threadlake.operators.search import containing, corpus_stats, keyword_search, postings
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -194,3 +194,22 @@ def test_postings_are_not_shuffled_one_by_one(spark, tmp_path, monkeypatch):
     live = {i: t for i, t in (live | {r.chunk_id: r.text for r in changed.collect()}).items() if not 300 <= i < 600}
     for top_n in (1, 40, 4000):
         same(spark, index, live, asked, top_n)
+
+
+def test_texts_stay_where_they_are_while_passages_are_sought(spark, tmp_path):
+    rng = random.Random(14)
+    rows = [(i, " ".join(f"t{rng.randrange(500)}" for _ in range(20)) + (" one rare passage here" if i % 500 == 7 else "")) for i in range(3000)]
+    docs = frame(spark, rows).repartition(4).persist()
+    docs.count()
+    index = KeywordIndex(spark, str(tmp_path / "index"))
+    index.append(docs)
+    asked = spark.createDataFrame([(1, "one rare passage here"), (2, "not in any of them")], "qid long, passage string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    found = []
+    try:
+        moved = shuffled(spark, lambda: found.extend(containing(asked, docs, index).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted((r.qid, r.chunk_id) for r in found) == [(1, i) for i in range(7, 3000, 500)]
+    assert moved < len(rows) / 2
