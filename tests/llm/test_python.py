@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from threadlake.llm import suffix_dedup as module
 from threadlake.llm.decontaminate import Index, contamination, fitted
 from threadlake.llm.jaccard_join import jaccard_components
 from threadlake.llm.quality import fit, quality_scores
@@ -186,6 +187,25 @@ def test_suffix_dedup(spark, depth):
     assert got == brute_cut([(i, (t or "").encode()) for i, t in rows], 40)
 
 
+def test_suffix_dedup_indexes_copies_once_for_each_task(spark, monkeypatch):
+    rng = random.Random(8)
+    one, two = ("".join(rng.choice("abcdefghij ") for _ in range(600)) for _ in range(2))
+    rows = [(i, one) for i in range(400)] + [(400, one[:500] + two), (401, two)]
+    indexed, written = [], module.written
+
+    def watched(df, *more):
+        out = written(df, *more)
+        if out.columns == ["token", "text", "place"]:
+            indexed.append(out.count())
+        return out
+
+    monkeypatch.setattr(module, "written", watched)
+    got = suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), length=40)
+    assert sorted(map(tuple, got.collect()), key=str) == brute_cut([(i, t.encode()) for i, t in rows], 40)
+    # at most the phrases of two tasks' texts, not those of 400 copies
+    assert len(indexed) == 1 and 100 < indexed[0] < 2 * 3 * 600
+
+
 def test_suffix_dedup_edges(spark, nasty, empty):
     got = suffix_dedup(nasty)
     assert got.count() == nasty.count() and got.where("n_removed > n_bytes").count() == 0
