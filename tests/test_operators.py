@@ -204,6 +204,31 @@ def test_components(spark):
     assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 5, 6: 6, 7: 7, 8: 7, 9: 7, 10: 10, 11: 11}
 
 
+@pytest.mark.parametrize("few", [0, 40])
+def test_components_of_any_shape(spark, monkeypatch, few):
+    """A chain in any order of its nodes, a star, a ring and a tree, in rounds alone and with what is left in one task."""
+    monkeypatch.setattr(T, "FEW", few, raising=False)
+    mixed = random.Random(few).sample(range(300), 300)
+    links = list(zip(mixed, mixed[1:])) + [(4000, i) for i in range(4001, 4100)] + [(5000 + i, 5000 + (i + 1) % 60) for i in range(60)] + [(6000 + i, 6000 + i // 2) for i in range(100)] + [(7000, 7000), (8000, 7500)] * 2
+    nodes = [*range(300), *range(4000, 4100), *range(5000, 5060), *range(6000, 6100), 7000, 7500, 8000, 9000]
+    df = spark.createDataFrame(links, "a long, b long").repartition(3)
+    got = {r.pk: r.component for r in T.components(df, spark.createDataFrame([(i,) for i in nodes], "pk long")).collect()}
+    low = lambda i: next((k for k, end in ((0, 300), (4000, 4100), (5000, 5060), (6000, 6100)) if k <= i < end), i)
+    assert got == {i: 7500 if i == 8000 else low(i) for i in nodes}
+
+
+def test_rounds_of_the_replay(spark, monkeypatch):
+    """What is left of links after some rounds is settled in one task; a thread goes through all blocks."""
+    monkeypatch.setattr(T, "FEW", 100, raising=False)
+    rng = random.Random(5)
+    order = [(f"m{i}", f"m{max(0, i - rng.randrange(1, 40))}" if i % 9 else None, [f"m{min(299, i + 1)}"] if i % 5 == 0 else []) for i in range(300)]
+    spark.sparkContext.setJobGroup("replay", "")
+    got = replayed(spark, order, 75)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == plain_threads(order)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("replay")) < 150
+
+
 def test_job_rules(spark):
     rows = spark.createDataFrame([(1, "failed", 2, 0), (2, "failed", 5, 0), (3, "drafting", 0, 0), (4, "drafted", 0, 0), (5, "pending", 0, 0)], "source_id long, state string, attempts long, updated_at long")
     assert [r.source_id for r in rows.where(J.retry_due(240)).collect()] == [1]

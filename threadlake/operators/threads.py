@@ -28,28 +28,74 @@ def nearest_parent(messages: DataFrame) -> DataFrame:
     return known.groupBy("pk").agg(F.min_by("parent", "at").alias("parent"))
 
 
+FEW = 10_000  # links that one task settles sooner than a round takes
+
+
+def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``node, name`` of links, one name for each component, by union-find."""
+    top: dict[int, int] = {}
+    kind = pa.int64()
+
+    def root(x: int) -> int:
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    for batch in batches:
+        kind = batch.schema.types[0]
+        for a, b in zip(*(c.to_pylist() for c in batch.columns)):
+            top[root(top.setdefault(a, a))] = root(top.setdefault(b, b))
+    if top:
+        yield pa.RecordBatch.from_arrays([pa.array(list(top), kind), pa.array([root(x) for x in top], kind)], names=["node", "name"])
+
+
 def components(links: DataFrame, nodes: DataFrame, max_rounds: int = 50) -> DataFrame:
     """``pk, component`` (smallest pk) of every node; ``links`` has ``a, b``.
 
-    Smallest labels spread over edges, with a shortcut through the label's own
-    label in each round, so rounds grow with the logarithm of a chain. Each round
-    is a table in the shared folder, deleted when the next one is written, so that
-    the driver keeps no plan or data set of earlier rounds.
+    Each round names a node after the neighbour (or itself) that comes first by a
+    hash of the round, and keeps the links between names; so a round leaves a half
+    of the names or fewer, whatever the shape, and the rounds together read little
+    more than the first. At most ``FEW`` links that are left are settled in one task.
+    A name carries the smallest pk it stands for, and names are looked up from
+    the last round back, so no join has a component for a key. Rounds are tables in
+    the shared folder, deleted at the end.
     """
-    both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = stored(nodes.select("pk", F.col("pk").alias("component")))
-    for _ in range(max_rounds):
-        near = both.join(label, F.col("a") == F.col("pk")).groupBy("b").agg(F.min("component").alias("m"))
-        step = label.join(near, F.col("pk") == F.col("b"), "left").select("pk", F.least("component", F.coalesce("m", "component")).alias("next"), "component")
-        own = step.select(F.col("pk").alias("next"), F.col("next").alias("far"))
-        new = stored(step.join(own, "next").select("pk", F.least("next", "far").alias("component"), (F.least("next", "far") < F.col("component")).alias("moved")))
-        forget(label)
-        label = new.drop("moved")
-        label.threadlake_path = new.threadlake_path
-        if new.where("moved").isEmpty():
-            forget(both)
-            return label
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    ends = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    lows = lambda step: step.groupBy("name").agg(F.min("low").alias("low"))
+    rest = stored(links.select(*ends("a", "b")).where("a <> b").distinct())
+    kind = rest.schema["a"].dataType.simpleString()
+    steps: list[DataFrame] = []
+    left = rest.count()
+    while left:
+        if len(steps) == max_rounds:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        few = left <= FEW
+        if few:
+            named = rest.coalesce(1).mapInArrow(united, f"node {kind}, name {kind}")
+        else:
+            rank = lambda c: F.xxhash64(c, F.lit(len(steps)))
+            both = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            first = both.groupBy("a").agg(F.min_by("b", rank("b")).alias("b"))
+            named = first.select(F.col("a").alias("node"), F.when(rank("b") < rank("a"), F.col("b")).otherwise(F.col("a")).alias("name"))
+        steps.append(stored(named.join(lows(steps[-1]).withColumnRenamed("name", "node"), "node") if steps else named.withColumn("low", F.col("node"))))
+        if few:
+            break
+        names = steps[-1].select("node", "name")
+        new = rest.join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b").where("x <> y").select(*ends("x", "y")).distinct()
+        old, rest = rest, stored(new)
+        forget(old)
+        left = rest.count()
+    found = None
+    for step in reversed(steps):
+        least = lows(step)
+        if found is not None:
+            least = least.join(found.toDF("name", "far"), "name", "left").select("name", F.coalesce("far", "low").alias("low"))
+        found = step.select("node", "name").join(least, "name").select("node", F.col("low").alias("component"))
+    label = nodes.select("pk")
+    label = stored(label.withColumn("component", F.col("pk")) if found is None else label.join(found.withColumnRenamed("node", "pk"), "pk", "left").select("pk", F.coalesce("component", "pk").alias("component")))
+    for old in (rest, *steps):
+        forget(old)
+    return label
 
 
 SHIFT = 44  # bits of a place in the order of arrival
@@ -148,7 +194,8 @@ def replay(messages: DataFrame, block: int = 1_000_000) -> DataFrame:
     The order is cut into blocks of ``block`` messages. Which messages are joined
     before a block is a question of components, answered for all blocks at once by
     halving the order: links of a first half unite what the second half's links
-    meet, so each halving costs one run of :func:`components` over disjoint parts.
+    meet, so each halving costs one run of :func:`components` over disjoint parts;
+    the first one's run also has the components of the whole order.
     Then a block sees earlier threads as single nodes and is replayed by itself, and
     the names are followed from block to block by pointer doubling. A task holds a
     block's messages and the links that can matter in it, whatever a thread's size.
@@ -160,10 +207,17 @@ def replay(messages: DataFrame, block: int = 1_000_000) -> DataFrame:
     width = max(1, -(-total >> halvings))
     part = F.floor(F.col("later") / width).cast("long")
     rows = links.withColumn("block", part)
+    at = lambda span: (F.lit(span).cast("long").alias("span"), F.col("later").alias("a"), F.col("earlier").alias("b"))
+    whole = None if halvings else last_labels(links.select(*at(0)))
     for depth in range(halvings):
         # a span's first half unites nodes; the second half's links then meet the united ones
         rows = rows.withColumn("span", F.shiftright("block", halvings - depth)).withColumn("second", F.shiftright("block", halvings - depth - 1).bitwiseAND(F.lit(1)) == 1)
-        labels = last_labels(rows.where("not second").select("span", F.col("later").alias("a"), F.col("earlier").alias("b")))
+        halves = rows.where("not second").select("span", F.col("later").alias("a"), F.col("earlier").alias("b"))
+        if whole is None:  # the first halving has one span, so all links are a second one in its rounds
+            labels = last_labels(halves.unionByName(links.select(*at(1))))
+            whole, labels = labels.where("span = 1"), labels.where("span = 0")
+        else:
+            labels = last_labels(halves)
         moved = rows.where("second").join(labels.withColumnRenamed("node", "earlier"), ["span", "earlier"], "left").withColumn("earlier", F.coalesce("label", "earlier")).drop("label")
         joined = rows.where("not second").unionByName(moved).groupBy("block", "later", "earlier").agg(F.max("near").alias("near"))
         rows = stored(joined)
@@ -181,8 +235,7 @@ def replay(messages: DataFrame, block: int = 1_000_000) -> DataFrame:
         names.threadlake_path = nxt.threadlake_path
         if nxt.where("moved").isEmpty():
             break
-    whole = last_labels(links.select(F.lit(0).cast("long").alias("span"), F.col("later").alias("a"), F.col("earlier").alias("b"))).select(F.col("node").alias("place"), "label")
-    ends = known.join(whole, "place", "left").select("message_id", F.coalesce("label", "place").alias("place"))
+    ends = known.join(whole.select(F.col("node").alias("place"), "label"), "place", "left").select("message_id", F.coalesce("label", "place").alias("place"))
     called = names.join(known.select(F.col("place").alias("up"), F.col("message_id").alias("thread_id")), "up").select("place", "thread_id")
     return ends.join(called, "place").select("message_id", "thread_id")
 
