@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from threadlake.operators import ingest as I
 from threadlake.operators.providers import letter_embedder
 from threadlake.sources.commit import Store, Transaction
-from threadlake.sources.mail import contents, listing, mail_stream, put_files
+from threadlake.sources.mail import contents, listing, mail_stream, put_files, small_files
 
 
 def mail(number, body, count=None):
@@ -79,6 +79,46 @@ def test_a_message_that_cannot_be_embedded_is_a_dead_letter_as_a_whole(spark, tm
     assert {r.source_id for r in store.read("messages").collect()} == {1, 2} and store.read("failures").count() == 0
 
 
+def test_runs_over_new_files_write_their_own_rows_alone(spark, tmp_path):
+    """New files leave the folders of earlier runs as they are; a changed one does not, and its older rows go."""
+    folder, store = f"file:{tmp_path}/mail", Store(spark, f"{tmp_path}/store")
+    run = lambda now: I.ingest(store, listing(spark, folder), now)
+    for now in (1, 2, 3):
+        put(spark, folder, {i: mail(i, f"text {i}") for i in range(10 * now, 10 * now + 4)})
+        assert run(now) == 4
+    folders = store.latest()[1]
+    assert {name: len(paths) for name, paths in folders.items()} == dict.fromkeys(I.TABLES, 3)
+    assert [spark.read.parquet(p).count() for p in folders["chunks"]] == [4, 4, 4]
+    assert {r.source_id: r.stored_at for r in store.read("messages").collect()} == {i: i // 10 for k in (10, 20, 30) for i in range(k, k + 4)}
+    put(spark, folder, {11: mail(11, "short"), 40: mail(40, "new", count=0)})
+    assert run(4) == 2
+    assert sorted(r.source_id for r in store.read("messages").collect()) == [i for k in (10, 20, 30) for i in range(k, k + 4)]
+    assert [(r.text, r.source_id) for r in store.read("chunks").where("source_id in (11, 40)").collect()] == [("short", 11)]
+    put(spark, folder, {40: mail(40, "mended")})
+    assert run(5) == 1 and store.read("failures").count() == 0 and store.read("files").count() == 13
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    """Listed a few thousand to a task, opened some hundreds to a task; the settings are as before afterwards."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    with pytest.raises(ValueError), small_files(spark):
+        assert int(spark.conf.get(key)) < 100
+        raise ValueError
+    assert spark.conf.get(key) == before
+    rows = spark.range(1000).select(F.concat(F.lit(f"file:{tmp_path}/"), "id", F.lit(".emlx")).alias("path"), F.lit(10).cast("long").alias("length"))
+    assert 3 <= contents(rows).select(F.spark_partition_id().alias("p")).distinct().count() <= 5
+
+
+@pytest.mark.parametrize("text", ["", "a", "häß 👍🏽" * 50, "\0\uffff"])
+def test_letters_are_counted_by_code_point(text):
+    v = [0.0] * 32
+    for ch in text:
+        v[ord(ch) % 32] += 1.0
+    norm = sum(x * x for x in v) ** 0.5
+    assert letter_embedder([text]) == [[x / norm for x in v] if norm else v]
+
+
 @pytest.mark.parametrize("step", ["files", "publish"])
 def test_a_stream_that_dies_leaves_the_rows_of_a_clean_run(spark, tmp_path, monkeypatch, step):
     """Killed before the fingerprints are staged, or before the commit; the batch comes again."""

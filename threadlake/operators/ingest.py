@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from threadlake.operators.chunking import chunk
 from threadlake.operators.merge import latest, replace_children, upsert
 from threadlake.operators.providers import Embedder, embedded, letter_embedder
 from threadlake.sources.commit import Store
-from threadlake.sources.mail import MAX_FILE, contents, numbered, parse_files
+from threadlake.sources.mail import MAX_FILE, contents, numbered, parse_files, small_files
 from threadlake.sources.shared import forget, sized, stored
 
 MESSAGE = "source_id long, path string, message_id string, subject string, sender string, date_unix long, original_sender string, body_text string, stored_at long"
@@ -65,10 +66,13 @@ def ingest(store: Store, files: DataFrame, now: int, embed: Embedder = letter_em
     of ``store``; so a run that ends anywhere before leaves nothing, and the next
     one does its work again. A message with a chunk that could not be embedded is a
     dead letter as a whole. Failed files have no fingerprint and are tried again.
+    Where no table has a row of the run's files, rows are appended, so that many
+    runs over new files write each row once; else the tables are written anew.
     """
     with store.transaction() as t:
         known = lambda name: t.read(name) if name in t.tables or name in t.staged else files.sparkSession.createDataFrame([], TABLES[name])
-        todo = stored(unseen(numbered(files), known("files")))
+        with small_files(files.sparkSession):
+            todo = stored(unseen(numbered(files), known("files")))
         count = todo.count()
         if not count:
             return 0
@@ -81,12 +85,19 @@ def ingest(store: Store, files: DataFrame, now: int, embed: Embedder = letter_em
         rows = pieces.join(vectors.where("error is null").select(F.col("id").alias("chunk_id"), "vec"), "chunk_id").select("chunk_id.*", "text", "vec")
         fresh = rows.join(good.select("source_id"), "source_id", "left_semi")
         messages, chunks = known("messages"), known("chunks")
-        # a message may have no chunk at all, and loses its older ones then too
-        gone = chunks.join(good.select("source_id"), "source_id", "left_anti")
-        t.write("messages", upsert(messages, good.select(*messages.columns), "source_id"))
-        t.write("chunks", replace_children(gone, fresh, "source_id"))
-        t.write("failures", dead_letters(known("failures"), tried, now))
-        t.write("files", recorded(known("files"), todo.join(good.select("source_id"), "source_id", "left_semi")))
+        seen = reduce(DataFrame.unionByName, [known(name).select("source_id") for name in TABLES])
+        if seen.join(todo.select("source_id"), "source_id", "left_semi").isEmpty():
+            t.append("messages", good.select(*messages.columns))
+            t.append("chunks", fresh.select(*chunks.columns))
+            t.append("failures", dead_letters(known("failures").limit(0), tried, now))
+            t.append("files", todo.join(good.select("source_id"), "source_id", "left_semi").select("source_id", "fingerprint"))
+        else:
+            # a message may have no chunk at all, and loses its older ones then too
+            gone = chunks.join(good.select("source_id"), "source_id", "left_anti")
+            t.write("messages", upsert(messages, good.select(*messages.columns), "source_id"))
+            t.write("chunks", replace_children(gone, fresh, "source_id"))
+            t.write("failures", dead_letters(known("failures"), tried, now))
+            t.write("files", recorded(known("files"), todo.join(good.select("source_id"), "source_id", "left_semi")))
     for old in (todo, records, pieces, vectors):
         forget(old)
     return count

@@ -8,6 +8,7 @@ import email.header
 import quopri
 import re
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from datetime import UTC
 from email.errors import MessageError
 from email.utils import parsedate_to_datetime
@@ -28,6 +29,20 @@ RECORD = """path string, source_id long, error string, message_id string, subjec
  attachments array<struct<filename:string,size:long,text:string>>, skipped array<string>"""
 
 
+@contextmanager
+def small_files(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, files are looked up and listed some thousands to a task; else Spark makes a task for each path, and one for 32 files."""
+    wanted = {"spark.sql.sources.parallelPartitionDiscovery.parallelism": str(4 * spark.sparkContext.defaultParallelism), "spark.sql.files.openCostInBytes": "64k"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def listing(spark: SparkSession, folder: str) -> DataFrame:
     """``path, length, mtime`` of every mail file below a folder, without reading contents."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.emlx").load(folder)
@@ -47,7 +62,7 @@ def file_system(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
-PER_TASK = 64 << 20  # bytes of files that a task reads
+PER_TASK, OPENING = 64 << 20, 256 << 10  # bytes of files that a task reads, and those that take as long as opening and parsing one
 
 
 def contents(files: DataFrame, most: int = MAX_FILE) -> DataFrame:
@@ -55,9 +70,10 @@ def contents(files: DataFrame, most: int = MAX_FILE) -> DataFrame:
 
     A file is judged by its length before it is opened: by the listing's, and by
     what the file system says when its turn comes, should it have grown. Files are
-    dealt out so that a task reads about ``PER_TASK`` bytes, one file at a time.
+    dealt out so that a task reads about ``PER_TASK`` bytes, one file at a time,
+    where a file counts ``OPENING`` bytes more than it has.
     """
-    total = files.agg(F.coalesce(F.sum(F.least("length", F.lit(most))), F.lit(0))).first()[0]
+    total = files.agg(F.coalesce(F.sum(F.least("length", F.lit(most)) + OPENING), F.lit(0))).first()[0]
     place = files.columns.index("path")
     columns = [*files.columns, "content", "error"]
 
@@ -89,11 +105,14 @@ def put_files(rows: DataFrame) -> DataFrame:
     """Write each row's ``content`` to its ``path``; gives ``path, length`` of what was written. A file is whole or not there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = set()
         for batch in batches:
             paths, sizes = batch.column("path").to_pylist(), []
             for path, data in zip(paths, batch.column("content").to_pylist()):
                 system, at = file_system(path)
-                system.create_dir(at.rpartition("/")[0], recursive=True)
+                if (parent := at.rpartition("/")[0]) not in made:
+                    system.create_dir(parent, recursive=True)
+                    made.add(parent)
                 with system.open_output_stream(f"{at}.part") as out:
                     out.write(data)
                 system.move(f"{at}.part", at)
